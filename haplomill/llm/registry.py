@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and their SQL."""
 
-from . import packing
+from . import byte_bpe, packing, token_store
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_token_shards": token_store.op9_token_shards,
 }
 
 ORACLES = {}
