@@ -6,7 +6,7 @@ import atexit
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -85,39 +85,78 @@ def read_file(uri: str) -> bytes:
         return stream.read()
 
 
-class WordEncoder(dict):
-    """Ids of texts by a tokenizer that never merges across white space and lowers the case, as
-    little-endian unsigned 32-bit bytes. Each distinct word is encoded once, without the marks that
-    follow it; `limit` bounds the words kept."""
+class WordEncoder:
+    """Ids of texts by a tokenizer that never merges across white space, lowers the case and ends
+    each word with a token of its own kind, as little-endian unsigned 32-bit bytes. Texts go chunk
+    by chunk; in a chunk each distinct word is looked up once, and what is new is encoded many
+    words a call. `limit` bounds the words kept."""
 
     MARKS = ".,!?;:"
+    WORD_END = "</w>"
+    CHUNK = 4_000_000  # characters; a longer text is a chunk of its own
+    TOGETHER = 200
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(self.MARKS)
-        low = core.lower()
-        # up to U+00FF letters lower one by one, compose with nothing and never join a mark
-        if low != word and core.isalpha() and max(core) <= "\xff":
-            ids = self[low] + (self[word[len(core) :]] if len(core) < len(word) else b"")
-            keep = 8  # longer ones rarely come again in this form
-        else:
-            keep = 64
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= keep:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[v for k, v in vocabulary.items() if k.endswith(self.WORD_END)]] = True
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text (none for null), in order."""
+        held, chars = [], 0
+        for text in texts:
+            text = text or ""
+            if held and chars + len(text) > self.CHUNK:
+                yield from self._chunk(held)
+                held, chars = [], 0
+            held.append(text)
+            chars += len(text)
+        yield from self._chunk(held)
+
+    def _chunk(self, texts: list[str]) -> Iterator[bytes]:
         # str.split() also splits at \x1c-\x1f, which the tokenizer takes for symbols
-        words = text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        return b"".join(map(self.__getitem__, words))
+        words = [t.split(" ") if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        self._learn(set().union(*words).difference(self.known))
+        ids = self.known.__getitem__
+        for w in words:
+            yield b"".join(map(ids, w))
+
+    def _learn(self, words: set[str]) -> None:
+        """Letters up to U+00FF lower one by one, compose with nothing and never join a mark: such
+        a word is its lower-cased letters and then its marks."""
+        known, plain, parts = self.known, set(), []
+        for word in words:
+            core = word.rstrip(self.MARKS)
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+                low = core.lower()
+                if low != word:
+                    parts.append((word, low, word[len(core) :]))
+                if low not in known:
+                    plain.add(low)
+            else:
+                known[word] = self._one(word)
+        todo = list(plain)
+        for k in range(0, len(todo), self.TOGETHER):
+            some = todo[k : k + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not end each word with a token of its own")
+            at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
+        for marks in {x for _, _, x in parts} - known.keys():
+            known[marks] = self._one(marks) if marks else b""
+        for word, low, marks in parts:
+            known[word] = known[low] + known[marks]
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)

@@ -4,7 +4,7 @@ Documents become pieces of at most `capacity` ids. Pieces are dealt by a hash to
 `group_pieces`; a group is packed best fit first, then by local search: while bins can still be
 saved, the emptiest underfull bin gives documents to others, by moving one, exchanging one for
 one or two for one, always the exchange with the largest gain in the sum of squared fills, until
-the bin is empty or nothing gains. What lies in underfull bins of all groups is then dealt anew to
+the bin is empty or nothing gains; `PATIENCE` bins in a row that stay end the search. What lies in underfull bins of all groups is then dealt anew to
 fewer groups and packed again, `rounds` times at most, so that a group costs no bin of its own.
 
 Defined cases: null text is an empty document (one piece, the end id only); a null id stays null;
@@ -26,6 +26,7 @@ from .common import materialize, table, word_encoder
 CAPACITY = 2048
 GROUP_PIECES = 16_384
 ROUNDS = 3
+PATIENCE = 48  # bins in a row, from the emptiest, that could not be emptied
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin int, offset long, fill long"
@@ -65,15 +66,18 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     fill = np.array([f for f in fills if f < capacity], dtype=np.int64)
     needed = -(-int(fill.sum()) // capacity)
     alive = np.ones(len(work), dtype=bool)
-    moved = True
-    while moved and int(alive.sum()) > needed:
-        moved = False
+    moved, left = True, len(work)
+    while moved and left > needed:
+        moved, failed = False, 0
         for donor in np.argsort(fill, kind="stable").tolist():
-            if not alive[donor] or int(alive.sum()) <= needed:
-                continue
+            if left <= needed or failed >= PATIENCE:
+                break
             moved |= _give(donor, work, size, fill, alive, capacity)
+            failed = failed + 1 if work[donor] else 0
             if not work[donor]:
                 alive[donor] = False
+                left -= 1
+        moved &= failed < PATIENCE
     return full + [b for b in work if b]
 
 
@@ -130,8 +134,8 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         encoder, end = word_encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(x.as_py() for x in batch.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), xxhash.xxh3_64_intdigest(f"{doc} {piece}") >> 1)

@@ -180,8 +180,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["partition", "shard", "path", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(x.as_py() for x in batch.column(1)), strict=True):
+                ids += end
                 if docs and n + len(ids) // 4 > shard_ids:
                     yield flush()
                     docs, lengths, held, n, made = [], [], [], 0, made + 1
