@@ -20,14 +20,14 @@ import functools
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import table
 
 BLOCK_CHARS = 4_000_000
 BUCKETS = (32, 1024)
@@ -85,44 +85,41 @@ def _unpacked(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def blocks(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
-    """A row of each block and bucket with words, and one (bucket -1) of each block with positions.
+def blocks(docs: DataFrame, pattern: str, part: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
+    """With part "words" a row of each block and bucket with its words; with part "positions" one
+    (bucket -1) of each block with the positions. Both parts cut the same scan into the same blocks
+    and number a block's words by bucket, then by first occurrence; to split the texts twice takes
+    less disk than to keep what one pass over them gives.
     Buckets: as many as shuffle partitions, within BUCKETS."""
     buckets = buckets or min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS[0]), BUCKETS[1])
 
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
-        import zstandard
         from pyspark import TaskContext
 
         find, partition = regex.compile(space_class(pattern)).findall, TaskContext.get().partitionId()
         docs, texts, chars, block = [], [], 0, partition << 32
 
         def flush() -> pa.RecordBatch:
-            number: dict[str, int] = {}
-            places, counts = [], []
-            for text in texts:
-                words = find(text)
-                places.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-                counts.append(len(words))
-            words = [w.encode() for w in number]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            # positions hold the word's number in the order of buckets, then of first occurrence
+            found = [find(text) for text in texts]
+            words = list(dict.fromkeys(chain.from_iterable(found)))
+            raw = [w.encode() for w in words]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(bucket, kind="stable")
-            renumber = np.empty(len(words), np.uint32)
-            renumber[order] = np.arange(len(words), dtype=np.uint32)
-            at = renumber[np.concatenate(places)] if words else np.empty(0, np.uint32)
-            known = np.array([x is not None for x in docs], "u1")
-            head = [known.tobytes(), np.array([x or 0 for x in docs], "<i8").tobytes(), np.array(counts, "<u4").tobytes()]
-            # bytes of equal weight together compress best
-            planes = np.ascontiguousarray(at.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
-            rows = [(block, -1, _packed([*head, planes]))]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if edges[b] < edges[b + 1]:
-                    rows.append((block, b, _packed([words[i] for i in order[edges[b] : edges[b + 1]]])))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "bucket", "data"])
+            if part == "words":
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+                rows = [(block, b, _packed([raw[i] for i in order[edges[b] : edges[b + 1]]])) for b in range(buckets) if edges[b] < edges[b + 1]]
+            else:
+                number = dict(zip([words[i] for i in order], range(len(words)), strict=True)).__getitem__
+                counts = list(map(len, found))
+                at = np.fromiter(map(number, chain.from_iterable(found)), "<u4", sum(counts))
+                known = np.array([x is not None for x in docs], "u1")
+                head = [known.tobytes(), np.array([x or 0 for x in docs], "<i8").tobytes(), np.array(counts, "<u4").tobytes()]
+                # bytes of equal weight together compress best
+                rows = [(block, -1, _packed([*head, np.ascontiguousarray(at.view("u1").reshape(-1, 4).T).tobytes()]))]
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["block", "bucket", "data"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -172,8 +169,7 @@ def reassemble(positions: DataFrame, ids: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, ranks: str, pattern: str, **options) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every document."""
-    found = materialize(blocks(docs, pattern, **options), "words")
-    return reassemble(found.where("bucket < 0"), encode_words(found.where("bucket >= 0"), ranks))
+    return reassemble(blocks(docs, pattern, "positions", **options), encode_words(blocks(docs, pattern, "words", **options), ranks))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
