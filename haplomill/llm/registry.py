@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and their SQL."""
 
-from . import byte_bpe, language, packing, quality, token_store
+from . import byte_bpe, language, near_dup, packing, quality, token_store
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_minhash_near_dedup": near_dup.op3_minhash_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_token_shards": token_store.op9_token_shards,
