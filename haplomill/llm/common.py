@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+BEYOND_LATIN = re.compile("[^\\x00-\\xff]")
 _temporary: list[tuple[SparkSession, str]] = []
 
 
@@ -96,7 +98,7 @@ class WordEncoder:
     CHUNK = 4_000_000  # characters; a longer text is a chunk of its own
     TOGETHER = 200
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -118,8 +120,7 @@ class WordEncoder:
         yield from self._chunk(held)
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
-        # str.split() also splits at \x1c-\x1f, which the tokenizer takes for symbols
-        words = [t.split(" ") if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        words = [self._words(t) for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
         self._learn(set().union(*words).difference(self.known))
@@ -127,21 +128,21 @@ class WordEncoder:
         for w in words:
             yield b"".join(map(ids, w))
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        # up to U+00FF letters lower one by one; a special token is looked for before that
+        if not BEYOND_LATIN.search(text) and "<|" not in text:
+            text = text.lower()
+        # str.split() also splits at \x1c-\x1f, which the tokenizer takes for symbols
+        return text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
     def _learn(self, words: set[str]) -> None:
-        """Letters up to U+00FF lower one by one, compose with nothing and never join a mark: such
-        a word is its lower-cased letters and then its marks."""
-        known, plain, parts = self.known, set(), []
-        for word in words:
-            core = word.rstrip(self.MARKS)
-            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-                low = core.lower()
-                if low != word:
-                    parts.append((word, low, word[len(core) :]))
-                if low not in known:
-                    plain.add(low)
-            else:
-                known[word] = self._one(word)
-        todo = list(plain)
+        """Lower-cased letters up to U+00FF compose with nothing and never join a mark: such a
+        word is its letters and then its marks, and many of them are encoded in one call."""
+        known, marks = self.known, self.MARKS
+        pairs = [(w, w.rstrip(marks)) for w in words]
+        plain = {c for _, c in pairs if c.islower() and c.isalpha() and not BEYOND_LATIN.search(c)}
+        todo = list(plain.difference(known))
         for k in range(0, len(todo), self.TOGETHER):
             some = todo[k : k + self.TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -150,10 +151,12 @@ class WordEncoder:
                 raise ValueError("the tokenizer does not end each word with a token of its own")
             at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
             known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
-        for marks in {x for _, _, x in parts} - known.keys():
-            known[marks] = self._one(marks) if marks else b""
-        for word, low, marks in parts:
-            known[word] = known[low] + known[marks]
+        for word, core in pairs:
+            if core not in plain:
+                known[word] = self._one(word)
+            elif len(core) < len(word):
+                tail = word[len(core) :]
+                known[word] = known[core] + (known.get(tail) or known.setdefault(tail, self._one(tail)))
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
