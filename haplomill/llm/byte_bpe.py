@@ -47,7 +47,7 @@ def space_class(pattern: str) -> str:
 class PieceEncoder(dict):
     """Ids of single words as little-endian bytes, each merged once while it is kept."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000) -> None:
         import tiktoken
 
         super().__init__()
