@@ -1,4 +1,6 @@
 """All queries of the haplotype part, with their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import ancestry, coordinates, dating, genotypes, imputation, matching, models
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "ancestry", "coordinates", "dating", "genotypes", "imputation", "matching", "models"]
