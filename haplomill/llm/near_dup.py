@@ -9,12 +9,14 @@ least `MIN_MATCHES` tokens (at similarity 0.8 they fail to with a chance of 6e-6
   tokens left;
 * a class is posted under a prefix only: ordered from the rarest token on, all but its last
   `MIN_MATCHES` - 1 tokens; two classes with enough tokens in common meet in some posting list;
-* a list proposes its members against its smallest and largest member first. Once the links found
-  so have joined what they join, it proposes the pairs of members that still lie in different
-  components, so that a large group of copies costs a number of pairs in proportion to its size and
-  no link that could change a component is lost;
+* a list proposes its members against two of them first, the one whose tokens are the most common
+  and the smallest. Members outside the component of the former are then proposed against
+  `DELEGATES` members of other components, and those that still are outside against all such
+  members. So a large group of copies costs a number of pairs in proportion to its size, and no link
+  that could change a component is lost: what is never proposed has a size too different, or
+  similarities to the list's most common member that differ by more than linked sets' can;
 * a proposed pair counts its equal coordinates, and with `MIN_MATCHES` of them is confirmed on the
-  full sets, which a second pass over the texts gives for the classes concerned.
+  full sets, which a second pass over the texts gives for the classes in lists.
 
 Components come from hooking every class to its smallest neighbour, jumping to the roots and
 contracting, all as joins. Nothing of all documents goes to the driver but a bit filter of fixed
@@ -45,6 +47,7 @@ SIMILARITY = 80  # hundredths
 COORDINATES = 64
 MIN_MATCHES = 36
 FILTER_BITS = 23
+DELEGATES = 8
 SEED = 20240229
 SETS = "h1 long, h2 long, shingles binary"
 
@@ -192,38 +195,94 @@ def _first(label: str, row: str) -> Column:
     return F.min(F.struct(F.col(label).isNull().alias("unnamed"), F.col(label).alias("label"), F.col(row).alias("row")))
 
 
-class Links:
-    """Pairs of classes that are confirmed on their full sets."""
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs a < b."""
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
 
-    def __init__(self, docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, similarity: int) -> None:
-        self.docs, self.text_col, self.size, self.classes, self.nodes, self.similarity = docs, text_col, size, classes, nodes, similarity
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of the proposed pairs (a, b), a < b, those that are linked."""
-        sig = [self.nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
-        pairs = pairs.join(sig[0], "a").join(sig[1], "b")
-        fits = 100 * F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b")
-        pairs = materialize(pairs.where(fits & (F.size(F.array_intersect("sig_a", "sig_b")) >= MIN_MATCHES)).select("a", "b"), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = materialize(self.classes.select("node", "h1", "h2").join(wanted, "node", "left_semi"), "wanted")
-        sets = sets_of(self.docs, self.text_col, self.size, bit_filter(wanted)).dropDuplicates(["h1", "h2"])
-        sets = materialize(sets.join(wanted, ["h1", "h2"]).select("node", "shingles"), "sets")
-        similarity = self.similarity
+def full_sets(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the wanted classes (node, h1, h2)."""
+    found = sets_of(docs, text_col, size, bit_filter(wanted)).dropDuplicates(["h1", "h2"])
+    return materialize(found.join(wanted, ["h1", "h2"]).select("node", "shingles"), "sets")
 
-        def confirm(batches: Iterator) -> Iterator:
-            import pyarrow as pa
 
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """a, b, share and linked of the proposed pairs with enough equal coordinates."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")), x)
+    fits = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    pairs = pairs.where(fits & (F.size(F.array_intersect("sig_a", "sig_b")) >= MIN_MATCHES)).select("a", "b")
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
 
-        for x in "ab":
-            pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
-        return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), "links")
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            share, linked = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y) - both
+                share.append(both / total)
+                linked.append(100 * both >= similarity * total)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "share", "linked"])
+
+    return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, share double, linked boolean"), "tested")
+
+
+def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, postings: DataFrame, similarity: int) -> DataFrame:
+    """node -> root of the classes that are linked with any; postings: node, n, pop, token."""
+    ends = postings.groupBy("token").agg(F.max(F.struct("pop", (-F.col("node")).alias("neg"))).alias("top"), F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = materialize(ends.where("low < high").select("token", (-F.col("top.neg")).alias("top"), "low"), "ends")
+    members = materialize(postings.join(ends, "token").select("token", "node", "n", "top", "low"), "members")
+    sets = full_sets(docs, text_col, size, materialize(classes.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"), "wanted"))
+
+    proposed = materialize(_pairs(members, "node", "top").unionByName(_pairs(members, "node", "low")).distinct(), "proposed")
+    first = confirm(proposed, nodes, sets, similarity)
+    links = first.where("linked").select("a", "b")
+    joined = components(links)
+
+    def place() -> tuple[DataFrame, DataFrame]:
+        """Members of lists that have some outside the component of the list's most common member;
+        and those outside."""
+        placed = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        main = joined.select(F.col("node").alias("top"), F.col("root").alias("main"))
+        placed = placed.join(main, "top", "left").select("token", "node", "n", "top", "root", F.coalesce("main", "top").alias("main"))
+        outside = materialize(placed.where("root <> main"), "outside")
+        return materialize(placed.join(outside.select("token").distinct(), "token", "left_semi"), "placed"), outside
+
+    placed, outside = place()
+    if outside.isEmpty():
+        return joined
+    slot = F.xxhash64("node")
+    chosen = placed.groupBy("token", F.pmod(slot, F.lit(DELEGATES)).alias("slot")).agg(F.min(F.struct(slot.alias("h"), "node", "root")).alias("d"))
+    chosen = chosen.select("token", F.col("d.node").alias("other"), F.col("d.root").alias("other_root"))
+    again = _pairs(outside.join(chosen, "token").where("root <> other_root"), "node", "other")
+    again = materialize(again.join(proposed, ["a", "b"], "left_anti"), "proposed")
+    links = links.unionByName(confirm(again, nodes, sets, similarity).where("linked").select("a", "b"))
+    joined = components(links)
+
+    placed, outside = place()
+    if outside.isEmpty():
+        return joined
+    share = first.select("a", "b", "share")
+
+    def near(rows: DataFrame) -> DataFrame:
+        """Adds the similarity to the list's most common member, where it is known."""
+        rows = rows.withColumns({"a": F.least("node", "top"), "b": F.greatest("node", "top")}).join(share, ["a", "b"], "left")
+        return rows.withColumn("share", F.when(F.col("node") == F.col("top"), 1.0).otherwise(F.col("share")))
+
+    some = near(outside).select("token", "node", "n", "root", "share")
+    others = near(placed).select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("share").alias("other_share"))
+    # distances obey the triangle inequality, and linked sets are at most 1 - similarity apart
+    apart = F.coalesce(F.abs(F.col("share") - F.col("other_share")) > 1 - similarity / 100 + 1e-9, F.lit(False))
+    fits = 100 * F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
+    rest = _pairs(some.join(others, "token").where((F.col("root") != F.col("other_root")) & fits & ~apart), "node", "other")
+    rest = materialize(rest.join(proposed, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "proposed")
+    if rest.isEmpty():
+        return joined
+    return components(links.unionByName(confirm(rest, nodes, sets, similarity).where("linked").select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -233,29 +292,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(named.select("h1", "h2", F.col("first.row").alias("node"), F.col("first.label").alias("label"), "n"), "classes")
     nodes = materialize(rows.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sig").join(classes.select("node"), "node", "left_semi"), "nodes")
 
-    tokens = nodes.select("node", F.explode("sig").alias("token"))
+    tokens = nodes.select("node", "n", F.explode("sig").alias("token"))
     common = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    lists = tokens.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    lists = tokens.join(common, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.sum("df").alias("pop"))
     prefix = F.slice("tokens", 1, F.size("tokens") - (MIN_MATCHES - 1))
-    postings = materialize(lists.where(F.size("tokens") >= MIN_MATCHES).select("node", F.explode(prefix.getField("token")).alias("token")), "postings")
-
-    links = Links(docs, text_col, shingle_words, classes, nodes, similarity)
-    ends = materialize(postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "ends")
-    against = postings.join(ends, "token").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    proposed = materialize(against.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "proposed")
-    found = links.confirmed(proposed)
-
-    joined = components(found)
-    # members by component; those outside the component of the list's smallest member meet all others
-    placed = postings.join(ends.select("token", "low"), "token").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = joined.select(F.col("node").alias("low"), F.col("root").alias("main"))
-    placed = materialize(placed.join(main, "low", "left").select("token", "node", "root", F.coalesce("main", "low").alias("main")), "placed")
-    outside = placed.where("root <> main").select("token", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    split = placed.join(outside.select("token").distinct(), "token", "left_semi")
-    more = split.join(outside, "token").where("root <> a_root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    more = materialize(more.join(proposed, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        joined = components(found.unionByName(links.confirmed(more)))
+    postings = materialize(lists.where(F.size("tokens") >= MIN_MATCHES).select("node", "n", "pop", F.explode(prefix.getField("token")).alias("token")), "postings")
+    joined = link_classes(docs, text_col, shingle_words, classes, nodes, postings, similarity)
 
     placed = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(_first("label", "node").alias("first"))
