@@ -1 +1,181 @@
-"""To come."""
+"""Segments of copied ancestry and what follows from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ancestry, consistency, frequencies, normalize, trees
+from ..sources import fixtures, text
+from .registry import query
+from .sql import define, sql
+
+START, END = 24_100, 61_000
+
+define("atsite", "SELECT s.site, g.hap, g.target, g.tmrca FROM sites s JOIN segs g ON s.pos >= g.start_bp AND (g.end_bp IS NULL OR s.pos < g.end_bp)", "sites", "segs")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = ancestry.at_sites(fixtures.segments(spark, sf_dir), fixtures.sites(spark, sf_dir))
+    return trees.states(fixtures.genotypes(spark, sf_dir), at)
+
+
+@query(sql("SELECT a.site, a.hap, a.target, a.tmrca, CAST(m.hap IS NOT NULL AS INT) AS mism FROM atsite a LEFT JOIN mism m ON m.hap = a.hap AND m.site = a.site", "atsite", "mism"))
+def instructions_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = ancestry.at_sites(fixtures.segments(spark, sf_dir), fixtures.sites(spark, sf_dir))
+    return ancestry.with_mismatches(at, fixtures.mismatches(spark, sf_dir)).select("site", "hap", "target", "tmrca", "mism")
+
+
+@query(sql("SELECT hap, site FROM mism", "mism"))
+def het_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.mismatches(spark, sf_dir)
+
+
+@query(sql("SELECT hap, seg_idx, start_bp, target, tmrca FROM segs WHERE start_bp <= (SELECT max(pos) FROM sites WHERE pos <= 61000) AND (end_bp IS NULL OR end_bp >= (SELECT min(pos) FROM sites WHERE pos >= 24100))", "segs"))
+def instructions_subrange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ancestry.sub_range(fixtures.segments(spark, sf_dir), fixtures.sites(spark, sf_dir), START, END).select("hap", "seg_idx", "start_bp", "target", "tmrca")
+
+
+@query(
+    sql(
+        """SELECT hap, CAST(row_number() OVER (PARTITION BY hap ORDER BY start_bp) - 1 AS INT) AS seg_idx, CAST(greatest(start_bp, 24100) AS INT) AS start_bp, target, tmrca
+FROM segs WHERE start_bp < 61000 AND (end_bp IS NULL OR end_bp > 24100)""",
+        "segs",
+    )
+)
+def region_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside, _, _ = ancestry.slice_region(fixtures.segments(spark, sf_dir), fixtures.mismatches(spark, sf_dir), fixtures.sites(spark, sf_dir), START, END)
+    return inside.select("hap", "seg_idx", F.col("start_bp").cast("int").alias("start_bp"), "target", "tmrca")
+
+
+@query(sql("SELECT m.hap, CAST(m.site - (SELECT min(site) FROM sites WHERE pos >= 24100) AS INT) AS site FROM mism m JOIN sites s USING (site) WHERE s.pos >= 24100 AND s.pos < 61000", "mism"))
+def region_slice_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, moved, _ = ancestry.slice_region(fixtures.segments(spark, sf_dir), fixtures.mismatches(spark, sf_dir), fixtures.sites(spark, sf_dir), START, END)
+    return moved
+
+
+@query(sql("SELECT site, hap, g FROM geno", "geno"))
+def genotype_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly the genotypes, from segments and mismatches alone."""
+    haps = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("hap"))
+    return ancestry.reconstruct(fixtures.segments(spark, sf_dir), fixtures.mismatches(spark, sf_dir), fixtures.sites(spark, sf_dir), haps)
+
+
+@query(sql("SELECT g.hap, g.seg_idx, count(m.site) AS hets FROM segs g LEFT JOIN (mism m JOIN sites s USING (site)) ON m.hap = g.hap AND s.pos >= g.start_bp AND (g.end_bp IS NULL OR s.pos < g.end_bp) GROUP BY ALL", "segs", "mism"))
+def segment_hets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ancestry.counts_in_segments(fixtures.segments(spark, sf_dir), fixtures.mismatches(spark, sf_dir), fixtures.sites(spark, sf_dir))
+
+
+@query(
+    sql(
+        """SELECT coalesce(n.hap, m.hap) AS hap, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS segment_offset, CAST(coalesce(sum(m) OVER w, 0) AS BIGINT) AS mismatch_offset
+FROM (SELECT hap, count(*) AS n FROM segs GROUP BY hap) n FULL JOIN (SELECT hap, count(*) AS m FROM mism GROUP BY hap) m ON n.hap = m.hap
+WINDOW w AS (ORDER BY coalesce(n.hap, m.hap) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        "mism",
+    )
+)
+def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ancestry.offsets(fixtures.segments(spark, sf_dir), fixtures.mismatches(spark, sf_dir))
+
+
+# from one haplotype: the way to the root, then down to all others
+START_HAP = 137
+define("way", f"SELECT site, hap, target, tmrca AS run, 0.0::DOUBLE AS met FROM atsite WHERE hap = {START_HAP} UNION ALL SELECT a.site, a.hap, a.target, greatest(w.run, a.tmrca), w.run FROM way w JOIN atsite a ON a.site = w.site AND a.hap = w.target", "atsite")
+define("onway", "SELECT site, hap, met FROM way UNION ALL SELECT site, 0, max(run) FROM way GROUP BY site", "way")
+define("met", "SELECT site, hap, met FROM onway UNION ALL SELECT a.site, a.hap, greatest(m.met, a.tmrca) FROM met m JOIN atsite a ON a.site = m.site AND a.target = m.hap WHERE NOT EXISTS (SELECT 1 FROM onway o WHERE o.site = a.site AND o.hap = a.hap)", "onway")
+
+
+@query(sql("SELECT site, hap, met AS tmrca FROM met", "met"))
+def pairwise_tmrca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one haplotype, of all others at all sites."""
+    return trees.tmrca_to(_states(spark, sf_dir), START_HAP)
+
+
+# chains of carriers down the targets, the longest ones' starts, and times met from each of these
+define("chain", "SELECT site, hap, g AS len FROM geno WHERE hap = 0 UNION ALL SELECT a.site, a.hap, CASE WHEN g.g = 1 THEN c.len + 1 ELSE 0 END FROM chain c JOIN atsite a ON a.site = c.site AND a.target = c.hap JOIN geno g ON g.site = a.site AND g.hap = a.hap", "geno", "atsite")
+define("heads", "SELECT site, hap AS head FROM chain QUALIFY len = max(len) OVER (PARTITION BY site) AND len > 0", "chain")
+define("hway", "SELECT a.site, head, a.hap, a.target, a.tmrca AS run, 0.0::DOUBLE AS met FROM heads h JOIN atsite a ON a.site = h.site AND a.hap = h.head UNION ALL SELECT a.site, w.head, a.hap, a.target, greatest(w.run, a.tmrca), w.run FROM hway w JOIN atsite a ON a.site = w.site AND a.hap = w.target", "heads", "atsite")
+define("hon", "SELECT site, head, hap, met FROM hway UNION ALL SELECT site, head, 0, max(run) FROM hway GROUP BY site, head UNION ALL SELECT site, head, 0, 0 FROM heads WHERE head = 0", "hway", "heads")
+define("hmet", "SELECT site, head, hap, met FROM hon UNION ALL SELECT a.site, m.head, a.hap, greatest(m.met, a.tmrca) FROM hmet m JOIN atsite a ON a.site = m.site AND a.target = m.hap WHERE NOT EXISTS (SELECT 1 FROM hon o WHERE o.site = a.site AND o.head = m.head AND o.hap = a.hap)", "hon")
+define("scored", """SELECT site, head, met, lead(met) OVER (PARTITION BY site, head ORDER BY met) AS next,
+  sum(c) OVER (PARTITION BY site, head ORDER BY met) + sum(o) OVER (PARTITION BY site, head) - sum(o) OVER (PARTITION BY site, head ORDER BY met) AS score
+  FROM (SELECT h.site, head, met, sum(g) AS c, sum(1 - g) AS o FROM hmet h JOIN geno g USING (site, hap) GROUP BY ALL)""", "hmet", "geno")
+
+
+@query(sql("SELECT site, round(coalesce((met + next) / 2, met + 1), 6) AS age FROM scored QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, head, met) = 1", "scored"))
+def allele_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sites with carriers."""
+    carried = fixtures.genotypes(spark, sf_dir).groupBy("site").agg(F.max("g").alias("any")).where("any = 1").select("site")
+    state = _states(spark, sf_dir).join(F.broadcast(carried), "site", "left_semi")
+    return trees.allele_ages(state).select("site", F.round("age", 6).alias("age"))
+
+
+@query()
+def mutation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freq = frequencies.with_frequencies(frequencies.site_counts(fixtures.genotypes(spark, sf_dir)))
+    return trees.map_variants(_states(spark, sf_dir), freq, 0.3)
+
+
+@query()
+def phase_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.phase_distances(_states(spark, sf_dir))
+
+
+@query(sql("SELECT tmrca, CAST(sum(coalesce(end_bp, (SELECT max(pos) FROM sites)) - start_bp) AS BIGINT) AS span FROM segs GROUP BY tmrca", "segs"))
+def tmrca_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = fixtures.sites(spark, sf_dir).agg(F.max("pos")).first()[0]
+    return ancestry.tmrca_histogram(fixtures.segments(spark, sf_dir), F.lit(last))
+
+
+EXPECTED = [(0.0, 0.0), (0.2, 150.0), (0.5, 600.0), (0.9, 2000.0), (1.0, 5000.0)]
+
+
+@query(
+    sql(
+        """SELECT DISTINCT q.tmrca, round(CASE WHEN q <= 0 THEN 0 WHEN q >= 1 THEN 5000 ELSE k.t + (q - k.q0) * (k.t1 - k.t) / (k.q1 - k.q0) END, 4) AS normalized FROM
+(SELECT tmrca, (sum(span) OVER (ORDER BY tmrca) - span / 2) / sum(span) OVER () AS q FROM (SELECT tmrca, sum(coalesce(end_bp, (SELECT max(pos) FROM sites)) - start_bp) AS span FROM segs GROUP BY tmrca)) q
+LEFT JOIN (VALUES (0.0::DOUBLE, 0.2::DOUBLE, 0.0::DOUBLE, 150.0::DOUBLE), (0.2, 0.5, 150.0, 600.0), (0.5, 0.9, 600.0, 2000.0), (0.9, 1.0, 2000.0, 5000.0)) k(q0, q1, t, t1) ON q >= q0 AND q < q1""",
+        "segs",
+    )
+)
+def quantile_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times mapped to those of the same quantiles of an expected distribution."""
+    last = fixtures.sites(spark, sf_dir).agg(F.max("pos")).first()[0]
+    found = ancestry.mid_quantiles(ancestry.tmrca_histogram(fixtures.segments(spark, sf_dir), F.lit(last)))
+    expected = spark.createDataFrame(EXPECTED, "quantile double, t double")
+    return normalize.to_expected(found, expected).select("tmrca", F.round("normalized", 4).alias("normalized"))
+
+
+@query()
+def simulated_node_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coalescence times of simulated samples, in generations."""
+    return normalize.simulate(spark, 50, 20, fixtures.EPOCHS[1], fixtures.EPOCHS[0], seed=1)
+
+
+@query(sql("SELECT b.start, CAST(lead(b.start) OVER (PARTITION BY g.hap ORDER BY b.start) AS INT) AS \"end\", g.hap, g.target, g.tmrca AS height FROM (SELECT DISTINCT start_bp AS start FROM segs) b JOIN segs g ON b.start >= g.start_bp AND (g.end_bp IS NULL OR b.start < g.end_bp)", "segs"))
+def arg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ancestry.edges(fixtures.segments(spark, sf_dir)).select("start", F.col("end").cast("int").alias("end"), "hap", "target", "height")
+
+
+@query()
+def consistency_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments made consistent with the genotypes and allele ages of their sites."""
+    state = _states(spark, sf_dir)
+    ages = trees.allele_ages(state)
+    return consistency.fit(fixtures.genotypes(spark, sf_dir), fixtures.segments(spark, sf_dir), fixtures.sites(spark, sf_dir), ages)
+
+
+@query(sql("SELECT user_id, ts, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type"))
+def run_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    return ancestry.breaks(rows, "user_id", "event_id", "event_type")
+
+
+MUT_ROWS = [("'1:1:A:C'", 100, 0, "-1,0.5000,2.0000"), ("'1:2:A:C'", 200, 1, "3.7.11,10.0000,20.5000;4,0.0000,3.0000"), ("x", 300, 0, "NaN")]
+
+
+@query("SELECT * FROM (VALUES ('''1:1:A:C''', 100, 0, -1, 0.5::DOUBLE, 2.0::DOUBLE, true), ('''1:2:A:C''', 200, 1, 3, 10.0, 20.5, false), ('''1:2:A:C''', 200, 1, 7, 10.0, 20.5, false), ('''1:2:A:C''', 200, 1, 11, 10.0, 20.5, false), ('''1:2:A:C''', 200, 1, 4, 0.0, 3.0, false)) t(variant, pos, flipped, hap, lower, upper, is_unique)")
+def mut_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches of mapping strings; a mapping to one branch has haplotype -1."""
+    rows = spark.createDataFrame(MUT_ROWS, "variant string, pos int, flipped int, mapping string")
+    return text.parse_mapping(rows)
