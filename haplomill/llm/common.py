@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import re
+import string
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -93,15 +95,18 @@ class WordEncoder:
     by chunk; in a chunk each distinct word is looked up once, and what is new is encoded many
     words a call. `limit` bounds the words kept."""
 
-    MARKS = ".,!?;:"
+    MARKS = string.punctuation
     WORD_END = "</w>"
     CHUNK = 4_000_000  # characters; a longer text is a chunk of its own
     TOGETHER = 200
 
     def __init__(self, path: str, limit: int = 1_000_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        # plain words are what normalizing and splitting leave as they are: this one only merges
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -123,7 +128,9 @@ class WordEncoder:
         words = [self._words(t) for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
+        gc.disable()  # many short-lived pairs, none of which forms a cycle
         self._learn(set().union(*words).difference(self.known))
+        gc.enable()
         ids = self.known.__getitem__
         for w in words:
             yield b"".join(map(ids, w))
@@ -139,22 +146,23 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         """Lower-cased letters up to U+00FF compose with nothing and never join a mark: such a
         word is its letters and then its marks, and many of them are encoded in one call."""
-        known, marks = self.known, self.MARKS
-        pairs = [(w, w.rstrip(marks)) for w in words]
-        plain = {c for _, c in pairs if c.islower() and c.isalpha() and not BEYOND_LATIN.search(c)}
+        known, marks, beyond = self.known, self.MARKS, BEYOND_LATIN.search
+        new = list(words)
+        cores = [w.rstrip(marks) for w in new]
+        plain = {c for c in set(cores) if c.islower() and c.isalpha() and (c.isascii() or not beyond(c))}
         todo = list(plain.difference(known))
         for k in range(0, len(todo), self.TOGETHER):
             some = todo[k : k + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the tokenizer does not end each word with a token of its own")
             at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
             known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
-        for word, core in pairs:
+        for word, core in zip(new, cores, strict=True):
             if core not in plain:
                 known[word] = self._one(word)
-            elif len(core) < len(word):
+            elif word is not core and word != core:
                 tail = word[len(core) :]
                 known[word] = known[core] + (known.get(tail) or known.setdefault(tail, self._one(tail)))
 

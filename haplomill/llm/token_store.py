@@ -31,16 +31,16 @@ from .common import materialize, new_folder, read_file, table, word_encoder, wri
 MAGIC = b"RPAIR001"
 END_ID = 2
 SHARD_IDS = 1_000_000
-ROUNDS = 4
-RULES_PER_ROUND = 4_000
+ROUNDS = 3
+RULES_PER_ROUND = 5_000
 MIN_COUNT = 8
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 MANIFEST = "partition int, shard int, path string, n_docs long, n_ids long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, first_new: int, rounds: int = ROUNDS, rules_per_round: int = RULES_PER_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,35 +51,46 @@ def compress(ids: np.ndarray, first_new: int, rounds: int = ROUNDS, rules_per_ro
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        slots = _slots(pairs)
-        # only pairs whose slot is frequent are worth an exact count
-        often = np.flatnonzero(np.bincount(slots, minlength=SLOTS)[slots] >= min_count)
-        found, counts = np.unique(pairs[often], return_counts=True)
+        slots = _slots(symbols[:-1], symbols[1:])
+        per_slot = np.bincount(slots, minlength=SLOTS)
+        # only pairs in the most frequent slots are worth an exact count
+        bound = max(min_count, int(np.partition(per_slot, SLOTS - rules_per_round)[SLOTS - rules_per_round]))
+        often = np.flatnonzero((per_slot >= bound)[slots])
+        pairs = (symbols[often].astype(np.uint64) << np.uint64(32)) | symbols[often + 1]
+        found, counts = np.unique(pairs, return_counts=True)
         best = np.argsort(-counts, kind="stable")[:rules_per_round]
         found = found[best[counts[best] >= min_count]]
         if not len(found):
             break
+        a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
         # a slot holds one pair: the most frequent of those that share it
-        found = found[np.sort(np.unique(_slots(found), return_index=True)[1])]
-        by_slot = np.full(SLOTS, -1, np.int32)
-        by_slot[_slots(found)] = np.arange(len(found), dtype=np.int32)
-        rule = by_slot[slots]
-        at = np.flatnonzero((rule >= 0) & (found[rule] == pairs))
+        kept = np.sort(np.unique(_slots(a, b), return_index=True)[1])
+        a, b, found = a[kept], b[kept], found[kept]
+        by_slot = np.zeros(SLOTS, np.int32)
+        by_slot[_slots(a, b)] = np.arange(len(found), dtype=np.int32)
+        rule = by_slot[slots[often]]
+        hit = found[rule] == pairs
+        at, rule = often[hit], rule[hit]
         # of a run of overlapping places every other one, from the left
-        run_start = np.r_[True, np.diff(at) != 1]
         place = np.arange(len(at))
-        at = at[(place - np.maximum.accumulate(np.where(run_start, place, 0))) % 2 == 0]
-        symbols[at] = rule[at].astype(np.uint32) + np.uint32(new)
+        run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], place, 0))
+        take = (place - run_start) % 2 == 0
+        at, rule = at[take], rule[take]
+        symbols[at] = rule.astype(np.uint32) + np.uint32(new)
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        left.append((found >> np.uint64(32)).astype(np.uint32))
-        right.append(found.astype(np.uint32))
+        left.append(a)
+        right.append(b)
         new += len(found)
     return symbols, np.concatenate(left), np.concatenate(right)
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, `length` of them."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 class Grammar:
     """Expansions of a shard's symbols."""
 
@@ -88,18 +99,35 @@ class Grammar:
         self.lengths = np.asarray(lengths, np.int64)
         self.offsets = np.r_[0, np.cumsum(self.lengths)]
         self.flat = np.empty(int(self.offsets[-1]), np.uint32)
-        for k in range(len(left)):
-            at = int(self.offsets[k])
-            for part in (int(left[k]), int(right[k])):
-                piece = [part] if part < first_new else self.flat[self.offsets[part - first_new] : self.offsets[part - first_new + 1]]
-                self.flat[at : at + len(piece)] = piece
-                at += len(piece)
+        depth = self._depths(left, right, first_new)
+        for d in range(1, int(depth.max(initial=0)) + 1):  # rules of parts that are expanded already
+            some = np.flatnonzero(depth == d)
+            at = self.offsets[some]
+            for part in (left[some], right[some]):
+                old = part < first_new
+                self.flat[at[old]] = part[old]
+                inner = part[~old].astype(np.int64) - first_new
+                self.flat[_spread(at[~old], self.lengths[inner])] = self.flat[_spread(self.offsets[inner], self.lengths[inner])]
+                size = np.ones(len(part), np.int64)
+                size[~old] = self.lengths[inner]
+                at = at + size
         self.is_new = symbols >= first_new
         rules = np.where(self.is_new, symbols.astype(np.int64) - first_new, 0)
         self.spans = np.where(self.is_new, self.lengths[rules] if len(left) else 1, 1)
         self.rules = rules
         self.ends = np.cumsum(self.spans)
 
+    @staticmethod
+    def _depths(left: np.ndarray, right: np.ndarray, first_new: int) -> np.ndarray:
+        """1 for a rule of two ids, else one more than its deeper part."""
+        depth = np.zeros(len(left), np.int64)
+        parts = [np.where(x >= first_new, x.astype(np.int64) - first_new, -1) for x in (left, right)]
+        while True:
+            new = 1 + np.maximum(*(np.where(p >= 0, depth[p], 0) for p in parts)) if len(left) else depth
+            if (new == depth).all():
+                return depth
+            depth = new
+
     @staticmethod
     def rule_lengths(left: np.ndarray, right: np.ndarray, first_new: int) -> np.ndarray:
         out: list[int] = []
@@ -121,8 +149,7 @@ class Grammar:
         out[(ends - spans)[~new]] = self.symbols[a : b + 1][~new]
         n = spans[new]
         if len(n):
-            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat((ends - spans)[new], n) + within] = self.flat[np.repeat(self.offsets[self.rules[a : b + 1][new]], n) + within]
+            out[_spread((ends - spans)[new], n)] = self.flat[_spread(self.offsets[self.rules[a : b + 1][new]], n)]
         return out[start - before : stop - before]
 
 
