@@ -1 +1,127 @@
-"""To come."""
+"""Imputation from posteriors, and VCF lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import ancestry, frequencies, imputation
+from ..sources import fixtures, writers
+from . import matching, models
+from .registry import query
+from .sql import define, sql
+
+# a posterior at typed sites that SQL can make too: weights by place in the neighbour window
+define("post", "SELECT target, site, ref, (1 + place % 5) / sum(1 + place % 5) OVER (PARTITION BY target, site) AS p FROM iw", "iw")
+define("around", """SELECT site, coalesce(p, n) AS prev, coalesce(n, p) AS next, CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN n IS NULL THEN 1.0 ELSE (pos - pp) / (np - pp) END AS prev_wt FROM
+  (SELECT s.site, s.pos, max(t.site) FILTER (t.site <= s.site) AS p, min(t.site) FILTER (t.site > s.site) AS n, max(t.pos) FILTER (t.site <= s.site) AS pp, min(t.pos) FILTER (t.site > s.site) AS np
+   FROM sites s CROSS JOIN (SELECT * FROM sites WHERE site % 8 = 7) t GROUP BY ALL)""", "sites")
+define("spread", "SELECT target, site, ref, sum(p * w) AS p FROM (SELECT x.target, a.site, x.ref, x.p, a.prev_wt AS w FROM post x JOIN around a ON a.prev = x.site UNION ALL SELECT x.target, a.site, x.ref, x.p, 1 - a.prev_wt FROM post x JOIN around a ON a.next = x.site) WHERE w > 0 GROUP BY ALL", "post", "around")
+define("dose", "SELECT target, site, coalesce(sum(p) FILTER (g = 1), 0) AS dose FROM spread s JOIN geno ON geno.site = s.site AND geno.hap = s.ref GROUP BY target, s.site".replace("target, site, coalesce", "target, s.site, coalesce"), "spread", "geno")
+
+
+def _posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matching._window(spark, sf_dir).withColumn("w", 1 + F.col("place") % 5)
+    return rows.select("target", "site", "ref", (F.col("w") / F.sum("w").over(Window.partitionBy("target", "site"))).alias("p"))
+
+
+def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = fixtures.sites(spark, sf_dir)
+    return imputation.flanks(sites, sites.where("site % 8 = 7"))
+
+
+def _doses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread = imputation.interpolate(_posterior(spark, sf_dir), _around(spark, sf_dir))
+    return imputation.dosages(spread, fixtures.genotypes(spark, sf_dir))
+
+
+@query(sql("SELECT target, site, ref, round(p / sum(p) OVER (PARTITION BY target, site), 9) AS p FROM post WHERE p > 1.0 / 9", "post"))
+def sparse_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imputation.sparsify(_posterior(spark, sf_dir), 9)
+    return found.select("target", "site", "ref", F.round("p", 9).alias("p"))
+
+
+@query(sql("SELECT site, prev, next, round(prev_wt, 9) AS prev_wt FROM around", "around"))
+def posterior_flanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _around(spark, sf_dir).select("site", "prev", "next", F.round("prev_wt", 9).alias("prev_wt"))
+
+
+@query(sql("SELECT target, site, ref, round(p, 9) AS p FROM spread", "spread"))
+def posterior_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imputation.interpolate(_posterior(spark, sf_dir), _around(spark, sf_dir)).select("target", "site", "ref", F.round("p", 9).alias("p"))
+
+
+@query(sql("SELECT target, site, round(dose, 6) AS dose FROM dose", "dose"))
+def dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doses(spark, sf_dir).select("target", "site", F.round("dose", 6).alias("dose"))
+
+
+@query(
+    sql(
+        """SELECT x.target, x.site, round(sum(p * (-exp(-l) * (1 + l))), 9) AS delta FROM
+(SELECT x.*, 2.0 / s.tmrca * (200 + 3 * x.site) / 2 AS l FROM post x JOIN sites i ON i.site = x.site JOIN geno g ON g.site = x.site AND g.hap = x.ref AND g.g = 1
+ JOIN segs s ON s.hap = x.target AND s.target = x.ref AND (s.seg_idx = 0 OR s.start_bp < i.pos) AND (s.end_bp IS NULL OR s.end_bp >= i.pos)) x GROUP BY ALL""",
+        "post", "segs", "geno",
+    )
+)
+def arg_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = fixtures.sites(spark, sf_dir)
+    threads = imputation.segment_before(sites, fixtures.segments(spark, sf_dir))
+    mapping = sites.select("site", (50.0 + F.col("site")).alias("lower"), (150.0 + 2 * F.col("site")).alias("upper"))
+    found = imputation.arg_delta(_posterior(spark, sf_dir), fixtures.genotypes(spark, sf_dir), threads, mapping)
+    return found.select("target", "site", F.round("delta", 9).alias("delta"))
+
+
+@query(sql("SELECT site, pos, site % 4 = 0 AS typed FROM sites", "sites"))
+def typed_vs_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = fixtures.sites(spark, sf_dir)
+    return imputation.typed_or_imputed(sites, sites.where("site % 4 = 0"))
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freq = frequencies.with_frequencies(frequencies.site_counts(fixtures.genotypes(spark, sf_dir)))
+    rows = fixtures.sites(spark, sf_dir).join(freq.select("site", "af"), "site")
+    fixed = {"chrom": "1", "ref": "A", "alt": "C", "qual": ".", "filter": "PASS"}
+    return rows.select("site", "pos", F.concat(F.lit("v"), F.col("site").cast("string")).alias("id"), "af", (F.col("site") % 8 != 7).alias("imputed"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+_DS = "regexp_replace(printf('%.3f', {x}), '\\.?0+$', '')"
+
+
+@query(
+    sql(
+        f"""SELECT s.site, concat_ws(chr(9), '1', s.pos, 'v' || s.site, 'A', 'C', '.', 'PASS', CASE WHEN s.site % 8 <> 7 THEN 'IMP;' ELSE '' END || 'AF=' || printf('%.4f', f.af), 'GT:DS', c.calls) AS line FROM
+(SELECT site, string_agg(CAST(CAST(round_even(a, 0) AS INT) AS VARCHAR) || '|' || CAST(CAST(round_even(b, 0) AS INT) AS VARCHAR) || ':' || {_DS.format(x='a + b')}, chr(9) ORDER BY ind) AS calls FROM
+  (SELECT site, target // 2 AS ind, max(round(dose, 3)) FILTER (target % 2 = 0) AS a, max(round(dose, 3)) FILTER (target % 2 = 1) AS b FROM dose GROUP BY ALL) GROUP BY site) c
+JOIN sites s USING (site) JOIN freq f USING (site)""",
+        "dose", "sites", "freq",
+    )
+)
+def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doses = _doses(spark, sf_dir).withColumn("dose", F.round("dose", 3))
+    return writers.imputed_lines(_variants(spark, sf_dir), doses)
+
+
+@query(
+    sql(
+        """SELECT site, concat_ws(chr(9), '1', pos, 'v' || site, 'A', 'C', '.', 'PASS', 'NS=' || count(*), 'GT', string_agg(a || '|' || b, chr(9) ORDER BY ind)) AS line
+FROM (SELECT site, hap // 2 AS ind, max(g) FILTER (hap % 2 = 0) AS a, max(g) FILTER (hap % 2 = 1) AS b FROM geno GROUP BY ALL) JOIN sites USING (site) GROUP BY site, pos""",
+        "geno", "sites",
+    )
+)
+def instr_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the genotypes that segments and mismatches give back."""
+    haps = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("hap"))
+    geno = ancestry.reconstruct(fixtures.segments(spark, sf_dir), fixtures.mismatches(spark, sf_dir), fixtures.sites(spark, sf_dir), haps)
+    return writers.phased_lines(_variants(spark, sf_dir), geno)
+
+
+@query()
+def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputation from genotypes to dosages: match sets, posteriors, interpolation, sums."""
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
+    sites = fixtures.sites(spark, sf_dir)
+    found = imputation.sparsify(models._posteriors(spark, sf_dir), n)
+    spread = imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0")))
+    panel = fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n)
+    return imputation.dosages(spread, panel).select("target", "site", F.bround("dose", 3).alias("dose"))

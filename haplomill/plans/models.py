@@ -1 +1,101 @@
-"""To come."""
+"""Queries of the hidden Markov models; sequential, so tests hold them against plain loops."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import copying, dating, pbwt, penalties, psmc
+from ..sources import fixtures
+from . import matching
+from .dating import DEMO, MU
+from .registry import query
+
+
+def coordinates_of(spark: SparkSession, sf_dir: str) -> pd.DataFrame:
+    """site, pos, cm, step, bp: the coordinates of one region's sites, on the driver as settings."""
+    rows = fixtures.sites_cm(spark, sf_dir).toPandas().sort_values("site", ignore_index=True)
+    rows["step"] = np.append(np.diff(rows["cm"]), 1e-7)
+    rows["bp"] = np.append(np.diff(rows["pos"]), np.diff(rows["pos"]).mean())
+    return rows
+
+
+@query()
+def hmm_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of coalescence time along each of the first haplotypes against its segment targets."""
+    at = coordinates_of(spark, sf_dir)[["site", "step", "bp"]]
+    marked = fixtures.mismatches(spark, sf_dir).withColumn("het", F.lit(1))
+    rows = fixtures.genotypes(spark, sf_dir).where("hap BETWEEN 1 AND 99").select("hap", "site").join(marked, ["hap", "site"], "left").join(F.broadcast(spark.createDataFrame(at)), "site")
+    return psmc.break_points_of(rows.select("hap", F.col("site").cast("int").alias("site"), F.coalesce("het", F.lit(0)).alias("het"), "step", "bp"), DEMO, MU, 16)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = matching._counts(spark, sf_dir).cache()
+    found = pbwt.propagate(matching._candidates(spark, sf_dir, counts), pbwt.top(counts))
+    groups = pbwt.buckets(matching._kept(spark, sf_dir), matching.GROUP_INTERVAL, True).collect()
+    at = coordinates_of(spark, sf_dir)
+    return copying.infer_paths(fixtures.genotypes(spark, sf_dir), found, {r["idx"]: r["site"] for r in groups}, at["step"].to_numpy(), at["bp"].to_numpy(), DEMO.branch_length, MU)
+
+
+@query()
+def ls_viterbi_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From genotypes to the path of every haplotype through its candidates."""
+    return _paths(spark, sf_dir)
+
+
+@query()
+def ls_dated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hap, seg_idx, start_bp, target, hets, tmrca: paths with their ages, a segment of one site too."""
+    from pyspark.sql import Window
+
+    paths = _paths(spark, sf_dir).cache()
+    sites = fixtures.sites_cm(spark, sf_dir).select("site", "pos", "cm")
+    last = sites.agg(F.max("site")).first()[0]
+    w = Window.partitionBy("hap").orderBy("site")
+    spans = paths.withColumn("end", F.coalesce(F.lead("site").over(w), F.lit(last)))
+    hets = copying.mismatches(fixtures.genotypes(spark, sf_dir), paths).join(spans.select("hap", "seg_idx", F.col("site").alias("low"), "end"), "hap")
+    hets = hets.where("site >= low AND (site < end OR site = end AND end = " + str(last) + ")").groupBy("hap", "seg_idx").agg(F.count("*").alias("hets"))
+    ends = [sites.select(F.col("site").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("cm").alias(f"{c}_cm")) for c in ("site", "end")]
+    rows = spans.join(hets, ["hap", "seg_idx"], "left").join(F.broadcast(ends[0]), "site").join(F.broadcast(ends[1]), "end")
+    m = F.coalesce("hets", F.lit(0))
+    age = dating.date_segment(m, F.col("end_cm") - F.col("site_cm"), (F.col("end_pos") - F.col("site_pos")).cast("double"), MU, DEMO)
+    return rows.select("hap", "seg_idx", F.col("site_pos").alias("start_bp"), "target", m.alias("hets"), F.round(age, 4).alias("tmrca"))
+
+
+def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    geno = fixtures.genotypes(spark, sf_dir).where("site % 4 = 0")
+    at = coordinates_of(spark, sf_dir)
+    cm = at.loc[at["site"] % 4 == 0, "cm"].to_numpy()
+    step = np.append(np.diff(cm), np.diff(cm)[-1])
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
+    switch = 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)
+    return copying.posteriors(geno, pbwt.match_sets(matching._window(spark, sf_dir)), switch)
+
+
+@query()
+def fwbw_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of each target to copy each haplotype of its match set, at typed sites."""
+    return _posteriors(spark, sf_dir)
+
+
+@query()
+def diploid_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of copied haplotypes of the last individuals, over their match sets."""
+    at = coordinates_of(spark, sf_dir)
+    geno = fixtures.genotypes(spark, sf_dir)
+    sets = pbwt.match_sets(matching._window(spark, sf_dir)).select(F.floor(F.col("target") / 2).cast("int").alias("ind"), "ref").distinct()
+    alleles = copying.packed(geno)
+    own = alleles.select(F.floor(F.col("hap") / 2).cast("int").alias("ind"), (F.col("hap") % 2 - 2).alias("ref"), "alleles").join(sets.select("ind").distinct(), "ind", "left_semi")
+    rows = sets.join(alleles.select(F.col("hap").alias("ref"), "alleles"), "ref").select("ind", "ref", "alleles").unionByName(own)
+    cost = copying.costs(at["step"].to_numpy(), at["bp"].to_numpy(), DEMO.branch_length(500), MU, 500, False)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ref", ignore_index=True)
+        alleles = np.array([list(x) for x in frame["alleles"]], np.int8)
+        refs = frame["ref"].to_numpy()[2:]
+        path = copying.diploid_path(alleles[0] + alleles[1], alleles[2:], cost)
+        return pd.DataFrame([(frame["ind"].iloc[0], s, refs[a], refs[b]) for s, a, b in path], columns=["ind", "site", "a", "b"])
+
+    return rows.groupBy("ind").applyInPandas(one, "ind int, site int, a int, b int")
