@@ -10,13 +10,14 @@ least `MIN_MATCHES` tokens (at similarity 0.8 they fail to with a chance of 6e-6
 * a class is posted under a prefix only: ordered from the rarest token on, all but its last
   `MIN_MATCHES` - 1 tokens; two classes with enough tokens in common meet in some posting list;
 * a list proposes its members against two of them first, the one whose tokens are the most common
-  and the smallest. Members outside the component of the former are then proposed against
-  `DELEGATES` members of other components, and those that still are outside against all such
-  members. So a large group of copies costs a number of pairs in proportion to its size, and no link
-  that could change a component is lost: what is never proposed has a size too different, or
-  similarities to the list's most common member that differ by more than linked sets' can;
-* a proposed pair counts its equal coordinates, and with `MIN_MATCHES` of them is confirmed on the
-  full sets, which a second pass over the texts gives for the classes in lists.
+  and the smallest. A proposed pair counts its equal coordinates, and with `MIN_MATCHES` of them is
+  confirmed on the full sets, which a second pass over the texts gives for the classes in lists;
+* most members then are in the component of their list's most common one. The others are held
+  against all members of the lists of that component, on full sets and in blocks of bounded size:
+  a task has the sets of a block of outsiders as postings and counts for each set of a block of
+  members what it shares with each of them. Only links come out, one for each outsider and
+  component, so that large groups of copies make no pairs, and no link that could change a
+  component is lost.
 
 Components come from hooking every class to its smallest neighbour, jumping to the roots and
 contracting, all as joins. Nothing of all documents goes to the driver but a bit filter of fixed
@@ -37,6 +38,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ SIMILARITY = 80  # hundredths
 COORDINATES = 64
 MIN_MATCHES = 36
 FILTER_BITS = 23
-DELEGATES = 8
+BLOCK_SHINGLES = 1_000_000
 SEED = 20240229
 SETS = "h1 long, h2 long, shingles binary"
 
@@ -243,46 +245,62 @@ def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame,
     links = first.where("linked").select("a", "b")
     joined = components(links)
 
-    def place() -> tuple[DataFrame, DataFrame]:
-        """Members of lists that have some outside the component of the list's most common member;
-        and those outside."""
-        placed = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        main = joined.select(F.col("node").alias("top"), F.col("root").alias("main"))
-        placed = placed.join(main, "top", "left").select("token", "node", "n", "top", "root", F.coalesce("main", "top").alias("main"))
-        outside = materialize(placed.where("root <> main"), "outside")
-        return materialize(placed.join(outside.select("token").distinct(), "token", "left_semi"), "placed"), outside
-
-    placed, outside = place()
-    if outside.isEmpty():
-        return joined
-    slot = F.xxhash64("node")
-    chosen = placed.groupBy("token", F.pmod(slot, F.lit(DELEGATES)).alias("slot")).agg(F.min(F.struct(slot.alias("h"), "node", "root")).alias("d"))
-    chosen = chosen.select("token", F.col("d.node").alias("other"), F.col("d.root").alias("other_root"))
-    again = _pairs(outside.join(chosen, "token").where("root <> other_root"), "node", "other")
-    again = materialize(again.join(proposed, ["a", "b"], "left_anti"), "proposed")
-    links = links.unionByName(confirm(again, nodes, sets, similarity).where("linked").select("a", "b"))
-    joined = components(links)
-
-    placed, outside = place()
+    # members outside the component of their list's most common member, and all whom they meet
+    placed = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = joined.select(F.col("node").alias("top"), F.col("root").alias("main"))
+    placed = placed.join(main, "top", "left").select("token", "node", "n", "root", F.coalesce("main", "top").alias("main"))
+    outside = materialize(placed.where("root <> main"), "outside")
     if outside.isEmpty():
         return joined
-    share = first.select("a", "b", "share")
-
-    def near(rows: DataFrame) -> DataFrame:
-        """Adds the similarity to the list's most common member, where it is known."""
-        rows = rows.withColumns({"a": F.least("node", "top"), "b": F.greatest("node", "top")}).join(share, ["a", "b"], "left")
-        return rows.withColumn("share", F.when(F.col("node") == F.col("top"), 1.0).otherwise(F.col("share")))
-
-    some = near(outside).select("token", "node", "n", "root", "share")
-    others = near(placed).select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("share").alias("other_share"))
-    # distances obey the triangle inequality, and linked sets are at most 1 - similarity apart
-    apart = F.coalesce(F.abs(F.col("share") - F.col("other_share")) > 1 - similarity / 100 + 1e-9, F.lit(False))
-    fits = 100 * F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
-    rest = _pairs(some.join(others, "token").where((F.col("root") != F.col("other_root")) & fits & ~apart), "node", "other")
-    rest = materialize(rest.join(proposed, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "proposed")
-    if rest.isEmpty():
-        return joined
-    return components(links.unionByName(confirm(rest, nodes, sets, similarity).where("linked").select("a", "b")))
+    met = placed.join(outside.select("token").distinct(), "token", "left_semi").select("main", "node", "n", "root").distinct()
+    return components(links.unionByName(compare_blocks(materialize(met, "met"), sets, similarity)))
+
+
+def shared_counts(owners: np.ndarray, starts: np.ndarray, universe: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """How many of the shingles each of n sets has; universe: the sets' distinct shingles, of which
+    the k-th has owners[starts[k]:starts[k + 1]]."""
+    at = np.searchsorted(universe, shingles)
+    at = at[at < len(universe)] if len(at) and at[-1] >= len(universe) else at
+    at = at[universe[at] == shingles[: len(at)]]
+    length = starts[at + 1] - starts[at]
+    place = np.arange(int(length.sum())) + np.repeat(starts[at] - (np.cumsum(length) - length), length)
+    return np.bincount(owners[place], minlength=n)
+
+
+def compare_blocks(met: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) of members outside a zone's component; met: main (the zone), node, n, root. Each
+    block of outsiders meets each block of the zone's members in a task of its own."""
+    shingles = F.sum("n")
+    zones = met.groupBy("main").agg(F.ceil(shingles / BLOCK_SHINGLES).alias("blocks"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))) / BLOCK_SHINGLES).alias("out_blocks"))
+    zones = materialize(zones.where("out_blocks > 0"), "zones")
+    rows = met.join(zones, "main").join(sets, "node").withColumn("h", F.xxhash64("node"))
+    own, other = F.pmod("h", "blocks"), F.pmod(F.shiftright("h", 8), "out_blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    fresh = [F.col(c).alias(c) for c in ("main", "mb", "ob", "node", "root", "shingles")]  # so that the two sides differ
+    members = rows.withColumn("mb", own).withColumn("ob", each("out_blocks")).select(*fresh)
+    outsiders = rows.where("root <> main").withColumn("ob", other).withColumn("mb", each("blocks")).select(*fresh)
+
+    def compare(outsiders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(outsiders) and len(members):
+            held = [np.frombuffer(x, np.uint64) for x in outsiders["shingles"]]
+            sizes = np.array([len(x) for x in held])
+            every = np.concatenate(held)
+            order = np.argsort(every, kind="stable")
+            universe, starts = np.unique(every[order], return_index=True)
+            starts, owners = np.append(starts, len(every)), np.repeat(np.arange(len(held)), sizes)[order]
+            ids, roots = outsiders["node"].to_numpy(), outsiders["root"].to_numpy()
+            for node, root, raw in zip(members["node"], members["root"], members["shingles"], strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                both = shared_counts(owners, starts, universe, own, len(held))
+                linked = (100 * both >= similarity * (sizes + len(own) - both)) & (roots != root)
+                for k in np.flatnonzero(linked).tolist():
+                    out.setdefault((int(ids[k]), root), (int(ids[k]), node))
+        return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype="int64")
+
+    keys = ["main", "mb", "ob"]
+    found = outsiders.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+    return materialize(found, "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
