@@ -148,12 +148,10 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
 
 
 def best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best of one query, ties to the smaller id. What a matrix
-    product gives may differ in the last bits for equal vectors; the sums here do not."""
-    some = np.flatnonzero(scores > -np.inf)
-    if len(some) > k:
-        bound = np.partition(scores[some], len(some) - k)[len(some) - k]
-        some = some[scores[some] >= bound - 1e-9 * (1 + abs(bound))]
+    """Ids and exact scores of the k best of one query, ties to the smaller id; -inf is no candidate.
+    What a matrix product gives may differ in the last bits for equal vectors; the sums here do not."""
+    bound = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    some = np.flatnonzero(scores > -np.inf if bound == -np.inf else scores >= bound - 1e-9 * (1 + abs(bound)))
     exact = (vectors[some] * query).sum(axis=1)
     order = np.lexsort((ids[some], -exact))[:k]
     return ids[some[order]], exact[order]
@@ -186,11 +184,11 @@ def search(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> D
                 for i, held in enumerate(some["keys"]):
                     probed[i, np.searchsorted(keys, held)] = True
                 columns = np.flatnonzero(probed.any(axis=0)[place])
-                scores = x @ vectors[columns].T
-                scores[~probed[:, place[columns]]] = -np.inf
+                near, near_ids = vectors[columns], ids[columns]
+                scores = np.where(probed[:, place[columns]], x @ near.T, -np.inf)
                 for i, q in enumerate(some["query_id"].to_numpy()):
-                    scores[i, ids[columns] == q] = -np.inf
-                    found, score = best(scores[i], ids[columns], vectors[columns], x[i], k)
+                    scores[i, near_ids == q] = -np.inf
+                    found, score = best(scores[i], near_ids, near, x[i], k)
                     out += zip([q] * len(found), found.tolist(), score.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
