@@ -109,7 +109,7 @@ def fit(genotypes: DataFrame, segments: DataFrame, sites: DataFrame, ages: DataF
     left = placed.join(listed, "site")
     regions = placed.groupBy("region").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     threads = segments.groupBy("hap").agg(F.array_sort(F.collect_list(F.struct("start_bp", "target", "tmrca"))).alias("s"))
-    right = threads.withColumn("region", F.explode(F.array(*[F.lit(r["region"]) for r in regions.select("region").collect()])))
+    right = threads.withColumn("region", F.explode(F.array(*[F.lit(r["region"]).cast("long") for r in regions.select("region").collect()])))
 
     def one(key: tuple, at: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         at = at.sort_values("site")

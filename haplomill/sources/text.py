@@ -24,7 +24,7 @@ def read_map(spark: SparkSession, path: str, chromosome: str | None = None) -> D
     header = lines.first()["value"].split()
     at = {name: header.index(name) for name in ("pos", "chr", "cM")}
     rows = lines.where(F.col("value") != "\t".join(header)).where(~F.trim("value").startswith(header[0])).select(_fields().alias("f"))
-    rows = rows.select(F.col("f")[at["pos"]].cast("double").alias("pos"), F.col("f")[at["chr"]].alias("chrom"), F.col("f")[at["cM"]].cast("double").alias("cm"))
+    rows = rows.select(F.get("f", F.lit(at["pos"])).cast("double").alias("pos"), F.get("f", F.lit(at["chr"])).alias("chrom"), F.get("f", F.lit(at["cM"])).cast("double").alias("cm"))
     found = sorted(r["chrom"] for r in rows.select("chrom").distinct().limit(2).collect())
     if len(found) != 1:
         raise ValueError("a genetic map must hold one chromosome")
@@ -35,13 +35,13 @@ def read_map(spark: SparkSession, path: str, chromosome: str | None = None) -> D
 
 def read_demography(spark: SparkSession, path: str) -> DataFrame:
     """t, ne of a demography without header."""
-    return _lines(spark, path).select(_fields().alias("f")).select(F.col("f")[0].cast("double").alias("t"), F.col("f")[1].cast("double").alias("ne"))
+    return _lines(spark, path).select(_fields().alias("f")).select(F.get("f", F.lit(0)).cast("double").alias("t"), F.get("f", F.lit(1)).cast("double").alias("ne"))
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
     f = _lines(spark, path).select(_fields().alias("f"))
     names = (("chrom", 0), ("pos", 3), ("id", 1), ("ref", 5), ("alt", 4))
-    return f.select(*[(F.col("f")[k].cast("int") if c == "pos" else F.col("f")[k]).alias(c) for c, k in names], F.lit(".").alias("qual"), F.lit("PASS").alias("filter"))
+    return f.select(*[(F.get("f", F.lit(k)).cast("int") if c == "pos" else F.get("f", F.lit(k))).alias(c) for c, k in names], F.lit(".").alias("qual"), F.lit("PASS").alias("filter"))
 
 
 def read_pvar(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +52,7 @@ def read_pvar(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} has no #CHROM line")
     names = header["value"].lstrip("#").split()
     f = lines.where(~F.col("value").startswith("#")).select(_fields().alias("f"))
-    column = lambda c, other: F.col("f")[names.index(c)] if c in names else F.lit(other)
+    column = lambda c, other: F.get("f", F.lit(names.index(c))) if c in names else F.lit(other)
     return f.select(column("CHROM", None).alias("chrom"), column("POS", None).cast("int").alias("pos"), column("ID", ".").alias("id"), column("REF", None).alias("ref"), column("ALT", None).alias("alt"), column("QUAL", ".").alias("qual"), column("FILTER", "PASS").alias("filter"))
 
 
@@ -71,13 +71,13 @@ def read_variants(spark: SparkSession, stem: str) -> DataFrame:
 def read_samples(spark: SparkSession, stem: str) -> DataFrame:
     """name of each sample: .fam before .psam, whose header may be missing."""
     if _exists(spark, f"{stem}.fam"):
-        return _lines(spark, f"{stem}.fam").select(_fields()[1].alias("name"))
+        return _lines(spark, f"{stem}.fam").select(F.get(_fields(), F.lit(1)).alias("name"))
     lines = _lines(spark, f"{stem}.psam")
     first = lines.first()["value"].split()
     names = [x.lstrip("#") for x in first]
     if "IID" in names:
-        return lines.where(~F.col("value").startswith("#") & ~F.trim("value").startswith("IID")).select(_fields()[names.index("IID")].alias("name"))
-    return lines.select(_fields()[1].alias("name"))
+        return lines.where(~F.col("value").startswith("#") & ~F.trim("value").startswith("IID")).select(F.get(_fields(), F.lit(names.index("IID"))).alias("name"))
+    return lines.select(F.get(_fields(), F.lit(1)).alias("name"))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -88,16 +88,16 @@ def read_vcf(spark: SparkSession, path: str, start: int | None = None, end: int
     """chrom, pos, id, ref, alt, af, genotypes (alleles of phased haplotypes in order) of the records
     of one contig with one ALT allele; the filter on positions comes before genotypes are cut."""
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
-    rows = rows.withColumn("pos", F.col("f")[1].cast("int"))
+    rows = rows.withColumn("pos", F.get("f", F.lit(1)).cast("int"))
     if start is not None:
         rows = rows.where(F.col("pos").between(start, end))
-    number = lambda name: F.regexp_extract(F.col("f")[7], rf"(?:^|;){name}=(\d+)", 1).cast("double")
+    number = lambda name: F.regexp_extract(F.get("f", F.lit(7)), rf"(?:^|;){name}=(\d+)", 1).cast("double")
     calls = F.transform(F.slice("f", 10, F.size("f")), lambda c: F.split(c, ":")[0])
     phased = F.forall(calls, lambda c: c.rlike(r"^[01]\|[01]$"))
     alleles = F.flatten(F.transform(calls, lambda c: F.transform(F.split(c, r"\|"), lambda a: a.cast("tinyint"))))
     checked = F.when(phased, alleles).otherwise(F.raise_error(F.concat(F.lit("unphased or missing calls at "), F.col("pos").cast("string"))))
-    single = F.when(F.col("f")[4].contains(","), F.raise_error(F.lit("a record with several ALT alleles"))).otherwise(F.col("f")[4])
-    return rows.select(F.col("f")[0].alias("chrom"), "pos", F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), single.alias("alt"), (number("AC") / number("AN")).alias("af"), checked.alias("genotypes"))
+    single = F.when(F.get("f", F.lit(4)).contains(","), F.raise_error(F.lit("a record with several ALT alleles"))).otherwise(F.get("f", F.lit(4)))
+    return rows.select(F.get("f", F.lit(0)).alias("chrom"), "pos", F.get("f", F.lit(2)).alias("id"), F.get("f", F.lit(3)).alias("ref"), single.alias("alt"), (number("AC") / number("AN")).alias("af"), checked.alias("genotypes"))
 
 
 def last_by_id(records: DataFrame, order: str) -> DataFrame:
@@ -109,7 +109,7 @@ def last_by_id(records: DataFrame, order: str) -> DataFrame:
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """variant, pos, flipped, mapping of a mapping file without header."""
     f = _lines(spark, path).select(_fields().alias("f"))
-    return f.select(F.col("f")[0].alias("variant"), F.col("f")[1].cast("int").alias("pos"), F.col("f")[2].cast("int").alias("flipped"), F.col("f")[3].alias("mapping"))
+    return f.select(F.get("f", F.lit(0)).alias("variant"), F.get("f", F.lit(1)).cast("int").alias("pos"), F.get("f", F.lit(2)).cast("int").alias("flipped"), F.get("f", F.lit(3)).alias("mapping"))
 
 
 def parse_mapping(rows: DataFrame) -> DataFrame:
