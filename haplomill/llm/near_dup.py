@@ -9,14 +9,15 @@ least `MIN_MATCHES` tokens (at similarity 0.8 they fail to with a chance of 6e-6
   tokens left;
 * a class is posted under a prefix only: ordered from the rarest token on, all but its last
   `MIN_MATCHES` - 1 tokens; two classes with enough tokens in common meet in some posting list;
-* a list proposes its members against two of them first, the one whose tokens are the most common
-  and the smallest. A proposed pair counts its equal coordinates, and with `MIN_MATCHES` of them is
-  confirmed on the full sets, which a second pass over the texts gives for the classes in lists;
-* most members then are in the component of their list's most common one. The others are held
-  against all members of the lists of that component, on full sets and in blocks of bounded size:
-  a task has the sets of a block of outsiders as postings and counts for each set of a block of
-  members what it shares with each of them. Only links come out, one for each outsider and
-  component, so that large groups of copies make no pairs, and no link that could change a
+* a list of at most `SHORT` members proposes all their pairs. A longer one proposes its members
+  against two of them, the one whose tokens are the most common and the smallest. A proposed pair
+  counts its equal coordinates, and with `MIN_MATCHES` of them is confirmed on the full sets, which
+  a second pass over the texts gives for the classes concerned;
+* most members of long lists then are in the component of their list's most common one. The others
+  are held against all members of the long lists of that component, on full sets and in blocks of
+  bounded size: a task has the sets of a block of outsiders as postings and counts for each set of
+  a block of members what it shares with each of them. Only links come out, one for each outsider
+  and component, so that large groups of copies make no pairs, and no link that could change a
   component is lost.
 
 Components come from hooking every class to its smallest neighbour, jumping to the roots and
@@ -49,6 +50,7 @@ SIMILARITY = 80  # hundredths
 COORDINATES = 64
 MIN_MATCHES = 36
 FILTER_BITS = 23
+SHORT = 16
 BLOCK_SHINGLES = 1_000_000
 SEED = 20240229
 SETS = "h1 long, h2 long, shingles binary"
@@ -57,7 +59,7 @@ SETS = "h1 long, h2 long, shingles binary"
 class WordHashes(dict):
     """64-bit hashes of words; `limit` bounds those kept."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -208,45 +210,53 @@ def full_sets(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> D
     return materialize(found.join(wanted, ["h1", "h2"]).select("node", "shingles"), "sets")
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """a, b, share and linked of the proposed pairs with enough equal coordinates."""
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Of the pairs those with enough equal coordinates and sizes that fit."""
     for x in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")), x)
     fits = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    pairs = pairs.where(fits & (F.size(F.array_intersect("sig_a", "sig_b")) >= MIN_MATCHES)).select("a", "b")
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
+    return materialize(pairs.where(fits & (F.size(F.array_intersect("sig_a", "sig_b")) >= MIN_MATCHES)).select("a", "b"), "alike")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs that are linked."""
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            share, linked = [], []
+            linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                total = len(x) + len(y) - both
-                share.append(both / total)
-                linked.append(100 * both >= similarity * total)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "share", "linked"])
+                linked.append(100 * both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, share double, linked boolean"), "tested")
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
+    return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
 
 
 def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, postings: DataFrame, similarity: int) -> DataFrame:
     """node -> root of the classes that are linked with any; postings: node, n, pop, token."""
-    ends = postings.groupBy("token").agg(F.max(F.struct("pop", (-F.col("node")).alias("neg"))).alias("top"), F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = materialize(ends.where("low < high").select("token", (-F.col("top.neg")).alias("top"), "low"), "ends")
-    members = materialize(postings.join(ends, "token").select("token", "node", "n", "top", "low"), "members")
-    sets = full_sets(docs, text_col, size, materialize(classes.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"), "wanted"))
-
-    proposed = materialize(_pairs(members, "node", "top").unionByName(_pairs(members, "node", "low")).distinct(), "proposed")
-    first = confirm(proposed, nodes, sets, similarity)
-    links = first.where("linked").select("a", "b")
+    ends = postings.groupBy("token").agg(F.max(F.struct("pop", (-F.col("node")).alias("neg"))).alias("top"), F.min("node").alias("low"), F.count("*").alias("length"))
+    ends = materialize(ends.where("length > 1").select("token", (-F.col("top.neg")).alias("top"), "low", "length"), "ends")
+    members = materialize(postings.join(ends, "token").select("token", "node", "n", "top", "low", "length"), "members")
+    short = members.where(F.col("length") <= SHORT).select("token", "node", "n")
+    other = short.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"))
+    fits = 100 * F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
+    within = short.join(other, "token").where((F.col("node") < F.col("other")) & fits)
+    long = members.where(F.col("length") > SHORT)
+    proposed = _pairs(within, "node", "other").unionByName(_pairs(long, "node", "top")).unionByName(_pairs(long, "node", "low")).distinct()
+    pairs = alike(materialize(proposed, "proposed"), nodes, similarity)
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
+    sets = full_sets(docs, text_col, size, materialize(classes.select("node", "h1", "h2").join(needed, "node", "left_semi"), "wanted"))
+    links = confirm(pairs, sets, similarity)
     joined = components(links)
 
     # members outside the component of their list's most common member, and all whom they meet
-    placed = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = long.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = joined.select(F.col("node").alias("top"), F.col("root").alias("main"))
     placed = placed.join(main, "top", "left").select("token", "node", "n", "root", F.coalesce("main", "top").alias("main"))
     outside = materialize(placed.where("root <> main"), "outside")
