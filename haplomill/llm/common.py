@@ -93,17 +93,17 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never merges across white space, lowers the case and ends
     each word with a token of its own kind, as little-endian unsigned 32-bit bytes. Texts go chunk
     by chunk; in a chunk each distinct word is looked up once, and what is new is encoded many
-    words a call. `limit` bounds the words kept."""
+    words a call. `limit` bounds the words known, `keep` those known between calls."""
 
     MARKS = string.punctuation
     WORD_END = "</w>"
     CHUNK = 4_000_000  # characters; a longer text is a chunk of its own
     TOGETHER = 200
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000, keep: int = 200_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.keep = Tokenizer.from_file(path), limit, keep
         # plain words are what normalizing and splitting leave as they are: this one only merges
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -123,6 +123,8 @@ class WordEncoder:
             held.append(text)
             chars += len(text)
         yield from self._chunk(held)
+        if len(self.known) > self.keep:  # what later tasks of other operators would find in their way
+            self.known.clear()
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
         words = [self._words(t) for t in texts]

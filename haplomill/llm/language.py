@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 SIZES = (3, 4)
 SLOT_BITS = 20
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     counts = known.where(chosen).select(lang_col, text_col).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     share = F.col("n") / F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
     by_gram = counts.withColumn("share", share).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "n", "share")).alias("rows"))
