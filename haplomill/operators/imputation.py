@@ -69,3 +69,31 @@ def arg_delta(posteriors: DataFrame, panel: DataFrame, threads: DataFrame, mappi
     thread = threads.select("site", F.col("hap").alias("target"), F.col("target").alias("ref"), "tmrca")
     rows = posteriors.where("p > 0").join(carriers, ["site", "ref"]).join(thread, ["site", "target", "ref"]).join(F.broadcast(mapping), "site")
     return rows.groupBy("target", "site").agg(F.sum(F.col("p") * (recent(F.col("lower"), F.col("upper"), F.col("tmrca")) - 1)).alias("delta"))
+
+
+def imputation_segments(genotypes: DataFrame, paths: DataFrame, refs: DataFrame, last_site: int, n: int = 16) -> DataFrame:
+    """target, seg_idx, start, end, ref, low, high, weight: for each segment of a target's path the n
+    references that equal it there and around it the longest; paths: target, site, ref (what is
+    copied from there on); refs: target, ref. The path's own reference counts even with mismatches."""
+    w = Window.partitionBy("target").orderBy("site")
+    spans = paths.select("target", (F.row_number().over(w) - 1).cast("int").alias("seg_idx"), F.col("site").alias("start"), F.coalesce(F.lead("site").over(w), F.lit(last_site + 1)).alias("end"), F.col("ref").alias("own"))
+    own = genotypes.select("site", F.col("hap").alias("target"), "g")
+    differ = refs.join(own, "target").join(genotypes.select("site", F.col("hap").alias("ref"), F.col("g").alias("rg")), ["site", "ref"]).where("g <> rg").select("target", "ref", F.col("site").alias("at"))
+    pairs = spans.join(refs, "target").join(differ, ["target", "ref"], "left")
+    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))
+    ends = pairs.groupBy("target", "seg_idx", "start", "end", "own", "ref").agg(
+        F.count_if(inside).alias("hets"),
+        F.coalesce(F.max(F.when(F.col("at") < F.col("start"), F.col("at") + 1)), F.lit(0)).alias("low"),
+        F.coalesce(F.min(F.when(F.col("at") >= F.col("end"), F.col("at"))), F.lit(last_site + 1)).alias("high"),
+    )
+    kept = ends.where((F.col("hets") == 0) | (F.col("ref") == F.col("own")))
+    place = F.row_number().over(Window.partitionBy("target", "seg_idx").orderBy(F.desc(F.col("high") - F.col("low")), "ref"))
+    best = kept.withColumn("rnk", place).where(F.col("rnk") <= n)
+    weight = 1.0 / F.count("*").over(Window.partitionBy("target", "seg_idx"))
+    return best.withColumn("weight", weight).select("target", "seg_idx", "start", "end", "ref", "hets", "low", "high", "weight")
+
+
+def trim_burn_in(segments: DataFrame, start: int, end: int) -> DataFrame:
+    """Segments within [start, end): what ends before it goes, what begins before it begins there."""
+    kept = segments.where((F.col("start_bp") < end) & (F.col("end_bp").isNull() | (F.col("end_bp") > start)))
+    return kept.withColumn("start_bp", F.greatest("start_bp", F.lit(start))).withColumn("end_bp", F.least(F.coalesce("end_bp", F.lit(end)), F.lit(end)))

@@ -125,3 +125,31 @@ def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0")))
     panel = fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n)
     return imputation.dosages(spread, panel).select("target", "site", F.bround("dose", 3).alias("dose"))
+
+
+@query(sql("SELECT hap, seg_idx, CAST(greatest(start_bp, 24100) AS INT) AS start_bp, CAST(least(coalesce(end_bp, 61000), 61000) AS INT) AS end_bp FROM segs WHERE start_bp < 61000 AND (end_bp IS NULL OR end_bp > 24100)", "segs"))
+def burn_in_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imputation.trim_burn_in(fixtures.segments(spark, sf_dir), 24_100, 61_000).select("hap", "seg_idx", "start_bp", "end_bp")
+
+
+define("tspans", "SELECT hap AS target, seg_idx, 16 * seg_idx AS start, CASE WHEN seg_idx = 3 THEN 64 ELSE 16 * (seg_idx + 1) END AS \"end\", target AS own FROM segs, nref WHERE hap >= n", "segs", "nref")
+define("trefs", "SELECT DISTINCT target, ref FROM iw UNION SELECT target, own FROM tspans", "iw", "tspans")
+define("tdiff", "SELECT r.target, r.ref, a.site AS at FROM trefs r JOIN geno a ON a.hap = r.target JOIN geno b ON b.hap = r.ref AND b.site = a.site AND b.g <> a.g", "trefs", "geno")
+
+
+@query(
+    sql(
+        """SELECT target, seg_idx, start, "end", ref, hets, low, high, round(1.0 / count(*) OVER (PARTITION BY target, seg_idx), 9) AS weight FROM (
+SELECT *, row_number() OVER (PARTITION BY target, seg_idx ORDER BY high - low DESC, ref) AS rnk FROM (
+SELECT s.target, s.seg_idx, s.start, s."end", s.own, r.ref, count(*) FILTER (d.at >= s.start AND d.at < s."end") AS hets, coalesce(max(d.at + 1) FILTER (d.at < s.start), 0) AS low, coalesce(min(d.at) FILTER (d.at >= s."end"), 64) AS high
+FROM tspans s JOIN trefs r USING (target) LEFT JOIN tdiff d ON d.target = s.target AND d.ref = r.ref GROUP BY ALL) WHERE hets = 0 OR ref = own) WHERE rnk <= 16""",
+        "tspans", "trefs", "tdiff",
+    )
+)
+def imputation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest references of each segment of the targets' threads."""
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
+    paths = fixtures.segments(spark, sf_dir).where(F.col("hap") >= n).select(F.col("hap").alias("target"), (16 * F.col("seg_idx")).alias("site"), F.col("target").alias("ref"))
+    refs = matching._window(spark, sf_dir).select("target", "ref").unionByName(paths.select("target", "ref")).distinct()
+    found = imputation.imputation_segments(fixtures.genotypes(spark, sf_dir), paths, refs, 63)
+    return found.select("target", "seg_idx", "start", "end", "ref", "hets", "low", "high", F.round("weight", 9).alias("weight"))
