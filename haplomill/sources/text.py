@@ -87,16 +87,18 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 def read_vcf(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """chrom, pos, id, ref, alt, af, genotypes (alleles of phased haplotypes in order) of the records
     of one contig with one ALT allele; the filter on positions comes before genotypes are cut."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
-    rows = rows.withColumn("pos", F.get("f", F.lit(1)).cast("int"))
+    # the optimizer may try later filters on header lines first: these have no fields
+    body = ~F.col("value").startswith("#") & (F.col("value") != "")
+    rows = spark.read.text(path).select(F.when(body, F.split("value", "\t")).alias("f")).where(F.col("f").isNotNull())
+    rows = rows.withColumn("pos", F.get("f", F.lit(1)).try_cast("int"))
     if start is not None:
         rows = rows.where(F.col("pos").between(start, end))
     number = lambda name: F.regexp_extract(F.get("f", F.lit(7)), rf"(?:^|;){name}=(\d+)", 1).cast("double")
     calls = F.transform(F.slice("f", 10, F.size("f")), lambda c: F.split(c, ":")[0])
     phased = F.forall(calls, lambda c: c.rlike(r"^[01]\|[01]$"))
     alleles = F.flatten(F.transform(calls, lambda c: F.transform(F.split(c, r"\|"), lambda a: a.cast("tinyint"))))
-    checked = F.when(phased, alleles).otherwise(F.raise_error(F.concat(F.lit("unphased or missing calls at "), F.col("pos").cast("string"))))
-    single = F.when(F.get("f", F.lit(4)).contains(","), F.raise_error(F.lit("a record with several ALT alleles"))).otherwise(F.get("f", F.lit(4)))
+    checked = F.when(F.col("f").isNull(), None).when(phased, alleles).otherwise(F.raise_error(F.concat(F.lit("unphased or missing calls at "), F.col("pos").cast("string"))))
+    single = F.when(F.coalesce(F.get("f", F.lit(4)).contains(","), F.lit(False)), F.raise_error(F.lit("a record with several ALT alleles"))).otherwise(F.get("f", F.lit(4)))
     return rows.select(F.get("f", F.lit(0)).alias("chrom"), "pos", F.get("f", F.lit(2)).alias("id"), F.get("f", F.lit(3)).alias("ref"), single.alias("alt"), (number("AC") / number("AN")).alias("af"), checked.alias("genotypes"))
 
 
