@@ -56,20 +56,24 @@ def dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doses(spark, sf_dir).select("target", "site", F.round("dose", 6).alias("dose"))
 
 
+@query(sql("SELECT i.site, s.hap, s.target, s.tmrca FROM sites i JOIN segs s ON (s.seg_idx = 0 OR s.start_bp < i.pos) AND (s.end_bp IS NULL OR s.end_bp >= i.pos)", "segs"))
+def segment_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imputation.segment_before(fixtures.sites(spark, sf_dir), fixtures.segments(spark, sf_dir))
+
+
 @query(
     sql(
-        """SELECT x.target, x.site, round(sum(p * (-exp(-l) * (1 + l))), 9) AS delta FROM
-(SELECT x.*, 2.0 / s.tmrca * (200 + 3 * x.site) / 2 AS l FROM post x JOIN sites i ON i.site = x.site JOIN geno g ON g.site = x.site AND g.hap = x.ref AND g.g = 1
- JOIN segs s ON s.hap = x.target AND s.target = x.ref AND (s.seg_idx = 0 OR s.start_bp < i.pos) AND (s.end_bp IS NULL OR s.end_bp >= i.pos)) x GROUP BY ALL""",
-        "post", "segs", "geno",
+        """SELECT target, site, round(sum(p * (-exp(-l) * (1 + l))), 9) AS delta FROM
+(SELECT x.target, x.site, x.p, 2.0::DOUBLE / (100 + (37 * x.ref + x.site) % 997) * (200 + 3 * x.site) / 2 AS l FROM post x JOIN geno g ON g.site = x.site AND g.hap = x.ref AND g.g = 1 WHERE x.ref % 3 = 0) GROUP BY ALL""",
+        "post", "geno",
     )
 )
 def arg_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = fixtures.sites(spark, sf_dir)
-    threads = imputation.segment_before(sites, fixtures.segments(spark, sf_dir))
-    mapping = sites.select("site", (50.0 + F.col("site")).alias("lower"), (150.0 + 2 * F.col("site")).alias("upper"))
-    found = imputation.arg_delta(_posterior(spark, sf_dir), fixtures.genotypes(spark, sf_dir), threads, mapping)
-    return found.select("target", "site", F.round("delta", 9).alias("delta"))
+    """With every third reference in the targets' threads."""
+    found = _posterior(spark, sf_dir)
+    threads = found.where("ref % 3 = 0").select("site", F.col("target").alias("hap"), F.col("ref").alias("target"), (100 + (37 * F.col("ref") + F.col("site")) % 997).cast("double").alias("tmrca"))
+    mapping = fixtures.sites(spark, sf_dir).select("site", (50.0 + F.col("site")).alias("lower"), (150.0 + 2 * F.col("site")).alias("upper"))
+    return imputation.arg_delta(found, fixtures.genotypes(spark, sf_dir), threads, mapping).select("target", "site", F.round("delta", 9).alias("delta"))
 
 
 @query(sql("SELECT site, pos, site % 4 = 0 AS typed FROM sites", "sites"))
