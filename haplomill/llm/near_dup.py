@@ -51,7 +51,8 @@ COORDINATES = 64
 MIN_MATCHES = 36
 FILTER_BITS = 23
 SHORT = 16
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 1_000_000  # of a block of outsiders, which a task holds at once
+MEMBER_SHINGLES = 100_000  # of a block of members, which it passes through
 SEED = 20240229
 SETS = "h1 long, h2 long, shingles binary"
 
@@ -281,7 +282,7 @@ def compare_blocks(met: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     """Links (a, b) of members outside a zone's component; met: main (the zone), node, n, root. Each
     block of outsiders meets each block of the zone's members in a task of its own."""
     shingles = F.sum("n")
-    zones = met.groupBy("main").agg(F.ceil(shingles / BLOCK_SHINGLES).alias("blocks"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))) / BLOCK_SHINGLES).alias("out_blocks"))
+    zones = met.groupBy("main").agg(F.ceil(shingles / MEMBER_SHINGLES).alias("blocks"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))) / BLOCK_SHINGLES).alias("out_blocks"))
     zones = materialize(zones.where("out_blocks > 0"), "zones")
     rows = met.join(zones, "main").join(sets, "node").withColumn("h", F.xxhash64("node"))
     own, other = F.pmod("h", "blocks"), F.pmod(F.shiftright("h", 8), "out_blocks")

@@ -33,6 +33,7 @@ def groups(texts, size):
 def test_against_all_pairs(docs, texts, size, short, monkeypatch):
     monkeypatch.setattr(near_dup, "SHORT", short)
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dup, "MEMBER_SHINGLES", 500)
     rows = near_dup.near_duplicates(docs, shingle_words=size).collect()
     want, n = groups(texts, size)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows), key=repr) == want
