@@ -40,7 +40,7 @@ QUERY_EVERY = 20
 TABLES = 4
 FUNCTIONS = 5
 WIDTH = 1.5
-PROBES = 128
+PROBES = 160
 BLOCK = 2048
 GROUP_ROWS = 16_384
 SEED = 77
