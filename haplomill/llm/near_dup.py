@@ -164,11 +164,16 @@ def sets_of(docs: DataFrame, text_col: str, size: int, wanted: np.ndarray) -> Da
     return docs.select(text_col).mapInArrow(found, SETS)
 
 
-def bit_filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the top FILTER_BITS bits of h1: at most 2 ** (FILTER_BITS - 6) words come here."""
-    bits = keys.select(F.shiftrightunsigned("h1", 64 - FILTER_BITS).alias("bit"))
+def bit_words(bits: DataFrame) -> DataFrame:
+    """at, mask: the words of a bit filter of FILTER_BITS bits, from numbers in column bit; at most
+    2 ** (FILTER_BITS - 6) rows, whatever the input."""
     words = bits.selectExpr("shiftrightunsigned(bit, 6) AS at", "shiftleft(1L, cast(bit & 63 AS int)) AS mask")
-    words = words.groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
+    return words.groupBy("at").agg(F.bit_or("mask").alias("mask"))
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Words of the top FILTER_BITS bits of h1."""
+    words = bit_words(keys.select(F.shiftrightunsigned("h1", 64 - FILTER_BITS).alias("bit"))).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words["at"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -338,9 +343,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group, with all its columns."""
-    first = materialize(near_duplicates(docs, **options).where("first_of_group").select("_row"), "first")
-    return numbered(docs).join(first, "_row", "left_semi").select(*docs.columns)
+    """One row of each group, with all its columns. A bit filter of fixed size, the only thing
+    broadcast, lets rows pass that surely stay; the others, those that go and what shares a bit
+    with them, are joined to the row numbers that stay."""
+    found = materialize(near_duplicates(docs, **options).select("_row", "first_of_group"), "first")
+    bit = F.pmod(F.xxhash64("_row"), F.lit(1 << FILTER_BITS))
+    words = materialize(bit_words(found.where("NOT first_of_group").select(bit.alias("bit"))), "bits")
+    rows = numbered(docs).withColumn("_bit", bit).withColumn("_at", F.shiftrightunsigned("_bit", 6))
+    rows = rows.join(F.broadcast(words.select(F.col("at").alias("_at"), F.col("mask").alias("_mask"))), "_at", "left")
+    marked = F.coalesce(F.expr("shiftrightunsigned(_mask, cast(_bit & 63 AS int)) & 1"), F.lit(0)) == 1
+    checked = rows.where(marked).join(found.where("first_of_group").select("_row"), "_row", "left_semi")
+    return rows.where(~marked).select(*docs.columns).unionByName(checked.select(*docs.columns))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
