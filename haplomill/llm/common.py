@@ -100,7 +100,7 @@ class WordEncoder:
     CHUNK = 4_000_000  # characters; a longer text is a chunk of its own
     TOGETHER = 200
 
-    def __init__(self, path: str, limit: int = 600_000, keep: int = 200_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000, keep: int = 300_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.keep = Tokenizer.from_file(path), limit, keep
@@ -108,6 +108,7 @@ class WordEncoder:
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
+        self.last: set[str] = set()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[v for k, v in vocabulary.items() if k.endswith(self.WORD_END)]] = True
@@ -124,19 +125,26 @@ class WordEncoder:
             chars += len(text)
         yield from self._chunk(held)
         if len(self.known) > self.keep:  # what later tasks of other operators would find in their way
-            self.known.clear()
+            self._trim()
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
         words = [self._words(t) for t in texts]
         if len(self.known) > self.limit:
-            self.known.clear()
+            self._trim()
+        new = set().union(*words)
         gc.disable()  # many short-lived pairs, none of which forms a cycle
-        self._learn(set().union(*words).difference(self.known))
+        self._learn(new.difference(self.known))
         gc.enable()
+        self.last = new
         ids = self.known.__getitem__
         for w in words:
             yield b"".join(map(ids, w))
 
+    def _trim(self) -> None:
+        """Forgets all but the words of the last chunk, among which the frequent ones are."""
+        known = self.known
+        self.known = {w: known[w] for w in self.last if w in known}
+
     @staticmethod
     def _words(text: str) -> list[str]:
         # up to U+00FF letters lower one by one; a special token is looked for before that
