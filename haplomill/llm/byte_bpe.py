@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 BLOCK_CHARS = 4_000_000
 BUCKETS = (32, 1024)
@@ -134,7 +134,7 @@ def blocks(docs: DataFrame, pattern: str, part: str, id_col: str = "doc_id", tex
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(split, "block long, bucket int, data binary")
+    return rows.mapInArrow(tidy(split), "block long, bucket int, data binary")
 
 
 def encode_words(words: DataFrame, ranks: str) -> DataFrame:
@@ -148,7 +148,7 @@ def encode_words(words: DataFrame, ranks: str) -> DataFrame:
             out = [_packed([encoder[w.decode()] for w in _unpacked(x.as_py())]) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "data"])
 
-    return words.repartition("bucket").mapInArrow(encode, "block long, bucket int, data binary")
+    return words.repartition("bucket").mapInArrow(tidy(encode), "block long, bucket int, data binary")
 
 
 def reassemble(positions: DataFrame, ids: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
             out = [b"".join(map(token, np.frombuffer(x.as_py(), "<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(join, f"{ENCODED}, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(join), f"{ENCODED}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

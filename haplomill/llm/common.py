@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import gc
 import re
@@ -60,6 +62,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(task):
+    """The same task, which gives the memory that it freed back to the system when it ends: its
+    Python worker lives on and shares the executor's memory with what comes next."""
+
+    @functools.wraps(task)
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI or a plain path."""
     from pyarrow import fs
@@ -97,10 +117,10 @@ class WordEncoder:
 
     MARKS = string.punctuation
     WORD_END = "</w>"
-    CHUNK = 4_000_000  # characters; a longer text is a chunk of its own
+    CHUNK = 2_000_000  # characters; a longer text is a chunk of its own
     TOGETHER = 200
 
-    def __init__(self, path: str, limit: int = 600_000, keep: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000, keep: int = 250_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.keep = Tokenizer.from_file(path), limit, keep

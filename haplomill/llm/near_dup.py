@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # hundredths
@@ -60,7 +60,7 @@ SETS = "h1 long, h2 long, shingles binary"
 class WordHashes(dict):
     """64-bit hashes of words; `limit` bounds those kept."""
 
-    limit = 200_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -138,7 +138,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), sig], ["row", "doc_id", "n_shingles", "h1", "h2", "sig"])
 
     rows = numbered(docs).select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(signed, "row long, doc_id long, n_shingles long, h1 long, h2 long, sig array<long>")
+    return rows.mapInArrow(tidy(signed), "row long, doc_id long, n_shingles long, h1 long, h2 long, sig array<long>")
 
 
 def sets_of(docs: DataFrame, text_col: str, size: int, wanted: np.ndarray) -> DataFrame:
@@ -161,7 +161,7 @@ def sets_of(docs: DataFrame, text_col: str, size: int, wanted: np.ndarray) -> Da
                     rows.append((*key, shingles.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h1", "h2", "shingles"])
 
-    return docs.select(text_col).mapInArrow(found, SETS)
+    return docs.select(text_col).mapInArrow(tidy(found), SETS)
 
 
 def bit_words(bits: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     for x in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
-    return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
+    return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long"), "links")
 
 
 def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, postings: DataFrame, similarity: int) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 K = 20
 QUERY_EVERY = 20
@@ -142,8 +142,8 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
     ids = "tbl int, bucket long, vec_id long"
     data = materialize(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     queries = materialize(data.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    index = data.mapInArrow(hashed(False), f"{ids}, v array<double>")
-    wanted = queries.mapInArrow(hashed(True), f"{ids}, v array<double>").drop("v")
+    index = data.mapInArrow(tidy(hashed(False)), f"{ids}, v array<double>")
+    wanted = queries.mapInArrow(tidy(hashed(True)), f"{ids}, v array<double>").drop("v")
     return search(index, wanted, queries, k)
 
 

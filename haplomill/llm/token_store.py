@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, read_file, table, word_encoder, write_file
+from .common import materialize, new_folder, read_file, table, tidy, word_encoder, write_file
 
 MAGIC = b"RPAIR001"
 END_ID = 2
@@ -220,7 +220,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    manifest = materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    manifest = materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(write), MANIFEST), "manifest")
     # the running sum over partitions takes a row of each; within one, over its shards
     totals = manifest.groupBy("partition").agg(F.sum("n_ids").alias("ids"))
     before = totals.select("partition", (F.sum("ids").over(Window.orderBy("partition")) - F.col("ids")).alias("base"))
@@ -244,7 +244,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     spark = manifest.sparkSession
     tasks = 4 * max(spark.sparkContext.defaultParallelism, 1)
-    return manifest.select("path", "start").repartition(tasks).mapInArrow(read, RECORDS)
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(tidy(read), RECORDS)
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

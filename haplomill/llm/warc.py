@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, open_fs, table, write_file
+from .common import materialize, new_folder, open_fs, table, tidy, write_file
 
 MAGIC = 0x184D2A5D  # of the skippable frame that holds the dictionary
 FRAME = 0xFD2FB528
@@ -224,9 +224,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if records:
             yield flush()
 
-    packed = rows.mapInArrow(shrink, "page_id long, url string, digest string, packed binary")
+    packed = rows.mapInArrow(tidy(shrink), "page_id long, url string, digest string, packed binary")
     joined = packed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "digest", "packed", "refers_to")
-    return materialize(joined.mapInArrow(write, ARCHIVES), "archives")
+    return materialize(joined.mapInArrow(tidy(write), ARCHIVES), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield batch_of(rows)
 
     tasks = 4 * max(archives.sparkSession.sparkContext.defaultParallelism, 1)
-    return archives.select("path").repartition(tasks).mapInArrow(read, RECORDS)
+    return archives.select("path").repartition(tasks).mapInArrow(tidy(read), RECORDS)
 
 
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
