@@ -113,17 +113,17 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never merges across white space, lowers the case and ends
     each word with a token of its own kind, as little-endian unsigned 32-bit bytes. Texts go chunk
     by chunk; in a chunk each distinct word is looked up once, and what is new is encoded many
-    words a call. `limit` bounds the words known, `keep` those known between calls."""
+    words a call. `limit` bounds the words known, `keep` those known between calls; a chunk is
+    about `chunk` characters, a longer text one of its own."""
 
     MARKS = string.punctuation
     WORD_END = "</w>"
-    CHUNK = 2_000_000  # characters; a longer text is a chunk of its own
     TOGETHER = 200
 
-    def __init__(self, path: str, limit: int = 500_000, keep: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000, keep: int = 250_000, chunk: int = 2_000_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.keep = Tokenizer.from_file(path), limit, keep
+        self.tokenizer, self.limit, self.keep, self.chunk = Tokenizer.from_file(path), limit, keep, chunk
         # plain words are what normalizing and splitting leave as they are: this one only merges
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -138,7 +138,7 @@ class WordEncoder:
         held, chars = [], 0
         for text in texts:
             text = text or ""
-            if held and chars + len(text) > self.CHUNK:
+            if held and chars + len(text) > self.chunk:
                 yield from self._chunk(held)
                 held, chars = [], 0
             held.append(text)
@@ -201,6 +201,6 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, **limits: int) -> WordEncoder:
     """The encoder of this Python worker, which later tasks find warm."""
-    return WordEncoder(path)
+    return WordEncoder(path, **limits)

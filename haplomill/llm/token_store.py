@@ -35,6 +35,7 @@ ROUNDS = 3
 RULES_PER_ROUND = 5_000
 MIN_COUNT = 8
 SLOTS = 1 << 18
+WORDS = 800_000  # kept by a worker from task to task
 MANIFEST = "partition int, shard int, path string, n_docs long, n_ids long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -197,7 +198,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
-        encoder, end = word_encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = word_encoder(tokenizer, limit=WORDS, keep=WORDS, chunk=4_000_000), end_id.to_bytes(4, "little")
         docs, lengths, held, n, made = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
