@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries a zero
-there, so that the nearest in Euclidean distance has the largest inner product. A table hashes a
-vector by `FUNCTIONS` random projections, each cut into cells of `WIDTH` times the typical scale.
-A query visits its own bucket and those that moving some projections by a cell reaches, in the
-order of their estimated success: the sum of squared distances to the cell borders crossed. All
-rows are in every table; candidates of all tables are reranked by exact inner products.
+Every norm is a band of its own with its own scale: vectors and queries are hashed at length 1, so
+that the chance to meet depends on their angle alone, whatever other lengths the table holds, and
+all bands share the probes of a query. The nearest of one norm in Euclidean distance has the largest
+inner product; across norms a long vector may win at a wide angle, so the `LONGEST` vectors are
+compared with every query exactly. A table hashes a vector by `FUNCTIONS` random projections, each
+cut into cells of `WIDTH`. A query visits its own bucket and those that moving some projections by a
+cell reaches, in the order of their estimated success: the sum of squared distances to the cell
+borders crossed. All rows are in every table; candidates of all tables are reranked by exact inner
+products. A table of at most `LONGEST` rows is compared exactly as a whole.
 
 A bucket of more than `BLOCK` rows is cut into blocks by a hash of the id, each of which meets all
 queries of the bucket. Blocks of one table are dealt to groups of about `GROUP_ROWS` rows; a task
@@ -43,6 +46,8 @@ WIDTH = 1.5
 PROBES = 160
 BLOCK = 2048
 GROUP_ROWS = 16_384
+QUERY_ROWS = 4_096  # queries of a task that compares exactly
+LONGEST = 2_048
 SEED = 77
 FOUND = "query_id long, vec_id long, score double"
 
@@ -50,11 +55,11 @@ FOUND = "query_id long, vec_id long, score double"
 class Hashes:
     """The projections of all tables, the same wherever they are made."""
 
-    def __init__(self, dimensions: int, scale: float, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH) -> None:
+    def __init__(self, dimensions: int, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH) -> None:
         draw = np.random.default_rng(SEED)
         self.tables, self.functions = tables, functions
         self.directions = draw.standard_normal((dimensions, tables * functions))
-        self.cell = width * scale
+        self.cell = width
         self.shift = draw.uniform(0, self.cell, tables * functions)
 
     def places(self, vectors: np.ndarray) -> np.ndarray:
@@ -94,6 +99,12 @@ def probes(place: np.ndarray, n: int) -> np.ndarray:
     return np.array(out)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1; squares of the largest and smallest numbers stay in range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and vector (doubles) of the rows that take part."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -102,7 +113,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, n_probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, n_probes: int = PROBES, longest: int = LONGEST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id query_every divides."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -111,22 +122,17 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = int(lengths["d"])
     rows = rows.where(F.size("v") == d)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    most, mean = rows.select(norm2.alias("n")).agg(F.max("n"), F.avg("n")).first()
-    # one component of the typical vector, the scale of a projection
-    scale = float(np.sqrt(mean))
 
     def hashed(query: bool):
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            hashes = Hashes(d + 1, scale, tables, functions, width)
+            hashes = Hashes(d, tables, functions, width)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                extra = np.zeros((len(x), 1)) if query else np.sqrt(np.maximum(most - (x * x).sum(axis=1, keepdims=True), 0))
-                places = hashes.places(np.hstack([x, extra]))
+                places = hashes.places(unit(x))
                 for t in range(tables):
                     if query:
                         cells = [probes(p, n_probes) for p in places[:, t]]
@@ -142,9 +148,21 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
     ids = "tbl int, bucket long, vec_id long"
     data = materialize(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     queries = materialize(data.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    size = F.array_max(F.transform("v", F.abs))
+    norm = size * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / size) * (x / size)))
+    head = materialize(data.orderBy(norm.desc(), "vec_id", "v").limit(longest), "longest")
+    found = scan_all(head, queries, k)
+    if data.count() <= longest:
+        return ranked(found, k)
     index = data.mapInArrow(tidy(hashed(False)), f"{ids}, v array<double>")
     wanted = queries.mapInArrow(tidy(hashed(True)), f"{ids}, v array<double>").drop("v")
-    return search(index, wanted, queries, k)
+    return ranked(search(index, wanted, queries, k).unionByName(found), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; what was found on several ways counts once."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,9 +210,30 @@ def search(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> D
                     out += zip([q] * len(found), found.tolist(), score.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = rows.groupBy("grp").cogroup(visits.groupBy("grp")).applyInPandas(scan, FOUND).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.groupBy("grp").cogroup(visits.groupBy("grp")).applyInPandas(scan, FOUND)
+
+
+def scan_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of all rows for each query, by blocks of rows and of queries: query_id, vec_id, score."""
+    some, many = (max(1, -(-x.count() // n)) for x, n in ((rows, GROUP_ROWS), (queries, QUERY_ROWS)))
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.select(place(some).alias("a"), each(many).alias("b"), "vec_id", "v")
+    queries = queries.select(each(some).alias("a"), place(many).alias("b"), F.col("vec_id").alias("query_id"), "v")
+
+    def scan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(rows) and len(queries):
+            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
+            for at in range(0, len(queries), 128):
+                asked, x = queries["query_id"].to_numpy()[at : at + 128], np.stack(queries["v"].to_numpy()[at : at + 128])
+                scores = np.where(asked[:, None] == ids, -np.inf, x @ vectors.T)
+                for i, q in enumerate(asked):
+                    found, score = best(scores[i], ids, vectors, x[i], k)
+                    out += zip([q] * len(found), found.tolist(), score.tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    return rows.groupBy("a", "b").cogroup(queries.groupBy("a", "b")).applyInPandas(scan, FOUND)
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

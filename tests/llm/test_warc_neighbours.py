@@ -106,6 +106,28 @@ def test_neighbours_recall_and_ties(spark):
     assert [v for v, _ in found[100]] == [v for v, _ in truth[100]]
 
 
+@pytest.mark.parametrize("longest", [neighbours.K, 2048])
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_neighbours_recall_with_unequal_norms(spark, norms, longest):
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= np.exp(0.3 * draw.standard_normal((3000, 1)))
+    else:
+        x[1234] *= 10
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    settings = {"longest": longest} if longest != 2048 else {}
+    found = {}
+    for r in neighbours.nearest(frame, **settings).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    truth = {q: set(np.argsort(-scores[q])[:20].tolist()) for q in range(0, 3000, 20)}
+    assert all(len(found.get(q, ())) == 20 for q in truth)
+    assert sum(len(truth[q] & found[q]) for q in truth) >= 0.93 * 20 * len(truth)
+
+
 def test_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in neighbours.nearest(frame).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
