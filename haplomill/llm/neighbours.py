@@ -8,7 +8,8 @@ compared with every query exactly. A table hashes a vector by `FUNCTIONS` random
 cut into cells of `WIDTH`. A query visits its own bucket and those that moving some projections by a
 cell reaches, in the order of their estimated success: the sum of squared distances to the cell
 borders crossed. All rows are in every table; candidates of all tables are reranked by exact inner
-products. A table of at most `LONGEST` rows is compared exactly as a whole.
+products. A table of at most `LONGEST` rows is compared exactly as a whole, and so are with all rows
+the queries whose buckets hold fewer than `k` distinct candidates.
 
 A bucket of more than `BLOCK` rows is cut into blocks by a hash of the id, each of which meets all
 queries of the bucket. Blocks of one table are dealt to groups of about `GROUP_ROWS` rows; a task
@@ -146,17 +147,24 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
         return run
 
     ids = "tbl int, bucket long, vec_id long"
-    data = materialize(rows.dropDuplicates(["vec_id", "v"]), "vectors")
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    # written with the rows: a sort would compute it for each comparison
+    data = materialize(rows.dropDuplicates(["vec_id", "v"]).withColumn("norm2", norm2), "vectors")
     queries = materialize(data.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    size = F.array_max(F.transform("v", F.abs))
-    norm = size * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / size) * (x / size)))
-    head = materialize(data.orderBy(norm.desc(), "vec_id", "v").limit(longest), "longest")
+    head = materialize(data.orderBy(F.desc("norm2"), "vec_id", "v").limit(longest).select("vec_id", "v"), "longest")
     found = scan_all(head, queries, k)
     if data.count() <= longest:
         return ranked(found, k)
-    index = data.mapInArrow(tidy(hashed(False)), f"{ids}, v array<double>")
+    index = data.select("vec_id", "v").mapInArrow(tidy(hashed(False)), f"{ids}, v array<double>")
     wanted = queries.mapInArrow(tidy(hashed(True)), f"{ids}, v array<double>").drop("v")
-    return ranked(search(index, wanted, queries, k).unionByName(found), k)
+    near = materialize(search(index, wanted, queries, k).distinct(), "near")
+    # the longest are no measure of what the buckets hold, so they do not count here
+    held = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.countDistinct("vec_id").alias("n"))
+    short = materialize(queries.join(held, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v"), "short")
+    found = near.unionByName(found)
+    if short.count():
+        found = found.unionByName(scan_all(data, short, k))
+    return ranked(found, k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

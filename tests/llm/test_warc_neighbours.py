@@ -134,6 +134,29 @@ def test_few_or_no_vectors(spark):
     assert neighbours.nearest(frame.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("n, longest", [(12, 2048), (15, 0), (30, 2048)])
+def test_all_candidates_of_small_tables(spark, n, longest):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    settings = {"longest": longest} if longest != 2048 else {}
+    found = {}
+    for r in neighbours.nearest(frame, **settings).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    truth = brute(list(range(n)), x, 20)
+    assert {q: [v for v, _ in rows] for q, rows in truth.items()} == found
+
+
+def test_short_queries_of_larger_tables(spark):
+    # one bucket of one table holds far fewer than 20 rows
+    x = np.random.default_rng(9).standard_normal((300, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(frame, longest=0, tables=1, n_probes=1).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    truth = brute(list(range(300)), x, 20)
+    assert found == {q: [v for v, _ in rows] for q, rows in truth.items()}
+
+
 def test_probes_come_in_order_of_cost():
     place = np.array([0.1, 0.6, 0.95])
     got = neighbours.probes(place, 12)
