@@ -4,8 +4,12 @@ A reference of a language is the mean character-class histogram and the mean com
 of all documents that bear its label, pass the base rules and have `MIN_WORDS` words. A document is
 compared with every reference by the Jensen-Shannon distance (base 2, 0 to 1) of both histograms;
 its divergence is the mean of the two, the smallest over languages. It fails when that exceeds
-`MAX_DIVERGENCE`. Texts of fewer than `MIN_WORDS` words are too short for a histogram and are
-judged by the base rules alone, as are all texts when no document bears a label.
+the bound of its length class, two classes a doubling of words, as short texts diverge by chance.
+The bound is the median divergence of all labelled documents of the class that pass the base rules
+plus `SPREADS` times the way from there down to the 16th percentile: the lower half holds hardly any
+junk. A class of fewer than `CLASS_DOCS` documents takes the bound of the next smaller one that has
+them. From `MIN_WORDS` words on the bound is at most `MAX_DIVERGENCE`; a shorter text without a
+bound is judged by the base rules alone, as are all texts when no document bears a label.
 
 Defined cases: null or empty text has no words and fails the base rule; a null id or label stays
 null (a null label feeds no reference); repeated rows are judged each; no rows give no rows; other
@@ -24,6 +28,11 @@ from .common import table, tidy
 
 MIN_WORDS = 50
 MAX_DIVERGENCE = 0.3
+COMPARED_WORDS = 10
+SPREADS = 5.0
+LEAST_SPREAD = 0.005
+CLASS_DOCS = 30
+STEPS = 1000  # divergences are counted to this part of 1
 LANGUAGES = 64  # references kept: those of the most frequent labels
 
 # Frequent function words of the supported languages.
@@ -137,11 +146,49 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return {r["lang"]: [r[f"s{k}"] / r["n"] for k in range(width)] for r in total.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
 
 
+def length_class(n_words: int) -> int:
+    return int(2 * np.log2(max(n_words, 1)))
+
+
+def bounds(docs: DataFrame, reference: dict[str, list[float]], lang_col: str = "lang", text_col: str = "text") -> dict[int, float]:
+    """Length class -> largest divergence of the usual, from all labelled documents."""
+    if not reference:
+        return {}
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        verdict, found = Judge(reference), {}
+        for batch in batches:
+            for text in batch.column(0):
+                n, *_, failed, _, divergence = verdict(text.as_py())
+                if divergence is not None and not failed:
+                    key = length_class(n), int(divergence * STEPS)
+                    found[key] = found.get(key, 0) + 1
+        columns = [pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "step", "n"])
+
+    counted = docs.where(F.col(lang_col).isNotNull()).select(text_col).mapInArrow(tidy(count), "c int, step int, n long")
+    # at most STEPS rows for each of some dozens of classes come to the driver
+    rows = counted.groupBy("c", "step").agg(F.sum("n").alias("n")).toPandas().sort_values(["c", "step"])
+    out = {}
+    for c, part in rows.groupby("c"):
+        upto, total = part["n"].cumsum().to_numpy(), int(part["n"].sum())
+        if total >= CLASS_DOCS:
+            median, low = (float(part["step"].iloc[int(np.searchsorted(upto, q * total))] + 0.5) / STEPS for q in (0.5, 0.16))
+            out[int(c)] = median + SPREADS * max(median - low, LEAST_SPREAD)
+    return out
+
+
 class Judge:
-    """Verdicts by given references."""
+    """Verdicts by given references and bounds of length classes."""
 
-    def __init__(self, reference: dict[str, list[float]], max_divergence: float) -> None:
+    def __init__(self, reference: dict[str, list[float]], max_divergence: float = MAX_DIVERGENCE, bound: dict[int, float] | None = None) -> None:
         self.measures, self.limit = Measures(), max_divergence
+        at, self.bound = 1.0, []
+        for c in range(length_class(2**62)):
+            at = (bound or {}).get(c, at)
+            self.bound.append(at)
         self.reference = np.array(list(reference.values())) if reference else None
 
     def __call__(self, text: str | None) -> tuple:
@@ -149,21 +196,25 @@ class Judge:
         raw = text.encode()
         *counts, failed = self.measures.base(text, raw)
         divergence = None
-        if self.reference is not None and counts[0] >= MIN_WORDS:
+        if self.reference is not None and counts[0] >= COMPARED_WORDS:
             h = self.measures.histograms(raw)
             both = [js_distance(h[a:b], self.reference[:, a:b]) for a, b in ((0, CLASSES), (CLASSES, len(h)))]
             divergence = float(((both[0] + both[1]) / 2).min())
-        return (*counts, failed, not failed and not (divergence is not None and divergence > self.limit), divergence)
+        limit = self.bound[length_class(counts[0])]
+        if counts[0] >= MIN_WORDS:
+            limit = min(limit, self.limit)
+        return (*counts, failed, not failed and not (divergence is not None and divergence > limit), divergence)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_divergence: float = MAX_DIVERGENCE) -> DataFrame:
     """A verdict on every document."""
     reference = references(docs, lang_col, text_col)
+    bound = bounds(docs, reference, lang_col, text_col)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        verdict = Judge(reference, max_divergence)
+        verdict = Judge(reference, max_divergence, bound)
         kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64())
         for batch in batches:
             rows = [verdict(x.as_py()) for x in batch.column(1)]
@@ -177,12 +228,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_divergence: float = MAX_DIVERGENCE) -> DataFrame:
     """The documents that pass, with all their columns."""
     reference = references(docs, lang_col, text_col)
+    bound = bounds(docs, reference, lang_col, text_col)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        verdict = Judge(reference, max_divergence)
+        verdict = Judge(reference, max_divergence, bound)
         for batch in batches:
             yield batch.filter(pa.array([verdict(x.as_py())[6] for x in batch.column(at)], pa.bool_()))
 

@@ -46,6 +46,17 @@ def test_verdicts_on_labelled_documents(spark, sf):
     assert not rows[rows.base_failed].kept.any()
 
 
+def test_most_junk_fails_and_nearly_all_good_pass(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = quality.judge(docs).join(docs.select("doc_id", "quality"), "doc_id").toPandas()
+    rows = rows[~rows.base_failed]
+    good, junk = rows[rows.quality == 1], rows[(rows.quality == 0) & (rows.n_words >= 50)]
+    assert (~junk.kept).mean() > 0.95
+    assert good.kept.mean() > 0.995
+    assert rows[rows.n_words < 50].divergence.notna().all()
+
+
 def test_stages_keep_all_columns(docs, no_docs):
     for keep in (quality.keep_good, language.keep_known):
         assert keep(docs).columns == docs.columns
