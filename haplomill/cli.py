@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.regions import parse_region
-from .operators import ancestry, consistency, coordinates, copying, dating, frequencies, imputation, normalize, pbwt, penalties, trees
+from .operators import ancestry, consistency, coordinates, copying, dating, frequencies, imputation, normalize, pbwt, penalties, psmc, trees
 from .operators.demography import Demography
 from .sources import text, writers
 
@@ -65,6 +65,8 @@ def infer(spark: SparkSession, a: argparse.Namespace) -> None:
     step, bp = np.append(np.diff(at["cm"]), coordinates.LAST_CM_STEP), np.append(np.diff(at["pos"]), np.diff(at["pos"]).mean())
     paths = copying.infer_paths(geno, found, {r["idx"]: r["site"] for r in groups.collect()}, step, bp, demography.branch_length, a.mutation_rate, a.mode == "array").cache()
     mism = copying.mismatches(geno, paths).cache()
+    steps = spark.createDataFrame([(int(s), float(c), float(b)) for s, c, b in zip(at["site"], step, bp, strict=True)], "site int, step double, bp double")
+    paths = psmc.split(paths, mism, steps, demography, a.mutation_rate).cache()
     segments = ancestry.with_ends(paths.join(sites.select("site", F.col("pos").alias("start_bp")), "site").select("hap", "start_bp", "target"))
     last = at.iloc[-1]
     hets = ancestry.counts_in_segments(segments, mism, sites)

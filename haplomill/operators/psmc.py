@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .demography import Demography
 
 STATES = 64
+HAPS, HETS = 100, 10  # the haplotypes whose segments are split, when they have more mismatches
 
 
 def times(demography: Demography, n: int = STATES) -> np.ndarray:
@@ -62,6 +63,32 @@ def breakpoints(observed: np.ndarray, cm_steps: np.ndarray, bp_sizes: np.ndarray
     return [0] + [j for j in range(1, len(path)) if path[j] != path[j - 1]]
 
 
+def split(paths: DataFrame, mismatches: DataFrame, steps: DataFrame, demography: Demography, mutation_rate: float, n: int = STATES) -> DataFrame:
+    """hap, site, target of paths, where a segment of one of the first `HAPS` haplotypes with more
+    than `HETS` mismatches is cut at its breakpoints; steps: site, step (cM), bp of all sites.
+
+    The last segment ends at the last site, whose mismatch counts for it but is not observed.
+    """
+    last = steps.agg(F.max("site")).first()[0]
+    w = Window.partitionBy("hap").orderBy("site")
+    spans = paths.where((F.col("hap") > 0) & (F.col("hap") < HAPS)).select("hap", "target", F.col("site").alias("low"), F.coalesce(F.lead("site").over(w), F.lit(last)).alias("high"))
+    marked = mismatches.select("hap", "site", F.lit(1).alias("het"))
+    inside = (F.col("site") >= F.col("low")) & ((F.col("site") < F.col("high")) | (F.col("high") == last) & (F.col("site") == last))
+    long = spans.join(marked, "hap").where(inside).groupBy("hap", "target", "low", "high").agg(F.count("*").alias("hets")).where(F.col("hets") > HETS).where("high > low")
+    seen = long.select("hap", "target", "low", F.explode(F.sequence("low", F.col("high") - 1)).alias("site"))
+    seen = seen.join(marked, ["hap", "site"], "left").join(F.broadcast(steps.select("site", "step", "bp")), "site").select("hap", "target", "low", "site", F.coalesce("het", F.lit(0)).alias("het"), "step", "bp")
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("site", ignore_index=True)
+        found = breakpoints(frame["het"].to_numpy(), frame["step"].to_numpy(float), frame["bp"].to_numpy(float), demography, mutation_rate, n)
+        # the first is where the segment starts already
+        return pd.DataFrame({"hap": frame["hap"].iloc[0], "site": frame["site"].iloc[found[1:]].to_numpy(), "target": frame["target"].iloc[0]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in paths.schema}
+    cut = seen.groupBy("hap", "low").applyInPandas(one, f"hap {kinds['hap']}, site {kinds['site']}, target {kinds['target']}")
+    return paths.select("hap", "site", "target").unionByName(cut)
+
+
 def break_points_of(observations: DataFrame, demography: Demography, mutation_rate: float, n: int = STATES) -> DataFrame:
     """hap, site: breakpoints of each haplotype; observations: hap, site, het, step, bp."""
 

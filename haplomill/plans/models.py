@@ -28,7 +28,7 @@ def hmm_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = coordinates_of(spark, sf_dir)[["site", "step", "bp"]]
     marked = fixtures.mismatches(spark, sf_dir).withColumn("het", F.lit(1))
     rows = fixtures.genotypes(spark, sf_dir).where("hap BETWEEN 1 AND 99").select("hap", "site").join(marked, ["hap", "site"], "left").join(F.broadcast(spark.createDataFrame(at)), "site")
-    return psmc.break_points_of(rows.select("hap", F.col("site").cast("int").alias("site"), F.coalesce("het", F.lit(0)).alias("het"), "step", "bp"), DEMO, MU, 16)
+    return psmc.break_points_of(rows.select("hap", F.col("site").cast("int").alias("site"), F.coalesce("het", F.lit(0)).alias("het"), "step", "bp"), DEMO, MU)
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +47,20 @@ def ls_viterbi_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ls_dated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hap, seg_idx, start_bp, target, hets, tmrca: paths with their ages, a segment of one site too."""
+    """hap, seg_idx, start_bp, target, hets, tmrca: paths with their ages, a segment of one site too.
+    Segments of the first haplotypes with many mismatches are split before."""
     from pyspark.sql import Window
 
-    paths = _paths(spark, sf_dir).cache()
+    geno = fixtures.genotypes(spark, sf_dir)
+    whole = _paths(spark, sf_dir).cache()
+    steps = spark.createDataFrame(coordinates_of(spark, sf_dir)[["site", "step", "bp"]])
+    order = F.row_number().over(Window.partitionBy("hap").orderBy("site"))
+    paths = psmc.split(whole, copying.mismatches(geno, whole), steps, DEMO, MU).withColumn("seg_idx", (order - 1).cast("int")).cache()
     sites = fixtures.sites_cm(spark, sf_dir).select("site", "pos", "cm")
     last = sites.agg(F.max("site")).first()[0]
     w = Window.partitionBy("hap").orderBy("site")
     spans = paths.withColumn("end", F.coalesce(F.lead("site").over(w), F.lit(last)))
-    hets = copying.mismatches(fixtures.genotypes(spark, sf_dir), paths).join(spans.select("hap", "seg_idx", F.col("site").alias("low"), "end"), "hap")
+    hets = copying.mismatches(geno, paths).join(spans.select("hap", "seg_idx", F.col("site").alias("low"), "end"), "hap")
     hets = hets.where("site >= low AND (site < end OR site = end AND end = " + str(last) + ")").groupBy("hap", "seg_idx").agg(F.count("*").alias("hets"))
     ends = [sites.select(F.col("site").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("cm").alias(f"{c}_cm")) for c in ("site", "end")]
     rows = spans.join(hets, ["hap", "seg_idx"], "left").join(F.broadcast(ends[0]), "site").join(F.broadcast(ends[1]), "end")

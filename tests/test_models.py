@@ -58,6 +58,19 @@ def test_positions_are_repaired():
         coordinates.repair_positions(frame.assign(pos=[10, 9, 12]))
 
 
+def test_split_of_segments_with_many_mismatches(spark):
+    demography, sites = Demography([2e4, 1e4], [0.0, 500.0]), range(400)
+    steps = spark.createDataFrame([(s, 0.01, 2000.0) for s in sites], "site int, step double, bp double")
+    # many mismatches from site 100 to 179, for a haplotype below 100, one above, one with ten
+    paths = spark.createDataFrame([(h, s, h - 1) for h in (5, 50, 100) for s in (0, 200)], "hap int, site int, target int")
+    mism = spark.createDataFrame([(h, s) for h in (5, 100) for s in range(100, 180, 2)] + [(50, s) for s in range(100, 110)] + [(5, 399)], "hap int, site int")
+    got = sorted(tuple(r) for r in psmc.split(paths, mism, steps, demography, 1.4e-8).collect())
+    observed = np.array([100 <= s < 180 and s % 2 == 0 for s in range(200)])
+    expected = psmc.breakpoints(observed, np.full(200, 0.01), np.full(200, 2000.0), demography, 1.4e-8, 64)
+    assert len(expected) > 1
+    assert got == sorted([(5, s, 4) for s in [*expected, 200]] + [(50, 0, 49), (50, 200, 49), (100, 0, 99), (100, 200, 99)])
+
+
 def slow_breakpoints(observed, cm, bp, demography, mu, n):
     t = psmc.times(demography, n)
     score = None
