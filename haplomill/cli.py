@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lineage import cut
 from .functions.regions import parse_region
 from .operators import ancestry, consistency, coordinates, copying, dating, frequencies, imputation, normalize, pbwt, penalties, psmc, trees
 from .operators.demography import Demography
@@ -49,24 +50,24 @@ def with_cm(spark: SparkSession, sites: DataFrame, map_path: str | None, rho: fl
 
 
 def infer(spark: SparkSession, a: argparse.Namespace) -> None:
-    records = read_sites(spark, a.genotypes).cache()
+    records = cut(read_sites(spark, a.genotypes))
     demography = demography_of(spark, a.demography)
-    sites = with_cm(spark, records.select("site", "pos"), a.map, a.recombination_rate).cache()
-    geno = frequencies.check_biallelic(long(records)).cache()
+    sites = cut(with_cm(spark, records.select("site", "pos"), a.map, a.recombination_rate))
+    geno = cut(frequencies.check_biallelic(long(records)))
     keep = frequencies.informative(frequencies.site_counts(geno)).select("site")
-    kept = sites.join(keep, "site", "left_semi").cache()
+    kept = cut(sites.join(keep, "site", "left_semi"))
     groups = pbwt.buckets(kept, a.match_group_interval, True)
     queries = pbwt.group_of(pbwt.buckets(kept, a.query_interval, False), groups)
     n_sites = sites.count()
     ranks = pbwt.prefix_ranks(geno.join(F.broadcast(keep), "site", "left_semi"), n_sites).join(F.broadcast(queries.select("site")), "site", "left_semi")
-    counts = pbwt.match_counts(pbwt.neighbours(ranks, K), queries).cache()
+    counts = cut(pbwt.match_counts(pbwt.neighbours(ranks, K), queries))
     found = pbwt.propagate(pbwt.candidates(counts, geno.select("hap").distinct(), MIN_MATCHES), pbwt.top(counts))
     at = sites.toPandas().sort_values("site")
     step, bp = np.append(np.diff(at["cm"]), coordinates.LAST_CM_STEP), np.append(np.diff(at["pos"]), np.diff(at["pos"]).mean())
-    paths = copying.infer_paths(geno, found, {r["idx"]: r["site"] for r in groups.collect()}, step, bp, demography.branch_length, a.mutation_rate, a.mode == "array").cache()
-    mism = copying.mismatches(geno, paths).cache()
+    paths = cut(copying.infer_paths(geno, found, {r["idx"]: r["site"] for r in groups.collect()}, step, bp, demography.branch_length, a.mutation_rate, a.mode == "array"))
+    mism = cut(copying.mismatches(geno, paths))
     steps = spark.createDataFrame([(int(s), float(c), float(b)) for s, c, b in zip(at["site"], step, bp, strict=True)], "site int, step double, bp double")
-    paths = psmc.split(paths, mism, steps, demography, a.mutation_rate).cache()
+    paths = cut(psmc.split(paths, mism, steps, demography, a.mutation_rate))
     segments = ancestry.with_ends(paths.join(sites.select("site", F.col("pos").alias("start_bp")), "site").select("hap", "start_bp", "target"))
     last = at.iloc[-1]
     hets = ancestry.counts_in_segments(segments, mism, sites)
@@ -84,7 +85,7 @@ def infer(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.fit_to_data:
         state = trees.states(geno, ancestry.at_sites(segments, sites))
         ages = text.read_ages(spark, a.allele_ages).join(records.select("id", "site"), "id").select("site", "age") if a.allele_ages else trees.allele_ages(state)
-        fitted = consistency.fit(geno, segments, sites.select("site", "pos"), ages).cache()
+        fitted = cut(consistency.fit(geno, segments, sites.select("site", "pos"), ages))
         mism = fitted.select("hap", F.explode("mismatches").alias("site"))
         segments = ancestry.with_ends(fitted.where("hap > 0").select("hap", "start_bp", "target", "tmrca"))
     sites = sites.select("site", "pos")
@@ -105,19 +106,19 @@ def _load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFra
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
-    ancestry.edges(writers.read_ancestry(spark, a.threads)["segments"]).write.mode("overwrite").parquet(a.out)
+    ancestry.edges(writers.read_ancestry(spark, a.ancestry)["segments"]).write.mode("overwrite").parquet(a.out)
 
 
 def allele_ages(spark: SparkSession, a: argparse.Namespace) -> None:
-    tables, geno = _load(spark, a.threads)
+    tables, geno = _load(spark, a.ancestry)
     ages = trees.allele_ages(trees.states(geno, ancestry.at_sites(tables["segments"], tables["sites"])))
     writers.ages_lines(ages.join(tables["sites"], "site")).write.mode("overwrite").text(a.out)
 
 
 def map_variants(spark: SparkSession, a: argparse.Namespace) -> None:
-    tables = writers.read_ancestry(spark, a.threads)
+    tables = writers.read_ancestry(spark, a.ancestry)
     _, start, end = parse_region(a.region)
-    records = read_sites(spark, a.input, (start, end)).cache()
+    records = cut(read_sites(spark, a.input, (start, end)))
     geno = long(records)
     state = trees.states(geno, ancestry.at_sites(tables["segments"], records.select("site", "pos")))
     freq = frequencies.with_frequencies(frequencies.site_counts(geno))
@@ -127,10 +128,10 @@ def map_variants(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def impute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     _, start, end = parse_region(a.region)
-    panel, target = read_sites(spark, a.panel, (start, end)).cache(), read_sites(spark, a.target, (start, end))
+    panel, target = cut(read_sites(spark, a.panel, (start, end))), read_sites(spark, a.target, (start, end))
     n = panel.agg(F.max(F.size("genotypes"))).first()[0]
     typed = panel.select("site", "pos", "id").join(target.select("id", F.col("genotypes").alias("t")), "id")
-    both = long(panel).join(F.broadcast(typed.select("site")), "site", "left_semi").unionByName(typed.select("site", F.posexplode("t").alias("hap", "g")).select("site", (F.col("hap") + n).alias("hap"), F.col("g").cast("int").alias("g"))).cache()
+    both = cut(long(panel).join(F.broadcast(typed.select("site")), "site", "left_semi").unionByName(typed.select("site", F.posexplode("t").alias("hap", "g")).select("site", (F.col("hap") + n).alias("hap"), F.col("g").cast("int").alias("g"))))
     cms = coordinates.interpolate(typed.select("site", "pos"), text.read_map(spark, a.map)).toPandas().sort_values("site")
     step = np.append(np.diff(cms["cm"]), np.diff(cms["cm"])[-1:])
     last = panel.agg(F.max("site")).first()[0] + 1
@@ -144,7 +145,7 @@ def impute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def vcf(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    tables, geno = _load(spark, a.threads)
+    tables, geno = _load(spark, a.ancestry)
     variants = text.read_variants(spark, a.variants) if a.variants else tables.get("variants")
     if variants is None:
         raise SystemExit("the ancestry holds no variants; name them with --variants")
@@ -170,9 +171,9 @@ def parser() -> argparse.ArgumentParser:
         x(flag, action="store_true")
     for name in ("convert", "allele_ages"):
         x = add(name)
-        x("--threads", required=True), x("--out", required=True)
+        x("--ancestry", required=True), x("--out", required=True)
     x = add("map")
-    for option in ("--threads", "--input", "--region", "--out"):
+    for option in ("--ancestry", "--input", "--region", "--out"):
         x(option, required=True)
     x("--maf", type=float, default=0.02)
     x = add("impute")
@@ -180,7 +181,7 @@ def parser() -> argparse.ArgumentParser:
         x(option, required=True)
     x("--out"), x("--stdout", action="store_true")
     x = add("vcf")
-    x("--threads", required=True), x("--variants"), x("--samples"), x("--out")
+    x("--ancestry", required=True), x("--variants"), x("--samples"), x("--out")
     return top
 
 

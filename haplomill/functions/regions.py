@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import re
+from itertools import takewhile
 
-REGION = re.compile(r"((chr)?(\d+):)?(\d+)-(\d+)")
-CHROMOSOMES = range(1, 23)
+AUTOSOMES = 22
+
+
+def _whole(digits: str, what: str, text: str) -> int:
+    if not digits.isdecimal():
+        raise ValueError(f"{text!r} has no {what}; a region is [chr][number:]start-end")
+    return int(digits)
 
 
 def parse_region(text: str) -> tuple[str | None, int, int]:
-    """(chromosome or None, start, end). What follows the end is ignored."""
-    found = REGION.match(text)
-    if not found:
-        raise ValueError(f"not a region: {text!r}")
-    chromosome, start, end = found[3], int(found[4]), int(found[5])
-    if chromosome is not None and int(chromosome) not in CHROMOSOMES:
-        raise ValueError(f"chromosome {chromosome} is not one of 1 to 22")
+    """(chromosome or None, start, end). What follows the digits of the end is ignored."""
+    before, _, after = text.partition("-")
+    name, colon, first = before.rpartition(":")
+    start = _whole(first, "start", text)
+    end = _whole("".join(takewhile(str.isdecimal, after)), "end", text)
     if end < start:
-        raise ValueError(f"the end of {text!r} is before its start")
+        raise ValueError(f"{text!r} ends before it starts")
+    if not colon:
+        return None, start, end
+    chromosome = name.removeprefix("chr")
+    if not 1 <= _whole(chromosome, "chromosome number", text) <= AUTOSOMES:
+        raise ValueError(f"{text!r} is on none of the chromosomes 1 to {AUTOSOMES}")
     return chromosome, start, end

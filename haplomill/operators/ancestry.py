@@ -1,4 +1,4 @@
-"""Threading instructions: segments of copied ancestry and the mismatches that make them exact.
+"""Copying paths: segments of copied ancestry and the mismatches that make them exact.
 
 segments(hap, seg_idx, start_bp, end_bp, target, tmrca), end null for the last; mismatches(hap,
 site); sites(site, pos). A target's id is smaller than the haplotype's.

@@ -62,12 +62,12 @@ def segment_before(sites: DataFrame, segments: DataFrame) -> DataFrame:
     return at.select("site", "hap", "target", "tmrca")
 
 
-def arg_delta(posteriors: DataFrame, panel: DataFrame, threads: DataFrame, mapping: DataFrame) -> DataFrame:
+def arg_delta(posteriors: DataFrame, panel: DataFrame, paths: DataFrame, mapping: DataFrame) -> DataFrame:
     """target, site, delta: what a mapped variant's age takes off the dosage of each target.
-    threads: site, hap, target (a panel haplotype), tmrca; mapping: site, lower, upper."""
+    paths: site, hap, target (a panel haplotype), tmrca; mapping: site, lower, upper."""
     carriers = panel.where("g = 1").select("site", F.col("hap").alias("ref"))
-    thread = threads.select("site", F.col("hap").alias("target"), F.col("target").alias("ref"), "tmrca")
-    rows = posteriors.where("p > 0").join(carriers, ["site", "ref"]).join(thread, ["site", "target", "ref"]).join(F.broadcast(mapping), "site")
+    path = paths.select("site", F.col("hap").alias("target"), F.col("target").alias("ref"), "tmrca")
+    rows = posteriors.where("p > 0").join(carriers, ["site", "ref"]).join(path, ["site", "target", "ref"]).join(F.broadcast(mapping), "site")
     return rows.groupBy("target", "site").agg(F.sum(F.col("p") * (recent(F.col("lower"), F.col("upper"), F.col("tmrca")) - 1)).alias("delta"))
 
 

@@ -14,7 +14,7 @@ from .sql import define, sql
 SIZES, TIMES = fixtures.EPOCHS[1], fixtures.EPOCHS[0]
 DEMO = demography.Demography(SIZES, TIMES)
 MU = 1.4e-8
-STATES = 16
+STATES = psmc.STATES
 
 
 def _gen(t: str) -> str:
@@ -68,17 +68,17 @@ def ls_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql(
         f"""SELECT site, target, round(-ln(1 - exp(-k)) + ln(target), 5) AS rho, round(k, 9) AS rho_c, round(-ln(1 - exp(-l)), 5) AS mu, round(l, 9) AS mu_c
-FROM (SELECT site, target, 0.02 * step * t AS k, 2 * {MU}::DOUBLE * bp * t AS l FROM steps, (SELECT target, {_gen('(2.0::DOUBLE / (target + 1))')} AS t FROM (SELECT CAST(vec_id AS INT) AS target FROM embeddings WHERE vec_id > 0 AND vec_id % 25 = 0)))""",
+FROM (SELECT site, target, 0.02 * step * t AS k, 2 * {MU}::DOUBLE * bp * t AS l FROM steps, (SELECT target, {_gen('(2.0::DOUBLE / (target + 1))')} AS t FROM (SELECT CAST(vec_id AS INT) AS target FROM embeddings WHERE vec_id > 0)))""",
         "steps",
     )
 )
 def lowmem_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of each site for some targets, whose branch lengths differ."""
+    """Costs of each site for every target, whose branch lengths differ."""
     sites = fixtures.sites_cm(spark, sf_dir)
     steps = coordinates.cm_steps(sites).join(sites.select("site", "pos"), "site")
     after = sites.select((F.col("site") - 1).alias("site"), F.col("pos").alias("next_pos"))
     steps = steps.join(after, "site", "left").withColumn("bp", F.coalesce(F.col("next_pos") - F.col("pos"), F.lit(1500)))
-    targets = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id > 0 AND vec_id % 25 = 0").select(F.col("vec_id").cast("int").alias("target"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("site"))
+    targets = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id > 0").select(F.col("vec_id").cast("int").alias("target"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("site"))
     rows = targets.join(F.broadcast(steps), "site")
     rho, rho_c, mu, mu_c = penalties.per_target(F.col("step"), F.col("bp"), MU, DEMO.generations(2.0 / (F.col("target") + 1)), F.col("target"), sparse=False)
     return rows.select("site", "target", F.round(rho, 5).alias("rho"), F.round(rho_c, 9).alias("rho_c"), F.round(mu, 5).alias("mu"), F.round(mu_c, 9).alias("mu_c"))

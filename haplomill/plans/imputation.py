@@ -69,11 +69,11 @@ def segment_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def arg_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With every third reference in the targets' threads."""
+    """With every third reference in the targets' paths."""
     found = _posterior(spark, sf_dir)
-    threads = found.where("ref % 3 = 0").select("site", F.col("target").alias("hap"), F.col("ref").alias("target"), (100 + (37 * F.col("ref") + F.col("site")) % 997).cast("double").alias("tmrca"))
+    copied = found.where("ref % 3 = 0").select("site", F.col("target").alias("hap"), F.col("ref").alias("target"), (100 + (37 * F.col("ref") + F.col("site")) % 997).cast("double").alias("tmrca"))
     mapping = fixtures.sites(spark, sf_dir).select("site", (50.0 + F.col("site")).alias("lower"), (150.0 + 2 * F.col("site")).alias("upper"))
-    return imputation.arg_delta(found, fixtures.genotypes(spark, sf_dir), threads, mapping).select("target", "site", F.round("delta", 9).alias("delta"))
+    return imputation.arg_delta(found, fixtures.genotypes(spark, sf_dir), copied, mapping).select("target", "site", F.round("delta", 9).alias("delta"))
 
 
 @query(sql("SELECT site, pos, site % 4 = 0 AS typed FROM sites", "sites"))
@@ -151,7 +151,7 @@ FROM tspans s JOIN trefs r USING (target) LEFT JOIN tdiff d ON d.target = s.targ
     )
 )
 def imputation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest references of each segment of the targets' threads."""
+    """The closest references of each segment of the targets' paths."""
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
     paths = fixtures.segments(spark, sf_dir).where(F.col("hap") >= n).select(F.col("hap").alias("target"), (16 * F.col("seg_idx")).alias("site"), F.col("target").alias("ref"))
     refs = matching._window(spark, sf_dir).select("target", "ref").unionByName(paths.select("target", "ref")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import frequencies, pbwt
 from ..sources import fixtures
 from .registry import query
@@ -53,7 +54,7 @@ def _n_sites(spark: SparkSession, sf_dir: str) -> int:
 
 
 def _query_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _kept(spark, sf_dir).cache()
+    kept = cut(_kept(spark, sf_dir))
     return pbwt.group_of(pbwt.buckets(kept, QUERY_INTERVAL, False), pbwt.buckets(kept, GROUP_INTERVAL, True))
 
 
@@ -117,7 +118,7 @@ def match_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT grp, hap, cand FROM cands UNION SELECT t.grp + s.d, t.hap, t.cand FROM tops t, (VALUES (-1), (1)) s(d) WHERE t.grp + s.d IN (SELECT grp FROM cands)", "cands", "tops"))
 def match_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir).cache()
+    counts = cut(_counts(spark, sf_dir))
     return pbwt.propagate(_candidates(spark, sf_dir, counts), pbwt.top(counts))
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import copying, dating, pbwt, penalties, psmc
 from ..sources import fixtures
 from . import matching
@@ -24,15 +25,15 @@ def coordinates_of(spark: SparkSession, sf_dir: str) -> pd.DataFrame:
 
 @query()
 def hmm_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of coalescence time along each of the first haplotypes against its segment targets."""
+    """Changes of coalescence time along each haplotype against its segment targets."""
     at = coordinates_of(spark, sf_dir)[["site", "step", "bp"]]
     marked = fixtures.mismatches(spark, sf_dir).withColumn("het", F.lit(1))
-    rows = fixtures.genotypes(spark, sf_dir).where("hap BETWEEN 1 AND 99").select("hap", "site").join(marked, ["hap", "site"], "left").join(F.broadcast(spark.createDataFrame(at)), "site")
+    rows = fixtures.genotypes(spark, sf_dir).where("hap > 0").select("hap", "site").join(marked, ["hap", "site"], "left").join(F.broadcast(spark.createDataFrame(at)), "site")
     return psmc.break_points_of(rows.select("hap", F.col("site").cast("int").alias("site"), F.coalesce("het", F.lit(0)).alias("het"), "step", "bp"), DEMO, MU)
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = matching._counts(spark, sf_dir).cache()
+    counts = cut(matching._counts(spark, sf_dir))
     found = pbwt.propagate(matching._candidates(spark, sf_dir, counts), pbwt.top(counts))
     groups = pbwt.buckets(matching._kept(spark, sf_dir), matching.GROUP_INTERVAL, True).collect()
     at = coordinates_of(spark, sf_dir)
@@ -52,10 +53,10 @@ def ls_dated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     geno = fixtures.genotypes(spark, sf_dir)
-    whole = _paths(spark, sf_dir).cache()
+    whole = cut(_paths(spark, sf_dir))
     steps = spark.createDataFrame(coordinates_of(spark, sf_dir)[["site", "step", "bp"]])
     order = F.row_number().over(Window.partitionBy("hap").orderBy("site"))
-    paths = psmc.split(whole, copying.mismatches(geno, whole), steps, DEMO, MU).withColumn("seg_idx", (order - 1).cast("int")).cache()
+    paths = cut(psmc.split(whole, copying.mismatches(geno, whole), steps, DEMO, MU).withColumn("seg_idx", (order - 1).cast("int")))
     sites = fixtures.sites_cm(spark, sf_dir).select("site", "pos", "cm")
     last = sites.agg(F.max("site")).first()[0]
     w = Window.partitionBy("hap").orderBy("site")

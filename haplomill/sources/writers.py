@@ -38,9 +38,15 @@ def phased_lines(variants: DataFrame, genotypes: DataFrame) -> DataFrame:
 
 
 def header(contig: str, samples: list[str], imputed: bool) -> list[str]:
-    info = ['##INFO=<ID=IMP,Number=0,Type=Flag,Description="Imputed">', '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">', '##FORMAT=<ID=DS,Number=A,Type=Float,Description="Dosage">'] if imputed else ['##INFO=<ID=NS,Number=1,Type=Integer,Description="Samples">']
-    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]
-    return ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">', f"##contig=<ID={contig}>", *info, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Phased genotype">', "\t".join(columns)]
+    """Lines before the records; descriptions are free text."""
+    described = {
+        True: [("INFO", "IMP", "0", "Flag", "not among the variants of the targets"), ("INFO", "AF", "A", "Float", "share of ALT alleles in the panel"), ("FORMAT", "DS", "A", "Float", "expected count of ALT alleles")],
+        False: [("INFO", "NS", "1", "Integer", "individuals with a call")],
+    }[imputed] + [("FORMAT", "GT", "1", "String", "alleles of both haplotypes, phase known")]
+    lines = [f'##{kind}=<ID={name},Number={number},Type={of},Description="{text}">' for kind, name, number, of, text in described]
+    # Fixed values of the VCF standard: version line, meaning of PASS, names of the columns.
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
+    return ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">', f"##contig=<ID={contig}>", *lines, "\t".join([*columns, *samples])]
 
 
 def write_lines(spark: SparkSession, lines: DataFrame, head: list[str], path: str) -> None:

@@ -263,13 +263,38 @@ def test_consistent_segments_give_the_genotypes_back(spark, sf):
     assert ancestry.reconstruct(segments, mism, sites, geno.select("hap").distinct()).exceptAll(geno).isEmpty()
 
 
+def _fit(segments, sites, n_haps):
+    return consistency.fit_region(pd.DataFrame(segments, columns=["hap", "start_bp", "target", "tmrca"]), pd.DataFrame(sites, columns=["site", "pos", "age", "g"]), n_haps)
+
+
 def test_consistency_moves_a_time_within_bounds():
-    thread = consistency.Thread([0], [0], [500.0], 0)
-    done = consistency.fit_region([consistency.Thread([], [], [], 0), thread], [(0, 0, 100.0, [1, 1]), (1, 50, 20.0, [1, 0])])
-    start, target, t = done[1].out[0]
-    assert (start, target) == (0, 0)
-    assert 20 < t < 100
-    assert done[1].mismatches == [1]
+    done, differ = _fit([(1, 0, 0, 500.0)], [(0, 0, 100.0, [1, 1]), (1, 50, 20.0, [1, 0])], 2)
+    assert done[["hap", "start_bp", "target"]].values.tolist() == [[1, 0, 0]]
+    assert 20 < done["tmrca"][0] < 100
+    assert (1, 1) in set(zip(differ["hap"], differ["site"], strict=True))
+
+
+def test_consistency_sends_carriers_to_carriers_and_breaks_at_conflicts():
+    segments = [(1, 0, 0, 10.0), (2, 0, 1, 10.0), (2, 100, 0, 30.0), (3, 0, 2, 10.0)]
+    sites = [(0, 0, 50.0, [0, 0, 0, 0]), (1, 60, 40.0, [0, 1, 0, 1]), (2, 100, 60.0, [0, 1, 1, 0]), (3, 200, 5.0, [0, 0, 0, 0])]
+    done, differ = _fit(segments, sites, 4)
+    rows = {(h, s): t for h, s, t in done[["hap", "start_bp", "target"]].values.tolist()}
+    # at 60 haplotype 3 leaves 2, which carries nothing, for 1, and the times of 1 and 2 are above 40
+    assert rows[3, 0] == 2 and rows[3, 60] == 1
+    # at 100 a segment of haplotype 2 begins with the site: its target is swapped, not broken
+    assert rows[2, 0] == 1 and rows[2, 100] == 1 and len([k for k in rows if k[0] == 2]) == 2
+    assert (done[(done["hap"] == 1) & (done["start_bp"] == 0)]["tmrca"] > 60).all()
+    assert (2, 1) in set(zip(differ["hap"], differ["site"], strict=True))
+
+
+@pytest.mark.parametrize("text", ["chr", "1:", "1:5", "5-", "-5", "x1:1-2", "23:1-2", "0:1-2", "2-1", "1:2:3-4"])
+def test_bad_regions(text):
+    with pytest.raises(ValueError):
+        parse_region(text)
+
+
+def test_region_ignores_what_follows():
+    assert parse_region("7:10-20:rest") == ("7", 10, 20)
 
 
 def test_nested_and_flat(spark, sf):

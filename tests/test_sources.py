@@ -97,7 +97,7 @@ def test_infer_and_write_back(spark, small, tmp_path, extra):
     folder, haps = small
     out = str(tmp_path / "arg")
     cli.main(["infer", "--genotypes", f"{folder}/a.vcf", "--map", f"{folder}/a.map", "--demography", f"{folder}/a.demo", "--match_group_interval", "0.1", "--save_metadata", "--out", out, *extra])
-    cli.main(["vcf", "--threads", out, "--out", str(tmp_path / "back")])
+    cli.main(["vcf", "--ancestry", out, "--out", str(tmp_path / "back")])
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "back")).collect()]
     body = [x.split("\t") for x in lines if not x.startswith("#")]
     assert len(body) == 40
@@ -110,11 +110,11 @@ def test_other_commands(spark, small, tmp_path, capsys):
     folder, haps = small
     out = str(tmp_path / "arg")
     cli.main(["infer", "--genotypes", f"{folder}/a.vcf", "--demography", f"{folder}/a.demo", "--out", out, "--region", "1:1000-20000"])
-    cli.main(["allele_ages", "--threads", out, "--out", str(tmp_path / "ages")])
+    cli.main(["allele_ages", "--ancestry", out, "--out", str(tmp_path / "ages")])
     assert text.read_ages(spark, str(tmp_path / "ages")).count() == 28
-    cli.main(["convert", "--threads", out, "--out", str(tmp_path / "edges")])
+    cli.main(["convert", "--ancestry", out, "--out", str(tmp_path / "edges")])
     assert spark.read.parquet(str(tmp_path / "edges")).where("target >= hap").isEmpty()
-    cli.main(["map", "--threads", out, "--input", f"{folder}/a.vcf", "--region", "1:1000-20000", "--maf", "0.5", "--out", str(tmp_path / "mut")])
+    cli.main(["map", "--ancestry", out, "--input", f"{folder}/a.vcf", "--region", "1:1000-20000", "--maf", "0.5", "--out", str(tmp_path / "mut")])
     mapped = text.read_mapping(spark, str(tmp_path / "mut"))
     assert mapped.count() > 0 and text.parse_mapping(mapped).where("upper < lower").isEmpty()
     capsys.readouterr()
