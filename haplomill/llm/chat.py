@@ -10,8 +10,9 @@ whose texts stay apart by a mark. A conversation is `<s>` and its runs:
 
 with [NEXT] between the texts of a run. Inside texts and roles every control string gets a
 backslash after its first character, and one that has backslashes there gets one more, so that
-taking one away gives the text back. The loss mask holds the texts of the assistant, and nothing
-of the template. `read` splits a formatted conversation into its turns again.
+taking one away gives the text back. The loss mask is a run of lengths with a flag each: the texts
+of the assistant are under the loss, nothing of the template is. `read` splits a formatted
+conversation into its turns again, and `under_loss` cuts from it what the mask names.
 
 Defined cases: null text is empty; a null role is a role of no name; a null turn comes first; turns
 with one number are ordered by role, then text; repeated rows are turns each; rows without
@@ -49,7 +50,7 @@ def _closing(role: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted, and the loss mask: the formatted text's segments with a flag each."""
+    """conv_id, formatted, and the loss mask: lengths of the formatted text's segments, a flag each."""
     text, role = (F.coalesce(F.col(c), F.lit("")) for c in (text_col, role_col))
     rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -67,7 +68,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
     start = F.array(F.struct(F.lit("<s>").alias("text"), F.lit(False).alias("loss")))
     rows = rows.select("conv_id", F.concat(start, F.flatten(F.transform(runs, segments))).alias("segments"))
-    return rows.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), F.transform("segments", lambda s: F.struct(F.char_length(s["text"]).alias("length"), s["loss"].alias("loss"))).alias("mask"), "segments")
+    return rows.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), F.transform("segments", lambda s: F.struct(F.char_length(s["text"]).alias("length"), s["loss"].alias("loss"))).alias("mask"))
 
 
 def read(formatted: Column) -> Column:
@@ -82,10 +83,23 @@ def read(formatted: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(F.substring(formatted, 4, 2**31 - 1), F.lit(RUN), 0), turns))
 
 
+def under_loss(formatted: Column, mask: Column) -> Column:
+    """The parts of a formatted conversation under the loss, cut at the sums of the mask's lengths
+    and unescaped. The spans of the assistant's texts are gathered first, then each is cut once."""
+    none = F.array().cast("array<struct<start:int,length:int>>")
+
+    def add(state: Column, part: Column) -> Column:
+        span = F.array(F.struct(state["at"].alias("start"), part["length"].alias("length")))
+        return F.struct((state["at"] + part["length"]).alias("at"), F.when(part["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    spans = F.aggregate(mask, F.struct(F.lit(1).alias("at"), none.alias("spans")), add, lambda state: state["spans"])
+    return F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"])))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a formatted conversation says, read back from it."""
-    rows = formatted.select("conv_id", "formatted", read(F.col("formatted")).alias("turns"), F.filter("segments", lambda s: s["loss"]).alias("kept"))
-    loss = F.array_join(F.transform("kept", lambda s: unescape(s["text"])), "")
+    """What a formatted conversation says, read back from it and its mask."""
+    rows = formatted.select("conv_id", "formatted", read(F.col("formatted")).alias("turns"), under_loss(F.col("formatted"), F.col("mask")).alias("kept"))
+    loss = F.array_join("kept", "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     rows = rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), "formatted")
     return rows.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))

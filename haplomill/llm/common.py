@@ -9,13 +9,14 @@ import functools
 import gc
 import re
 import string
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import shared_dir
+
 BEYOND_LATIN = re.compile("[^\\x00-\\xff]")
 _temporary: list[tuple[SparkSession, str]] = []
 
@@ -25,16 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="haplomill-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def new_folder(spark: SparkSession, tag: str) -> str:
     """The name of a folder of its own under the shared one; it is removed when Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/haplomill/{tag}-{uuid.uuid4().hex}"

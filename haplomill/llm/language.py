@@ -1,13 +1,16 @@
 """Language identification by bit-sliced Bloom filters of letter n-grams.
 
-Each slot of the filter holds a mask with a bit for each language, so that the AND of an n-gram's
-`HASHES` slots gives all languages whose filter contains it. Over a text the bits are counted for
+Each slot of the filter holds a mask with a bit for each language, in as many words of 64 bits as
+there are languages for, so that the AND of an n-gram's `HASHES` slots gives all languages whose
+filter contains it. Over a text the bits are counted for
 each language; a count h of n becomes (h - n f) / (1 - f), f being the share of foreign n-grams
 that the language's filter lets through by chance. The language with the largest count decides.
 
-Fitting reads whole texts of a bounded sample, about `SAMPLE_PER_LANGUAGE` documents of each of the
-`LANGUAGES` most frequent labels, chosen by a hash of the id. A language's filter takes its
-`GRAMS` most frequent n-grams, but for those that another language has `CONTRAST` times as often.
+Fitting reads whole texts of a bounded sample, about `SAMPLE_PER_LANGUAGE` documents of each label,
+chosen by a hash of id and text. Every label gets a filter; more than `MOST_LABELS` of them are no
+languages, and an error. A filter takes its language's `GRAMS` most frequent n-grams, but for those
+that another language has `CONTRAST` times as often; each is made in a task of its own and comes to
+the driver as its bits, 128 KiB a language whatever the input.
 
 n-grams are runs of 3 or 4 characters of the lower-cased text in which all inner ones are letters
 and the outer ones are letters or the edge of a word.
@@ -24,7 +27,8 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, tidy
@@ -33,7 +37,7 @@ SIZES = (3, 4)
 SLOT_BITS = 20
 HASHES = 3
 GRAMS = 60_000
-LANGUAGES = 64
+MOST_LABELS = 2_000
 SAMPLE_PER_LANGUAGE = 3_000
 CONTRAST = 5.0
 MIN_SCORE = 0.4
@@ -87,27 +91,47 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
+def plane(hashes: np.ndarray) -> bytes:
+    """The Bloom filter of some n-grams, a bit for each slot."""
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    for at in slots(hashes):
+        bits[at] = True
+    return np.packbits(bits).tobytes()
+
+
 class Filters:
-    """The fitted model: languages, slot masks, and each language's share of chance hits."""
-
-    def __init__(self, grams_of: dict[str, np.ndarray]) -> None:
-        self.languages = sorted(grams_of)
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(grams_of) <= 8 * np.dtype(k).itemsize)
-        self.masks = np.zeros(1 << SLOT_BITS, kind)
-        chance = []
-        for k, lang in enumerate(self.languages):
-            for at in slots(grams_of[lang]):
-                self.masks[at] |= kind(1 << k)
-            chance.append(float(((self.masks >> kind(k)) & kind(1)).mean()) ** HASHES)
+    """The fitted model: languages, slot masks (an array for each 64 languages), and each
+    language's share of chance hits."""
+
+    WORD = 64
+
+    def __init__(self, planes: dict[str, bytes]) -> None:
+        self.languages = sorted(planes)
+        self.masks, chance = [], []
+        for first in range(0, len(self.languages), self.WORD):
+            some = self.languages[first : first + self.WORD]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(some) <= 8 * np.dtype(k).itemsize)
+            masks = np.zeros(1 << SLOT_BITS, kind)
+            for k, lang in enumerate(some):
+                bits = np.unpackbits(np.frombuffer(planes[lang], np.uint8))
+                masks |= bits.astype(kind) << kind(k)
+                chance.append(float(bits.mean()) ** HASHES)
+            self.masks.append(masks)
         self.chance = np.array(chance)
 
-    def containing(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the mask of the languages whose filter contains it."""
-        out = None
-        for at in slots(hashes):
-            found = self.masks[at]
-            out = found if out is None else out & found
-        return out
+    def containing(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the masks of the languages whose filter contains it, word by word."""
+        at = list(slots(hashes))
+        return [functools.reduce(np.bitwise_and, (masks[x] for x in at)) for masks in self.masks]
+
+    def hits(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Popcounts: how many n-grams of each of n texts each language's filter contains."""
+        counts = []
+        for first, mask in zip(range(0, len(self.languages), self.WORD), self.containing(hashes), strict=True):
+            one = mask.dtype.type(1)
+            for k in range(min(self.WORD, len(self.languages) - first)):
+                counts.append(np.bincount(owner[(mask >> mask.dtype.type(k)) & one > 0], minlength=n))
+        return np.stack(counts, axis=1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -117,8 +141,7 @@ class Filters:
             if not self.languages or not len(hashes):
                 out += [(UNKNOWN, 0.0)] * len(held)
                 continue
-            masks = self.containing(hashes)
-            hits = np.stack([np.bincount(owner, ((masks >> masks.dtype.type(k)) & masks.dtype.type(1)).astype(float), len(held)) for k in range(len(self.languages))], axis=1)
+            hits = self.hits(hashes, owner, len(held))
             share = np.clip((hits / np.maximum(n, 1)[:, None] - self.chance) / (1 - self.chance), 0, 1)
             best = share.argmax(axis=1)
             out += [(self.languages[b], float(share[i, b])) if n[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
@@ -133,14 +156,16 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Filters learned from labelled documents that are not held out."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not top:
+    labels = materialize(known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_docs")), "labels")
+    found = labels.limit(MOST_LABELS + 1).count()
+    if found > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: column {lang_col} holds no languages")
+    if not found:
         return Filters({})
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000))
-    chosen = None
-    for r in top:
-        one = (F.col(lang_col) == r["lang"]) & (draw < int(min(1.0, sample / r["count"]) * 1_000_000 + 1))
-        chosen = one if chosen is None else chosen | one
+    rows = known.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), draw.alias("_draw"))
+    # at most MOST_LABELS rows, as was counted
+    chosen = rows.join(F.broadcast(labels), "_lang").where(F.col("_draw") < F.least(F.lit(1.0), sample / F.col("_docs")) * 1_000_000 + 1)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -155,18 +180,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     found, n = np.unique(hashes[number[owner] == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = known.where(chosen).select(lang_col, text_col).mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("_lang", "_text").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    share = F.col("n") / F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
-    by_gram = counts.withColumn("share", share).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "n", "share")).alias("rows"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    by_gram = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "n", "share")).alias("rows"))
     kept = by_gram.select("gram", "most", F.explode("rows").alias("r")).where(F.col("r.share") * CONTRAST >= F.col("most"))
-    grams_of = {}
-    for lang in totals:
-        # at most GRAMS numbers of each of at most LANGUAGES languages come to the driver
-        best = kept.where(F.col("r.lang") == lang).orderBy(F.desc("r.n"), "gram").limit(GRAMS).select("gram").toPandas()
-        grams_of[lang] = best["gram"].to_numpy(np.int64).view(np.uint64)
-    return Filters(grams_of)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = kept.select("r.lang", "r.n", "gram").withColumn("place", place).where(F.col("place") <= GRAMS)
+
+    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [key[0]], "bits": [plane(rows["gram"].to_numpy(np.int64).view(np.uint64))]})
+
+    planes = best.select("lang", "gram").groupBy("lang").applyInPandas(make, "lang string, bits binary").collect()
+    return Filters({r["lang"]: bytes(r["bits"]) for r in planes})
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -1,14 +1,16 @@
 """Quality rules: repetition and length, then divergence from language references.
 
 A reference of a language is the mean character-class histogram and the mean common-word histogram
-of all documents that bear its label, pass the base rules and have `MIN_WORDS` words. A document is
-compared with every reference by the Jensen-Shannon distance (base 2, 0 to 1) of both histograms;
+of all documents that bear its label, pass the base rules and have `MIN_WORDS` words; histograms are
+added as whole parts of `SCALE`, so that no order of addition changes a verdict. Every label that
+has such documents has a reference; more than `MOST_LABELS` of them are no languages, and an error.
+A document is compared with every reference by the Jensen-Shannon distance (base 2, 0 to 1) of both histograms;
 its divergence is the mean of the two, the smallest over languages. It fails when that exceeds
 the bound of its length class, two classes a doubling of words, as short texts diverge by chance.
 The bound is the median divergence of all labelled documents of the class that pass the base rules
 plus `SPREADS` times the way from there down to the 16th percentile: the lower half holds hardly any
 junk. A class of fewer than `CLASS_DOCS` documents takes the bound of the next smaller one that has
-them. From `MIN_WORDS` words on the bound is at most `MAX_DIVERGENCE`; a shorter text without a
+them. A divergence at the bound passes. From `MIN_WORDS` words on the bound is at most `MAX_DIVERGENCE`; a shorter text without a
 bound is judged by the base rules alone, as are all texts when no document bears a label.
 
 Defined cases: null or empty text has no words and fails the base rule; a null id or label stays
@@ -33,7 +35,8 @@ SPREADS = 5.0
 LEAST_SPREAD = 0.005
 CLASS_DOCS = 30
 STEPS = 1000  # divergences are counted to this part of 1
-LANGUAGES = 64  # references kept: those of the most frequent labels
+SCALE = 1 << 20
+MOST_LABELS = 20_000  # a size check of what goes to every task, some 1.2 kB a label
 
 # Frequent function words of the supported languages.
 COMMON_WORDS = """
@@ -121,7 +124,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
         names = ["lang", "n", "sums"]
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([x.tolist() for _, x in sums.values()], pa.list_(pa.float64()))], names)
+            return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([x.tolist() for _, x in sums.values()], pa.list_(pa.int64()))], names)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -131,19 +134,22 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                     continue
                 n, *_, failed = measures.base(text, raw)
                 if n >= MIN_WORDS and not failed:
-                    k, x = sums.get(lang, (0, 0.0))
-                    sums[lang] = k + 1, x + measures.histograms(raw)
+                    k, x = sums.get(lang, (0, 0))
+                    sums[lang] = k + 1, x + np.rint(measures.histograms(raw) * SCALE).astype(np.int64)
             if len(sums) > 1000:
                 yield row()
                 sums.clear()
         if sums:
             yield row()
 
-    parts = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(tidy(add), "lang string, n long, sums array<double>")
+    parts = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(tidy(add), "lang string, n long, sums array<long>")
     width = CLASSES + Measures().n_words
     total = parts.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)])
-    # at most LANGUAGES rows of a fixed width come to the driver
-    return {r["lang"]: [r[f"s{k}"] / r["n"] for k in range(width)] for r in total.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # a row of a fixed width for each language comes to the driver
+    rows = total.orderBy("lang").limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: column {lang_col} holds no languages")
+    return {r["lang"]: [r[f"s{k}"] / r["n"] / SCALE for k in range(width)] for r in rows}
 
 
 def length_class(n_words: int) -> int:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from haplomill.llm import chat, licenses
 
@@ -87,6 +88,17 @@ def test_conversations_are_read_back(spark):
         assert sum(m["length"] for m in r["mask"]) == len(r["formatted"])
 
 
+def test_loss_is_cut_from_the_formatted_text(spark):
+    frame = spark.createDataFrame([(1, 1, "user", "ab"), (1, 2, "assistant", "xyz"), (1, 3, "assistant", "é🙂</s>")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(frame)
+    right = chat.digests(formatted).first()
+    assert right["loss_chars"] == 9 and right["loss_sha256"] == hashlib.sha256("xyzé🙂</s>".encode()).hexdigest()
+    other = formatted.withColumn("formatted", F.regexp_replace("formatted", "xyz", "xyw"))
+    assert chat.digests(other).first()["loss_sha256"] != right["loss_sha256"]
+    moved = formatted.withColumn("mask", F.slice("mask", 2, 1000))
+    assert chat.digests(moved).first()["loss_sha256"] != right["loss_sha256"]
+
+
 def test_injection_and_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_conversations(empty)).collect() == []
