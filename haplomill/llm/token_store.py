@@ -1,19 +1,22 @@
 """Token ids in binary shards under a Re-Pair grammar.
 
 Documents are dealt to ranges of their id and encoded in order; a shard ends after `shard_ids`
-ids. In a shard the most frequent pairs of neighbouring symbols are replaced by new symbols, a
-batch of pairs at a time (leftmost first where pairs overlap), `rounds` times or until no pair
-comes `min_count` times. A shard stores the rules, how many ids each of them expands to, the
-documents' lengths and the remaining symbols, so that any range of ids is decoded without the
-rest. A manifest names the shards that finished; files of lost tasks are never read.
-
-File: the magic bytes, then unsigned 32-bit counts (documents, rules, symbols, first new symbol,
-bytes per symbol), then arrays: id known (u8), document ids (i64), ids per document (u32), left and
-right parts of rules (u32), ids per rule (u32), symbols (u16 or u32). All little-endian.
+ids. In a shard frequent pairs of neighbouring symbols are replaced by new symbols, all pairs of a
+round at once and the more frequent one where two overlap, round by round until no pair comes
+`min_count` times. A shard stores the rules, how many ids each of them expands to, the documents'
+lengths and the remaining symbols, so that any document or range of ids is decoded without the
+rest; so the query reads it. A manifest names the shards that finished; files of lost tasks are
+never read.
+
+File: the magic bytes, then unsigned 32-bit counts (documents, rules, symbols, ids of the alphabet,
+bytes per symbol), then arrays: id known (u8), document ids (i64), ids per document (u32), the ids
+that symbols below the first rule stand for (u32), left and right parts of rules (u16 or u32), ids
+per rule (u32), symbols (u16 or u32). All little-endian.
 
 Defined cases: null text is an empty document of one id, the end; null ids come first; rows with
-one id are kept in the order of their texts; no rows make no shards and give no rows; other
-columns are ignored. A document longer than a shard stays whole in a shard of its own.
+one id are kept in the order of their texts' crc32, then of their texts; of equally frequent pairs
+that overlap the first, the third and so on are replaced, from the left; no rows make no shards and
+give no rows; other columns are ignored. A document longer than a shard stays whole in a shard of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,11 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_folder, read_file, table, tidy, word_encoder, write_file
 
-MAGIC = b"RPAIR001"
+MAGIC = b"RPAIR002"
 END_ID = 2
 SHARD_IDS = 1_000_000
-ROUNDS = 3
-RULES_PER_ROUND = 5_000
 MIN_COUNT = 8
 SLOTS = 1 << 18
 WORDS = 800_000  # kept by a worker from task to task
@@ -44,47 +46,80 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, first_new: int, rounds: int = ROUNDS, rules_per_round: int = RULES_PER_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left parts, right parts) of a grammar whose new symbols start at first_new."""
-    symbols = ids.astype(np.uint32)
-    left, right = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-    new = first_new
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        slots = _slots(symbols[:-1], symbols[1:])
-        per_slot = np.bincount(slots, minlength=SLOTS)
-        # only pairs in the most frequent slots are worth an exact count
-        bound = max(min_count, int(np.partition(per_slot, SLOTS - rules_per_round)[SLOTS - rules_per_round]))
-        often = np.flatnonzero((per_slot >= bound)[slots])
-        pairs = (symbols[often].astype(np.uint64) << np.uint64(32)) | symbols[often + 1]
-        found, counts = np.unique(pairs, return_counts=True)
-        best = np.argsort(-counts, kind="stable")[:rules_per_round]
-        found = found[best[counts[best] >= min_count]]
+def _places(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which of the ascending places of frequent pairs are replaced: none beside another. Of a run of
+    neighbours with one count every other one stands; of two that touch the more frequent one."""
+    touches = np.diff(at) == 1
+    same = touches & (count[1:] == count[:-1])
+    every = np.arange(len(at))
+    stands = (every - np.maximum.accumulate(np.where(np.r_[True, ~same], every, 0))) % 2 == 0
+    clash = touches & stands[1:] & stands[:-1]
+    out = stands.copy()
+    out[1:][clash & (count[1:] < count[:-1])] = False
+    out[:-1][clash & (count[1:] > count[:-1])] = False
+    return out
+
+
+class Rules(NamedTuple):
+    """A grammar: symbols below len(alphabet) stand for ids, the others for pairs of symbols."""
+
+    symbols: np.ndarray
+    alphabet: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    lengths: np.ndarray
+
+
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Rules:
+    """Replaces all pairs that come min_count times, round by round, until there are none.
+
+    After a round only a pair with a new symbol, or one that had to stand back, can be frequent:
+    a round counts those places alone. Pairs are sifted by slots of a hash; of two that share one
+    the more frequent has it, the other waits for the next round."""
+    present = np.bincount(ids) > 0 if len(ids) else np.zeros(0, bool)
+    alphabet = np.flatnonzero(present).astype(np.uint32)
+    symbols = (np.cumsum(present) - 1).astype(np.uint32)[ids]
+    left, right, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], np.ones(len(alphabet), np.int64)
+    at = np.arange(max(len(symbols) - 1, 0))
+    while len(at):
+        slot = _slots(symbols[at], symbols[at + 1])
+        often = np.bincount(slot, minlength=SLOTS)[slot] >= min_count
+        at, slot = at[often], slot[often]
+        pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+        found, count = np.unique(pairs, return_counts=True)
+        found, count = found[count >= min_count], count[count >= min_count]
         if not len(found):
             break
         a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
-        # a slot holds one pair: the most frequent of those that share it
-        kept = np.sort(np.unique(_slots(a, b), return_index=True)[1])
-        a, b, found = a[kept], b[kept], found[kept]
-        by_slot = np.zeros(SLOTS, np.int32)
-        by_slot[_slots(a, b)] = np.arange(len(found), dtype=np.int32)
-        rule = by_slot[slots[often]]
+        by_slot, waits = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, bool)
+        rank, of = np.argsort(count, kind="stable"), _slots(a, b)
+        by_slot[of[rank]] = rank  # the last one written is the most frequent
+        waits[of[by_slot[of] != np.arange(len(found))]] = True
+        rule = by_slot[slot]
         hit = found[rule] == pairs
-        at, rule = often[hit], rule[hit]
-        # of a run of overlapping places every other one, from the left
-        place = np.arange(len(at))
-        run_start = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], place, 0))
-        take = (place - run_start) % 2 == 0
-        at, rule = at[take], rule[take]
-        symbols[at] = rule.astype(np.uint32) + np.uint32(new)
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols = symbols[keep]
+        where, rule = at[hit], rule[hit]
+        take = _places(where, count[rule])
+        used = np.bincount(rule[take], minlength=len(found)) >= 2
+        take &= used[rule]
+        if not take.any():
+            break
+        number = (np.cumsum(used) - 1 + len(lengths)).astype(np.uint32)
+        a, b = a[used], b[used]
         left.append(a)
         right.append(b)
-        new += len(found)
-    return symbols, np.concatenate(left), np.concatenate(right)
+        lengths = np.append(lengths, lengths[a] + lengths[b])
+        symbols[where[take]] = number[rule[take]]
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[where[take] + 1] = False
+        moved = np.cumsum(keep) - 1
+        symbols = symbols[keep]
+        again = np.zeros(len(symbols) + 1, dtype=bool)
+        rest = np.concatenate([where[~take], at[~hit][waits[slot[~hit]]]])
+        again[moved[rest[keep[rest]]]] = True
+        new = moved[where[take]]
+        again[new] = again[new - 1] = True  # before the first stands the last, which is dropped
+        at = np.flatnonzero(again[: max(len(symbols) - 1, 0)])
+    return Rules(symbols, alphabet, np.concatenate(left), np.concatenate(right), lengths[len(alphabet) :].astype(np.uint32))
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -95,8 +130,10 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Grammar:
     """Expansions of a shard's symbols."""
 
-    def __init__(self, symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first_new: int, lengths: np.ndarray) -> None:
-        self.symbols, self.first_new = symbols, first_new
+    def __init__(self, rules: Rules) -> None:
+        symbols, alphabet, left, right, lengths = rules
+        first_new = len(alphabet)
+        self.symbols, self.alphabet = symbols, alphabet
         self.lengths = np.asarray(lengths, np.int64)
         self.offsets = np.r_[0, np.cumsum(self.lengths)]
         self.flat = np.empty(int(self.offsets[-1]), np.uint32)
@@ -106,7 +143,7 @@ class Grammar:
             at = self.offsets[some]
             for part in (left[some], right[some]):
                 old = part < first_new
-                self.flat[at[old]] = part[old]
+                self.flat[at[old]] = alphabet[part[old]]
                 inner = part[~old].astype(np.int64) - first_new
                 self.flat[_spread(at[~old], self.lengths[inner])] = self.flat[_spread(self.offsets[inner], self.lengths[inner])]
                 size = np.ones(len(part), np.int64)
@@ -129,13 +166,6 @@ class Grammar:
                 return depth
             depth = new
 
-    @staticmethod
-    def rule_lengths(left: np.ndarray, right: np.ndarray, first_new: int) -> np.ndarray:
-        out: list[int] = []
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            out.append((out[a - first_new] if a >= first_new else 1) + (out[b - first_new] if b >= first_new else 1))
-        return np.array(out, np.uint32)
-
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids from start to stop, by expanding only the symbols that hold them."""
         total = int(self.ends[-1]) if len(self.ends) else 0
@@ -147,7 +177,7 @@ class Grammar:
         before = int(self.ends[a] - self.spans[a])
         ends = np.cumsum(spans)
         out = np.empty(int(ends[-1]), np.uint32)
-        out[(ends - spans)[~new]] = self.symbols[a : b + 1][~new]
+        out[(ends - spans)[~new]] = self.alphabet[self.symbols[a : b + 1][~new]]
         n = spans[new]
         if len(n):
             out[_spread((ends - spans)[new], n)] = self.flat[_spread(self.offsets[self.rules[a : b + 1][new]], n)]
@@ -156,13 +186,12 @@ class Grammar:
 
 def shard_bytes(doc_ids: list[int | None], n_tokens: list[int], ids: np.ndarray) -> list[bytes]:
     """A shard's file."""
-    first_new = int(ids.max()) + 1 if len(ids) else 0
-    symbols, left, right = compress(ids, first_new)
-    width = 2 if first_new + len(left) <= 1 << 16 else 4
-    head = struct.pack("<5I", len(doc_ids), len(left), len(symbols), first_new, width)
+    rules = compress(ids)
+    width = 2 if len(rules.alphabet) + len(rules.left) <= 1 << 16 else 4
+    head = struct.pack("<5I", len(doc_ids), len(rules.left), len(rules.symbols), len(rules.alphabet), width)
     arrays = [
-        np.array([x is not None for x in doc_ids], "u1"), np.array([x or 0 for x in doc_ids], "<i8"), np.array(n_tokens, "<u4"),
-        left.astype("<u4"), right.astype("<u4"), Grammar.rule_lengths(left, right, first_new).astype("<u4"), symbols.astype(f"<u{width}"),
+        np.array([x is not None for x in doc_ids], "u1"), np.array([x or 0 for x in doc_ids], "<i8"), np.array(n_tokens, "<u4"), rules.alphabet.astype("<u4"),
+        rules.left.astype(f"<u{width}"), rules.right.astype(f"<u{width}"), rules.lengths.astype("<u4"), rules.symbols.astype(f"<u{width}"),
     ]
     return [MAGIC, head, *(x.tobytes() for x in arrays)]
 
@@ -173,20 +202,21 @@ class Shard:
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        docs, rules, n_symbols, first_new, width = struct.unpack_from("<5I", data, 8)
+        docs, rules, n_symbols, n_alphabet, width = struct.unpack_from("<5I", data, 8)
         at = 28
         arrays = []
-        for kind, n in (("u1", docs), ("<i8", docs), ("<u4", docs), ("<u4", rules), ("<u4", rules), ("<u4", rules), (f"<u{width}", n_symbols)):
+        for kind, n in (("u1", docs), ("<i8", docs), ("<u4", docs), ("<u4", n_alphabet), (f"<u{width}", rules), (f"<u{width}", rules), ("<u4", rules), (f"<u{width}", n_symbols)):
             arrays.append(np.frombuffer(data, kind, n, at))
             at += arrays[-1].nbytes
         if at != len(data):
             raise ValueError(f"a shard of {len(data)} bytes should have {at}")
-        known, ids, self.n_tokens, left, right, lengths, symbols = arrays
+        known, ids, self.n_tokens, alphabet, left, right, lengths, symbols = arrays
         self.doc_ids = [x if k else None for x, k in zip(ids.tolist(), known.tolist(), strict=True)]
         self.starts = np.cumsum(self.n_tokens, dtype=np.int64) - self.n_tokens
-        self.grammar = Grammar(symbols.astype(np.uint32), left, right, first_new, lengths)
+        self.grammar = Grammar(Rules(symbols, alphabet, left, right, lengths))
 
     def ids(self, k: int) -> np.ndarray:
+        """The ids of the k-th document, decoded without the others."""
         return self.grammar.ids(int(self.starts[k]), int(self.starts[k]) + int(self.n_tokens[k]))
 
 
@@ -220,8 +250,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         if docs:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    manifest = materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("check", F.crc32(F.col("text").cast("binary")))  # so that rows of one id are split, too
+    ordered = rows.repartitionByRange("doc_id", "check").sortWithinPartitions("doc_id", "check", "text").select("doc_id", "text")
+    manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
     # the running sum over partitions takes a row of each; within one, over its shards
     totals = manifest.groupBy("partition").agg(F.sum("n_ids").alias("ids"))
     before = totals.select("partition", (F.sum("ids").over(Window.orderBy("partition")) - F.col("ids")).alias("base"))
@@ -238,9 +270,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(read_file(path))
-                ids = shard.grammar.ids().astype("<u4")
-                ends = (shard.starts + shard.n_tokens).tolist()
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(shard.starts.tolist(), ends, strict=True)]
+                crcs = [zlib.crc32(shard.ids(k)) for k in range(len(shard.doc_ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts + base), pa.array(shard.n_tokens.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark = manifest.sparkSession

@@ -51,10 +51,61 @@ def test_grammar_round_trip(ids, a, b):
     assert shard.doc_ids == [1, None]
 
 
+def frequent_pairs(symbols):
+    found, count = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)
+    return found[count >= token_store.MIN_COUNT]
+
+
+def plain_repair(ids, min_count):
+    """Symbols left and rules, when always the most frequent pair alone is replaced."""
+    symbols, rules = list(ids), 0
+    while len(symbols) > 1:
+        count = {}
+        for p in zip(symbols, symbols[1:]):
+            count[p] = count.get(p, 0) + 1
+        pair = max(count, key=count.get)
+        if count[pair] < min_count:
+            break
+        out, k = [], 0
+        while k < len(symbols):
+            if tuple(symbols[k : k + 2]) == pair:
+                out.append(("rule", rules))
+                k += 2
+            else:
+                out.append(symbols[k])
+                k += 1
+        symbols, rules = out, rules + 1
+    return len(symbols), rules
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grammar_near_a_plain_one(seed):
+    draw = np.random.default_rng(seed)
+    words = [draw.integers(0, 60, draw.integers(1, 6)) for _ in range(40)]
+    ids = np.concatenate([words[k] for k in np.minimum(draw.zipf(1.4, 900) - 1, 39)]).astype("<u4")
+    rules = token_store.compress(ids)
+    assert not len(frequent_pairs(rules.symbols))
+    assert (token_store.Grammar(rules).ids() == ids).all()
+    symbols, n = plain_repair(ids.tolist(), token_store.MIN_COUNT)
+    assert len(rules.symbols) + 2 * len(rules.left) <= 1.15 * (symbols + 2 * n)
+
+
+def test_no_pair_stays_frequent_in_many_copies_of_a_passage():
+    draw = np.random.default_rng(3)
+    passage = draw.integers(0, 49_000, 200)
+    ids = np.concatenate([np.append(passage, draw.integers(0, 49_000, draw.integers(0, 9))) for _ in range(1000)]).astype("<u4")
+    rules = token_store.compress(ids)
+    assert not len(frequent_pairs(rules.symbols))
+    assert rules.lengths.max() >= 128  # a rule for the most of the passage
+    assert len(rules.symbols) < 8 * 1000
+    grammar = token_store.Grammar(rules)
+    assert (grammar.ids() == ids).all() and (grammar.ids(777, 5000) == ids[777:5000]).all()
+
+
 def test_grammar_saves_space():
     ids = np.tile(np.arange(50, dtype="<u4"), 200)
-    symbols, left, _ = token_store.compress(ids, 50)
-    assert len(symbols) < len(ids) / 4 and len(left)
+    rules = token_store.compress(ids)
+    assert len(rules.symbols) + 2 * len(rules.left) < len(ids) / 20
 
 
 def test_bad_shards():
@@ -69,7 +120,7 @@ def test_bad_shards():
 def test_shards(spark, docs, texts, shard_ids):
     rows = token_store.read_shards(token_store.write_shards(docs, new_folder(spark, "t"), PATH, shard_ids=shard_ids)).collect()
     want, at = [], 0
-    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32((x[1] or "").encode()), x[1] or "")):
         ids = library(t) + (2).to_bytes(4, "little")
         want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
