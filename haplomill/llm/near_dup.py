@@ -3,22 +3,23 @@
 A document's set is that of its distinct word shingles; documents with one set form a class, and
 classes are linked when their Jaccard similarity reaches a bound. Of a class's `COORDINATES`
 signature coordinates each gives a token, the pair of coordinate and value. Linked classes share at
-least `MIN_MATCHES` tokens (at similarity 0.8 they fail to with a chance of 6e-6), so:
+least `MIN_MATCHES` tokens (at similarity 0.8 they fail to with a chance of 4.2e-6), so:
 
 * a token that only one class has is skipped, and so is a class with fewer than `MIN_MATCHES`
   tokens left;
 * a class is posted under a prefix only: ordered from the rarest token on, all but its last
   `MIN_MATCHES` - 1 tokens; two classes with enough tokens in common meet in some posting list;
-* a list of at most `SHORT` members proposes all their pairs. A longer one proposes its members
-  against two of them, the one whose tokens are the most common and the smallest. A proposed pair
-  counts its equal coordinates, and with `MIN_MATCHES` of them is confirmed on the full sets, which
-  a second pass over the texts gives for the classes concerned;
-* most members of long lists then are in the component of their list's most common one. The others
-  are held against all members of the long lists of that component, on full sets and in blocks of
-  bounded size: a task has the sets of a block of outsiders as postings and counts for each set of
-  a block of members what it shares with each of them. Only links come out, one for each outsider
-  and component, so that large groups of copies make no pairs, and no link that could change a
-  component is lost.
+* every list proposes its members against two representatives, the one whose tokens are the most
+  common and the smallest. A proposed pair counts its equal coordinates, and with `MIN_MATCHES` of
+  them is confirmed on the full sets, which a second pass over the texts gives for the classes
+  concerned;
+* most members of a list then are in the component of its most common one, and are skipped. Those
+  outside it, but for the two representatives, who have met everyone, are held against all members
+  of the lists of that component, in blocks of bounded size: a task posts the tokens of a block of
+  outsiders and counts for each member of a block its collisions with each of them; with
+  `MIN_MATCHES` of them a pair is confirmed on the full sets. Only links come out, one for each
+  outsider and component, so that large groups of copies make no pairs, and no link that could
+  change a component is lost.
 
 Components come from hooking every class to its smallest neighbour, jumping to the roots and
 contracting, all as joins. Nothing of all documents goes to the driver but a bit filter of fixed
@@ -50,7 +51,6 @@ SIMILARITY = 80  # hundredths
 COORDINATES = 64
 MIN_MATCHES = 36
 FILTER_BITS = 23
-SHORT = 16
 BLOCK_SHINGLES = 1_000_000  # of a block of outsiders, which a task holds at once
 MEMBER_SHINGLES = 100_000  # of a block of members, which it passes through
 SEED = 20240229
@@ -245,17 +245,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, postings: DataFrame, similarity: int) -> DataFrame:
     """node -> root of the classes that are linked with any; postings: node, n, pop, token."""
-    ends = postings.groupBy("token").agg(F.max(F.struct("pop", (-F.col("node")).alias("neg"))).alias("top"), F.min("node").alias("low"), F.count("*").alias("length"))
-    ends = materialize(ends.where("length > 1").select("token", (-F.col("top.neg")).alias("top"), "low", "length"), "ends")
+    ends = postings.groupBy("token").agg(F.max(F.struct("pop", (-F.col("node")).alias("neg"), F.col("node").alias("node"))).alias("top"), F.min("node").alias("low"), F.count("*").alias("length"))
+    ends = materialize(ends.where("length > 1").select("token", F.col("top.node").alias("top"), "low", "length"), "ends")
     members = materialize(postings.join(ends, "token").select("token", "node", "n", "top", "low", "length"), "members")
-    short = members.where(F.col("length") <= SHORT).select("token", "node", "n")
-    other = short.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"))
-    fits = 100 * F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
-    within = short.join(other, "token").where((F.col("node") < F.col("other")) & fits)
-    long = members.where(F.col("length") > SHORT)
-    proposed = _pairs(within, "node", "other").unionByName(_pairs(long, "node", "top")).unionByName(_pairs(long, "node", "low")).distinct()
+    proposed = _pairs(members, "node", "top").unionByName(_pairs(members, "node", "low")).distinct()
     pairs = alike(materialize(proposed, "proposed"), nodes, similarity)
 
+    # with two members besides the representatives at least, there are pairs that no one proposed
+    long = members.where("length >= 3 + cast(top <> low AS int)")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
     sets = full_sets(docs, text_col, size, materialize(classes.select("node", "h1", "h2").join(needed, "node", "left_semi"), "wanted"))
     links = confirm(pairs, sets, similarity)
@@ -264,35 +261,46 @@ def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame,
     # members outside the component of their list's most common member, and all whom they meet
     placed = long.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = joined.select(F.col("node").alias("top"), F.col("root").alias("main"))
-    placed = placed.join(main, "top", "left").select("token", "node", "n", "root", F.coalesce("main", "top").alias("main"))
-    outside = materialize(placed.where("root <> main"), "outside")
+    placed = placed.join(main, "top", "left").select("token", "node", "n", "root", F.coalesce("main", "top").alias("main"), ((F.col("node") == F.col("top")) | (F.col("node") == F.col("low"))).alias("met_all"))
+    outside = materialize(placed.where("root <> main AND NOT met_all"), "outside")
     if outside.isEmpty():
         return joined
-    met = placed.join(outside.select("token").distinct(), "token", "left_semi").select("main", "node", "n", "root").distinct()
-    return components(links.unionByName(compare_blocks(materialize(met, "met"), sets, similarity)))
+    met = placed.join(outside.select("token").distinct(), "token", "left_semi").where("NOT met_all").select("main", "node", "n", "root").distinct()
+    return components(links.unionByName(compare_blocks(materialize(met, "met"), nodes.select("node", "sig"), sets, similarity)))
 
 
-def shared_counts(owners: np.ndarray, starts: np.ndarray, universe: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
-    """How many of the shingles each of n sets has; universe: the sets' distinct shingles, of which
-    the k-th has owners[starts[k]:starts[k + 1]]."""
-    at = np.searchsorted(universe, shingles)
-    at = at[at < len(universe)] if len(at) and at[-1] >= len(universe) else at
-    at = at[universe[at] == shingles[: len(at)]]
-    length = starts[at + 1] - starts[at]
-    place = np.arange(int(length.sum())) + np.repeat(starts[at] - (np.cumsum(length) - length), length)
-    return np.bincount(owners[place], minlength=n)
+class Postings:
+    """Lists of a block's sets: which of them have a value."""
 
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.n = len(sets)
+        self.owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+        self.universe, starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(starts, len(every))
 
-def compare_blocks(met: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    def collisions(self, values: np.ndarray) -> np.ndarray:
+        """How many of the distinct values, in order, each set has."""
+        at = np.searchsorted(self.universe, values)
+        inside = at < len(self.universe)
+        at, values = at[inside], values[inside]
+        at = at[self.universe[at] == values]
+        length = self.starts[at + 1] - self.starts[at]
+        place = np.arange(int(length.sum())) + np.repeat(self.starts[at] - (np.cumsum(length) - length), length)
+        return np.bincount(self.owners[place], minlength=self.n)
+
+
+def compare_blocks(met: DataFrame, signatures: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) of members outside a zone's component; met: main (the zone), node, n, root. Each
     block of outsiders meets each block of the zone's members in a task of its own."""
     shingles = F.sum("n")
     zones = met.groupBy("main").agg(F.ceil(shingles / MEMBER_SHINGLES).alias("blocks"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))) / BLOCK_SHINGLES).alias("out_blocks"))
     zones = materialize(zones.where("out_blocks > 0"), "zones")
-    rows = met.join(zones, "main").join(sets, "node").withColumn("h", F.xxhash64("node"))
+    rows = met.join(zones, "main").join(signatures, "node").join(sets, "node").withColumn("h", F.xxhash64("node"))
     own, other = F.pmod("h", "blocks"), F.pmod(F.shiftright("h", 8), "out_blocks")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    fresh = [F.col(c).alias(c) for c in ("main", "mb", "ob", "node", "root", "shingles")]  # so that the two sides differ
+    fresh = [F.col(c).alias(c) for c in ("main", "mb", "ob", "node", "root", "sig", "shingles")]  # so that the two sides differ
     members = rows.withColumn("mb", own).withColumn("ob", each("out_blocks")).select(*fresh)
     outsiders = rows.where("root <> main").withColumn("ob", other).withColumn("mb", each("blocks")).select(*fresh)
 
@@ -301,17 +309,17 @@ def compare_blocks(met: DataFrame, sets: DataFrame, similarity: int) -> DataFram
         if len(outsiders) and len(members):
             held = [np.frombuffer(x, np.uint64) for x in outsiders["shingles"]]
             sizes = np.array([len(x) for x in held])
-            every = np.concatenate(held)
-            order = np.argsort(every, kind="stable")
-            universe, starts = np.unique(every[order], return_index=True)
-            starts, owners = np.append(starts, len(every)), np.repeat(np.arange(len(held)), sizes)[order]
+            tokens = Postings([np.unique(np.asarray(x, np.int64)) for x in outsiders["sig"]])
+            full: Postings | None = None
             ids, roots = outsiders["node"].to_numpy(), outsiders["root"].to_numpy()
-            for node, root, raw in zip(members["node"], members["root"], members["shingles"], strict=True):
-                own = np.frombuffer(raw, np.uint64)
-                both = shared_counts(owners, starts, universe, own, len(held))
-                linked = (100 * both >= similarity * (sizes + len(own) - both)) & (roots != root)
-                for k in np.flatnonzero(linked).tolist():
-                    out.setdefault((int(ids[k]), root), (int(ids[k]), node))
+            for node, root, sig, raw in zip(members["node"], members["root"], members["sig"], members["shingles"], strict=True):
+                alike = (tokens.collisions(np.unique(np.asarray(sig, np.int64))) >= MIN_MATCHES) & (roots != root)
+                if alike.any():
+                    own = np.frombuffer(raw, np.uint64)
+                    full = full or Postings(held)
+                    both = full.collisions(own)
+                    for k in np.flatnonzero(alike & (100 * both >= similarity * (sizes + len(own) - both))).tolist():
+                        out.setdefault((int(ids[k]), root), (int(ids[k]), node))
         return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype="int64")
 
     keys = ["main", "mb", "ob"]

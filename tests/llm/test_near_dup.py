@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -29,11 +31,11 @@ def groups(texts, size):
 
 
 @pytest.mark.parametrize("size", [2, 5])
-@pytest.mark.parametrize("short", [16, 1])
-def test_against_all_pairs(docs, texts, size, short, monkeypatch):
-    monkeypatch.setattr(near_dup, "SHORT", short)
-    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
-    monkeypatch.setattr(near_dup, "MEMBER_SHINGLES", 500)
+@pytest.mark.parametrize("small", [True, False])
+def test_against_all_pairs(docs, texts, size, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+        monkeypatch.setattr(near_dup, "MEMBER_SHINGLES", 500)
     rows = near_dup.near_duplicates(docs, shingle_words=size).collect()
     want, n = groups(texts, size)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows), key=repr) == want
@@ -60,12 +62,26 @@ def test_components_of_chains_and_stars(spark):
     assert 9 not in got
 
 
-def test_shared_counts():
-    held = [np.array(x, np.uint64) for x in ([1, 5, 9], [5, 7], [11])]
-    every = np.concatenate(held)
-    order = np.argsort(every, kind="stable")
-    universe, starts = np.unique(every[order], return_index=True)
-    owners = np.repeat([0, 1, 2], [3, 2, 1])[order]
-    found = near_dup.shared_counts(owners, np.append(starts, len(every)), universe, np.array([0, 5, 9, 50], np.uint64), 3)
-    assert found.tolist() == [2, 1, 0]
-    assert near_dup.shared_counts(owners, np.append(starts, len(every)), universe, np.array([99], np.uint64), 3).tolist() == [0, 0, 0]
+def test_collisions_against_plain_sets():
+    held = [np.array(x, np.uint64) for x in ([1, 5, 9], [5, 7], [11], [])]
+    lists = near_dup.Postings(held)
+    for values in ([0, 5, 9, 50], [99], [], [1, 5, 7, 9, 11], [11, 12, 13]):
+        assert lists.collisions(np.array(values, np.uint64)).tolist() == [len(set(values) & set(x.tolist())) for x in held]
+    assert near_dup.Postings([]).collisions(np.array([1], np.uint64)).tolist() == []
+
+
+def test_lists_of_many_unlinked_members(spark):
+    """One list holds groups that are copies of each other's parts: links among all but the first."""
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for g in range(6):
+        words = base[:200] + [f"g{g}x{k}" for k in range(60)]
+        for c in range(5):
+            own = list(words)
+            for _ in range(c * 2):
+                own[draw.randrange(len(own))] = f"c{draw.random()}"
+            texts.append((10 * g + c, " ".join(own)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    rows = near_dup.near_duplicates(frame, shingle_words=2).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows), key=repr) == groups(texts, 2)[0]
