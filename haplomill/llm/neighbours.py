@@ -4,21 +4,26 @@ Every norm is a band of its own with its own scale: vectors and queries are hash
 that the chance to meet depends on their angle alone, whatever other lengths the table holds, and
 all bands share the probes of a query. The nearest of one norm in Euclidean distance has the largest
 inner product; across norms a long vector may win at a wide angle, so the `LONGEST` vectors are
-compared with every query exactly. A table hashes a vector by `FUNCTIONS` random projections, each
-cut into cells of `WIDTH`. A query visits its own bucket and those that moving some projections by a
-cell reaches, in the order of their estimated success: the sum of squared distances to the cell
-borders crossed. All rows are in every table; candidates of all tables are reranked by exact inner
-products. A table of at most `LONGEST` rows is compared exactly as a whole, and so are with all rows
-the queries whose buckets hold fewer than `k` distinct candidates.
+compared with every query exactly. A table hashes a vector by some random projections, each cut into
+cells of `WIDTH`; the more rows, the more projections, so that buckets stay small. A query visits its
+own bucket and those that moving some projections by a cell reaches, in the order of their estimated
+success: the sum of squared distances to the cell borders crossed. All rows are in every table;
+candidates of all tables are reranked by exact inner products. A table of at most `LONGEST` rows is
+compared exactly as a whole, and so are with all rows the queries whose buckets hold fewer than `k`
+distinct candidates.
+
+How many buckets a query visits is measured, not guessed: `SAMPLE` queries, drawn by a hash of their
+id, are compared with all rows, and the fewest probes that bring `RECALL` of their true neighbours
+are used for all queries. Where `MOST_PROBES` don't, the tables get fewer projections. The more rows
+there are, the nearer the neighbours and the smaller the share of the rows that so many probes visit.
+Isotropic vectors have no near neighbours to speak of (the 20th is hardly nearer than the 200th):
+with these about half of 51,000 rows are visited, fewer with structure.
 
 A bucket of more than `BLOCK` rows is cut into blocks by a hash of the id, each of which meets all
 queries of the bucket. Blocks of one table are dealt to groups of about `GROUP_ROWS` rows; a task
-takes a group and the queries that probe it as matrices and keeps the best `k` of each query,
-which loses nothing: the best of all groups are among the best of each.
-
-Isotropic vectors have no near neighbours to speak of (the 20th is hardly nearer than the 200th),
-and no hash tells them apart; recall of 0.9 then takes many probes. On vectors with structure the
-same probes see a smaller share of the rows.
+takes a group and the queries that probe it, multiplies bucket by bucket with the queries that visit
+it and keeps the best `k` of each query, which loses nothing: the best of all groups are among the
+best of each.
 
 Defined cases: vectors that are null, empty, zero, of another length than most or with null or
 non-finite components take no part, as query or as candidate; ties go to the smaller id; rows that
@@ -29,6 +34,7 @@ with fewer candidates than k all are returned; no rows give no rows; other colum
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -41,13 +47,17 @@ from .common import materialize, table, tidy
 
 K = 20
 QUERY_EVERY = 20
-TABLES = 4
-FUNCTIONS = 5
-WIDTH = 1.5
-PROBES = 160
+TABLES = 8
+WIDTH = 2.6
+LEAST_FUNCTIONS, MOST_FUNCTIONS = 4, 24
+SAMPLE = 128
+RECALL = 0.95
+MOST_PROBES = 1024
 BLOCK = 2048
 GROUP_ROWS = 16_384
 QUERY_ROWS = 4_096  # queries of a task that compares exactly
+TOGETHER = 128  # queries multiplied at once
+HELD = 200_000  # scores that a task holds before it keeps the best
 LONGEST = 2_048
 SEED = 77
 FOUND = "query_id long, vec_id long, score double"
@@ -56,7 +66,7 @@ FOUND = "query_id long, vec_id long, score double"
 class Hashes:
     """The projections of all tables, the same wherever they are made."""
 
-    def __init__(self, dimensions: int, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH) -> None:
+    def __init__(self, dimensions: int, tables: int = TABLES, functions: int = 12, width: float = WIDTH) -> None:
         draw = np.random.default_rng(SEED)
         self.tables, self.functions = tables, functions
         self.directions = draw.standard_normal((dimensions, tables * functions))
@@ -77,27 +87,48 @@ def bucket_numbers(cells: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def probes(place: np.ndarray, n: int) -> np.ndarray:
-    """The n sets of cells most likely to hold near vectors, the own one first: moves of one cell
-    up or down, at most one for each function, in ascending order of squared distances crossed."""
-    cell = np.floor(place)
-    part = place - cell
-    # (cost, function, step), cheapest first; sets grow by shifting or adding the last move
-    moves = sorted([(float(p) ** 2, f, -1) for f, p in enumerate(part)] + [(float(1 - p) ** 2, f, 1) for f, p in enumerate(part)])
-    out, heap = [cell], [(moves[0][0], (0,))]
+@functools.cache
+def patterns(functions: int, n: int = 2 * MOST_PROBES) -> np.ndarray:
+    """The n sets of moves that are cheapest on average, none first. A set is a row over the places of
+    the 2 x functions moves in ascending order of distance; the move at place r and the one as far
+    from the end are the two of one function, of which a set has at most one."""
+    m = functions
+    r = np.arange(1, 2 * m + 1)
+    mirrored = 2 * m + 1 - r
+    # expected squared distances of sorted places that are uniform in a cell
+    cost = np.where(r <= m, r * (r + 1) / (4 * (m + 1) * (m + 2)), 1 - mirrored / (m + 1) + mirrored * (mirrored + 1) / (4 * (m + 1) * (m + 2)))
+    out: list[tuple[int, ...]] = [()]
+    heap = [(cost[0], (0,))]
     while heap and len(out) < n:
-        cost, chosen = heapq.heappop(heap)
+        total, chosen = heapq.heappop(heap)
         last = chosen[-1]
-        if last + 1 < len(moves):
-            step = moves[last + 1][0]
-            heapq.heappush(heap, (cost - moves[last][0] + step, (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (cost + step, (*chosen, last + 1)))
-        if len({moves[i][1] for i in chosen}) == len(chosen):
-            moved = cell.copy()
-            for i in chosen:
-                moved[moves[i][1]] += moves[i][2]
-            out.append(moved)
-    return np.array(out)
+        if last + 1 < 2 * m:  # sets grow by shifting or adding the last move
+            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
+        if not any(2 * m - 1 - x in chosen for x in chosen):
+            out.append(chosen)
+    rows = np.zeros((len(out), 2 * m), np.int8)
+    for k, chosen in enumerate(out):
+        rows[k, list(chosen)] = 1
+    return rows
+
+
+def probes(places: np.ndarray, n: int) -> np.ndarray:
+    """For each row of places the n sets of cells most likely to hold near vectors, the own one first:
+    the sets of `patterns` in ascending order of the squared distances that this row crosses."""
+    m = places.shape[-1]
+    sets = patterns(m)
+    cell = np.floor(places)
+    part = places - cell
+    near = np.minimum(part, 1 - part)
+    order = np.argsort(near, axis=1, kind="stable")
+    ranked = np.take_along_axis(near, order, axis=1)
+    squares = np.concatenate([ranked**2, ((1 - ranked) ** 2)[:, ::-1]], axis=1)
+    first = np.argsort(squares @ sets.T.astype(float), axis=1, kind="stable")[:, :n]
+    # +1: over the near border, -1: over the far one, of the functions in order of distance
+    signed = sets[:, :m] - sets[:, m:][:, ::-1]
+    moves = np.take_along_axis(signed[first], np.argsort(order, axis=1)[:, None, :], axis=2)
+    return cell[:, None, :] + moves * np.where(part <= 0.5, -1, 1)[:, None, :]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -107,14 +138,39 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector (doubles) of the rows that take part."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    """id and vector (of floats or doubles, as they come) of the rows that take part."""
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col) if single else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, n_probes: int = PROBES, longest: int = LONGEST) -> DataFrame:
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def fitted(data: DataFrame, queries: DataFrame, k: int, hashes: Hashes, recall: float, sample: int) -> int | None:
+    """The fewest probes that bring `recall` of the true neighbours of some queries; None if
+    MOST_PROBES don't. At most sample x k vectors come to the driver."""
+    some = materialize(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample), "sample")
+    truth = ranked(scan_all(data, some, k), k).select("query_id", "vec_id")
+    pairs = truth.join(data.select("vec_id", "v"), "vec_id").join(some.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    pairs = pairs.dropDuplicates(["query_id", "vec_id"]).toPandas()
+    if not len(pairs):
+        return 1
+    place = np.full(len(pairs), MOST_PROBES)
+    own = bucket_numbers(np.floor(hashes.places(unit(matrix(pairs["v"])))))
+    for _, at in pairs.reset_index(drop=True).groupby("query_id").indices.items():
+        q = hashes.places(unit(matrix(pairs["q"].iloc[at[:1]])))[0]
+        visited = bucket_numbers(probes(q, MOST_PROBES))  # tables x probes
+        same = visited[None, :, :] == own[at][:, :, None]
+        place[at] = np.where(same.any(axis=2), same.argmax(axis=2), MOST_PROBES).min(axis=1)
+    needed = int(np.sort(place)[int(np.ceil(recall * len(place))) - 1]) + 1
+    return needed if needed <= MOST_PROBES else None
+
+
+def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, width: float = WIDTH, n_probes: int | None = None, longest: int = LONGEST, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id query_every divides."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -123,40 +179,47 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = int(lengths["d"])
     rows = rows.where(F.size("v") == d)
+    kind = rows.schema["v"].dataType.simpleString()
 
-    def hashed(query: bool):
+    def hashed(query: bool, functions: int):
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             hashes = Hashes(d, tables, functions, width)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                places = hashes.places(unit(x))
-                for t in range(tables):
-                    if query:
-                        cells = [probes(p, n_probes) for p in places[:, t]]
-                        take = np.repeat(np.arange(len(x)), [len(c) for c in cells])
-                        buckets = bucket_numbers(np.concatenate(cells))
-                    else:
-                        take, buckets = np.arange(len(x)), bucket_numbers(np.floor(places[:, t]))
-                    none = pa.nulls(len(take), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(buckets), batch.column(0).take(pa.array(take)), none if query else batch.column(1)], ["tbl", "bucket", "vec_id", "v"])
+                for at in range(0, batch.num_rows, TOGETHER):
+                    some = batch.slice(at, TOGETHER)
+                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                    places = hashes.places(unit(x))
+                    for t in range(tables):
+                        if query:
+                            cells = bucket_numbers(probes(places[:, t], n_probes))
+                            take, buckets, v = np.repeat(np.arange(len(x)), cells.shape[1]), cells.ravel(), []
+                        else:
+                            take, buckets, v = np.arange(len(x)), bucket_numbers(np.floor(places[:, t])), [some.column(1)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(buckets), some.column(0).take(pa.array(take)), *v], ["tbl", "bucket", "vec_id", "v"][: 3 + len(v)])
 
         return run
 
     ids = "tbl int, bucket long, vec_id long"
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     # written with the rows: a sort would compute it for each comparison
     data = materialize(rows.dropDuplicates(["vec_id", "v"]).withColumn("norm2", norm2), "vectors")
     queries = materialize(data.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     head = materialize(data.orderBy(F.desc("norm2"), "vec_id", "v").limit(longest).select("vec_id", "v"), "longest")
     found = scan_all(head, queries, k)
-    if data.count() <= longest:
+    n = data.count()
+    if n <= longest:
         return ranked(found, k)
-    index = data.select("vec_id", "v").mapInArrow(tidy(hashed(False)), f"{ids}, v array<double>")
-    wanted = queries.mapInArrow(tidy(hashed(True)), f"{ids}, v array<double>").drop("v")
+    functions = min(max(int(np.log2(n)) - 3, LEAST_FUNCTIONS), MOST_FUNCTIONS)
+    while n_probes is None:
+        n_probes = fitted(data, queries, k, Hashes(d, tables, functions, width), recall, sample)
+        if n_probes is None:
+            if functions <= LEAST_FUNCTIONS:  # nothing to tell the rows apart by
+                n_probes = MOST_PROBES
+            functions = max(functions - 2, LEAST_FUNCTIONS)
+    index = data.select("vec_id", "v").mapInArrow(tidy(hashed(False, functions)), f"{ids}, v {kind}")
+    wanted = spread(queries, spark).mapInArrow(tidy(hashed(True, functions)), ids)
     near = materialize(search(index, wanted, queries, k).distinct(), "near")
     # the longest are no measure of what the buckets hold, so they do not count here
     held = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.countDistinct("vec_id").alias("n"))
@@ -167,20 +230,62 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
     return ranked(found, k)
 
 
+def spread(queries: DataFrame, spark: SparkSession) -> DataFrame:
+    """The few queries over all cores: each makes many probes."""
+    return queries.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query; what was found on several ways counts once."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best of one query, ties to the smaller id; -inf is no candidate.
-    What a matrix product gives may differ in the last bits for equal vectors; the sums here do not."""
-    bound = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
-    some = np.flatnonzero(scores > -np.inf if bound == -np.inf else scores >= bound - 1e-9 * (1 + abs(bound)))
-    exact = (vectors[some] * query).sum(axis=1)
-    order = np.lexsort((ids[some], -exact))[:k]
-    return ids[some[order]], exact[order]
+class Best:
+    """The k best rows of each of some queries, ties to the smaller id. Matrix products, which may
+    differ in the last bits for equal vectors, only sift; the sums that decide do not."""
+
+    def __init__(self, asked: np.ndarray, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.asked, self.x, self.ids, self.vectors, self.k = asked, x, ids, vectors, k
+        with np.errstate(over="ignore"):
+            longest = np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
+            self.slack = 1e-12 * np.sqrt((x * x).sum(axis=1)) * longest
+        self.bound = np.full(len(x), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, which: np.ndarray, first: int, last: int) -> None:
+        """Some queries meet the rows from first to last."""
+        scores = self.x[which] @ self.vectors[first:last].T
+        other = self.asked[which][:, None] != self.ids[None, first:last]
+        q, r = np.nonzero(other & (scores >= self.bound[which][:, None]))
+        self.parts.append((which[q], first + r))
+        self.held += len(q)
+        if self.held > HELD + 2 * self.k * len(self.x):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, r = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.empty(0, np.int64) for i in (0, 1))
+        exact = np.empty(len(q))
+        for at in range(0, len(q), HELD):
+            some = slice(at, at + HELD)
+            exact[some] = (self.vectors[r[some]] * self.x[q[some]]).sum(axis=1)
+        order = np.lexsort((self.ids[r], -exact, q))
+        q, r, exact = q[order], r[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.bound[q[last]] = exact[last] - self.slack[q[last]]
+        kept = place < self.k
+        q, r, exact = q[kept], r[kept], exact[kept]
+        self.parts, self.held = [(q, r)], len(q)
+        return q, r, exact
+
+    def rows(self) -> pd.DataFrame:
+        q, r, exact = self.settle()
+        return pd.DataFrame({"query_id": self.asked[q], "vec_id": self.ids[r], "score": exact})
+
+
+NONE_FOUND = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
 
 
 def search(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -199,24 +304,22 @@ def search(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> D
     visits = visits.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
 
     def scan(key: tuple, rows: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(rows) and len(visits):
-            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
-            keys, place = np.unique(rows["key"].to_numpy(), return_inverse=True)
-            for at in range(0, len(visits), 128):
-                some = visits.iloc[at : at + 128]
-                x = np.stack(some["v"].to_numpy())
-                probed = np.zeros((len(some), len(keys)), bool)
-                for i, held in enumerate(some["keys"]):
-                    probed[i, np.searchsorted(keys, held)] = True
-                columns = np.flatnonzero(probed.any(axis=0)[place])
-                near, near_ids = vectors[columns], ids[columns]
-                scores = np.where(probed[:, place[columns]], x @ near.T, -np.inf)
-                for i, q in enumerate(some["query_id"].to_numpy()):
-                    scores[i, near_ids == q] = -np.inf
-                    found, score = best(scores[i], near_ids, near, x[i], k)
-                    out += zip([q] * len(found), found.tolist(), score.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        if not len(rows) or not len(visits):
+            return pd.DataFrame(columns=list(NONE_FOUND)).astype(NONE_FOUND)
+        rows = rows.sort_values("key", kind="stable")
+        keys, starts = np.unique(rows["key"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(rows))
+        best = Best(visits["query_id"].to_numpy(), matrix(visits["v"]), rows["vec_id"].to_numpy(), matrix(rows["v"]), k)
+        # which queries visit each bucket
+        asked = np.repeat(np.arange(len(visits)), visits["keys"].str.len().to_numpy())
+        probed = np.concatenate(visits["keys"].to_numpy())
+        order = np.argsort(probed, kind="stable")
+        asked, probed = asked[order], probed[order]
+        low, high = np.searchsorted(probed, keys), np.searchsorted(probed, keys, side="right")
+        for b in np.flatnonzero(low < high).tolist():
+            for at in range(low[b], high[b], 16 * TOGETHER):
+                best.add(asked[at : min(at + 16 * TOGETHER, high[b])], starts[b], ends[b])
+        return best.rows()
 
     return rows.groupBy("grp").cogroup(visits.groupBy("grp")).applyInPandas(scan, FOUND)
 
@@ -230,16 +333,13 @@ def scan_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     queries = queries.select(each(some).alias("a"), place(many).alias("b"), F.col("vec_id").alias("query_id"), "v")
 
     def scan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(rows) and len(queries):
-            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
-            for at in range(0, len(queries), 128):
-                asked, x = queries["query_id"].to_numpy()[at : at + 128], np.stack(queries["v"].to_numpy()[at : at + 128])
-                scores = np.where(asked[:, None] == ids, -np.inf, x @ vectors.T)
-                for i, q in enumerate(asked):
-                    found, score = best(scores[i], ids, vectors, x[i], k)
-                    out += zip([q] * len(found), found.tolist(), score.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        if not len(rows) or not len(queries):
+            return pd.DataFrame(columns=list(NONE_FOUND)).astype(NONE_FOUND)
+        best = Best(queries["query_id"].to_numpy(), matrix(queries["v"]), rows["vec_id"].to_numpy(), matrix(rows["v"]), k)
+        for at in range(0, len(queries), TOGETHER):
+            for first in range(0, len(rows), BLOCK):
+                best.add(np.arange(at, min(at + TOGETHER, len(queries))), first, min(first + BLOCK, len(rows)))
+        return best.rows()
 
     return rows.groupBy("a", "b").cogroup(queries.groupBy("a", "b")).applyInPandas(scan, FOUND)
 

@@ -128,6 +128,41 @@ def test_neighbours_recall_with_unequal_norms(spark, norms, longest):
     assert sum(len(truth[q] & found[q]) for q in truth) >= 0.93 * 20 * len(truth)
 
 
+def test_recall_and_share_on_the_table(spark, sf):
+    """On isotropic vectors: recall against brute force, and fewer rows visited than there are, the
+    smaller a share the more rows."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("size(embedding) = 64").collect()
+    pool = np.array([r["embedding"] for r in rows], float)
+    draw = np.random.default_rng(2)
+    shares = []
+    for n in (3_000, 24_000):
+        x = draw.standard_normal((n, 64)).astype(np.float32).astype(float)
+        x[: len(pool)] = pool[:n]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+        found = {}
+        for r in neighbours.nearest(frame, longest=20, query_every=60).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        asked = np.arange(0, n, 60)
+        scores = x[asked] @ x.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        truth = np.argpartition(-scores, 20, axis=1)[:, :20]
+        recall = np.mean([len(found[q] & set(t)) / 20 for q, t in zip(asked.tolist(), truth.tolist(), strict=True)])
+        functions = min(max(int(np.log2(n)) - 3, neighbours.LEAST_FUNCTIONS), neighbours.MOST_FUNCTIONS)
+        hashes = neighbours.Hashes(64, functions=functions)
+        data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+        n_probes = neighbours.fitted(data, data.where("vec_id % 60 = 0"), 20, hashes, neighbours.RECALL, neighbours.SAMPLE)
+        own = neighbours.bucket_numbers(np.floor(hashes.places(x)))
+        visited = np.zeros((len(asked), n), bool)
+        for i, q in enumerate(asked):
+            for t, buckets in enumerate(neighbours.bucket_numbers(neighbours.probes(hashes.places(x[[q]])[0], n_probes))):
+                visited[i] |= np.isin(own[:, t], buckets)
+        shares.append(visited.mean())
+        print(f"{n} rows: {n_probes} probes, recall {recall:.3f}, share visited {shares[-1]:.3f}")
+        assert recall >= 0.9
+    assert shares[1] < shares[0] < 0.85
+
+
 def test_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in neighbours.nearest(frame).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
@@ -159,7 +194,7 @@ def test_short_queries_of_larger_tables(spark):
 
 def test_probes_come_in_order_of_cost():
     place = np.array([0.1, 0.6, 0.95])
-    got = neighbours.probes(place, 12)
+    got = neighbours.probes(place[None, :], 12)[0]
     cell, part = np.floor(place), place - np.floor(place)
     cost = lambda c: sum((part[f] if s < 0 else 1 - part[f]) ** 2 for f, s in enumerate(c - cell) if s)
     costs = [cost(c) for c in got]
