@@ -35,16 +35,33 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _remove() -> None:
     for spark, path in _temporary:
         try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; the folder is only scratch space
             return
 
 
+def mark() -> int:
+    """What `settle` may remove starts here."""
+    return len(_temporary)
+
+
+def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """materialize, after which all folders written since the mark are removed: the result stands."""
+    out = materialize(df, tag)
+    for spark, path in _temporary[since:-1]:
+        _delete(spark, path)
+    del _temporary[since:-1]
+    return out
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it again."""
     spark = df.sparkSession
@@ -72,9 +89,14 @@ def tidy(task):
 
 
 def open_fs(uri: str):
-    """(pyarrow file system, path) of a URI or a plain path."""
+    """(pyarrow file system, path) of a URI or a plain path. Hadoop's names of a store's scheme are
+    taken for the store itself."""
     from pyarrow import fs
 
+    scheme, mark, rest = uri.partition("://")
+    if mark:
+        uri = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}.get(scheme, scheme) + mark + rest
+
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):

@@ -25,8 +25,8 @@ Components come from hooking every class to its smallest neighbour, jumping to t
 contracting, all as joins. Nothing of all documents goes to the driver but a bit filter of fixed
 size, which only spares shuffling sets that no pair needs.
 
-Rows are numbered by their place in the scan: the input must give the same rows in the same
-partitions when it is read twice, as a table does.
+A row's number is given and written once; where documents are read again, as for `keep_first`, rows
+are known by their content, so that a scan whose rows come in another order changes nothing.
 
 Defined cases: null or empty text, or text of white space, has an empty set and is linked with
 nothing; a null id is no component's name while another id is there; repeated rows are in one
@@ -53,6 +53,7 @@ MIN_MATCHES = 36
 FILTER_BITS = 23
 BLOCK_SHINGLES = 1_000_000  # of a block of outsiders, which a task holds at once
 MEMBER_SHINGLES = 100_000  # of a block of members, which it passes through
+SALTS = 16
 SEED = 20240229
 SETS = "h1 long, h2 long, shingles binary"
 
@@ -117,12 +118,14 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(digest[0]), int(digest[1])
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def contents(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits of a row's id and text, by which rows are known again in another scan."""
+    return F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.lit(SEED), id_col)
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Row number, id, set size, set key and signature of every row."""
+    """Row number, id, set size, set key, signature and content of every row. The numbers hold where
+    this is written; no other scan has to agree with them."""
 
     def signed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -135,10 +138,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 keys.append(set_key(found))
                 tokens.append(signature(found).view(np.int64) if len(found) else None)
             sig = pa.array(tokens, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), sig], ["row", "doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), sig, batch.column(3), batch.column(4)], ["row", "doc_id", "n_shingles", "h1", "h2", "sig", "content1", "content2"])
 
-    rows = numbered(docs).select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(signed), "row long, doc_id long, n_shingles long, h1 long, h2 long, sig array<long>")
+    one, two = contents(id_col, text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), one.alias("content1"), two.alias("content2"))
+    return rows.mapInArrow(tidy(signed), "row long, doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, content1 long, content2 long")
 
 
 def sets_of(docs: DataFrame, text_col: str, size: int, wanted: np.ndarray) -> DataFrame:
@@ -328,7 +332,7 @@ def compare_blocks(met: DataFrame, signatures: DataFrame, sets: DataFrame, simil
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """_row, doc_id, n_shingles, component_id, kept and first_of_group for every row."""
+    """doc_id, n_shingles, component_id, kept, first_of_group and content1, content2 for every row."""
     rows = materialize(sign(docs, id_col, text_col, shingle_words), "signed")
     named = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(_first("doc_id", "row").alias("first"), F.max("n_shingles").alias("n"))
     classes = materialize(named.select("h1", "h2", F.col("first.row").alias("node"), F.col("first.label").alias("label"), "n"), "classes")
@@ -341,28 +345,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = materialize(lists.where(F.size("tokens") >= MIN_MATCHES).select("node", "n", "pop", F.explode(prefix.getField("token")).alias("token")), "postings")
     joined = link_classes(docs, text_col, shingle_words, classes, nodes, postings, similarity)
 
-    placed = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = placed.groupBy("root").agg(_first("label", "node").alias("first"))
-    placed = materialize(placed.join(heads, "root").select("h1", "h2", F.col("first.label").alias("component"), F.col("first.row").alias("head")), "placed")
-    out = rows.drop("sig").join(placed, ["h1", "h2"], "left")
+    placed = materialize(classes.join(joined, "node", "left").withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))), "placed")
+    linked = placed.where("root IS NOT NULL")
+    # a component that many classes share is met by SALTS tasks, each with a copy of its head
+    heads = linked.groupBy("root").agg(_first("label", "node").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.join(heads, ["root", "salt"]).select("h1", "h2", F.col("first.label").alias("component"), F.col("first.row").alias("head"))
+    named = named.unionByName(placed.where("root IS NULL").select("h1", "h2", F.col("label").alias("component"), F.col("node").alias("head")))
+    out = rows.drop("sig").join(materialize(named, "named"), ["h1", "h2"], "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select(F.col("row").alias("_row"), "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), (alone | (F.col("head") == F.col("row"))).alias("first_of_group"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), (alone | (F.col("head") == F.col("row"))).alias("first_of_group"), "content1", "content2")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group, with all its columns. A bit filter of fixed size, the only thing
-    broadcast, lets rows pass that surely stay; the others, those that go and what shares a bit
-    with them, are joined to the row numbers that stay."""
-    found = materialize(near_duplicates(docs, **options).select("_row", "first_of_group"), "first")
-    bit = F.pmod(F.xxhash64("_row"), F.lit(1 << FILTER_BITS))
-    words = materialize(bit_words(found.where("NOT first_of_group").select(bit.alias("bit"))), "bits")
-    rows = numbered(docs).withColumn("_bit", bit).withColumn("_at", F.shiftrightunsigned("_bit", 6))
+    broadcast, lets rows pass whose content surely stays; the others, those that go and what shares a
+    bit with them, are joined to the contents that stay, of which one row each is taken."""
+    found = near_duplicates(docs, id_col, text_col, **options).where("n_shingles > 0")
+    found = materialize(found.select("content1", "content2", "first_of_group"), "first")
+    bit = lambda c: F.pmod(F.col(c), F.lit(1 << FILTER_BITS))
+    words = materialize(bit_words(found.where("NOT first_of_group").select(bit("content1").alias("bit"))), "bits")
+    one, two = contents(id_col, text_col)
+    rows = docs.withColumns({"_content1": one, "_content2": two}).withColumn("_bit", bit("_content1")).withColumn("_at", F.shiftrightunsigned("_bit", 6))
     rows = rows.join(F.broadcast(words.select(F.col("at").alias("_at"), F.col("mask").alias("_mask"))), "_at", "left")
+    # a text without words is in no group
+    some = F.coalesce(F.length(F.regexp_replace(text_col, "[\\x20\\x09-\\x0D]+", "")) > 0, F.lit(False))
     marked = F.coalesce(F.expr("shiftrightunsigned(_mask, cast(_bit & 63 AS int)) & 1"), F.lit(0)) == 1
-    checked = rows.where(marked).join(found.where("first_of_group").select("_row"), "_row", "left_semi")
-    return rows.where(~marked).select(*docs.columns).unionByName(checked.select(*docs.columns))
+    kept = found.where("first_of_group").select(F.col("content1").alias("_content1"), F.col("content2").alias("_content2"))
+    checked = rows.where(marked & some).join(kept, ["_content1", "_content2"], "left_semi").dropDuplicates(["_content1", "_content2"])
+    return rows.where(~marked | ~some).select(*docs.columns).unionByName(checked.select(*docs.columns))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2).drop("_row")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
