@@ -9,8 +9,8 @@ cells of `WIDTH`; the more rows, the more projections, so that buckets stay smal
 own bucket and those that moving some projections by a cell reaches, in the order of their estimated
 success: the sum of squared distances to the cell borders crossed. All rows are in every table;
 candidates of all tables are reranked by exact inner products. A table of at most `LONGEST` rows is
-compared exactly as a whole, and so are with all rows the queries whose buckets hold fewer than `k`
-distinct candidates.
+compared exactly as a whole, and so are with all rows the queries that meet no more than `k` rows in
+any group of buckets.
 
 How many buckets a query visits is measured, not guessed: `SAMPLE` queries, drawn by a hash of their
 id, are compared with all rows, and the fewest probes that bring `RECALL` of their true neighbours
@@ -19,11 +19,12 @@ there are, the nearer the neighbours and the smaller the share of the rows that
 Isotropic vectors have no near neighbours to speak of (the 20th is hardly nearer than the 200th):
 with these about half of 51,000 rows are visited, fewer with structure.
 
-A bucket of more than `BLOCK` rows is cut into blocks by a hash of the id, each of which meets all
-queries of the bucket. Blocks of one table are dealt to groups of about `GROUP_ROWS` rows; a task
-takes a group and the queries that probe it, multiplies bucket by bucket with the queries that visit
+Buckets of a table are dealt to groups of about `GROUP_ROWS` rows; a group with more than twice as
+many is cut into blocks by a hash of the row, each of which meets all queries of the group. A task
+takes a block and the queries that probe it, multiplies bucket by bucket with the queries that visit
 it and keeps the best `k` of each query, which loses nothing: the best of all groups are among the
-best of each.
+best of each. The first table is searched alone; the k-th best score that is known then bounds what
+tasks of the other tables give out, so that their output follows the queries, not queries x groups.
 
 Defined cases: vectors that are null, empty, zero, of another length than most or with null or
 non-finite components take no part, as query or as candidate; ties go to the smaller id; rows that
@@ -48,12 +49,12 @@ from .common import materialize, table, tidy
 K = 20
 QUERY_EVERY = 20
 TABLES = 8
-WIDTH = 2.6
+WIDTH = 2.4
 LEAST_FUNCTIONS, MOST_FUNCTIONS = 4, 24
 SAMPLE = 128
 RECALL = 0.95
 MOST_PROBES = 1024
-BLOCK = 2048
+BLOCK = 2048  # rows multiplied at once
 GROUP_ROWS = 16_384
 QUERY_ROWS = 4_096  # queries of a task that compares exactly
 TOGETHER = 128  # queries multiplied at once
@@ -181,7 +182,7 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
     rows = rows.where(F.size("v") == d)
     kind = rows.schema["v"].dataType.simpleString()
 
-    def hashed(query: bool, functions: int):
+    def hashed(query: bool, functions: int, groups: int, some_tables: range):
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
@@ -191,17 +192,21 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
                     some = batch.slice(at, TOGETHER)
                     x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
                     places = hashes.places(unit(x))
-                    for t in range(tables):
-                        if query:
-                            cells = bucket_numbers(probes(places[:, t], n_probes))
-                            take, buckets, v = np.repeat(np.arange(len(x)), cells.shape[1]), cells.ravel(), []
+                    for t in some_tables:
+                        if query:  # a row for each query and group, with the buckets to visit there
+                            buckets = bucket_numbers(probes(places[:, t], n_probes))
+                            place = np.arange(len(x))[:, None] * groups + group_of(buckets, groups)
+                            order = np.argsort(place, axis=None, kind="stable")
+                            place, first = np.unique(place.ravel()[order], return_index=True)
+                            take = place // groups
+                            lists = pa.ListArray.from_arrays(pa.array(np.append(first, buckets.size).astype(np.int32)), pa.array(buckets.ravel()[order]))
+                            yield pa.RecordBatch.from_arrays([pa.array(t * groups + place % groups), some.column(0).take(pa.array(take)), lists], ["grp", "vec_id", "keys"])
                         else:
-                            take, buckets, v = np.arange(len(x)), bucket_numbers(np.floor(places[:, t])), [some.column(1)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(buckets), some.column(0).take(pa.array(take)), *v], ["tbl", "bucket", "vec_id", "v"][: 3 + len(v)])
+                            buckets = bucket_numbers(np.floor(places[:, t]))
+                            yield pa.RecordBatch.from_arrays([pa.array(t * groups + group_of(buckets, groups)), some.column(0), pa.array(buckets), some.column(1)], ["grp", "vec_id", "key", "v"])
 
         return run
 
-    ids = "tbl int, bucket long, vec_id long"
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     # written with the rows: a sort would compute it for each comparison
     data = materialize(rows.dropDuplicates(["vec_id", "v"]).withColumn("norm2", norm2), "vectors")
@@ -211,25 +216,44 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
     n = data.count()
     if n <= longest:
         return ranked(found, k)
-    functions = min(max(int(np.log2(n)) - 3, LEAST_FUNCTIONS), MOST_FUNCTIONS)
+    functions = functions_for(n)
     while n_probes is None:
         n_probes = fitted(data, queries, k, Hashes(d, tables, functions, width), recall, sample)
         if n_probes is None:
             if functions <= LEAST_FUNCTIONS:  # nothing to tell the rows apart by
                 n_probes = MOST_PROBES
             functions = max(functions - 2, LEAST_FUNCTIONS)
-    index = data.select("vec_id", "v").mapInArrow(tidy(hashed(False, functions)), f"{ids}, v {kind}")
-    wanted = spread(queries, spark).mapInArrow(tidy(hashed(True, functions)), ids)
-    near = materialize(search(index, wanted, queries, k).distinct(), "near")
-    # the longest are no measure of what the buckets hold, so they do not count here
-    held = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.countDistinct("vec_id").alias("n"))
-    short = materialize(queries.join(held, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v"), "short")
-    found = near.unionByName(found)
+    groups = -(-n // GROUP_ROWS)
+    index = data.select("vec_id", "v").mapInArrow(tidy(hashed(False, functions, groups, range(tables))), f"grp long, vec_id long, key long, v {kind}")
+    index, markers = materialize(index, "index"), []
+    # what the first table finds bounds what any later one may add: few rows pass from task to task
+    for first, last in ((0, 1), (1, tables)):
+        if first < last:
+            visits = spread(queries, spark).mapInArrow(tidy(hashed(True, functions, groups, range(first, last))), "grp long, vec_id long, keys array<long>")
+            part = index.where((F.col("grp") >= first * groups) & (F.col("grp") < last * groups))
+            near, enough = search(part, visits, bounded(queries, found, k), k)
+            found, markers = materialize(found.unionByName(near).distinct(), "found"), [*markers, enough]
+    short = materialize(queries.join(functools.reduce(DataFrame.unionByName, markers), "vec_id", "left_anti"), "short")
     if short.count():
         found = found.unionByName(scan_all(data, short, k))
     return ranked(found, k)
 
 
+def group_of(buckets: np.ndarray, groups: int) -> np.ndarray:
+    return ((buckets.view(np.uint64) >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+
+
+def bounded(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Adds the score of the k-th best that is known, which a better one must reach."""
+    least = ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    return materialize(queries.join(least, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))), "bounded")
+
+
+def functions_for(n: int) -> int:
+    """Projections of a table of n rows: buckets hold some tens of rows."""
+    return min(max(int(np.log2(n)) - 5, LEAST_FUNCTIONS), MOST_FUNCTIONS)
+
+
 def spread(queries: DataFrame, spark: SparkSession) -> DataFrame:
     """The few queries over all cores: each makes many probes."""
     return queries.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
@@ -245,12 +269,12 @@ class Best:
     """The k best rows of each of some queries, ties to the smaller id. Matrix products, which may
     differ in the last bits for equal vectors, only sift; the sums that decide do not."""
 
-    def __init__(self, asked: np.ndarray, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+    def __init__(self, asked: np.ndarray, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bound: np.ndarray | None = None) -> None:
         self.asked, self.x, self.ids, self.vectors, self.k = asked, x, ids, vectors, k
         with np.errstate(over="ignore"):
             longest = np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
             self.slack = 1e-12 * np.sqrt((x * x).sum(axis=1)) * longest
-        self.bound = np.full(len(x), -np.inf)
+        self.bound = np.full(len(x), -np.inf) if bound is None else bound - self.slack
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
@@ -274,7 +298,7 @@ class Best:
         q, r, exact = q[order], r[order], exact[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         last = place == self.k - 1
-        self.bound[q[last]] = exact[last] - self.slack[q[last]]
+        self.bound[q[last]] = np.maximum(self.bound[q[last]], exact[last] - self.slack[q[last]])
         kept = place < self.k
         q, r, exact = q[kept], r[kept], exact[kept]
         self.parts, self.held = [(q, r)], len(q)
@@ -288,40 +312,42 @@ class Best:
 NONE_FOUND = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
 
 
-def search(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of the buckets that each query probes."""
-    index = materialize(index, "index")
-    sizes = index.groupBy("tbl", "bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    sizes = materialize(sizes, "sizes")
-    groups = max(1, -(-int(sizes.where("tbl = 0").agg(F.sum("n")).first()[0] or 0) // GROUP_ROWS))
-    group = F.col("tbl") * groups + F.pmod(F.hash("bucket", "block"), F.lit(groups))
-    key = F.xxhash64("bucket", "block")
-    rows = index.join(sizes.drop("n"), ["tbl", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
-    rows = rows.select(group.alias("grp"), key.alias("key"), "vec_id", "v")
-    visits = wanted.join(sizes.drop("n"), ["tbl", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    visits = visits.select(group.alias("grp"), key.alias("key"), F.col("vec_id").alias("query_id"))
-    visits = visits.groupBy("grp", "query_id").agg(F.collect_list("key").alias("keys"))
-    visits = visits.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-
-    def scan(key: tuple, rows: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
+def search(index: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k best candidates that reach the bounds, of the buckets that each query probes; and the
+    queries that meet more than k rows in some group. index: grp, vec_id, key, v; visits: grp, vec_id,
+    keys; queries: vec_id, v, bound."""
+    blocks = index.groupBy("grp").agg(F.ceil(F.count("*") / (2 * GROUP_ROWS)).alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    rows = index.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), "blocks")).select("grp", "block", "key", "vec_id", "v")
+    visits = visits.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    visits = visits.select("grp", "block", F.col("vec_id").alias("query_id"), "keys").join(queries.select(F.col("vec_id").alias("query_id"), "v", "bound"), "query_id")
+
+    def scan(rows: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(visits):
             return pd.DataFrame(columns=list(NONE_FOUND)).astype(NONE_FOUND)
         rows = rows.sort_values("key", kind="stable")
         keys, starts = np.unique(rows["key"].to_numpy(), return_index=True)
         ends = np.append(starts[1:], len(rows))
-        best = Best(visits["query_id"].to_numpy(), matrix(visits["v"]), rows["vec_id"].to_numpy(), matrix(rows["v"]), k)
+        queries = visits["query_id"].to_numpy()
+        best = Best(queries, matrix(visits["v"]), rows["vec_id"].to_numpy(), matrix(rows["v"]), k, visits["bound"].to_numpy())
         # which queries visit each bucket
         asked = np.repeat(np.arange(len(visits)), visits["keys"].str.len().to_numpy())
         probed = np.concatenate(visits["keys"].to_numpy())
         order = np.argsort(probed, kind="stable")
         asked, probed = asked[order], probed[order]
         low, high = np.searchsorted(probed, keys), np.searchsorted(probed, keys, side="right")
+        met = np.zeros(len(visits), np.int64)
         for b in np.flatnonzero(low < high).tolist():
+            met[asked[low[b] : high[b]]] += ends[b] - starts[b]
             for at in range(low[b], high[b], 16 * TOGETHER):
-                best.add(asked[at : min(at + 16 * TOGETHER, high[b])], starts[b], ends[b])
-        return best.rows()
-
-    return rows.groupBy("grp").cogroup(visits.groupBy("grp")).applyInPandas(scan, FOUND)
+                for first in range(starts[b], ends[b], BLOCK):
+                    best.add(asked[at : min(at + 16 * TOGETHER, high[b])], first, min(first + BLOCK, ends[b]))
+        # a row without score says that a query met more than k
+        return pd.concat([best.rows(), pd.DataFrame({"query_id": queries[met > k], "vec_id": -1, "score": np.nan})])
+
+    found = rows.groupBy("grp", "block").cogroup(visits.groupBy("grp", "block")).applyInPandas(scan, FOUND)
+    found = materialize(found, "near")
+    return found.where("score IS NOT NULL"), found.where("score IS NULL").select(F.col("query_id").alias("vec_id")).distinct()
 
 
 def scan_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -148,8 +148,7 @@ def test_recall_and_share_on_the_table(spark, sf):
         scores[np.arange(len(asked)), asked] = -np.inf
         truth = np.argpartition(-scores, 20, axis=1)[:, :20]
         recall = np.mean([len(found[q] & set(t)) / 20 for q, t in zip(asked.tolist(), truth.tolist(), strict=True)])
-        functions = min(max(int(np.log2(n)) - 3, neighbours.LEAST_FUNCTIONS), neighbours.MOST_FUNCTIONS)
-        hashes = neighbours.Hashes(64, functions=functions)
+        hashes = neighbours.Hashes(64, functions=neighbours.functions_for(n))
         data = frame.withColumnRenamed("embedding", "v")
         n_probes = neighbours.fitted(data, data.where("vec_id % 60 = 0"), 20, hashes, neighbours.RECALL, neighbours.SAMPLE)
         own = neighbours.bucket_numbers(np.floor(hashes.places(x)))
@@ -186,7 +185,7 @@ def test_short_queries_of_larger_tables(spark):
     x = np.random.default_rng(9).standard_normal((300, 64))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = {}
-    for r in neighbours.nearest(frame, longest=0, tables=1, width=1.5, n_probes=1).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(frame, longest=0, tables=1, width=0.5, n_probes=1).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["vec_id"])
     truth = brute(list(range(300)), x, 20)
     assert found == {q: [v for v, _ in rows] for q, rows in truth.items()}
