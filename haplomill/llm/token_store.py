@@ -49,14 +49,19 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _places(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Which of the ascending places of frequent pairs are replaced: none beside another. Of a run of
     neighbours with one count every other one stands; of two that touch the more frequent one."""
-    touches = np.diff(at) == 1
-    same = touches & (count[1:] == count[:-1])
-    every = np.arange(len(at))
-    stands = (every - np.maximum.accumulate(np.where(np.r_[True, ~same], every, 0))) % 2 == 0
-    clash = touches & stands[1:] & stands[:-1]
-    out = stands.copy()
-    out[1:][clash & (count[1:] < count[:-1])] = False
-    out[:-1][clash & (count[1:] > count[:-1])] = False
+    out = np.ones(len(at), bool)
+    first = np.flatnonzero(at[1:] - at[:-1] == 1)  # the left ones of all places that touch
+    if not len(first):
+        return out
+    left, right = count[first], count[first + 1]
+    run = first[left == right]
+    if len(run):
+        order = np.arange(len(run))
+        begins = np.append(True, run[1:] != run[:-1] + 1)
+        out[run[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0] + 1] = False
+    clash = out[first] & out[first + 1]
+    loses = np.where(left < right, first, first + 1)[clash]
+    out[loses] = False
     return out
 
 
@@ -111,7 +116,7 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Rules:
         symbols[where[take]] = number[rule[take]]
         keep = np.ones(len(symbols), dtype=bool)
         keep[where[take] + 1] = False
-        moved = np.cumsum(keep) - 1
+        moved = np.cumsum(keep, dtype=np.int32) - np.int32(1)
         symbols = symbols[keep]
         again = np.zeros(len(symbols) + 1, dtype=bool)
         rest = np.concatenate([where[~take], at[~hit][waits[slot[~hit]]]])
@@ -124,7 +129,8 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Rules:
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, `length` of them."""
-    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    ends = lengths.cumsum()
+    return np.arange(int(ends[-1]) if len(ends) else 0) + (starts - ends + lengths).repeat(lengths)
 
 
 class Grammar:
@@ -149,10 +155,12 @@ class Grammar:
                 size = np.ones(len(part), np.int64)
                 size[~old] = self.lengths[inner]
                 at = at + size
-        self.is_new = symbols >= first_new
-        rules = np.where(self.is_new, symbols.astype(np.int64) - first_new, 0)
-        self.spans = np.where(self.is_new, self.lengths[rules] if len(left) else 1, 1)
-        self.rules = rules
+        # every symbol is a stretch of one array: an id of the alphabet, or what a rule expands to
+        new = symbols >= first_new
+        rule = np.where(new, symbols.astype(np.int64) - first_new, 0)
+        self.spans = np.where(new, self.lengths[rule] if len(left) else 1, 1)
+        self.places = np.where(new, first_new + self.offsets[rule], symbols)
+        self.flat = np.concatenate([alphabet, self.flat])
         self.ends = np.cumsum(self.spans)
 
     @staticmethod
@@ -172,16 +180,10 @@ class Grammar:
         stop = total if stop is None else min(stop, total)
         if start >= stop:
             return np.empty(0, np.uint32)
-        a, b = (int(np.searchsorted(self.ends, x, side="right")) for x in (start, stop - 1))
-        spans, new = self.spans[a : b + 1], self.is_new[a : b + 1]
-        before = int(self.ends[a] - self.spans[a])
-        ends = np.cumsum(spans)
-        out = np.empty(int(ends[-1]), np.uint32)
-        out[(ends - spans)[~new]] = self.alphabet[self.symbols[a : b + 1][~new]]
-        n = spans[new]
-        if len(n):
-            out[_spread((ends - spans)[new], n)] = self.flat[_spread(self.offsets[self.rules[a : b + 1][new]], n)]
-        return out[start - before : stop - before]
+        a, b = self.ends.searchsorted((start, stop - 1), side="right").tolist()
+        spans = self.spans[a : b + 1]
+        before = int(self.ends[a] - spans[0])
+        return self.flat[_spread(self.places[a : b + 1], spans)[start - before : stop - before]]
 
 
 def shard_bytes(doc_ids: list[int | None], n_tokens: list[int], ids: np.ndarray) -> list[bytes]:
