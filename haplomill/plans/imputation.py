@@ -120,7 +120,14 @@ def instr_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.phased_lines(_variants(spark, sf_dir), geno)
 
 
-@query()
+define("caround", """SELECT site, coalesce(p, n) AS prev, coalesce(n, p) AS next, CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN n IS NULL THEN 1.0 ELSE (pos - pp) / (np - pp) END AS prev_wt FROM
+  (SELECT s.site, s.pos, max(t.site) FILTER (t.site <= s.site) AS p, min(t.site) FILTER (t.site > s.site) AS n, max(t.pos) FILTER (t.site <= s.site) AS pp, min(t.pos) FILTER (t.site > s.site) AS np
+   FROM sites s CROSS JOIN (SELECT * FROM sites WHERE site % 4 = 0) t GROUP BY ALL)""", "sites")
+define("csparse", "SELECT target, site, ref, p / sum(p) OVER (PARTITION BY target, site) AS p FROM copied, nref WHERE p > 1.0::DOUBLE / n", "copied", "nref")
+define("cspread", "SELECT target, site, ref, sum(p * w) AS p FROM (SELECT x.target, a.site, x.ref, x.p, a.prev_wt AS w FROM csparse x JOIN caround a ON a.prev = x.site UNION ALL SELECT x.target, a.site, x.ref, x.p, 1 - a.prev_wt FROM csparse x JOIN caround a ON a.next = x.site) WHERE w > 0 GROUP BY ALL", "csparse", "caround")
+
+
+@query(sql("SELECT target, s.site, round_even(coalesce(sum(p) FILTER (g = 1), 0), 3) AS dose FROM cspread s JOIN geno ON geno.site = s.site AND geno.hap = s.ref GROUP BY target, s.site", "cspread", "geno"))
 def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imputation from genotypes to dosages: match sets, posteriors, interpolation, sums."""
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS

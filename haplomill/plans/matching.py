@@ -140,6 +140,26 @@ def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pbwt.imputation_window(ranks, n - N_TARGETS)
 
 
+# what imputation may see: the order of haplotypes by typed sites alone, around each of these
+define("tprefix", "SELECT site, hap, reverse(string_agg(CAST(g AS VARCHAR), '') OVER (PARTITION BY hap ORDER BY site)) AS key FROM geno WHERE site % 4 = 0", "geno")
+define("tranks", "SELECT site, hap, row_number() OVER (PARTITION BY site ORDER BY key, hap) AS rnk FROM tprefix", "tprefix")
+define("tplace", "SELECT site, hap, rnk, n, hap < n AS is_ref, CAST(sum(CAST(hap < n AS INT)) OVER (PARTITION BY site ORDER BY rnk) - CAST(hap < n AS INT) AS INT) AS place FROM tranks, nref", "tranks", "nref")
+define(
+    "tiw",
+    """SELECT DISTINCT t.hap AS target, r.hap AS ref FROM
+  (SELECT *, CASE WHEN place < 4 THEN 0 WHEN place > n - 4 THEN n - 8 ELSE place - 4 END AS low FROM tplace WHERE NOT is_ref) t
+  JOIN (SELECT * FROM tplace WHERE is_ref) r ON r.site = t.site AND r.place BETWEEN t.low AND t.low + 7""",
+    "tplace",
+)
+
+
+def typed_match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target, ref of all typed sites; alleles at other sites, which are to be imputed, have no part."""
+    ranks = pbwt.prefix_ranks(fixtures.genotypes(spark, sf_dir).where("site % 4 = 0"), _n_sites(spark, sf_dir))
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    return pbwt.match_sets(pbwt.imputation_window(ranks, n - N_TARGETS))
+
+
 @query(sql("SELECT site, target, ref, place FROM iw", "iw"))
 def imputation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window(spark, sf_dir)

@@ -13,6 +13,7 @@ from ..sources import fixtures
 from . import matching
 from .dating import DEMO, MU
 from .registry import query
+from .sql import define, sql
 
 
 def coordinates_of(spark: SparkSession, sf_dir: str) -> pd.DataFrame:
@@ -77,13 +78,36 @@ def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = np.append(np.diff(cm), np.diff(cm)[-1])
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
     switch = 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)
-    return copying.posteriors(geno, pbwt.match_sets(matching._window(spark, sf_dir)), switch)
-
-
-@query()
+    return copying.posteriors(geno, matching.typed_match_sets(spark, sf_dir), switch)
+
+
+# the passes in SQL, each row scaled anew, over the numbers j of the typed sites
+define("tstep", "SELECT site // 4 AS j, 1 - exp(-800.0::DOUBLE * coalesce(lead(cm) OVER w - cm, cm - lag(cm) OVER w) / n) AS r FROM coords, nref WHERE site % 4 = 0 WINDOW w AS (ORDER BY site)", "coords", "nref")
+define(
+    "emit",
+    """SELECT target, ref, j, n, CASE WHEN bool_and(same) OVER (PARTITION BY target, j) THEN 1.0::DOUBLE WHEN same THEN 1 - 1e-4::DOUBLE ELSE 1e-4::DOUBLE END AS e FROM
+  (SELECT m.target, m.ref, a.site // 4 AS j, a.g = b.g AS same, count(*) OVER (PARTITION BY m.target, a.site) AS n FROM tiw m JOIN geno a ON a.hap = m.target AND a.site % 4 = 0 JOIN geno b ON b.hap = m.ref AND b.site = a.site)""",
+    "tiw", "geno",
+)
+define(
+    "forward",
+    """SELECT target, ref, j, e / sum(e) OVER (PARTITION BY target) AS f FROM emit WHERE j = 0
+  UNION ALL SELECT target, ref, j, x / sum(x) OVER (PARTITION BY target) FROM (SELECT i.target, i.ref, i.j, (f.f * (1 - s.r) + s.r / i.n) * i.e AS x FROM forward f JOIN emit i ON i.target = f.target AND i.ref = f.ref AND i.j = f.j + 1 JOIN tstep s ON s.j = i.j)""",
+    "emit", "tstep",
+)
+define(
+    "backward",
+    """SELECT target, ref, j, 1.0::DOUBLE AS b FROM emit WHERE j = (SELECT max(j) FROM tstep)
+  UNION ALL SELECT target, ref, j - 1, ((1 - r) * w + r * (sum(w) OVER (PARTITION BY target)) / n) / sum(w) OVER (PARTITION BY target) FROM (SELECT i.target, i.ref, i.j, s.r, i.n, b.b * i.e AS w FROM backward b JOIN emit i ON i.target = b.target AND i.ref = b.ref AND i.j = b.j JOIN tstep s ON s.j = b.j WHERE b.j > 0)""",
+    "emit", "tstep",
+)
+define("copied", "SELECT f.target, CAST(4 * f.j AS INT) AS site, f.ref, f.f * b.b / sum(f.f * b.b) OVER (PARTITION BY f.target, f.j) AS p FROM forward f JOIN backward b ON b.target = f.target AND b.ref = f.ref AND b.j = f.j", "forward", "backward")
+
+
+@query(sql("SELECT target, site, ref, round(p, 6) AS p FROM copied", "copied"))
 def fwbw_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance of each target to copy each haplotype of its match set, at typed sites."""
-    return _posteriors(spark, sf_dir)
+    return _posteriors(spark, sf_dir).withColumn("p", F.round("p", 6))
 
 
 @query()
@@ -91,7 +115,7 @@ def diploid_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of copied haplotypes of the last individuals, over their match sets."""
     at = coordinates_of(spark, sf_dir)
     geno = fixtures.genotypes(spark, sf_dir)
-    sets = pbwt.match_sets(matching._window(spark, sf_dir)).select(F.floor(F.col("target") / 2).cast("int").alias("ind"), "ref").distinct()
+    sets = matching.typed_match_sets(spark, sf_dir).select(F.floor(F.col("target") / 2).cast("int").alias("ind"), "ref").distinct()
     alleles = copying.packed(geno)
     own = alleles.select(F.floor(F.col("hap") / 2).cast("int").alias("ind"), (F.col("hap") % 2 - 2).alias("ref"), "alleles").join(sets.select("ind").distinct(), "ind", "left_semi")
     rows = sets.join(alleles.select(F.col("hap").alias("ref"), "alleles"), "ref").select("ind", "ref", "alleles").unionByName(own)
