@@ -83,6 +83,7 @@ def infer(spark: SparkSession, a: argparse.Namespace) -> None:
         expected = normalize.expected_quantiles(normalize.simulate(spark, n, 1000, demography.sizes, demography.times, seed=1))
         segments = normalize.apply(segments, normalize.to_expected(histogram, expected))
     if a.fit_to_data:
+        coordinates.check_increasing(sites)
         state = trees.states(geno, ancestry.at_sites(segments, sites))
         ages = text.read_ages(spark, a.allele_ages).join(records.select("id", "site"), "id").select("site", "age") if a.allele_ages else trees.allele_ages(state)
         fitted = cut(consistency.fit(geno, segments, sites.select("site", "pos"), ages))
@@ -139,7 +140,8 @@ def impute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     found = imputation.sparsify(copying.posteriors(both, pbwt.match_sets(window), 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)), n)
     doses = imputation.dosages(imputation.interpolate(found, imputation.flanks(panel.select("site", "pos"), typed.select("site"))), long(panel))
     known = typed.select("site", F.posexplode("t").alias("target", "g")).select((F.col("target") + n).alias("target"), "site", F.col("g").cast("double").alias("known"))
-    doses = doses.join(known, ["target", "site"], "left").select((F.col("target") - n).alias("target"), "site", F.bround(F.coalesce("known", "dose"), 3).alias("dose"))
+    doses = doses.join(known, ["target", "site"], "left").select((F.col("target") - n).alias("target"), "site", F.coalesce("known", "dose").alias("dose"))
+    doses = imputation.checked(doses)
     variants = imputation.typed_or_imputed(panel.select("site", "chrom", "pos", "id", "ref", "alt", "af"), typed).withColumn("imputed", ~F.col("typed"))
     return writers.imputed_lines(variants, doses)
 

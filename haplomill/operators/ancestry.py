@@ -35,7 +35,13 @@ def with_mismatches(states: DataFrame, mismatches: DataFrame) -> DataFrame:
 
 def reconstruct(segments: DataFrame, mismatches: DataFrame, sites: DataFrame, haps: DataFrame) -> DataFrame:
     """site, hap, g: the parity of mismatches on the way to the root, by pointer doubling."""
-    states = _grid(haps, sites).join(at_sites(segments, sites).select("site", "hap", F.col("target").alias("ptr")), ["site", "hap"], "left")
+    low = sites.agg(F.min("pos")).first()[0]
+    # where a haplotype copies nobody, the first one everywhere, it has a segment without target
+    starts = segments.groupBy("hap").agg(F.min("start_bp").alias("end_bp"))
+    rest = haps.select("hap").join(starts, "hap", "left").where(F.col("end_bp").isNull() | (F.col("end_bp") > low))
+    rest = rest.select("hap", F.lit(low).alias("start_bp"), "end_bp", F.lit(None).cast("int").alias("target"), F.lit(None).cast("double").alias("tmrca"))
+    every = segments.join(haps.select("hap"), "hap", "left_semi").select(*rest.columns).unionByName(rest)
+    states = at_sites(every, sites).select("site", "hap", F.col("target").alias("ptr"))
     state = cut(with_mismatches(states, mismatches).select("site", "hap", "ptr", F.col("mism").alias("parity")))
     while not state.where("ptr IS NOT NULL").isEmpty():
         above = state.select("site", F.col("hap").alias("ptr"), F.col("ptr").alias("next"), F.col("parity").alias("more"))
@@ -43,12 +49,6 @@ def reconstruct(segments: DataFrame, mismatches: DataFrame, sites: DataFrame, ha
     return state.select("site", "hap", (F.col("parity") % 2).cast("int").alias("g"))
 
 
-def _grid(haps: DataFrame, sites: DataFrame) -> DataFrame:
-    """Every haplotype at every site; the sites come as one array, which sorts itself by site."""
-    listed = sites.agg(F.array_sort(F.collect_list("site")).alias("all")).first()["all"]
-    return haps.select("hap", F.explode(F.array(*[F.lit(s) for s in listed])).alias("site"))
-
-
 def slice_region(segments: DataFrame, mismatches: DataFrame, sites: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What lies in [start, end): segments clipped at the start, sites numbered anew."""
     kept = sites.where(F.col("pos").between(start, end - 1)).withColumn("new_site", (F.row_number().over(Window.orderBy("site")) - 1).cast("int"))
@@ -116,9 +116,9 @@ def breaks(values: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 
 def edges(segments: DataFrame) -> DataFrame:
-    """Edges of the ancestry graph by stretch of sequence: between two breakpoints of anyone's
-    segments the tree does not change. start, end, hap, target, height."""
-    points = segments.select(F.col("start_bp").alias("start")).distinct()
-    points = points.withColumn("end", F.lead("start").over(Window.orderBy("start")))
-    found = covering(points, "start", segments.select("hap", "start_bp", "end_bp", "target", "tmrca"), "start_bp", "end_bp")
-    return found.select("start", "end", "hap", "target", F.col("tmrca").alias("height"))
+    """Edges of the ancestry graph: start, end, hap, target, height, one for each run of segments with
+    one target and height; end null for the last."""
+    w = Window.partitionBy("hap").orderBy("start_bp")
+    before = segments.withColumns({"_target": F.lag("target").over(w), "_height": F.lag("tmrca").over(w)})
+    runs = before.where(F.col("_target").isNull() | (F.col("_target") != F.col("target")) | (F.col("_height") != F.col("tmrca")))
+    return runs.select(F.col("start_bp").alias("start"), F.lead("start_bp").over(w).alias("end"), "hap", "target", F.col("tmrca").alias("height"))

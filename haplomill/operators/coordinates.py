@@ -86,6 +86,29 @@ def site_sizes(sites: DataFrame, value: str = "pos") -> DataFrame:
     return rows.select("site", F.coalesce("inner", between / (F.col("n") - 2)).alias("size"), F.coalesce("edge", F.col(value).cast("double")).alias("boundary"))
 
 
+def mean_intervals(sites: DataFrame, value: str = "pos") -> DataFrame:
+    """The mean interval as the three inferences count it: the whole span by steps, by sites, and the
+    span between the outer boundaries by inner sites."""
+    whole = F.max(value) - F.min(value)
+    after = F.lead(value).over(Window.orderBy("site"))
+    rows = sites.withColumn("edge", (F.col(value) + after) / 2.0)  # none after the last site
+    out = rows.agg(whole.cast("double").alias("whole"), F.count("*").alias("n"), (F.max("edge") - F.min("edge")).alias("inner"))
+    return out.select((F.col("whole") / (F.col("n") - 1)).alias("by_steps"), (F.col("whole") / F.col("n")).alias("by_sites"), (F.col("inner") / (F.col("n") - 2)).alias("by_inner"))
+
+
+def starts_in_bp(sites: DataFrame) -> DataFrame:
+    """site, start_bp: the whole base pair at which a segment that starts at the site's upper boundary begins."""
+    return site_sizes(sites).select("site", F.ceil("boundary").cast("int").alias("start_bp"))
+
+
+def check_increasing(sites: DataFrame, value: str = "pos") -> DataFrame:
+    """The same sites; positions that do not increase strictly are an error."""
+    found = sites.withColumn("_before", F.lag(value).over(Window.orderBy("site"))).where(F.col("_before") >= F.col(value)).first()
+    if found is not None:
+        raise ValueError(f"site {found['site']} is not beyond the one before it")
+    return sites
+
+
 def cm_steps(sites: DataFrame) -> DataFrame:
     """Genetic distance to the next site: the last one a constant, or (imputation) the step before."""
     w = Window.orderBy("site")

@@ -9,9 +9,19 @@ from ..functions.intervals import covering
 
 
 def sparsify(posteriors: DataFrame, n_panel: int) -> DataFrame:
-    """Drops what is no better than chance and lets the rest sum to one again."""
-    kept = posteriors.where(F.col("p") > 1.0 / n_panel)
-    return kept.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("target", "site")))
+    """Drops what is no better than chance and lets the rest sum to one again; a target and site with
+    nothing better than chance is an error."""
+    w = Window.partitionBy("target", "site")
+    chance = F.lit(1.0 / n_panel)
+    some = F.when(F.max("p").over(w) > chance, F.col("p")).otherwise(F.raise_error(F.lit("a posterior without anything above chance")).cast("double"))
+    kept = posteriors.withColumn("p", some).where(F.col("p") > chance)
+    return kept.withColumn("p", F.col("p") / F.sum("p").over(w))
+
+
+def checked(doses: DataFrame) -> DataFrame:
+    """Dosages to three decimals; one outside 0 to 1 is an error."""
+    dose = F.bround("dose", 3)
+    return doses.withColumn("dose", F.when(dose.between(0, 1), dose).otherwise(F.raise_error(F.lit("a dosage outside 0 to 1")).cast("double")))
 
 
 def typed_or_imputed(panel: DataFrame, target: DataFrame) -> DataFrame:

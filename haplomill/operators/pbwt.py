@@ -175,6 +175,12 @@ def match_sets(window: DataFrame) -> DataFrame:
     return window.select("target", "ref").distinct()
 
 
+def matches_of(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """grp, hap, cands: the candidates of the given targets, as one ascending list each."""
+    mine = found.join(targets.select("hap").distinct(), "hap", "left_semi")
+    return mine.groupBy("grp", "hap").agg(F.array_sort(F.collect_set("cand")).alias("cands"))
+
+
 def pareto(states: DataFrame, by: str = "target") -> DataFrame:
     """States that no more recent one beats: score below the least of all later sites."""
     later = F.min("score").over(Window.partitionBy(by).orderBy(F.desc("site")).rowsBetween(Window.unboundedPreceding, -1))

@@ -35,6 +35,11 @@ def per_target(cm_step: Column, bp_size: Column, rate: float, t: Column, target:
     return switch, k, change(l), l
 
 
+def imputation_mutation() -> tuple[Column, Column]:
+    """(mismatch, match) costs of the imputation model."""
+    return -F.log(F.lit(HET_LOSS)), -F.log(F.lit(HOM_LOSS))
+
+
 def imputation_switch(cm_step: Column, n_panel: int) -> Column:
     """Chance to switch haplotypes over a step of the imputation model."""
     return 1 - F.exp(-4.0 * IMPUTE_NE * 0.01 * cm_step / n_panel)

@@ -152,7 +152,13 @@ def simulated_node_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.simulate(spark, 50, 20, fixtures.EPOCHS[1], fixtures.EPOCHS[0], seed=1)
 
 
-@query(sql("SELECT b.start, CAST(lead(b.start) OVER (PARTITION BY g.hap ORDER BY b.start) AS INT) AS \"end\", g.hap, g.target, g.tmrca AS height FROM (SELECT DISTINCT start_bp AS start FROM segs) b JOIN segs g ON b.start >= g.start_bp AND (g.end_bp IS NULL OR b.start < g.end_bp)", "segs"))
+@query(
+    sql(
+        """SELECT start_bp AS start, CAST(lead(start_bp) OVER (PARTITION BY hap ORDER BY start_bp) AS INT) AS "end", hap, target, tmrca AS height FROM
+(SELECT *, lag(target) OVER w AS bt, lag(tmrca) OVER w AS bh FROM segs WINDOW w AS (PARTITION BY hap ORDER BY start_bp)) WHERE bt IS NULL OR bt <> target OR bh <> tmrca""",
+        "segs",
+    )
+)
 def arg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestry.edges(fixtures.segments(spark, sf_dir)).select("start", F.col("end").cast("int").alias("end"), "hap", "target", "height")
 

@@ -67,3 +67,20 @@ FROM coords WINDOW w AS (ORDER BY site)""",
 )
 def cm_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordinates.cm_steps(fixtures.sites_cm(spark, sf_dir)).select("site", F.round("step", 9).alias("step"), F.round("impute_step", 9).alias("impute_step"))
+
+
+@query(
+    sql(
+        """SELECT round((max(pos) - min(pos)) / (count(*) - 1), 6) AS by_steps, round((max(pos) - min(pos)) / count(*), 6) AS by_sites, round((max(edge) - min(edge)) / (count(*) - 2), 6) AS by_inner
+FROM (SELECT pos, (pos + lead(pos) OVER (ORDER BY site)) / 2 AS edge FROM sites)""",
+        "sites",
+    )
+)
+def mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coordinates.mean_intervals(coordinates.check_increasing(fixtures.sites(spark, sf_dir)))
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query(sql("SELECT site, CAST(ceil(coalesce((pos + lead(pos) OVER (ORDER BY site)) / 2, pos)) AS INT) AS start_bp FROM sites", "sites"))
+def boundary_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordinates.starts_in_bp(fixtures.sites(spark, sf_dir))

@@ -84,6 +84,13 @@ def lowmem_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site", "target", F.round(rho, 5).alias("rho"), F.round(rho_c, 9).alias("rho_c"), F.round(mu, 5).alias("mu"), F.round(mu_c, 9).alias("mu_c"))
 
 
+@query(sql("SELECT site, round(CASE WHEN site % 3 = 0 THEN -ln(0.0001::DOUBLE) ELSE -ln(0.9999::DOUBLE) END, 9) AS cost FROM sites", "sites"))
+def impute_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of the imputation model, were every third site a mismatch."""
+    mismatch, match = penalties.imputation_mutation()
+    return fixtures.sites(spark, sf_dir).select("site", F.round(F.when(F.col("site") % 3 == 0, mismatch).otherwise(match), 9).alias("cost"))
+
+
 define("states", f"SELECT CAST(i AS INT) AS state, {_gen(f'(-ln(1 - (i - 0.5) / {STATES}))')} AS t FROM range(1, {STATES + 1}) r(i)")
 
 

@@ -135,7 +135,7 @@ def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = imputation.sparsify(models._posteriors(spark, sf_dir), n)
     spread = imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0")))
     panel = fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n)
-    return imputation.dosages(spread, panel).select("target", "site", F.bround("dose", 3).alias("dose"))
+    return imputation.checked(imputation.dosages(spread, panel)).select("target", "site", "dose")
 
 
 @query(sql("SELECT hap, seg_idx, CAST(greatest(start_bp, 24100) AS INT) AS start_bp, CAST(least(coalesce(end_bp, 61000), 61000) AS INT) AS end_bp FROM segs WHERE start_bp < 61000 AND (end_bp IS NULL OR end_bp > 24100)", "segs"))

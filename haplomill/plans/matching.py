@@ -209,6 +209,14 @@ def interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pbwt.equal_in(fixtures.genotypes(spark, sf_dir), _pairs(spark, sf_dir), 28, 32)
 
 
+@query(sql("SELECT grp, hap, string_agg(cand, ',' ORDER BY cand) AS cands FROM (SELECT DISTINCT grp, hap, cand FROM cands WHERE hap % 10 = 3) GROUP BY grp, hap", "cands"))
+def matches_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of some targets (the selection is the feature), a list each."""
+    found = _candidates(spark, sf_dir, cut(_counts(spark, sf_dir)))
+    targets = found.select("hap").where("hap % 10 = 3")
+    return pbwt.matches_of(found, targets).select("grp", "hap", F.array_join(F.col("cands").cast("array<string>"), ",").alias("cands"))
+
+
 STATES = "SELECT user_id AS target, event_id AS site, value AS score FROM events"
 
 
