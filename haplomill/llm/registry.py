@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL."""
 
-from . import byte_bpe, chat, language, licenses, near_dup, neighbours, packing, quality, token_store, warc
+from . import byte_bpe, chat, language, licenses, near_dup, neighbours, packing, periodic, quality, token_store, vector_codes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,9 +13,12 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_token_shards": token_store.op9_token_shards,
     "op10_language_id": language.op10_language_id,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES = {
     "op2_warc_archives": warc.OP2_SQL,
     "op6_chat_format": chat.OP6_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
