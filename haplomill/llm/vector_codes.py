@@ -242,7 +242,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op13_sql() -> str:
     """Every part against every entry, in three assignments and two means."""
     out = [
-        f"kept AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        f"kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
         f"parts AS MATERIALIZED (SELECT vec_id, label, CAST(p AS INT) AS part, v[p * (len(v) // {PARTS}) + 1 : (p + 1) * (len(v) // {PARTS})] AS x FROM kept, range({PARTS}) r(p))",
         f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {ENTRIES})",
         "b0 AS MATERIALIZED (SELECT part, entry, x AS c FROM parts JOIN first USING (vec_id))",
@@ -250,7 +250,7 @@ def _op13_sql() -> str:
     for k in range(ROUNDS + 1):
         out.append(
             f"""a{k} AS MATERIALIZED (SELECT vec_id, label, part, x, min(d).d AS d, min(d).entry AS entry FROM
-  (SELECT vec_id, label, p.part, x, {{'d': CAST(list_sum(list_transform(list_zip(x, c), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'entry': entry}} AS d FROM parts p JOIN b{k} b ON b.part = p.part) GROUP BY ALL)"""
+  (SELECT vec_id, label, p.part, x, {{'d': CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'entry': entry}} AS d FROM parts p JOIN b{k} b ON b.part = p.part) GROUP BY ALL)"""
         )
         if k < ROUNDS:
             mean = f"SELECT part, entry, list(m ORDER BY k) AS c FROM (SELECT part, entry, k, CAST(floor_div(sum(x[k]), count(*)) AS BIGINT) AS m FROM a{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS k) GROUP BY part, entry, k) GROUP BY part, entry"
