@@ -62,6 +62,14 @@ def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
     return out
 
 
+def discard(since: int, *tags: str) -> None:
+    """Removes what was written under these tags since the mark."""
+    for spark, path in _temporary[since:]:
+        if path.rpartition("/")[2].rpartition("-")[0] in tags:
+            _delete(spark, path)
+            _temporary.remove((spark, path))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it again."""
     spark = df.sparkSession

@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL."""
 
-from . import byte_bpe, chat, language, licenses, near_dup, neighbours, packing, periodic, quality, token_store, vector_codes, warc
+from . import byte_bpe, chat, language, licenses, near_dup, neighbours, packing, periodic, quality, repeats, token_store, vector_codes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_token_shards": token_store.op9_token_shards,
     "op10_language_id": language.op10_language_id,
+    "op11_repeated_strings": repeats.op11_repeated_strings,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
