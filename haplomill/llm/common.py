@@ -63,11 +63,14 @@ def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
 
 
 def discard(since: int, *tags: str) -> None:
-    """Removes what was written under these tags since the mark."""
+    """Removes what was written under these tags since the mark, and lets Spark remove the shuffle
+    files of plans that no one holds any more."""
     for spark, path in _temporary[since:]:
         if path.rpartition("/")[2].rpartition("-")[0] in tags:
             _delete(spark, path)
             _temporary.remove((spark, path))
+            gc.collect()
+            spark._jvm.System.gc()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -19,7 +19,7 @@ anchors, whose stretches are equal or apart, and go the same way. Texts equal as
 
 Order is that of doc_id, then of start. Defined cases: null and empty texts have no bytes; null ids
 come last; rows that share an id come in the order in which they were read; matches never cross rows;
-no rows give no rows; other columns are ignored. Hashes decide only what is compared; texts and
+no rows give no rows; other columns are ignored. Hashes decide only what is compared; whole texts and
 stretches are told apart by digests of 256 and 128 bits.
 """
 
@@ -121,22 +121,50 @@ def postings(store: DataFrame, gram: int) -> DataFrame:
     return store.select("m", "at", "body").mapInPandas(task, "v long, m long, at long, place long")
 
 
+def digests(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each row of bytes, whose length is a multiple of eight."""
+    words = np.ascontiguousarray(rows).view("<u8")
+    out = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        x = (words[:, k] + np.uint64((k + 1) * MIX % 2**64)) * np.uint64(pow(BASE, k + 1, 2**64))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(MIX)
+        out += x ^ (x >> np.uint64(29))
+    return out.astype(np.int64)
+
+
 def cut_out(store: DataFrame, kept: DataFrame) -> DataFrame:
-    """key, v, d, m, place, piece: the bytes of the stretches kept."""
+    """v, s, d, m, place, piece: the bytes of the stretches kept, told apart by (v, s)."""
     listed = kept.groupBy("m", "at").agg(F.collect_list(F.struct("v", "place")).alias("s"))
     rows = store.join(listed, ["m", "at"]).select("d", "m", "at", "body", F.col("s.v").alias("vs"), F.col("s.place").alias("places"))
+    width = -(-(2 * LENGTH) // 8) * 8
 
     @tidy
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for d, m, at, body, vs, places in frame.itertuples(index=False):
-                place = np.array(places, np.int64)
-                low = (place >> 16) - (place >> 8 & 255) - at
-                pieces = [body[a:b] for a, b in zip(low.tolist(), (low + (place & 255) + LENGTH - 1).tolist(), strict=True)]
-                keys = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
-                yield pd.DataFrame({"key": keys, "v": np.array(vs, np.int64), "d": d, "m": m, "place": place, "piece": pieces})
-
-    return rows.mapInPandas(task, "key binary, v long, d long, m long, place long, piece binary")
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(c) for c in batch.schema.names}
+            raw = np.frombuffer(b"".join(column["body"].to_pylist()), np.uint8)
+            sizes = np.array([len(b) for b in column["body"].to_pylist()], np.int64)
+            v, place = (column[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("vs", "places"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(column["vs"].offsets.to_numpy()))
+            d, m, at = (column[c].to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("d", "m", "at"))
+            low = (np.cumsum(sizes) - sizes)[row] + (place >> 16) - (place >> 8 & 255) - at
+            length = (place & 255) + LENGTH - 1
+            for k in range(0, len(v), 1 << 14):
+                some = slice(k, k + (1 << 14))
+                at_byte = low[some, None] + np.arange(width)
+                inside = np.arange(width) < length[some, None]
+                pieces = np.where(inside, raw[np.minimum(at_byte, len(raw) - 1)], np.uint8(0))
+                offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pieces[inside].tobytes())])
+                pieces[:, -1] = length[some]
+                arrays = [*map(pa.array, (v[some], digests(pieces), d[some], m[some], place[some])), binary]
+                yield pa.RecordBatch.from_arrays(arrays, names=["v", "s", "d", "m", "place", "piece"])
+
+    return rows.mapInArrow(task, "v long, s long, d long, m long, place long, piece binary")
 
 
 def least_table(values: np.ndarray) -> np.ndarray:
@@ -240,13 +268,15 @@ def compared(stretches: DataFrame, buckets: int, gram: int, folder: str) -> Data
 
 def covered(store: DataFrame, gram: int, folder: str, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """m, low, high: bytes of the texts (d, m, at, body) under strings that start earlier, too."""
+    since = mark()
     found = materialize(postings(store, gram), "repeats-postings")
     twice = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
     all_pieces = materialize(cut_out(store, found.join(twice, "v", "left_semi")), "repeats-pieces")
-    head = all_pieces.groupBy("key").agg(F.min(F.struct("d", "m", "place", "v", "piece")).alias("h"), F.count("*").alias("copies"))
-    distinct = materialize(head.select("key", "h.*", "copies"), "repeats-distinct")
+    discard(since, "repeats-postings")
+    head = all_pieces.groupBy("v", "s").agg(F.min(F.struct("d", "m", "place", "piece")).alias("h"), F.count("*").alias("copies"))
+    distinct = materialize(head.select("v", "s", "h.*", "copies"), "repeats-distinct")
     # whatever equals an earlier stretch goes as a whole
-    later = all_pieces.select("key", "m", "place").join(distinct.where("copies > 1").select("key", F.col("m").alias("m0"), F.col("place").alias("place0")), "key").where("m <> m0 OR place <> place0")
+    later = all_pieces.select("v", "s", "m", "place").join(distinct.where("copies > 1").select("v", "s", F.col("m").alias("m0"), F.col("place").alias("place0")), ["v", "s"]).where("m <> m0 OR place <> place0")
     low = F.shiftright("place", 16) - (F.shiftright("place", 8).bitwiseAND(255))
     out = later.select("m", low.alias("low"), (low + F.col("place").bitwiseAND(255) + LENGTH - 1).alias("high"))
     crowded = materialize(distinct.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("v"), "repeats-crowded")
