@@ -132,8 +132,9 @@ def digests(rows: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def cut_out(store: DataFrame, kept: DataFrame) -> DataFrame:
-    """v, s, d, m, place, piece: the bytes of the stretches kept, told apart by (v, s)."""
+def cut_out(store: DataFrame, kept: DataFrame, bodies: bool) -> DataFrame:
+    """v, s, d, m, at, place of the stretches kept (v, m, at, place), which (v, s) tells apart; with
+    bodies their bytes, too, as piece."""
     listed = kept.groupBy("m", "at").agg(F.collect_list(F.struct("v", "place")).alias("s"))
     rows = store.join(listed, ["m", "at"]).select("d", "m", "at", "body", F.col("s.v").alias("vs"), F.col("s.place").alias("places"))
     width = -(-(2 * LENGTH) // 8) * 8
@@ -158,13 +159,15 @@ def cut_out(store: DataFrame, kept: DataFrame) -> DataFrame:
                 at_byte = low[some, None] + np.arange(width)
                 inside = np.arange(width) < length[some, None]
                 pieces = np.where(inside, raw[np.minimum(at_byte, len(raw) - 1)], np.uint8(0))
-                offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pieces[inside].tobytes())])
+                arrays = []
+                if bodies:
+                    offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
+                    arrays = [pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pieces[inside].tobytes())])]
                 pieces[:, -1] = length[some]
-                arrays = [*map(pa.array, (v[some], digests(pieces), d[some], m[some], place[some])), binary]
-                yield pa.RecordBatch.from_arrays(arrays, names=["v", "s", "d", "m", "place", "piece"])
+                arrays = [*map(pa.array, (v[some], digests(pieces), d[some], m[some], at[some], place[some])), *arrays]
+                yield pa.RecordBatch.from_arrays(arrays, names=["v", "s", "d", "m", "at", "place", "piece"][: len(arrays)])
 
-    return rows.mapInArrow(task, "v long, s long, d long, m long, place long, piece binary")
+    return rows.mapInArrow(task, "v long, s long, d long, m long, at long, place long" + ", piece binary" * bodies)
 
 
 def least_table(values: np.ndarray) -> np.ndarray:
@@ -271,22 +274,24 @@ def covered(store: DataFrame, gram: int, folder: str, hot: int = HOT, bucket: in
     since = mark()
     found = materialize(postings(store, gram), "repeats-postings")
     twice = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    all_pieces = materialize(cut_out(store, found.join(twice, "v", "left_semi")), "repeats-pieces")
+    every = materialize(cut_out(store, found.join(twice, "v", "left_semi"), False), "repeats-stretches")
     discard(since, "repeats-postings")
-    head = all_pieces.groupBy("v", "s").agg(F.min(F.struct("d", "m", "place", "piece")).alias("h"), F.count("*").alias("copies"))
+    head = every.groupBy("v", "s").agg(F.min(F.struct("d", "m", "place", "at")).alias("h"), F.count("*").alias("copies"))
     distinct = materialize(head.select("v", "s", "h.*", "copies"), "repeats-distinct")
     # whatever equals an earlier stretch goes as a whole
-    later = all_pieces.select("v", "s", "m", "place").join(distinct.where("copies > 1").select("v", "s", F.col("m").alias("m0"), F.col("place").alias("place0")), ["v", "s"]).where("m <> m0 OR place <> place0")
+    first = distinct.where("copies > 1").select("v", "s", F.col("m").alias("m0"), F.col("place").alias("place0"))
+    later = every.select("v", "s", "m", "place").join(first, ["v", "s"]).where("m <> m0 OR place <> place0")
     low = F.shiftright("place", 16) - (F.shiftright("place", 8).bitwiseAND(255))
-    out = later.select("m", low.alias("low"), (low + F.col("place").bitwiseAND(255) + LENGTH - 1).alias("high"))
+    out = materialize(later.select("m", low.alias("low"), (low + F.col("place").bitwiseAND(255) + LENGTH - 1).alias("high")), "repeats-later")
     crowded = materialize(distinct.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("v"), "repeats-crowded")
+    discard(since, "repeats-stretches")
     rest = distinct
     if gram < LENGTH and not crowded.isEmpty():
         rest = distinct.join(crowded, "v", "left_anti")
-        apart = distinct.join(crowded, "v", "left_semi").select("d", "m", low.alias("at"), F.col("piece").alias("body"))
+        apart = cut_out(store, distinct.join(crowded, "v", "left_semi"), True).select("d", "m", low.alias("at"), F.col("piece").alias("body"))
         out = out.unionByName(covered(materialize(apart, "repeats-apart"), LENGTH, folder, hot, bucket))
     buckets = max(1, -(-distinct.count() // bucket))
-    return out.unionByName(compared(rest, buckets, gram, folder))
+    return out.unionByName(materialize(compared(cut_out(store, rest, True), buckets, gram, folder), "repeats-compared"))
 
 
 def _shortened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,6 +325,7 @@ def without_repeats(docs: DataFrame, gram: int = GRAM, hot: int = HOT, bucket: i
     ids = materialize(whole.select("m", "doc_id", "n_bytes", "digest").join(first.withColumn("single", F.lit(True)), "m", "left"), "repeats-ids")
     discard(since, "repeats-texts", "repeats-first")
     gone = covered(store, gram, new_folder(spark, "repeats-rounds"), hot, bucket)
+    discard(since, "repeats-distinct", "repeats-crowded", "repeats-apart")
     listed = gone.groupBy("m").agg(F.collect_list(F.struct("low", "high")).alias("s")).select("m", F.col("s.low").alias("lows"), F.col("s.high").alias("highs"))
     cut = store.select("m", "body").join(listed, "m").mapInPandas(tidy(_shortened), "m long, removed long, spans long, kept string")
     copy = F.col("single").isNull() & (F.col("n_bytes") >= LENGTH)
