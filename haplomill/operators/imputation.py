@@ -81,6 +81,22 @@ def arg_delta(posteriors: DataFrame, panel: DataFrame, paths: DataFrame, mapping
     return rows.groupBy("target", "site").agg(F.sum(F.col("p") * (recent(F.col("lower"), F.col("upper"), F.col("tmrca")) - 1)).alias("delta"))
 
 
+def mapped_doses(doses: DataFrame, posteriors: DataFrame, panel: DataFrame, sites: DataFrame, segments: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Doses less what the ages of mapped variants take off; unmapped sites keep theirs. segments:
+    target, seg_idx, start_bp, end_bp, ref, age; sites: site, pos; mapping: site, hap (null: any
+    carrier), lower, upper, without the variants whose frequent allele was mapped."""
+    named = segments.select(F.col("target").alias("hap"), F.col("ref").alias("target"), F.col("age").alias("tmrca"), "seg_idx", "start_bp", "end_bp")
+    at = segment_before(sites.join(mapping.select("site").distinct(), "site", "left_semi").select("site", "pos"), named)
+    carriers = panel.where("g = 1").select("site", F.col("hap").alias("ref"))
+    copied = at.select("site", F.col("hap").alias("target"), F.col("target").alias("ref"), "tmrca")
+    rows = posteriors.where("p > 0").join(carriers, ["site", "ref"]).join(copied, ["site", "target", "ref"])
+    one = rows.join(mapping.where("hap IS NULL").drop("hap"), "site")
+    some = rows.join(mapping.where("hap IS NOT NULL").withColumnRenamed("hap", "ref"), ["site", "ref"]).select(*one.columns)
+    taken = F.sum(F.col("p") * (recent(F.col("lower"), F.col("upper"), F.col("tmrca")) - 1)).alias("delta")
+    deltas = one.unionByName(some).groupBy("target", "site").agg(taken)
+    return doses.join(deltas, ["target", "site"], "left").select("target", "site", (F.col("dose") + F.coalesce("delta", F.lit(0.0))).alias("dose"))
+
+
 def imputation_segments(genotypes: DataFrame, paths: DataFrame, refs: DataFrame, last_site: int, n: int = 16) -> DataFrame:
     """target, seg_idx, start, end, ref, low, high, weight: for each segment of a target's path the n
     references that equal it there and around it the longest; paths: target, site, ref (what is

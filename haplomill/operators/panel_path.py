@@ -1,0 +1,208 @@
+"""The cheapest mosaic of a whole panel, and all haplotypes that share its segments.
+
+All haplotypes that agree since the last switch are one state: they stand side by side in prefix
+order, so that a state is an interval of ranks with a start and a cost. An allele cuts an interval in
+two by the counts of zeros and ones before its ends. A state dearer than a switch from the best one
+is dropped, as is one inside another that costs less. Costs are whole numbers, so that equal costs
+are equal: a path goes on rather than switches, and of equal haplotypes the smallest id is copied.
+
+A chromosome goes in stretches of sites: a task holds a stretch of the panel and the fronts of some
+targets, and hands these over to the next stretch as rows, with the switches that they still rest on.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.lineage import cut
+from . import coordinates, dating, penalties
+from .demography import Demography
+from .panel import BLOCK, Panel, whole_keys
+
+UNIT = 1_000_000  # parts of a cost
+ROWS = "target int, kind int, start int, prev int, ref int, low int, high int, score long"
+FRONT, SWITCH = 0, 1
+CELLS = 1 << 25  # alleles of a stretch that a task holds
+
+
+def whole(cost: Column) -> Column:
+    """A cost in whole parts."""
+    return F.round(cost * UNIT).cast("long")
+
+
+def whole_costs(sites: DataFrame, n: int, demography: Demography, rate: float, dense: bool) -> DataFrame:
+    """site, stay, switch, match, mismatch in parts, for a panel of n; sites: site, pos, cm, numbered
+    without gaps. dense: a switch picks one of n haplotypes."""
+    span = sites.agg(((F.max("pos") - F.min("pos")) / F.count("*")).alias("span")).first()["span"]
+    t = demography.branch_length(n + 1)
+    mismatch, match = penalties.mutation(F.lit(span), rate, t)
+    switch, stay = penalties.recombination(F.col("size"), t, F.lit(float(n)) if dense else None)
+    return coordinates.site_sizes(sites, "cm").select("site", *[whole(c).alias(name) for name, c in (("stay", stay), ("switch", switch), ("match", match), ("mismatch", mismatch))])
+
+
+class Front:
+    """The states of one target: intervals of ranks, the site at which each began, and its cost."""
+
+    def __init__(self, rows: pd.DataFrame | None, n: int) -> None:
+        if rows is None:
+            self.low, self.high, self.start, self.score = (np.array([x], np.int64) for x in (0, n, 0, 0))
+        else:
+            self.low, self.high, self.start, self.score = (rows[c].to_numpy(np.int64) for c in ("low", "high", "start", "score"))
+        self.switches: list[tuple[int, int, int, int, int, int]] = []  # start, previous start, ref, low, high, score
+        self.most = 0
+
+    def site(self, zeros: np.ndarray, allele: int, stay: int, match: int, mismatch: int) -> None:
+        """Every state with the target's allele and with the other one."""
+        a, b = zeros[self.low], zeros[self.high]
+        of = (a, b), (zeros[-1] + self.low - a, zeros[-1] + self.high - b)
+        low, high = (np.concatenate([of[allele][k], of[1 - allele][k]]) for k in (0, 1))
+        score = np.concatenate([self.score + (stay + match), self.score + (stay + mismatch)])
+        there = high > low
+        self.low, self.high, self.score, self.start = low[there], high[there], score[there], np.concatenate([self.start, self.start])[there]
+
+    def best(self, haps: np.ndarray) -> tuple[int, int, int, int, int]:
+        """(start, ref, low, high, cost) of the cheapest state: the smallest id, then the longest."""
+        z = self.score.min()
+        at = np.flatnonzero(self.score == z)
+        k = min(at.tolist(), key=lambda i: (haps[self.low[i] : self.high[i]].min(), self.start[i]))
+        return int(self.start[k]), int(haps[self.low[k] : self.high[k]].min()), int(self.low[k]), int(self.high[k]), int(z)
+
+    def switch(self, site: int, n: int, extra: int, haps: np.ndarray) -> None:
+        """What costs more than a switch from the best state goes; the switch is a new state of all."""
+        start, ref, low, high, z = self.best(haps)
+        bound = z + extra
+        kept = self.score <= bound
+        if kept.sum() > 1:
+            inside = (self.low[:, None] >= self.low) & (self.high[:, None] <= self.high) & (self.score[:, None] > self.score)
+            kept &= ~inside.any(axis=1)
+        self.low, self.high, self.start, self.score = (np.append(x[kept], y) for x, y in ((self.low, 0), (self.high, n), (self.start, site), (self.score, bound)))
+        self.switches.append((site, start, ref, low, high, bound))
+        self.most = max(self.most, len(self.low))
+
+    def rows(self, target: int) -> pd.DataFrame:
+        """The front, and the switches that it rests on."""
+        front = pd.DataFrame({"target": target, "kind": FRONT, "start": self.start, "prev": -1, "ref": -1, "low": self.low, "high": self.high, "score": self.score})
+        needed, used = set(self.start.tolist()), []
+        for x in reversed(self.switches):  # later ones rest on earlier ones
+            if x[0] in needed:
+                needed.add(x[1])
+                used.append((target, SWITCH, *x))
+        return pd.concat([front, pd.DataFrame(used, columns=front.columns)], ignore_index=True).astype("int64")
+
+
+def _stretch(n: int):
+    """A task's work: the fronts of its targets over a stretch of sites."""
+
+    def task(key: tuple, sites: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sites, targets, fronts = sites.sort_values("site"), rows[rows["site"] >= 0], rows[rows["site"] < 0]
+        before = dict(list(fronts[fronts["kind"] == FRONT].groupby("target"))) if len(fronts) else {}
+        alleles = {int(t): dict(zip(x["site"].tolist(), x["g"].tolist(), strict=True)) for t, x in targets.groupby("target")}
+        state = {t: Front(before.get(t), n) for t in alleles}
+        for site, column, haps, stay, extra, match, mismatch, last in sites[["site", "alleles", "haps", "stay", "extra", "match", "mismatch", "last"]].itertuples(index=False):
+            zeros = np.concatenate([[0], np.cumsum(1 - np.asarray(column, np.int64))])
+            haps = np.asarray(haps, np.int64)
+            for t, front in state.items():
+                front.site(zeros, int(alleles[t][site]), stay, match, mismatch)
+                if last:
+                    start, ref, low, high, z = front.best(haps)
+                    front.switches.append((site + 1, start, ref, low, high, z))
+                    front.start = np.array([site + 1])
+                    front.low, front.high, front.score = np.array([low]), np.array([high]), np.array([z])
+                else:
+                    front.switch(site + 1, n, extra, haps)
+        return pd.concat([f.rows(t) for t, f in state.items()], ignore_index=True)
+
+    return task
+
+
+def paths(panel: Panel, targets: DataFrame, costs: DataFrame, tasks: int = 64, stretch: int | None = None) -> DataFrame:
+    """target, seg_idx, start, end (exclusive), ref, low, high (ranks after the segment's last site of
+    all that agree on it), cost (of the whole path, in parts). targets: site, hap, g; costs: site,
+    stay, switch, match, mismatch, in parts, the switch being that from this site to the next."""
+    n = panel.genotypes.select("hap").distinct().count()
+    size = stretch or max(1, CELLS // max(n, 1))
+    last = panel.n_sites - 1
+    of = F.pmod(F.xxhash64("target"), F.lit(tasks)).cast("int")
+    own = cut(targets.select(F.col("hap").alias("target"), "site", "g").withColumn("task", of))
+    used = own.select("task").distinct()
+    rows = cut(panel.columns.join(costs.select("site", "stay", (F.col("switch") - F.col("stay")).alias("extra"), "match", "mismatch"), "site").withColumn("last", F.col("site") == last))
+    front = own.sparkSession.createDataFrame([], ROWS)
+    every = []
+    for low in range(0, panel.n_sites, size):
+        here = F.col("site").between(low, low + size - 1)
+        part, alleles = rows.where(here).crossJoin(F.broadcast(used)), own.where(here)  # at most `tasks` copies of the stretch
+        # a cogroup takes two sides: alleles and fronts go as one, told apart by the site
+        mine = alleles.select("task", "target", "site", "g", *[F.lit(None).cast("long").alias(c) for c in ("kind", "start", "low", "high", "score")])
+        held = front.where(F.col("kind") == FRONT).withColumn("task", of).select("task", "target", F.lit(-1).alias("site"), F.lit(0).alias("g"), *[F.col(c).cast("long").alias(c) for c in ("kind", "start", "low", "high", "score")])
+        part = part.select(*[F.col(c).alias(c) for c in part.columns])  # both sides may stem from one table
+        front = cut(part.groupBy("task").cogroup(mine.unionByName(held).groupBy("task")).applyInPandas(_stretch(n), ROWS))
+        every.append(front.where(F.col("kind") == SWITCH))
+    switches = every[0]
+    for x in every[1:]:
+        switches = switches.unionByName(x)
+    return _traced(switches, panel.n_sites)
+
+
+def _traced(switches: DataFrame, n_sites: int) -> DataFrame:
+    """From the end back through the switches of each target."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        by_start = {r.start: r for r in frame.itertuples(index=False)}
+        at, out = n_sites, []
+        cost = by_start[n_sites].score
+        while at > 0:
+            r = by_start[at]
+            out.append((r.target, r.prev, at, r.ref, r.low, r.high, cost))
+            at = r.prev
+        out = pd.DataFrame(out[::-1], columns=["target", "start", "end", "ref", "low", "high", "cost"])
+        out.insert(1, "seg_idx", range(len(out)))
+        return out
+
+    return switches.groupBy("target").applyInPandas(one, "target int, seg_idx int, start int, end int, ref int, low int, high int, cost long")
+
+
+def members(panel: Panel, found: DataFrame) -> DataFrame:
+    """target, seg_idx, start, end, ref: all haplotypes of the panel that agree with the one copied over
+    the segment: those between its ranks after the last site."""
+    each = found.select("target", "seg_idx", "start", "end", (F.col("end") - 1).alias("site"), F.explode(F.sequence("low", F.col("high") - 1)).alias("rnk"))
+    return each.join(panel.order.select("site", "rnk", F.col("hap").alias("ref")), ["site", "rnk"]).select("target", "seg_idx", "start", "end", "ref")
+
+
+def overlaps(panel: Panel, targets: DataFrame, shared: DataFrame) -> DataFrame:
+    """Adds low and high to members: how far beyond both ends of the segment they equal the target.
+    Alleles are compared block by block as numbers, a row a pair."""
+    listed = lambda keys, name: keys.groupBy("hap").agg(F.array_sort(F.collect_list(F.struct("block", "key"))).alias("k")).select(F.col("hap").alias(name), F.col("k.key").alias(f"{name}_k"))
+    rows = shared.join(listed(panel.keys, "ref"), "ref").join(listed(whole_keys(targets), "target"), "target")
+    rows = rows.withColumn("x", F.zip_with("ref_k", "target_k", lambda a, b: a.bitwiseXOR(b)))
+    highest = lambda x: F.floor(F.log2(x.cast("double")))
+    below = F.expr(f"shiftleft(1L, start % {BLOCK}) - 1")
+    from_end = F.expr(f"shiftleft(-1L, end % {BLOCK})")
+    sb, eb = F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK)
+    before = lambda x, b: F.when(b < sb, x).when(b == sb, x.bitwiseAND(below)).otherwise(0)
+    after = lambda x, b: F.when(b > eb, x).when(b == eb, x.bitwiseAND(from_end)).otherwise(0)
+    last = F.array_max(F.transform("x", lambda x, b: F.when(before(x, b) != 0, b * BLOCK + highest(before(x, b)) + 1)))
+    first = F.array_min(F.transform("x", lambda x, b: F.when(after(x, b) != 0, b * BLOCK + highest(after(x, b).bitwiseAND(-after(x, b))))))
+    return rows.select("target", "seg_idx", "start", "end", "ref", F.coalesce(last, F.lit(0)).cast("int").alias("low"), F.coalesce(first, F.lit(panel.n_sites)).cast("int").alias("high"))
+
+
+def longest(found: DataFrame, n: int) -> DataFrame:
+    """The n longest overlaps of each segment, ties to the smaller id, and a weight of 1 / their number."""
+    place = F.row_number().over(Window.partitionBy("target", "seg_idx").orderBy(F.desc(F.col("high") - F.col("low")), "ref"))
+    best = found.withColumn("place", place).where(F.col("place") <= n)
+    return best.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("target", "seg_idx"))).drop("place")
+
+
+def dated(near: DataFrame, sites: DataFrame, demography: Demography) -> DataFrame:
+    """target, seg_idx, start_bp, end_bp (null for the last), ref, age: segments for imputation, their
+    ages from the genetic length alone. sites: site, pos, cm."""
+    upto = Window.orderBy("site").rowsBetween(Window.unboundedPreceding, -1)  # the typed sites of one chromosome
+    at = coordinates.site_sizes(sites, "cm").join(sites.select("site", "pos"), "site").select("site", "pos", "size", F.coalesce(F.sum("size").over(upto), F.lit(0.0)).alias("before"))
+    first = at.select(F.col("site").alias("start"), F.col("pos").alias("start_bp"), F.col("before").alias("from_cm"))
+    last = at.select((F.col("site") + 1).alias("end"), (F.col("before") + F.col("size")).alias("to_cm"))
+    after = at.select(F.col("site").alias("end"), F.col("pos").alias("end_bp"))
+    rows = near.join(first, "start").join(last, "end").join(after, "end", "left")
+    age = dating.date_segment_sparse(F.col("to_cm") - F.col("from_cm"), demography)
+    return rows.select("target", "seg_idx", "start_bp", "end_bp", "ref", age.alias("age"))

@@ -67,7 +67,7 @@ def ls_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql(
-        f"""SELECT site, target, round(-ln(1 - exp(-k)) + ln(target), 5) AS rho, round(k, 7) AS rho_c, round(-ln(1 - exp(-l)), 5) AS mu, round(l, 7) AS mu_c
+        f"""SELECT site, target, round(-ln(1 - exp(-k)) + ln(target), 5) AS rho, round(k, 12) AS rho_c, round(-ln(1 - exp(-l)), 5) AS mu, round(l, 12) AS mu_c
 FROM (SELECT site, target, 0.02 * step * t AS k, 2 * {MU}::DOUBLE * bp * t AS l FROM steps, (SELECT target, {_gen('(2.0::DOUBLE / (target + 1))')} AS t FROM (SELECT CAST(vec_id AS INT) AS target FROM embeddings WHERE vec_id > 0)))""",
         "steps",
     )
@@ -81,7 +81,7 @@ def lowmem_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id > 0").select(F.col("vec_id").cast("int").alias("target"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("site"))
     rows = targets.join(F.broadcast(steps), "site")
     rho, rho_c, mu, mu_c = penalties.per_target(F.col("step"), F.col("bp"), MU, DEMO.generations(2.0 / (F.col("target") + 1)), F.col("target"), sparse=False)
-    return rows.select("site", "target", F.round(rho, 5).alias("rho"), F.round(rho_c, 7).alias("rho_c"), F.round(mu, 5).alias("mu"), F.round(mu_c, 7).alias("mu_c"))
+    return rows.select("site", "target", F.round(rho, 5).alias("rho"), F.round(rho_c, 12).alias("rho_c"), F.round(mu, 5).alias("mu"), F.round(mu_c, 12).alias("mu_c"))
 
 
 @query(sql("SELECT site, round(CASE WHEN site % 3 = 0 THEN -ln(0.0001::DOUBLE) ELSE -ln(0.9999::DOUBLE) END, 9) AS cost FROM sites", "sites"))

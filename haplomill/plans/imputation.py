@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import ancestry, frequencies, imputation
+from ..functions.lineage import cut
+from ..operators import ancestry, frequencies, imputation, panel_path
 from ..sources import fixtures, writers
-from . import matching, models
+from . import matching, models, panels
+from .dating import _Q, DEMO
 from .registry import query
 from .sql import define, sql
 
@@ -127,15 +129,53 @@ define("csparse", "SELECT target, site, ref, p / sum(p) OVER (PARTITION BY targe
 define("cspread", "SELECT target, site, ref, sum(p * w) AS p FROM (SELECT x.target, a.site, x.ref, x.p, a.prev_wt AS w FROM csparse x JOIN caround a ON a.prev = x.site UNION ALL SELECT x.target, a.site, x.ref, x.p, 1 - a.prev_wt FROM csparse x JOIN caround a ON a.next = x.site) WHERE w > 0 GROUP BY ALL", "csparse", "caround")
 
 
-@query(sql("SELECT target, s.site, round_even(coalesce(sum(p) FILTER (g = 1), 0), 3) AS dose FROM cspread s JOIN geno ON geno.site = s.site AND geno.hap = s.ref GROUP BY target, s.site", "cspread", "geno"))
-def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imputation from genotypes to dosages: match sets, posteriors, interpolation, sums."""
+define("cdose", "SELECT target, s.site, coalesce(sum(p) FILTER (g = 1), 0) AS dose FROM cspread s JOIN geno ON geno.site = s.site AND geno.hap = s.ref GROUP BY target, s.site", "cspread", "geno")
+
+
+def _imputed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Doses, the posteriors at all sites that they come from, and the panel."""
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
     sites = fixtures.sites(spark, sf_dir)
     found = imputation.sparsify(models._posteriors(spark, sf_dir), n)
-    spread = imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0")))
+    spread = cut(imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0"))))
     panel = fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n)
-    return imputation.checked(imputation.dosages(spread, panel)).select("target", "site", "dose")
+    return imputation.dosages(spread, panel), spread, panel
+
+
+@query(sql("SELECT target, site, round_even(dose, 3) AS dose FROM cdose", "cdose"))
+def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputation from genotypes to dosages: match sets, posteriors, interpolation, sums."""
+    return imputation.checked(_imputed(spark, sf_dir)[0]).select("target", "site", "dose")
+
+
+_mass = lambda n: f"({_Q.format(x='r * t', n=n)} - CASE WHEN next_t IS NULL THEN 0 ELSE {_Q.format(x='r * coalesce(next_t, 0)', n=n)} END)"
+define(
+    "tage",
+    f"""SELECT target, seg_idx, start, "end", sum(prior * 2 / pow(r, 3) * {_mass(3)}) / sum(prior / pow(r, 2) * {_mass(2)}) AS age FROM
+  (SELECT p.*, 1 / ne + 0.02 * cm AS r, t, next_t, (1 / ne) * exp(t / ne - std) AS prior FROM (SELECT p.target, p.seg_idx, p.start, p."end", sum(c.size) AS cm FROM tpath p JOIN tcmsize c ON c.site >= p.start AND c.site < p."end" GROUP BY ALL) p, epochs) GROUP BY ALL""",
+    "tpath", "tcmsize", "epochs",
+)
+define("tsegs", """SELECT n.target, n.ref, n.seg_idx, s.pos AS start_bp, e.pos AS end_bp, a.age FROM tnear n JOIN tage a USING (target, seg_idx) JOIN tcm s ON s.site = n.start LEFT JOIN tcm e ON e.site = n."end" """, "tnear", "tage", "tcm")
+# mappings of a kind: a third of the sites to one branch, a third to branches by haplotype, a third to none
+define("mapped", "SELECT site, NULL::INT AS hap, 50.0::DOUBLE + site AS lower, 150.0::DOUBLE + 2 * site AS upper FROM sites WHERE site % 3 = 0 UNION ALL SELECT s.site, CAST(vec_id AS INT), 20.0::DOUBLE + vec_id % 50, 120.0::DOUBLE + vec_id % 50 FROM sites s, embeddings WHERE s.site % 3 = 1 AND vec_id % 2 = 0", "sites")
+define(
+    "delta",
+    """SELECT x.target, x.site, sum(x.p * (-exp(-l) * (1 + l))) AS delta FROM (SELECT c.target, c.site, c.p, 2.0::DOUBLE / t.age * (m.lower + m.upper) / 2 AS l FROM cspread c JOIN geno g ON g.site = c.site AND g.hap = c.ref AND g.g = 1 JOIN sites s ON s.site = c.site
+  JOIN tsegs t ON t.target = c.target AND t.ref = c.ref AND (t.seg_idx = 0 OR t.start_bp < s.pos) AND (t.end_bp IS NULL OR t.end_bp >= s.pos) JOIN mapped m ON m.site = c.site AND (m.hap IS NULL OR m.hap = c.ref)) x GROUP BY ALL""",
+    "cspread", "geno", "sites", "tsegs", "mapped",
+)
+
+
+@query(sql("SELECT d.target, d.site, round_even(dose + coalesce(delta, 0), 3) AS dose FROM cdose d LEFT JOIN delta USING (target, site)", "cdose", "delta"))
+def imputed_dosage_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputation where the ages of mapped variants and of the mosaics' segments take part."""
+    doses, spread, panel = _imputed(spark, sf_dir)
+    segments = panel_path.dated(panels.typed_near(spark, sf_dir), panels.typed_sites(spark, sf_dir), DEMO)
+    sites = fixtures.sites(spark, sf_dir)
+    one = sites.where("site % 3 = 0").select("site", F.lit(None).cast("int").alias("hap"), (50.0 + F.col("site")).alias("lower"), (150.0 + 2 * F.col("site")).alias("upper"))
+    haps = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 2 = 0").select(F.col("vec_id").cast("int").alias("hap"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("site"))
+    some = haps.where("site % 3 = 1").select("site", "hap", (20.0 + F.col("hap") % 50).alias("lower"), (120.0 + F.col("hap") % 50).alias("upper"))
+    return imputation.checked(imputation.mapped_doses(doses, spread, panel, sites, segments, one.unionByName(some))).select("target", "site", "dose")
 
 
 @query(sql("SELECT hap, seg_idx, CAST(greatest(start_bp, 24100) AS INT) AS start_bp, CAST(least(coalesce(end_bp, 61000), 61000) AS INT) AS end_bp FROM segs WHERE start_bp < 61000 AND (end_bp IS NULL OR end_bp > 24100)", "segs"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..operators import copying, dating, pbwt, penalties, psmc
 from ..sources import fixtures
-from . import matching
+from . import matching, panels
 from .dating import DEMO, MU
 from .registry import query
 from .sql import define, sql
@@ -78,7 +78,12 @@ def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = np.append(np.diff(cm), np.diff(cm)[-1])
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
     switch = 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)
-    return copying.posteriors(geno, matching.typed_match_sets(spark, sf_dir), switch)
+    # the neighbours at typed sites, and what the targets' mosaics copy
+    sets = matching.typed_match_sets(spark, sf_dir).unionByName(panels.typed_near(spark, sf_dir).select("target", "ref")).distinct()
+    return copying.posteriors(geno, sets, switch)
+
+
+define("tsets", "SELECT target, ref FROM tiw UNION SELECT target, ref FROM tnear", "tiw", "tnear")
 
 
 # the passes in SQL, each row scaled anew, over the numbers j of the typed sites
@@ -86,8 +91,8 @@ define("tstep", "SELECT site // 4 AS j, 1 - exp(-800.0::DOUBLE * coalesce(lead(c
 define(
     "emit",
     """SELECT target, ref, j, n, CASE WHEN bool_and(same) OVER (PARTITION BY target, j) THEN 1.0::DOUBLE WHEN same THEN 1 - 1e-4::DOUBLE ELSE 1e-4::DOUBLE END AS e FROM
-  (SELECT m.target, m.ref, a.site // 4 AS j, a.g = b.g AS same, count(*) OVER (PARTITION BY m.target, a.site) AS n FROM tiw m JOIN geno a ON a.hap = m.target AND a.site % 4 = 0 JOIN geno b ON b.hap = m.ref AND b.site = a.site)""",
-    "tiw", "geno",
+  (SELECT m.target, m.ref, a.site // 4 AS j, a.g = b.g AS same, count(*) OVER (PARTITION BY m.target, a.site) AS n FROM tsets m JOIN geno a ON a.hap = m.target AND a.site % 4 = 0 JOIN geno b ON b.hap = m.ref AND b.site = a.site)""",
+    "tsets", "geno",
 )
 define(
     "forward",
