@@ -1,6 +1,7 @@
-"""Commands: infer, convert, allele_ages, map, impute, vcf.
+"""Commands: infer, convert, allele_ages, map, impute, phase, vcf.
 
-Genotypes are read from phased VCF files or from Parquet with one row a site (site, pos, id, ref,
+Genotypes are read from phased VCF files (of a region only its part, where an index stands beside
+the file), from .pgen files, or from Parquet with one row a site (site, pos, id, ref,
 alt, af, genotypes); what is inferred is kept as a folder of Parquet tables.
 """
 
@@ -14,25 +15,37 @@ from pyspark.sql import functions as F
 
 from .functions.lineage import cut
 from .functions.regions import parse_region
-from .operators import ancestry, consistency, coordinates, copying, dating, frequencies, imputation, normalize, pbwt, penalties, psmc, trees
+from .operators import ancestry, consistency, coordinates, copying, dating, frequencies, imputation, normalize, panel, panel_path, pbwt, penalties, phasing, psmc, trees
 from .operators.demography import Demography
 from .sources import text, writers
 
 K, MIN_MATCHES = 4, 4
 
 
-def read_sites(spark: SparkSession, path: str, region: tuple[int, int] | None = None) -> DataFrame:
+VCF = (".vcf", ".vcf.gz", ".vcf.bgz")
+
+
+def read_sites(spark: SparkSession, path: str, region: tuple[int, int] | None = None, phased: bool = True, contig: str | None = None) -> DataFrame:
     """Variants numbered by position, their haplotypes' alleles in `genotypes`."""
     start, end = region or (None, None)
-    if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
-        rows = text.read_vcf(spark, path, start, end)
+    if path.endswith(VCF):
+        rows = text.read_vcf(spark, path, start, end, phased, contig)
+    elif path.endswith(".pgen"):
+        rows = text.read_pgen(spark, path, start, end)
     else:
         rows = spark.read.parquet(path)
         rows = rows if region is None else rows.where(F.col("pos").between(start, end))
     from pyspark.sql import Window
 
-    # the number of a site among those of one chromosome
-    return rows.withColumn("site", (F.row_number().over(Window.orderBy("pos", "id")) - 1).cast("int"))
+    # positions and ids alone are numbered; records that repeat both keep the order in which they came
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    number = rows.select("_row", (F.row_number().over(Window.orderBy("pos", "id", "_row")) - 1).cast("int").alias("site"))
+    return rows.join(number, "_row").drop("_row")
+
+
+def names_of(spark: SparkSession, path: str) -> list[str] | None:
+    """The sample names of a VCF."""
+    return text.read_vcf_header(spark, path)[0] if path.endswith(VCF) else None
 
 
 def long(sites: DataFrame) -> DataFrame:
@@ -95,7 +108,11 @@ def infer(spark: SparkSession, a: argparse.Namespace) -> None:
         segments, mism, sites = ancestry.slice_region(segments, mism, sites, start, end + 1)
     tables = {"segments": segments, "mismatches": mism, "sites": sites, "range": sites.agg(F.min("pos").cast("double").alias("start"), (F.max("pos") + 1).cast("double").alias("end"))}
     if a.save_metadata:
-        tables["variants"] = records.select("pos", "id", "ref", "alt").join(sites.select("pos", "site"), "pos")
+        named = records.select("pos", "id", "ref", "alt", *[c for c in ("chrom",) if c in records.columns])
+        tables["variants"] = named.join(sites.select("pos", "site"), "pos")
+    names = names_of(spark, a.genotypes)
+    if names:
+        tables["samples"] = spark.createDataFrame([(2 * k + side, name) for k, name in enumerate(names) for side in (0, 1)], "hap int, name string")
     writers.write_ancestry(a.out, tables)
 
 
@@ -107,7 +124,23 @@ def _load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFra
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
-    ancestry.edges(writers.read_ancestry(spark, a.ancestry)["segments"]).write.mode("overwrite").parquet(a.out)
+    """The graph's tables in one folder each: nodes, edges and, on request, mutations."""
+    tables, state = writers.read_ancestry(spark, a.ancestry), None
+    if a.add_mutations:
+        tables, geno = _load(spark, a.ancestry)
+        state = cut(trees.states(geno, ancestry.at_sites(tables["segments"], tables["sites"])))
+    for name, rows in ancestry.graph(tables["segments"], state).items():
+        rows.write.mode("overwrite").parquet(f"{a.out}/{name}")
+
+
+def phase(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The unphased records with the scaffold's phase or that of the ancestry."""
+    records = cut(read_sites(spark, a.unphased, phased=False))
+    contig = text.one_contig(records)
+    found = phasing.phase(records, cut(read_sites(spark, a.scaffold)), writers.read_ancestry(spark, a.ancestry)["segments"])
+    variants = records.select("site", "chrom", "pos", "id", "ref", "alt", F.lit(".").alias("qual"), F.lit("PASS").alias("filter"))
+    a.contig, a.names = contig, names_of(spark, a.unphased)
+    return writers.phased_lines(variants, found)
 
 
 def allele_ages(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -119,7 +152,7 @@ def allele_ages(spark: SparkSession, a: argparse.Namespace) -> None:
 def map_variants(spark: SparkSession, a: argparse.Namespace) -> None:
     tables = writers.read_ancestry(spark, a.ancestry)
     _, start, end = parse_region(a.region)
-    records = cut(read_sites(spark, a.input, (start, end)))
+    records = cut(read_sites(spark, a.input, (start, end), contig=a.region.rpartition(":")[0] or None))
     geno = long(records)
     state = trees.states(geno, ancestry.at_sites(tables["segments"], records.select("site", "pos")))
     freq = frequencies.with_frequencies(frequencies.site_counts(geno))
@@ -129,20 +162,43 @@ def map_variants(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def impute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     _, start, end = parse_region(a.region)
-    panel, target = cut(read_sites(spark, a.panel, (start, end))), read_sites(spark, a.target, (start, end))
-    n = panel.agg(F.max(F.size("genotypes"))).first()[0]
-    typed = panel.select("site", "pos", "id").join(target.select("id", F.col("genotypes").alias("t")), "id")
-    both = cut(long(panel).join(F.broadcast(typed.select("site")), "site", "left_semi").unionByName(typed.select("site", F.posexplode("t").alias("hap", "g")).select("site", (F.col("hap") + n).alias("hap"), F.col("g").cast("int").alias("g"))))
-    cms = coordinates.interpolate(typed.select("site", "pos"), text.read_map(spark, a.map)).toPandas().sort_values("site")
+    contig = a.region.rpartition(":")[0] or None
+    panel_sites, target = cut(read_sites(spark, a.panel, (start, end), contig=contig)), read_sites(spark, a.target, (start, end), contig=contig)
+    a.contig, a.names = text.one_contig(panel_sites), names_of(spark, a.target)
+    n = panel_sites.agg(F.max(F.size("genotypes"))).first()[0]
+    typed = cut(panel_sites.select("site", "pos", "id").join(target.select("id", F.col("genotypes").alias("t")), "id"))
+    if typed.count() != target.count():
+        raise ValueError("not every variant of the targets is in the panel")
+    both = cut(long(panel_sites).join(typed.select("site"), "site", "left_semi").unionByName(typed.select("site", F.posexplode("t").alias("hap", "g")).select("site", (F.col("hap") + n).alias("hap"), F.col("g").cast("int").alias("g"))))
+    at = cut(coordinates.interpolate(typed.select("site", "pos"), text.read_map(spark, a.map)))
+    cms = at.toPandas().sort_values("site")
     step = np.append(np.diff(cms["cm"]), np.diff(cms["cm"])[-1:])
-    last = panel.agg(F.max("site")).first()[0] + 1
+    last = panel_sites.agg(F.max("site")).first()[0] + 1
     window = pbwt.imputation_window(pbwt.prefix_ranks(both, last), n)
-    found = imputation.sparsify(copying.posteriors(both, pbwt.match_sets(window), 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)), n)
-    doses = imputation.dosages(imputation.interpolate(found, imputation.flanks(panel.select("site", "pos"), typed.select("site"))), long(panel))
+    # the targets' mosaics over the typed sites, numbered anew
+    from pyspark.sql import Window
+
+    number = cut(at.select("site", (F.row_number().over(Window.orderBy("site")) - 1).cast("int").alias("k")))
+    numbered = at.join(number, "site").select(F.col("k").alias("site"), "pos", "cm")
+    geno = cut(both.join(number, "site").select(F.col("k").alias("site"), "hap", "g"))
+    whole, own = panel.build(geno.where(F.col("hap") < n), len(cms)), geno.where(F.col("hap") >= n)
+    demography = demography_of(spark, a.demography)
+    costs = panel_path.whole_costs(numbered, n, demography, a.mutation_rate, False)
+    near = cut(panel_path.longest(panel_path.overlaps(whole, own, panel_path.members(whole, panel_path.paths(whole, own, costs))), 16))
+    sets = pbwt.match_sets(window).unionByName(near.select("target", "ref")).distinct()
+    found = imputation.sparsify(copying.posteriors(both, sets, 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)), n)
+    spread = cut(imputation.interpolate(found, imputation.flanks(panel_sites.select("site", "pos"), typed.select("site"))))
+    doses = imputation.dosages(spread, long(panel_sites))
+    if a.mut:
+        branches = text.parse_mapping(text.read_mapping(spark, a.mut)).withColumnRenamed("variant", "id")
+        # what carries the frequent allele of a turned variant takes no part
+        mapping = branches.join(panel_sites.where("NOT coalesce(af > 0.5, false)").select("id", "site"), "id")
+        mapping = mapping.select("site", F.when(~F.col("is_unique"), F.col("hap")).alias("hap"), "lower", "upper")
+        doses = imputation.mapped_doses(doses, spread, long(panel_sites), panel_sites.select("site", "pos"), panel_path.dated(near, numbered, demography), mapping)
     known = typed.select("site", F.posexplode("t").alias("target", "g")).select((F.col("target") + n).alias("target"), "site", F.col("g").cast("double").alias("known"))
     doses = doses.join(known, ["target", "site"], "left").select((F.col("target") - n).alias("target"), "site", F.coalesce("known", "dose").alias("dose"))
     doses = imputation.checked(doses)
-    variants = imputation.typed_or_imputed(panel.select("site", "chrom", "pos", "id", "ref", "alt", "af"), typed).withColumn("imputed", ~F.col("typed"))
+    variants = imputation.typed_or_imputed(panel_sites.select("site", "chrom", "pos", "id", "ref", "alt", "af"), typed).withColumn("imputed", ~F.col("typed"))
     return writers.imputed_lines(variants, doses)
 
 
@@ -151,14 +207,17 @@ def vcf(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     variants = text.read_variants(spark, a.variants) if a.variants else tables.get("variants")
     if variants is None:
         raise SystemExit("the ancestry holds no variants; name them with --variants")
-    fixed = {"chrom": "1", "qual": ".", "filter": "PASS"}
-    for name, value in fixed.items():
+    for name, value in {"chrom": "1", "qual": ".", "filter": "PASS"}.items():
         if name not in variants.columns:
             variants = variants.withColumn(name, F.lit(value))
+    a.contig = text.one_contig(variants)
+    if not a.samples and "samples" in tables:
+        a.names = [r["name"] for r in tables["samples"].orderBy("hap").where("hap % 2 = 0").collect()]
     return writers.phased_lines(variants.join(tables["sites"].select("pos", F.col("site").alias("_s")), "pos").withColumn("site", F.col("_s")), geno)
 
 
 def parser() -> argparse.ArgumentParser:
+    # Names of commands and options and their defaults are the contract with users.
     top = argparse.ArgumentParser(prog="haplomill", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
     add = lambda name: commands.add_parser(name).add_argument
@@ -174,13 +233,19 @@ def parser() -> argparse.ArgumentParser:
     for name in ("convert", "allele_ages"):
         x = add(name)
         x("--ancestry", required=True), x("--out", required=True)
+        if name == "convert":
+            x("--add_mutations", action="store_true")
+    x = add("phase")
+    for option in ("--scaffold", "--ancestry", "--unphased", "--out"):
+        x(option, required=True)
     x = add("map")
     for option in ("--ancestry", "--input", "--region", "--out"):
         x(option, required=True)
     x("--maf", type=float, default=0.02)
     x = add("impute")
-    for option in ("--panel", "--target", "--map", "--region"):
+    for option in ("--panel", "--target", "--map", "--region", "--demography"):
         x(option, required=True)
+    x("--mut"), x("--mutation_rate", type=float, default=1.4e-8)
     x("--out"), x("--stdout", action="store_true")
     x = add("vcf")
     x("--ancestry", required=True), x("--variants"), x("--samples"), x("--out")
@@ -192,16 +257,16 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "impute" and bool(a.out) == a.stdout:
         raise SystemExit("impute takes one of --out and --stdout")
     spark = SparkSession.builder.appName("haplomill").getOrCreate()
-    run = {"infer": infer, "convert": convert, "allele_ages": allele_ages, "map": map_variants, "impute": impute, "vcf": vcf}[a.command]
+    run = {"infer": infer, "convert": convert, "allele_ages": allele_ages, "map": map_variants, "impute": impute, "phase": phase, "vcf": vcf}[a.command]
     lines = run(spark, a)
     if lines is None:
         return
     columns = len(lines.first()["line"].split("\t")) - 9
     samples = getattr(a, "samples", None)
-    names = [r["name"] for r in text.read_names(spark, samples).collect()] if samples else [f"sample_{k}" for k in range(columns)]
+    names = [r["name"] for r in text.read_names(spark, samples).collect()] if samples else getattr(a, "names", None) or [f"sample_{k}" for k in range(columns)]
     if len(names) != columns:
         raise SystemExit(f"{len(names)} sample names for {columns} samples")
-    head = writers.header("1", names, a.command == "impute")
+    head = writers.header(a.contig, names, a.command == "impute")
     if a.out:
         writers.write_lines(spark, lines, head, a.out)
         return

@@ -122,3 +122,18 @@ def edges(segments: DataFrame) -> DataFrame:
     before = segments.withColumns({"_target": F.lag("target").over(w), "_height": F.lag("tmrca").over(w)})
     runs = before.where(F.col("_target").isNull() | (F.col("_target") != F.col("target")) | (F.col("_height") != F.col("tmrca")))
     return runs.select(F.col("start_bp").alias("start"), F.lead("start_bp").over(w).alias("end"), "hap", "target", F.col("tmrca").alias("height"))
+
+
+def graph(segments: DataFrame, state: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ancestry as a graph: nodes (node, hap, height) with a leaf for each haplotype, edges as
+    `edges` has them with the order of equal heights (by haplotype, so that no two merges of a site are
+    at once), and, given the state of the sites, mutations (site, node, lower, upper, haps)."""
+    from . import trees
+
+    found = edges(segments)
+    place = F.row_number().over(Window.partitionBy("start", "height").orderBy("hap")) - 1
+    leaves = segments.select("hap").unionByName(segments.select(F.col("target").alias("hap"))).distinct()
+    out = {"nodes": leaves.select("hap", F.lit(0.0).alias("height")), "edges": found.withColumn("place", place.cast("int"))}
+    if state is not None:
+        out["mutations"] = trees.branches(state).select("site", "node", "lower", "upper", "haps")
+    return out

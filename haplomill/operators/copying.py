@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 UNPHASED = -7
 PATHS = "hap int, seg_idx int, site int, target int"
 
@@ -29,47 +31,85 @@ def costs(cm_steps: np.ndarray, bp_sizes: np.ndarray, t: float, rate: float, tar
     return (switch if sparse else switch + np.log(target)), k, mismatch, l
 
 
-def best_path(own: np.ndarray, panel: np.ndarray, ids: list[int], allowed: list[tuple[int, list[int]]], cost: tuple[np.ndarray, ...]) -> list[tuple[int, int]]:
-    """(first site, id) of each segment of the cheapest path. panel: a row a candidate of `ids`
-    (ascending); allowed: (first site, ids) of each match group, the ids copied from there on.
+class CandidateFront:
+    """The states of one target over its candidates: a cost and the segment begun last for each. The
+    segments begun are nodes (sample, site, node before) under the number site * 2^32 + sample.
+
     A path goes on where that costs no more than a switch from the best one; of equal scores the
-    smaller id wins. The best one so far stays a candidate when a group ends."""
-    switch, stay, mismatch, match = cost
-    row = {x: k for k, x in enumerate(ids)}
-    nodes: list[tuple[int, int, int]] = []  # id, first site, node before
-    score, node = np.full(len(ids), np.inf), np.full(len(ids), -1, np.int64)
-    active = np.array([row[x] for x in sorted(allowed[0][1])])
-    for k in active.tolist():
-        nodes.append((ids[k], 0, -1))
-        node[k] = len(nodes) - 1
-    score[active] = 0.0
-    best, best_score, group = int(active[0]), 0.0, 0
-    for j in range(len(own)):
-        if group + 1 < len(allowed) and j >= allowed[group + 1][0]:
-            group += 1
-            now = {row[x] for x in allowed[group][1]} | {best}
-            gone = [k for k in active.tolist() if k not in now]
-            score[gone], node[gone] = np.inf, -1
-            active = np.array(sorted(now))
-        alleles = panel[active, j]
-        cost_here = np.where(alleles == own[j], match[j], mismatch[j])
-        if own[j] == UNPHASED:
-            cost_here[:] = (match[j] + mismatch[j]) / 2
-        cost_here[alleles == UNPHASED] = (match[j] + mismatch[j]) / 2
-        bound = best_score + switch[j]
-        extended = score[active] + stay[j]
+    smaller id wins. The best one so far stays a candidate when a group ends. Only nodes that the front
+    rests on are kept when a stretch ends, so that what is handed over is a row a candidate and, beside
+    what is already written, the nodes of the stretch that the front rests on."""
+
+    def __init__(self, rows: pd.DataFrame | None = None) -> None:
+        self.ids, self.score, self.node = (np.array([], kind) for kind in (np.int64, np.float64, np.int64))
+        self.best, self.best_score, self.nodes = -1, 0.0, {}
+        if rows is not None and len(rows):
+            rows = rows.sort_values("sample")
+            self.ids, self.score, self.node = rows["sample"].to_numpy(np.int64), rows["score"].to_numpy(float), rows["node"].to_numpy(np.int64)
+            first = rows.iloc[0]
+            self.best, self.best_score = int(first["best"]), float(first["best_score"])
+
+    def _begin(self, samples: list[int], site: int, before: int) -> list[int]:
+        out = [(site << 32) + x for x in samples]
+        self.nodes.update((n, (x, site, before)) for n, x in zip(out, samples, strict=True))
+        return out
+
+    def enter(self, samples: list[int]) -> None:
+        """The first group of candidates, at the first site."""
+        self.ids = np.array(sorted(samples), np.int64)
+        self.score, self.node = np.zeros(len(samples)), np.array(self._begin(self.ids.tolist(), 0, -1), np.int64)
+        self.best = int(self.ids[0])
+
+    def change(self, samples: list[int]) -> None:
+        """The next group: others go, new ones come at the cost of a switch."""
+        now = np.array(sorted({*samples, self.best}), np.int64)
+        at = np.searchsorted(self.ids, now)
+        held = (at < len(self.ids)) & (self.ids[np.minimum(at, len(self.ids) - 1)] == now)
+        at = np.where(held, at, 0)
+        self.ids, self.score, self.node = now, np.where(held, self.score[at], np.inf), np.where(held, self.node[at], -1)
+
+    def advance(self, site: int, own: int, alleles: np.ndarray, switch: float, stay: float, mismatch: float, match: float) -> None:
+        """alleles: those of the candidates at the site, by id."""
+        here = np.where(alleles == own, match, mismatch)
+        here[(alleles == UNPHASED) | (own == UNPHASED)] = (match + mismatch) / 2
+        bound, extended = self.best_score + switch, self.score + stay
         fresh = extended > bound
-        before = int(node[best])
-        for k in active[fresh].tolist():
-            nodes.append((ids[k], j, before))
-            node[k] = len(nodes) - 1
-        score[active] = np.where(fresh, bound, extended) + cost_here
-        k = int(score[active].argmin())
-        if score[active][k] < best_score + max(switch[j], stay[j]) + max(mismatch[j], match[j]):
-            best, best_score = int(active[k]), float(score[active][k])
+        if fresh.any():
+            before = int(self.node[np.searchsorted(self.ids, self.best)])
+            self.node[fresh] = self._begin(self.ids[fresh].tolist(), site, before)
+        self.score = np.where(fresh, bound, extended) + here
+        k = int(self.score.argmin())
+        dearest = self.best_score + max(switch, stay) + max(mismatch, match)
+        if self.score[k] < dearest:
+            self.best, self.best_score = int(self.ids[k]), float(self.score[k])
         else:
-            best_score = best_score + max(switch[j], stay[j]) + max(mismatch[j], match[j])
-    out, at = [], int(node[best])
+            self.best_score = dearest
+
+    def end(self) -> int:
+        return int(self.node[np.searchsorted(self.ids, self.best)])
+
+    def rows(self, hap: int, last: bool) -> pd.DataFrame:
+        """The front (at the end its best state alone) and the nodes of the stretch that it rests on."""
+        keep = self.ids == self.best if last else np.ones(len(self.ids), bool)
+        front = pd.DataFrame({"hap": hap, "kind": FRONT, "sample": self.ids[keep], "score": self.score[keep], "node": self.node[keep], "before": -1, "best": self.best, "best_score": self.best_score})
+        todo, needed = [x for x in set(front["node"].tolist()) if x in self.nodes], set()
+        while todo:
+            x = todo.pop()
+            if x not in needed:
+                needed.add(x)
+                todo += [y for y in [self.nodes[x][2]] if y in self.nodes]
+        used = [(hap, NODE, self.nodes[x][0], 0.0, x, self.nodes[x][2], -1, 0.0) for x in sorted(needed)]
+        return pd.concat([front, pd.DataFrame(used, columns=front.columns).astype(front.dtypes)], ignore_index=True)
+
+
+FRONT, NODE = 0, 1
+HANDED = "hap int, kind int, sample int, score double, node long, before long, best int, best_score double"
+ALLELES = 1 << 26  # of a target's candidates in one stretch
+
+
+def traced(nodes: dict[int, tuple[int, int, int]], at: int) -> list[tuple[int, int]]:
+    """(first site, id) of each segment on the way that ends in this node."""
+    out = []
     while at >= 0:
         sample, site, before = nodes[at]
         if before < 0 or nodes[before][0] != sample:
@@ -78,30 +118,88 @@ def best_path(own: np.ndarray, panel: np.ndarray, ids: list[int], allowed: list[
     return out[::-1]
 
 
-def infer_paths(genotypes: DataFrame, candidates: DataFrame, group_sites: dict[int, int], cm_steps: np.ndarray, bp_sizes: np.ndarray, branch_lengths, rate: float, sparse: bool = False) -> DataFrame:
+def best_path(own: np.ndarray, panel: np.ndarray, ids: list[int], allowed: list[tuple[int, list[int]]], cost: tuple[np.ndarray, ...]) -> list[tuple[int, int]]:
+    """The cheapest path in one stretch. panel: a row a candidate of `ids` (ascending); allowed: (first
+    site, ids) of each match group, the ids copied from there on."""
+    front, switch_at = CandidateFront(), dict(allowed[1:])
+    front.enter(allowed[0][1])
+    for j in range(len(own)):
+        if j in switch_at:
+            front.change(switch_at[j])
+        front.advance(j, own[j], panel[np.searchsorted(ids, front.ids), j], *(x[j] for x in cost))
+    return traced(front.nodes, front.end())
+
+
+def infer_paths(genotypes: DataFrame, candidates: DataFrame, group_sites: dict[int, int], cm_steps: np.ndarray, bp_sizes: np.ndarray, branch_lengths, rate: float, sparse: bool = False, stretch: int | None = None) -> DataFrame:
     """hap, seg_idx, site, target: the path of every haplotype with candidates (grp, hap, cand).
-    group_sites: first site of each group; branch_lengths: n -> expected branch length."""
-    alleles = packed(genotypes)
-    sets = candidates.groupBy("hap", "cand").agg(F.array_sort(F.collect_list("grp")).alias("grps"))
-    rows = sets.join(alleles.select(F.col("hap").alias("cand"), "alleles"), "cand")
-    own = alleles.select("hap", F.lit(-1).alias("cand"), F.array().cast("array<int>").alias("grps"), "alleles")
-    rows = rows.select("hap", "cand", "grps", "alleles").unionByName(own.where("hap > 0"))
+    group_sites: first site of each group; branch_lengths: n -> expected branch length. A task holds a
+    target, its candidates and `stretch` sites; the states go on to the next stretch as rows."""
+    n_sites = len(cm_steps)
+    groups = sorted(group_sites.items(), key=lambda x: x[1])
+    # a target's first group of candidates holds from the first site
+    if stretch is None:
+        most = candidates.groupBy("hap").agg(F.count_distinct("cand").alias("n")).agg(F.max("n")).first()[0]
+        stretch = max(1, ALLELES // max(most or 1, 1))
+    front, nodes = None, None
+    for low in range(0, n_sites, stretch):
+        high = min(low + stretch, n_sites)
+        part = genotypes.where(F.col("site").between(low, high - 1))
+        alleles = packed(part)
+        # groups that begin here; on the first stretch all, as a target's first one may begin late
+        here = candidates if low == 0 else candidates.where(F.col("grp").isin([g for g, s in groups if low <= s < high]))
+        sets = here.groupBy("hap", "cand").agg(F.array_sort(F.collect_list("grp")).alias("grps"))
+        if front is not None:
+            held = front.where(F.col("kind") == FRONT).select("hap", F.col("sample").alias("cand"), F.array().cast("array<int>").alias("grps"))
+            sets = sets.unionByName(held).groupBy("hap", "cand").agg(F.array_sort(F.flatten(F.collect_list("grps"))).alias("grps"))
+        rows = sets.join(alleles.select(F.col("hap").alias("cand"), "alleles"), "cand").select("hap", "cand", "grps", "alleles")
+        own = alleles.select("hap", F.lit(-1).alias("cand"), F.array().cast("array<int>").alias("grps"), "alleles").join(candidates.select("hap").distinct(), "hap", "left_semi")
+        # what is handed over comes beside the alleles, told apart by its kind
+        none = {"kind": "int", "score": "double", "node": "long", "best": "int", "best_score": "double"}
+        rows = rows.unionByName(own).select("hap", "cand", "grps", "alleles", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        if front is not None:
+            states = front.where(F.col("kind") == FRONT).select("hap", F.col("sample").alias("cand"), F.lit(None).cast("array<int>").alias("grps"), F.lit(None).cast("array<tinyint>").alias("alleles"), *none)
+            rows = rows.unionByName(states)
+        front = cut(rows.groupBy("hap").applyInPandas(_stretch(low, high, n_sites, groups, cm_steps, bp_sizes, branch_lengths, rate, sparse), HANDED))
+        found = front.where(F.col("kind") == NODE)
+        nodes = found if nodes is None else nodes.unionByName(found)
+    ends = front.where(F.col("kind") == FRONT)
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cand", ignore_index=True)
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        at = int(frame.loc[frame["kind"] == FRONT, "node"].iloc[0])
+        known = frame[frame["kind"] == NODE]
+        path = traced({n: (s, n >> 32, b) for n, s, b in zip(known["node"].tolist(), known["sample"].tolist(), known["before"].tolist(), strict=True)}, at)
+        return pd.DataFrame({"hap": frame["hap"].iloc[0], "seg_idx": range(len(path)), "site": [s for s, _ in path], "target": [t for _, t in path]})
+
+    return nodes.unionByName(ends).groupBy("hap").applyInPandas(whole, PATHS)
+
+
+def _stretch(low: int, high: int, n_sites: int, groups: list[tuple[int, int]], cm_steps: np.ndarray, bp_sizes: np.ndarray, branch_lengths, rate: float, sparse: bool):
+    """A target's states over the sites of a stretch."""
+
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
         hap = int(frame["hap"].iloc[0])
-        own = np.array(frame["alleles"].iloc[0], np.int8)
-        others = frame.iloc[1:]
-        ids = others["cand"].tolist()
-        if not ids:
-            return pd.DataFrame(columns=["hap", "seg_idx", "site", "target"])
-        panel = np.array([list(x) for x in others["alleles"]], np.int8)
-        allowed = [(start, [c for c, g in zip(ids, others["grps"], strict=True) if grp in set(g)]) for grp, start in sorted(group_sites.items())]
-        allowed = [(start, members) for start, members in allowed if members]
-        path = best_path(own, panel, ids, [(0, allowed[0][1]), *allowed[1:]], costs(cm_steps, bp_sizes, branch_lengths(hap + 1), rate, hap, sparse))
-        return pd.DataFrame({"hap": hap, "seg_idx": range(len(path)), "site": [s for s, _ in path], "target": [t for _, t in path]})
+        handed, rows = frame[frame["kind"].notna()], frame[frame["kind"].isna()].sort_values("cand", ignore_index=True)
+        own, others = np.array(rows["alleles"].iloc[0], np.int8), rows.iloc[1:]
+        ids = others["cand"].to_numpy(np.int64)
+        panel = np.array([list(x) for x in others["alleles"]], np.int8).reshape(len(ids), -1)
+        members: dict[int, list[int]] = {}
+        for cand, grps in zip(ids.tolist(), others["grps"], strict=True):
+            for g in grps:
+                members.setdefault(int(g), []).append(cand)
+        allowed = [(start, members[g]) for g, start in groups if g in members]
+        front = CandidateFront(handed.rename(columns={"cand": "sample"}) if len(handed) else None)
+        if low == 0:
+            front.enter(allowed[0][1])
+            allowed = allowed[1:]
+        switch_at = dict(allowed)
+        cost = costs(cm_steps[low:high], bp_sizes[low:high], branch_lengths(hap + 1), rate, hap, sparse)
+        for j in range(low, high):
+            if j in switch_at:
+                front.change(switch_at[j])
+            front.advance(j, own[j - low], panel[np.searchsorted(ids, front.ids), j - low], *(x[j - low] for x in cost))
+        return front.rows(hap, high == n_sites)
 
-    return rows.groupBy("hap").applyInPandas(one, PATHS)
+    return task
 
 
 def mismatches(genotypes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -169,37 +267,3 @@ def posteriors(genotypes: DataFrame, sets: DataFrame, switch: np.ndarray, mu: fl
         return pd.DataFrame({"target": frame["target"].iloc[0], "site": np.repeat(numbers, len(refs)), "ref": np.tile(refs, len(numbers)), "p": p.ravel()})
 
     return rows.groupBy("target").applyInPandas(one, "target int, site int, ref int, p double")
-
-
-def diploid_path(doses: np.ndarray, panel: np.ndarray, cost: tuple[np.ndarray, ...]) -> list[tuple[int, int, int]]:
-    """(site, a, b) where the cheapest pair of copied haplotypes changes; doses are 0, 1 or 2. Either
-    or both haplotypes may switch; a dose off by one costs a match and a mismatch, by two twice a
-    mismatch."""
-    switch, stay, mismatch, match = cost
-    n, m = panel.shape
-    score, back = np.zeros((n, n)), np.empty((m, n, n), np.int32)
-    every = np.arange(n * n).reshape(n, n)
-    for j in range(m):
-        if j:
-            one = score.min(axis=0)  # the other haplotype stays
-            arg_one = score.argmin(axis=0)
-            both = int(score.argmin())
-            value, origin = score + 2 * stay[j], every.copy()
-            moves = (
-                (np.broadcast_to(one[None, :], (n, n)) + switch[j] + stay[j], np.broadcast_to((arg_one * n + np.arange(n))[None, :], (n, n))),
-                (np.broadcast_to(score.min(axis=1)[:, None], (n, n)) + switch[j] + stay[j], np.broadcast_to((np.arange(n) * n + score.argmin(axis=1))[:, None], (n, n))),
-                (np.full((n, n), score.flat[both] + 2 * switch[j]), np.full((n, n), both)),
-            )
-            for v, o in moves:
-                less = v < value
-                value, origin = np.where(less, v, value), np.where(less, o, origin)
-            score = value
-            back[j] = origin
-        off = np.abs(panel[:, j][:, None].astype(int) + panel[:, j][None, :] - int(doses[j]))
-        score = score + np.where(off == 0, 2 * match[j], np.where(off == 1, match[j] + mismatch[j], 2 * mismatch[j]))
-    at, pairs = int(score.argmin()), []
-    for j in range(m - 1, -1, -1):
-        pairs.append((j, at // n, at % n))
-        at = int(back[j].flat[at]) if j else at
-    pairs.reverse()
-    return [p for k, p in enumerate(pairs) if k == 0 or p[1:] != pairs[k - 1][1:]]

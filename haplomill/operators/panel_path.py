@@ -206,3 +206,174 @@ def dated(near: DataFrame, sites: DataFrame, demography: Demography) -> DataFram
     rows = near.join(first, "start").join(last, "end").join(after, "end", "left")
     age = dating.date_segment_sparse(F.col("to_cm") - F.col("from_cm"), demography)
     return rows.select("target", "seg_idx", "start_bp", "end_bp", "ref", age.alias("age"))
+
+
+PAIRS = "ind int, kind int, node long, prev long, side int, start int, end int, ref int, low int, high int, start2 int, low2 int, high2 int, score long"
+_STATE = ("low", "high", "start", "low2", "high2", "start2", "node", "score")
+
+
+class PairFront:
+    """The states of one individual's doses: pairs of intervals of ranks, lazily, instead of all pairs of
+    haplotypes. A pair goes when it costs more than a switch of one side from the cheapest pair with the
+    other side, or of both sides from the cheapest pair, or lies in another that costs less. Segments
+    that end are nodes (node, node before, side, start, end, ref, low, high)."""
+
+    def __init__(self, rows: pd.DataFrame | None, n: int) -> None:
+        first = dict.fromkeys(_STATE, 0) | {"high": n, "high2": n, "node": -1}
+        self.s = {c: np.array([first[c]], np.int64) if rows is None else rows[c].to_numpy(np.int64) for c in _STATE}
+        self.nodes: dict[int, tuple[int, int, int, int, int, int, int, int]] = {}
+        self.most = 0
+
+    def _take(self, at: np.ndarray) -> dict[str, np.ndarray]:
+        return {c: x[at] for c, x in self.s.items()}
+
+    @staticmethod
+    def _join(*parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([p[c] for p in parts]) for c in _STATE}
+
+    def site(self, zeros: np.ndarray, dose: int, stay: int, match: int, mismatch: int) -> None:
+        """Both sides with both alleles."""
+
+        def cut_by(low: np.ndarray, high: np.ndarray, allele: int) -> tuple[np.ndarray, np.ndarray]:
+            a, b = zeros[low], zeros[high]
+            return (zeros[-1] + low - a, zeros[-1] + high - b) if allele else (a, b)
+
+        parts = []
+        for a in (0, 1):
+            for b in (0, 1):
+                (low, high), (low2, high2) = cut_by(self.s["low"], self.s["high"], a), cut_by(self.s["low2"], self.s["high2"], b)
+                cost = (2 * match, match + mismatch, 2 * mismatch)[abs(a + b - dose)] + 2 * stay
+                at = (high > low) & (high2 > low2)
+                parts.append(self._take(at) | {"low": low[at], "high": high[at], "low2": low2[at], "high2": high2[at], "score": self.s["score"][at] + cost})
+        self.s = self._join(*parts)
+        self._reduce(None)
+
+    def _reduce(self, extra: int | None) -> None:
+        """Of equal pairs, also the other way round, the cheapest stays; then what is dominated goes."""
+        s = self.s
+        turned = (s["low2"] < s["low"]) | (s["low2"] == s["low"]) & (s["high2"] < s["high"])
+        key = [np.where(turned, s[b], s[a]) for a, b in (("low", "low2"), ("high", "high2"), ("low2", "low"), ("high2", "high"))]
+        order = np.lexsort((s["node"], s["start2"], s["start"], s["score"], *key))
+        same = np.all([k[order[1:]] == k[order[:-1]] for k in key], axis=0)
+        self.s = s = self._take(np.sort(order[np.concatenate([[True], ~same])]))
+        if extra is not None and extra >= 0:
+            kept = s["score"] <= s["score"].min() + 2 * extra
+            for low, high in (("low", "high"), ("low2", "high2")):
+                _, of = np.unique(s[low] << 32 | s[high], return_inverse=True)
+                least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, of, s["score"])
+                kept &= s["score"] <= least[of] + extra
+            self.s = self._take(kept)
+
+    def _dominated(self) -> None:
+        s, n = self.s, len(self.s["score"])
+        gone = np.zeros(n, bool)
+        for k in range(0, n, 256):
+            me = slice(k, k + 256)
+            within = lambda a, b, c, d: (s[a][me, None] >= s[c]) & (s[b][me, None] <= s[d])
+            straight = within("low", "high", "low", "high") & within("low2", "high2", "low2", "high2")
+            crossed = within("low", "high", "low2", "high2") & within("low2", "high2", "low", "high")
+            gone[me] = ((straight | crossed) & (s["score"][me, None] > s["score"])).any(axis=1)
+        self.s = self._take(~gone)
+
+    def _close(self, k: int, side: int, site: int, haps: np.ndarray, prev: int) -> int:
+        low, high, start = ("low", "high", "start") if side == 0 else ("low2", "high2", "start2")
+        node = (site << 24) + len(self.nodes)
+        low, high, start = int(self.s[low][k]), int(self.s[high][k]), int(self.s[start][k])
+        self.nodes[node] = (node, prev, side, start, site, int(haps[low:high].min()), low, high)
+        return node
+
+    def switch(self, site: int, n: int, extra: int, haps: np.ndarray) -> None:
+        """Either side or both may begin anew; extra is what a switch costs beyond staying."""
+        self._reduce(extra)
+        s, new = self.s, []
+        z = int(s["score"].min())
+        for side, (low, high, low2, high2) in enumerate((("low2", "high2", "low", "high"), ("low", "high", "low2", "high2"))):
+            # the cheapest pair for each interval of the side that stays
+            order = np.lexsort((s["node"], s[low2], s["score"], s[high], s[low]))
+            first = np.concatenate([[True], (s[low][order[1:]] != s[low][order[:-1]]) | (s[high][order[1:]] != s[high][order[:-1]])])
+            for k in order[first].tolist():
+                if s["score"][k] + extra <= z + 2 * max(extra, 0):
+                    row = {c: int(x[k]) for c, x in s.items()}
+                    row |= {low2: 0, high2: n, ("start", "start2")[side]: site, "score": row["score"] + extra, "node": self._close(k, side, site, haps, row["node"])}
+                    new.append(row)
+        k = int(np.lexsort((s["node"], s["low2"], s["low"], s["score"]))[0])
+        node = self._close(k, 1, site, haps, self._close(k, 0, site, haps, int(s["node"][k])))
+        new.append({"low": 0, "high": n, "start": site, "low2": 0, "high2": n, "start2": site, "node": node, "score": z + 2 * extra})
+        self.s = self._join(s, {c: np.array([r[c] for r in new], np.int64) for c in _STATE})
+        self._reduce(None)
+        self._dominated()
+        self.most = max(self.most, len(self.s["score"]))
+
+    def finish(self, site: int, haps: np.ndarray) -> None:
+        k = int(np.lexsort((self.s["node"], self.s["low2"], self.s["low"], self.s["score"]))[0])
+        node = self._close(k, 1, site, haps, self._close(k, 0, site, haps, int(self.s["node"][k])))
+        self.s = self._take(np.array([k])) | {"node": np.array([node])}
+
+    def rows(self, ind: int) -> pd.DataFrame:
+        """The front, and the nodes of the stretch that it rests on."""
+        front = pd.DataFrame({"ind": ind, "kind": FRONT, "prev": -1, "side": -1, "end": -1, "ref": -1, **self.s})
+        todo, needed = set(self.s["node"].tolist()), {}
+        while todo:
+            x = todo.pop()
+            if x in self.nodes and x not in needed:
+                needed[x] = self.nodes[x]
+                todo.add(needed[x][1])
+        used = pd.DataFrame(list(needed.values()), columns=["node", "prev", "side", "start", "end", "ref", "low", "high"]).assign(ind=ind, kind=SWITCH, start2=0, low2=0, high2=0, score=0)
+        names = [c.split()[0] for c in PAIRS.split(", ")]
+        return pd.concat([front[names], used[names]], ignore_index=True).astype("int64")
+
+
+def _pair_stretch(n: int):
+    def task(key: tuple, sites: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sites, doses, fronts = sites.sort_values("site"), rows[rows["site"] >= 0], rows[rows["site"] < 0]
+        before = dict(list(fronts.groupby("ind")))
+        of = {int(i): dict(zip(x["site"].tolist(), x["g"].tolist(), strict=True)) for i, x in doses.groupby("ind")}
+        state = {i: PairFront(before.get(i), n) for i in of}
+        for site, column, haps, stay, extra, match, mismatch, last in sites[["site", "alleles", "haps", "stay", "extra", "match", "mismatch", "last"]].itertuples(index=False):
+            zeros = np.concatenate([[0], np.cumsum(1 - np.asarray(column, np.int64))])
+            haps = np.asarray(haps, np.int64)
+            for i, front in state.items():
+                front.site(zeros, int(of[i][site]), stay, match, mismatch)
+                if last:
+                    front.finish(site + 1, haps)
+                else:
+                    front.switch(site + 1, n, extra, haps)
+        return pd.concat([f.rows(i) for i, f in state.items()], ignore_index=True)
+
+    return task
+
+
+def pair_paths(panel: Panel, doses: DataFrame, costs: DataFrame, tasks: int = 64, stretch: int | None = None) -> DataFrame:
+    """ind, side, seg_idx, start, end, ref, cost: the cheapest pair of mosaics for doses (site, ind, dose)
+    of 0, 1 or 2 over the whole panel. A dose off by one costs a match and a mismatch, by two twice a
+    mismatch; each side stays or switches at its own cost."""
+    n = panel.genotypes.select("hap").distinct().count()
+    size = stretch or max(1, CELLS // max(n, 1))
+    of = F.pmod(F.xxhash64("ind"), F.lit(tasks)).cast("int")
+    own = cut(doses.select("ind", "site", F.col("dose").alias("g")).withColumn("task", of))
+    used = own.select("task").distinct()
+    rows = cut(panel.columns.join(costs.select("site", "stay", (F.col("switch") - F.col("stay")).alias("extra"), "match", "mismatch"), "site").withColumn("last", F.col("site") == panel.n_sites - 1))
+    front, every = own.sparkSession.createDataFrame([], PAIRS), None
+    for low in range(0, panel.n_sites, size):
+        here = F.col("site").between(low, low + size - 1)
+        part = rows.where(here).crossJoin(F.broadcast(used))  # at most `tasks` copies of the stretch
+        part = part.select(*[F.col(c).alias(c) for c in part.columns])
+        mine = own.where(here).select("task", "ind", "site", "g", *[F.lit(None).cast("long").alias(c) for c in _STATE])
+        held = front.where(F.col("kind") == FRONT).withColumn("task", of).select("task", "ind", F.lit(-1).alias("site"), F.lit(0).alias("g"), *[F.col(c).cast("long").alias(c) for c in _STATE])
+        front = cut(part.groupBy("task").cogroup(mine.unionByName(held).groupBy("task")).applyInPandas(_pair_stretch(n), PAIRS))
+        found = front.where(F.col("kind") == SWITCH)
+        every = found if every is None else every.unionByName(found)
+    ends = front.where(F.col("kind") == FRONT)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        end = frame[frame["kind"] == FRONT].iloc[0]
+        nodes, at, out = {r.node: r for r in frame[frame["kind"] == SWITCH].itertuples(index=False)}, int(end["node"]), []
+        while at >= 0:
+            out.append((end["ind"], nodes[at].side, nodes[at].start, nodes[at].end, nodes[at].ref, end["score"]))
+            at = nodes[at].prev
+        out = pd.DataFrame(out, columns=["ind", "side", "start", "end", "ref", "cost"]).sort_values(["side", "start"], ignore_index=True)
+        out.insert(2, "seg_idx", out.groupby("side").cumcount())
+        return out
+
+    return every.unionByName(ends).groupBy("ind").applyInPandas(one, "ind int, side int, seg_idx int, start int, end int, ref int, cost long")

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def meeting_times(target: np.ndarray, height: np.ndarray, start: int) -> np.ndarray:
     """Height at which each haplotype meets `start`; target[0] is not read."""
@@ -46,46 +48,6 @@ def allele_age(target: np.ndarray, height: np.ndarray, carrier: np.ndarray) -> f
     return age
 
 
-def clades(target: np.ndarray, height: np.ndarray, carrier: np.ndarray) -> list[tuple[list[int], float, float]]:
-    """The largest clades of carriers only: (haplotypes, height of the clade, height of the branch
-    above). Merges go by height, then by haplotype."""
-    n = len(target)
-    group, members, top = list(range(n)), [[i] for i in range(n)], [0.0] * n
-    pure = [bool(c) for c in carrier]
-    out: list[tuple[list[int], float, float]] = []
-
-    def find(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    for i in sorted(range(1, n), key=lambda i: (height[i], i)):
-        a, b = find(i), find(int(target[i]))
-        if pure[a] != pure[b]:
-            done = a if pure[a] else b
-            out.append((sorted(members[done]), top[done], float(height[i])))
-        if len(members[a]) > len(members[b]):
-            a, b = b, a
-        group[a] = b
-        members[b] += members[a]
-        members[a] = []
-        top[b], pure[b] = max(top[a], top[b], float(height[i])), pure[a] and pure[b]
-    root = find(0)
-    if pure[root]:
-        out.append((sorted(members[root]), top[root], float("inf")))
-    return sorted(out)
-
-
-def mapping_string(found: list[tuple[list[int], float, float]]) -> str:
-    """`NaN` without a branch, `-1,lower,upper` for one, else `id.id,lower,upper` joined by `;`."""
-    if not found:
-        return "NaN"
-    if len(found) == 1:
-        return f"-1,{found[0][1]:.4f},{found[0][2]:.4f}"
-    return ";".join(f"{'.'.join(map(str, ids))},{low:.4f},{high:.4f}" for ids, low, high in found)
-
-
 def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     frame = frame.sort_values("hap", ignore_index=True)
     return frame["target"].fillna(-1).to_numpy(np.int64), frame["tmrca"].fillna(0.0).to_numpy(float), frame["g"].to_numpy(np.int64)
@@ -114,16 +76,65 @@ def tmrca_to(state: DataFrame, start: int) -> DataFrame:
     return state.groupBy("site").applyInPandas(one, "site int, hap int, tmrca double")
 
 
-def map_variants(state: DataFrame, frequencies: DataFrame, maf: float) -> DataFrame:
-    """site, flipped, mapping of the variants to be mapped: the rarer allele's clades."""
-    wanted = frequencies.where((F.col("maf") <= maf) & (F.col("maf") > 0)).select("site", "flipped")
+def _climbed(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, hap, at, way) from each carrier to all carriers above it that it reaches through carriers,
+    with the last merge on the way, and (site, hap, way) to the first other haplotype above. Merges go
+    by height, then by haplotype, whose edge it is. A level of the trees a join."""
+    carriers = state.where("g = 1").select("site", "hap", "target", edge("tmrca", "hap").alias("edge"))
+    pure = carriers.select("site", F.col("hap").alias("next"), F.lit(True).alias("pure"))
+    step = cut(carriers.where("target IS NOT NULL").select("site", F.col("hap").alias("at"), F.col("target").alias("next"), "edge").join(pure, ["site", "next"], "left"))
+    here = cut(carriers.select("site", "hap", F.col("hap").alias("at"), F.lit(None).cast(step.schema["edge"].dataType).alias("way")))
+    reached, left = here, None
+    while not here.isEmpty():
+        up = cut(here.join(step, ["site", "at"]).select("site", "hap", F.col("next").alias("at"), F.greatest("way", "edge").alias("way"), "pure"))
+        here = up.where("pure").drop("pure")
+        out = up.where("pure IS NULL").select("site", "hap", "way")
+        reached, left = reached.unionByName(here), out if left is None else left.unionByName(out)
+    return reached, left if left is not None else here.select("site", "hap", "way")
+
+
+def edge(height: str, hap: str) -> Column:
+    return F.struct(F.col(height).cast("double").alias("height"), F.col(hap).alias("hap"))
+
+
+def branches(state: DataFrame) -> DataFrame:
+    """site, haps, node, lower, upper of the largest clades of carriers only, the fewest branches that
+    explain a site: the clade's height and that of the branch above (infinite at the root). node: the
+    haplotype whose edge closes the clade, or the only one in it, with its edge.
+
+    A carrier's clade ends below the merge that first leads to another haplotype: the least, over the
+    ways through carriers, of the last merge on each way. Carriers with one such merge are one clade."""
+    reached, above = _climbed(state)
+    edges = state.where("target IS NOT NULL").select("site", "hap", "target", "g", edge("tmrca", "hap").alias("edge"))
+    outside = edges.where("g = 0").groupBy("site", F.col("target").alias("hap")).agg(F.min("edge").alias("own"))
+    below = reached.join(outside, ["site", "hap"]).groupBy("site", "at").agg(F.min(F.greatest("way", "own")).alias("below"))
+    ends = reached.join(below, ["site", "at"]).select("site", "hap", F.greatest("way", "below").alias("way")).unionByName(above)
+    ends = ends.groupBy("site", "hap").agg(F.min("way").alias("end"))
+    carriers = state.where("g = 1").select("site", "hap", "target", edge("tmrca", "hap").alias("edge"))
+    placed = cut(carriers.join(ends, ["site", "hap"], "left"))
+    of_target = placed.select("site", F.col("hap").alias("target"), F.col("end").alias("target_end"), F.lit(True).alias("held"))
+    inner = F.when(F.col("held") & F.col("end").eqNullSafe(F.col("target_end")), F.col("edge"))
+    rows = placed.join(of_target, ["site", "target"], "left").withColumn("inner", inner)
+    found = rows.groupBy("site", "end").agg(F.sort_array(F.collect_list("hap")).alias("haps"), F.max("inner").alias("top"))
+    node = F.coalesce(F.col("top.hap"), F.col("haps")[0])
+    return found.select("site", "haps", node.alias("node"), F.coalesce("top.height", F.lit(0.0)).alias("lower"), F.coalesce("end.height", F.lit(float("inf"))).alias("upper"))
+
+
+def mapping_strings(found: DataFrame) -> DataFrame:
+    """site, mapping: `-1,lower,upper` for one branch, else `id.id,lower,upper` joined by `;`."""
+    heights = F.format_string("%.4f,%.4f", "lower", "upper")
+    finite = F.when(F.col("upper") == float("inf"), F.concat(F.format_string("%.4f", "lower"), F.lit(",inf"))).otherwise(heights)
+    rows = found.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("haps", finite.alias("at")))).alias("b"))
+    many = F.array_join(F.transform("b", lambda x: F.concat_ws(",", F.array_join(x["haps"].cast("array<string>"), "."), x["at"])), ";")
+    return rows.select("site", F.when(F.size("b") == 1, F.concat(F.lit("-1,"), F.col("b")[0]["at"])).otherwise(many).alias("mapping"))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        flipped = int(frame["flipped"].iloc[0])
-        target, height, g = _arrays(frame)
-        return pd.DataFrame({"site": [frame["site"].iloc[0]], "flipped": [flipped], "mapping": [mapping_string(clades(target, height, 1 - g if flipped else g))]})
 
-    return state.join(F.broadcast(wanted), "site").groupBy("site").applyInPandas(one, "site int, flipped int, mapping string")
+def map_variants(state: DataFrame, frequencies: DataFrame, maf: float) -> DataFrame:
+    """site, flipped, mapping of the variants to be mapped: the rarer allele's branches, `NaN` without any."""
+    wanted = frequencies.where((F.col("maf") <= maf) & (F.col("maf") > 0)).select("site", "flipped")
+    rarer = state.join(wanted, "site").withColumn("g", F.abs(F.col("g") - F.col("flipped")))
+    found = mapping_strings(branches(rarer))
+    return wanted.join(found, "site", "left").select("site", "flipped", F.coalesce("mapping", F.lit("NaN")).alias("mapping"))
 
 
 def phase_distances(state: DataFrame) -> DataFrame:

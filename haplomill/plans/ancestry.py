@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import ancestry, consistency, frequencies, normalize, trees
 from ..sources import fixtures, text
 from .registry import query
@@ -110,13 +111,73 @@ def allele_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.allele_ages(state).select("site", F.round("age", 6).alias("age"))
 
 
-@query()
+# Merges as numbers of a site (by height, then haplotype); from each carrier up through carriers, then
+# the first merge that leads to another haplotype.
+define("merge", "SELECT site, hap, target, tmrca, row_number() OVER (PARTITION BY site ORDER BY tmrca, hap) AS o FROM atsite", "atsite")
+for _name, _carrier in (("rare", "SELECT site, hap, CASE WHEN flipped = 1 THEN 1 - g ELSE g END AS g, flipped FROM geno JOIN freq USING (site) WHERE maf <= 0.3 AND maf > 0"), ("alt", "SELECT site, hap, g, 0 AS flipped FROM geno")):
+    define(f"{_name}g", _carrier, "geno", "freq")
+    define(
+        f"{_name}up",
+        f"""SELECT site, hap, hap AS at, 0 AS way, true AS pure FROM {_name}g WHERE g = 1
+  UNION ALL SELECT u.site, u.hap, m.target, greatest(u.way, m.o), p.g = 1 FROM {_name}up u JOIN merge m ON m.site = u.site AND m.hap = u.at JOIN {_name}g p ON p.site = m.site AND p.hap = m.target WHERE u.pure""",
+        f"{_name}g", "merge",
+    )
+    define(f"{_name}side", f"SELECT m.site, m.target AS hap, min(m.o) AS own FROM merge m JOIN {_name}g c ON c.site = m.site AND c.hap = m.hap WHERE c.g = 0 GROUP BY ALL", f"{_name}g", "merge")
+    define(f"{_name}below", f"SELECT u.site, u.at, min(greatest(u.way, s.own)) AS below FROM {_name}up u JOIN {_name}side s ON s.site = u.site AND s.hap = u.hap WHERE u.pure GROUP BY ALL", f"{_name}up", f"{_name}side")
+    define(
+        f"{_name}end",
+        f"""SELECT site, hap, min(way) AS e FROM (SELECT u.site, u.hap, greatest(u.way, b.below) AS way FROM {_name}up u LEFT JOIN {_name}below b ON b.site = u.site AND b.at = u.at WHERE u.pure AND b.below IS NOT NULL
+  UNION ALL SELECT site, hap, way FROM {_name}up WHERE NOT pure UNION ALL SELECT site, hap, 1000000000 FROM {_name}g WHERE g = 1) GROUP BY ALL""",
+        f"{_name}below",
+    )
+    define(
+        f"{_name}clade",
+        f"""SELECT e.site, e.e, list(e.hap ORDER BY e.hap) AS haps, coalesce(max(i.tmrca), 0) AS lower, coalesce(any_value(t.tmrca), 'inf'::DOUBLE) AS upper, coalesce(arg_max(i.hap, i.o), min(e.hap)) AS node
+  FROM {_name}end e LEFT JOIN (SELECT m.*, b.e FROM merge m JOIN {_name}end a ON a.site = m.site AND a.hap = m.hap JOIN {_name}end b ON b.site = m.site AND b.hap = m.target AND b.e = a.e) i ON i.site = e.site AND i.hap = e.hap
+  LEFT JOIN merge t ON t.site = e.site AND t.o = e.e GROUP BY e.site, e.e""",
+        f"{_name}end", "merge",
+    )
+
+
+@query(sql("SELECT site, node, lower, upper, array_to_string(haps, '.') AS haps FROM altclade", "altclade"))
+def mutation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branches that carry the ALT alleles of each site."""
+    found = ancestry.graph(fixtures.segments(spark, sf_dir), _states(spark, sf_dir))["mutations"]
+    return found.select("site", "node", "lower", "upper", F.array_join(F.col("haps").cast("array<string>"), ".").alias("haps"))
+
+
+_AT = "printf('%.4f', lower) || ',' || CASE WHEN isinf(upper) THEN 'inf' ELSE printf('%.4f', upper) END"
+
+
+@query(
+    sql(
+        f"""SELECT w.site, w.flipped, coalesce(CASE WHEN n = 1 THEN one ELSE some END, 'NaN') AS mapping FROM (SELECT DISTINCT site, flipped FROM rareg) w
+LEFT JOIN (SELECT site, count(*) AS n, any_value('-1,' || {_AT}) AS one, string_agg(array_to_string(haps, '.') || ',' || {_AT}, ';' ORDER BY haps) AS some FROM rareclade GROUP BY site) USING (site)""",
+        "rareclade",
+    )
+)
 def mutation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = frequencies.with_frequencies(frequencies.site_counts(fixtures.genotypes(spark, sf_dir)))
     return trees.map_variants(_states(spark, sf_dir), freq, 0.3)
 
 
-@query()
+# times that both haplotypes of heterozygous individuals meet all others, and the distances from these
+define("udose", "SELECT site, hap // 2 AS ind, sum(g) AS dose FROM geno GROUP BY ALL", "geno")
+define("pheads", "SELECT g.site, g.hap AS head FROM geno g JOIN udose d ON d.site = g.site AND d.ind = g.hap // 2 WHERE d.dose = 1", "udose")
+define("pway", "SELECT a.site, head, a.hap, a.target, a.tmrca AS run, 0.0::DOUBLE AS met FROM pheads h JOIN atsite a ON a.site = h.site AND a.hap = h.head UNION ALL SELECT a.site, w.head, a.hap, a.target, greatest(w.run, a.tmrca), w.run FROM pway w JOIN atsite a ON a.site = w.site AND a.hap = w.target", "pheads", "atsite")
+define("pon", "SELECT site, head, hap, met FROM pway UNION ALL SELECT site, head, 0, max(run) FROM pway GROUP BY site, head UNION ALL SELECT site, head, 0, 0 FROM pheads WHERE head = 0", "pway", "pheads")
+define("pmet", "SELECT site, head, hap, met FROM pon UNION ALL SELECT a.site, m.head, a.hap, greatest(m.met, a.tmrca) FROM pmet m JOIN atsite a ON a.site = m.site AND a.target = m.hap WHERE NOT EXISTS (SELECT 1 FROM pon o WHERE o.site = a.site AND o.head = m.head AND o.hap = a.hap)", "pon")
+define("pcount", "SELECT site, count(*) FILTER (dose = 1) + 2 * count(*) FILTER (dose = 2) AS n FROM udose GROUP BY site", "udose")
+define(
+    "pdist",
+    """SELECT x.site, x.head, CASE WHEN any_value(c.n) = 1 THEN -min(x.near) ELSE sum(CASE WHEN dose = 1 THEN x.least WHEN dose = 2 THEN x.both ELSE 0 END) END AS d FROM
+  (SELECT site, head, hap // 2 AS ind, min(met) AS least, sum(met) AS both, min(met) FILTER (hap <> head) AS near FROM pmet GROUP BY ALL) x JOIN udose USING (site, ind) JOIN pcount c ON c.site = x.site GROUP BY x.site, x.head""",
+    "pmet", "udose", "pcount",
+)
+define("phased", "SELECT a.site, a.head // 2 AS ind, a.d AS d0, b.d AS d1, CASE WHEN a.d <= b.d THEN '1|0' ELSE '0|1' END AS phase FROM pdist a JOIN pdist b ON b.site = a.site AND b.head = a.head + 1 WHERE a.head % 2 = 0", "pdist")
+
+
+@query(sql("SELECT site, ind, d0, d1, phase FROM phased", "phased"))
 def phase_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.phase_distances(_states(spark, sf_dir))
 
@@ -177,11 +238,29 @@ def run_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestry.breaks(rows, "user_id", "event_id", "event_type")
 
 
-MUT_ROWS = [("'1:1:A:C'", 100, 0, "-1,0.5000,2.0000"), ("'1:2:A:C'", 200, 1, "3.7.11,10.0000,20.5000;4,0.0000,3.0000"), ("x", 300, 0, "NaN")]
+# branches by haplotype, from the mapping strings of the rare variants
+define("parsed", """SELECT site, flipped, hap, lower, upper, n = 1 AS is_unique FROM (SELECT DISTINCT site, flipped FROM rareg) JOIN
+  (SELECT c.site, unnest(CASE WHEN n = 1 THEN [-1] ELSE haps END) AS hap, lower, upper, n FROM rareclade c JOIN (SELECT site, count(*) AS n FROM rareclade GROUP BY site) k ON k.site = c.site) USING (site)""", "rareclade")
 
 
-@query("SELECT * FROM (VALUES ('''1:1:A:C''', 100, 0, -1, 0.5::DOUBLE, 2.0::DOUBLE, true), ('''1:2:A:C''', 200, 1, 3, 10.0, 20.5, false), ('''1:2:A:C''', 200, 1, 7, 10.0, 20.5, false), ('''1:2:A:C''', 200, 1, 11, 10.0, 20.5, false), ('''1:2:A:C''', 200, 1, 4, 0.0, 3.0, false)) t(variant, pos, flipped, hap, lower, upper, is_unique)")
+@query(sql("SELECT 'v' || site AS variant, site AS pos, flipped, hap, lower, upper, is_unique FROM parsed", "parsed"))
 def mut_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches of mapping strings; a mapping to one branch has haplotype -1."""
-    rows = spark.createDataFrame(MUT_ROWS, "variant string, pos int, flipped int, mapping string")
-    return text.parse_mapping(rows)
+    mapped = mutation_mapping(spark, sf_dir)
+    return text.parse_mapping(mapped.select(F.concat(F.lit("v"), F.col("site").cast("string")).alias("variant"), F.col("site").alias("pos"), "flipped", "mapping"))
+
+
+@query(sql("SELECT site, flipped, hap, lower, upper, is_unique FROM parsed", "parsed"))
+def mapping_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, from SQL."""
+    tables.register(spark)
+    mutation_mapping(spark, sf_dir).createOrReplaceTempView("mapped_variants")
+    return spark.sql("SELECT * FROM parse_mapping(TABLE(mapped_variants))")
+
+
+@query("SELECT user_id, event_type, first, length FROM (SELECT user_id, event_type, min(k) AS first, count(*) AS length FROM (SELECT *, k - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)) GROUP BY user_id, event_type, run)")
+def runs_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one kind of event of each user, by the table function with a partition and an order."""
+    tables.register(spark)
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type").createOrReplaceTempView("user_events")
+    return spark.sql("SELECT user_id, event_type, first, length FROM runs(TABLE(user_events) PARTITION BY user_id ORDER BY (event_id), 'event_type')")

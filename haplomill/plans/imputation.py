@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import ancestry, frequencies, imputation, panel_path
+from ..operators import ancestry, frequencies, imputation, panel_path, phasing
 from ..sources import fixtures, writers
 from . import matching, models, panels
 from .dating import _Q, DEMO
@@ -122,6 +122,24 @@ def instr_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.phased_lines(_variants(spark, sf_dir), geno)
 
 
+@query(
+    sql(
+        """SELECT site, concat_ws(chr(9), '1', pos, 'v' || site, 'A', 'C', '.', 'PASS', 'NS=' || count(*), 'GT', string_agg(c, chr(9) ORDER BY ind)) AS line
+FROM (SELECT x.site, x.ind, CASE WHEN x.site % 4 = 0 OR p.phase IS NULL THEN x.a || '|' || x.b ELSE p.phase END AS c FROM
+  (SELECT site, hap // 2 AS ind, max(g) FILTER (hap % 2 = 0) AS a, max(g) FILTER (hap % 2 = 1) AS b FROM geno GROUP BY ALL) x LEFT JOIN phased p ON p.site = x.site AND p.ind = x.ind) JOIN sites USING (site) GROUP BY site, pos""",
+        "geno", "sites", "phased",
+    )
+)
+def phased_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of genotypes whose phase is forgotten but for every fourth site, and found again."""
+    listed = F.array_sort(F.collect_list(F.struct("hap", "g")))
+    rows = fixtures.genotypes(spark, sf_dir).groupBy("site").agg(F.transform(listed, lambda x: x["g"]).alias("genotypes"))
+    records = cut(rows.join(fixtures.sites(spark, sf_dir), "site").withColumn("id", F.concat(F.lit("v"), F.col("site").cast("string"))))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("genotypes") / 2 - 1), lambda k: F.array_sort(F.slice("genotypes", (2 * k + 1).cast("int"), 2)))
+    found = phasing.phase(records.withColumn("genotypes", F.flatten(pairs)), records.where("site % 4 = 0"), fixtures.segments(spark, sf_dir))
+    return writers.phased_lines(_variants(spark, sf_dir), found)
+
+
 define("caround", """SELECT site, coalesce(p, n) AS prev, coalesce(n, p) AS next, CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN n IS NULL THEN 1.0 ELSE (pos - pp) / (np - pp) END AS prev_wt FROM
   (SELECT s.site, s.pos, max(t.site) FILTER (t.site <= s.site) AS p, min(t.site) FILTER (t.site > s.site) AS n, max(t.pos) FILTER (t.site <= s.site) AS pp, min(t.pos) FILTER (t.site > s.site) AS np
    FROM sites s CROSS JOIN (SELECT * FROM sites WHERE site % 4 = 0) t GROUP BY ALL)""", "sites")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import copying, dating, pbwt, penalties, psmc
+from ..operators import copying, dating, panel_path, pbwt, penalties, psmc
 from ..sources import fixtures
 from . import matching, panels
 from .dating import DEMO, MU
@@ -38,7 +38,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pbwt.propagate(matching._candidates(spark, sf_dir, counts), pbwt.top(counts))
     groups = pbwt.buckets(matching._kept(spark, sf_dir), matching.GROUP_INTERVAL, True).collect()
     at = coordinates_of(spark, sf_dir)
-    return copying.infer_paths(fixtures.genotypes(spark, sf_dir), found, {r["idx"]: r["site"] for r in groups}, at["step"].to_numpy(), at["bp"].to_numpy(), DEMO.branch_length, MU)
+    return copying.infer_paths(fixtures.genotypes(spark, sf_dir), found, {r["idx"]: r["site"] for r in groups}, at["step"].to_numpy(), at["bp"].to_numpy(), DEMO.branch_length, MU, stretch=32)
 
 
 @query()
@@ -117,20 +117,8 @@ def fwbw_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diploid_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of copied haplotypes of the last individuals, over their match sets."""
-    at = coordinates_of(spark, sf_dir)
-    geno = fixtures.genotypes(spark, sf_dir)
-    sets = matching.typed_match_sets(spark, sf_dir).select(F.floor(F.col("target") / 2).cast("int").alias("ind"), "ref").distinct()
-    alleles = copying.packed(geno)
-    own = alleles.select(F.floor(F.col("hap") / 2).cast("int").alias("ind"), (F.col("hap") % 2 - 2).alias("ref"), "alleles").join(sets.select("ind").distinct(), "ind", "left_semi")
-    rows = sets.join(alleles.select(F.col("hap").alias("ref"), "alleles"), "ref").select("ind", "ref", "alleles").unionByName(own)
-    cost = copying.costs(at["step"].to_numpy(), at["bp"].to_numpy(), DEMO.branch_length(500), MU, 500, False)
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ref", ignore_index=True)
-        alleles = np.array([list(x) for x in frame["alleles"]], np.int8)
-        refs = frame["ref"].to_numpy()[2:]
-        path = copying.diploid_path(alleles[0] + alleles[1], alleles[2:], cost)
-        return pd.DataFrame([(frame["ind"].iloc[0], s, refs[a], refs[b]) for s, a, b in path], columns=["ind", "site", "a", "b"])
-
-    return rows.groupBy("ind").applyInPandas(one, "ind int, site int, a int, b int")
+    """The cheapest pairs of mosaics for the doses of the last individuals, over all references."""
+    p, targets, n = panels._panel(spark, sf_dir)
+    doses = targets.groupBy(F.floor(F.col("hap") / 2).cast("int").alias("ind"), "site").agg(F.sum("g").cast("int").alias("dose"))
+    costs = panel_path.whole_costs(fixtures.sites_cm(spark, sf_dir), n, DEMO, MU, True)
+    return panel_path.pair_paths(p, doses, costs, stretch=32)

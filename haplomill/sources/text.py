@@ -6,9 +6,11 @@ never parsed further.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import indexed, pgen
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "")
@@ -84,24 +86,68 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.trim("value").alias("name"))
 
 
-def read_vcf(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """chrom, pos, id, ref, alt, af, genotypes (alleles of phased haplotypes in order) of the records
-    of one contig with one ALT allele; the filter on positions comes before genotypes are cut."""
+def read_vcf_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(sample names, contigs that the header declares) of a VCF."""
+    lines = spark.read.text(path).where(F.col("value").startswith("#CHROM") | F.col("value").startswith("##contig"))
+    lines = [r["value"] for r in lines.collect()]  # header lines: a name a sample, a line a contig
+    names = next((x.split("\t")[9:] for x in lines if x.startswith("#CHROM")), None)
+    if names is None:
+        raise ValueError(f"{path} has no #CHROM line")
+    return names, [x.partition("ID=")[2].split(",")[0].rstrip(">") for x in lines if x.startswith("##contig")]
+
+
+def one_contig(records: DataFrame) -> str:
+    """The contig of all records; another number of them than one is an error."""
+    found = sorted(r["chrom"] for r in records.select("chrom").distinct().limit(2).collect())
+    if len(found) != 1:
+        raise ValueError(f"records of one contig are needed, not of {found or 'none'}")
+    return found[0]
+
+
+def _vcf_lines(spark: SparkSession, path: str, start: int | None, end: int | None, contig: str | None) -> DataFrame:
+    """Lines of a VCF; of a region only its chunks where an index stands beside the file."""
+    if not path.endswith((".gz", ".bgz")) or not _exists(spark, f"{path}.tbi"):
+        return spark.read.text(path)
+    indexed.register(spark)
+    options = {"path": path, "contig": contig, "start": start, "end": end}
+    return spark.read.format("indexed_vcf").options(**{k: v for k, v in options.items() if v is not None}).load()
+
+
+def read_vcf(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, phased: bool = True, contig: str | None = None) -> DataFrame:
+    """chrom, pos, id, ref, alt, af, genotypes (alleles of haplotypes in order) of the records with one
+    ALT allele; the filter on positions comes before genotypes are cut. Unphased calls are an error
+    unless phased is false; missing ones are one."""
     # the optimizer may try later filters on header lines first: these have no fields
     body = ~F.col("value").startswith("#") & (F.col("value") != "")
-    rows = spark.read.text(path).select(F.when(body, F.split("value", "\t")).alias("f")).where(F.col("f").isNotNull())
+    rows = _vcf_lines(spark, path, start, end, contig).select(F.when(body, F.split("value", "\t")).alias("f")).where(F.col("f").isNotNull())
+    if contig is not None:
+        rows = rows.where(F.get("f", F.lit(0)) == contig)
     rows = rows.withColumn("pos", F.get("f", F.lit(1)).try_cast("int"))
     if start is not None:
         rows = rows.where(F.col("pos").between(start, end))
     number = lambda name: F.regexp_extract(F.get("f", F.lit(7)), rf"(?:^|;){name}=(\d+)", 1).cast("double")
     calls = F.transform(F.slice("f", 10, F.size("f")), lambda c: F.split(c, ":")[0])
-    phased = F.forall(calls, lambda c: c.rlike(r"^[01]\|[01]$"))
-    alleles = F.flatten(F.transform(calls, lambda c: F.transform(F.split(c, r"\|"), lambda a: a.cast("tinyint"))))
-    checked = F.when(F.col("f").isNull(), None).when(phased, alleles).otherwise(F.raise_error(F.concat(F.lit("unphased or missing calls at "), F.col("pos").cast("string"))))
+    right = F.forall(calls, lambda c: c.rlike(r"^[01]\|[01]$" if phased else r"^[01][|/][01]$"))
+    alleles = F.flatten(F.transform(calls, lambda c: F.transform(F.split(c, r"[|/]"), lambda a: a.cast("tinyint"))))
+    checked = F.when(F.col("f").isNull(), None).when(right, alleles).otherwise(F.raise_error(F.concat(F.lit("unphased or missing calls at "), F.col("pos").cast("string"))))
     single = F.when(F.coalesce(F.get("f", F.lit(4)).contains(","), F.lit(False)), F.raise_error(F.lit("a record with several ALT alleles"))).otherwise(F.get("f", F.lit(4)))
     return rows.select(F.get("f", F.lit(0)).alias("chrom"), "pos", F.get("f", F.lit(2)).alias("id"), F.get("f", F.lit(3)).alias("ref"), single.alias("alt"), (number("AC") / number("AN")).alias("af"), checked.alias("genotypes"))
 
 
+def read_pgen(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """chrom, pos, id, ref, alt, af, genotypes of a .pgen file and the variants beside it."""
+    variants = read_variants(spark, path.removesuffix(".pgen"))
+    # the n-th line is the n-th record: lines alone are numbered
+    numbered = variants.withColumn("_row", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("variant", (F.row_number().over(Window.orderBy("_row")) - 1).cast("int")).drop("_row", "qual", "filter")
+    wanted = numbered if start is None else numbered.where(F.col("pos").between(start, end))
+    ends = wanted.agg(F.min("variant").alias("low"), F.max("variant").alias("high")).first()
+    pgen.register(spark)
+    rows = spark.read.format("pgen").option("path", path).option("start", ends["low"] or 0).option("end", -1 if ends["high"] is None else ends["high"] + 1).load()
+    af = F.aggregate("genotypes", F.lit(0), lambda a, g: a + g) / F.size("genotypes")
+    return rows.join(wanted, "variant").select("chrom", "pos", "id", "ref", "alt", af.alias("af"), "genotypes")
+
+
 def last_by_id(records: DataFrame, order: str) -> DataFrame:
     """One record an id: the last one's values at the first one's place."""
     kept = records.groupBy("id").agg(F.max_by(F.struct(*[c for c in records.columns if c not in ("id", order)]), order).alias("r"), F.min(order).alias(order))

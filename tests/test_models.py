@@ -156,31 +156,6 @@ def test_posterior_against_all_paths():
         copying.posterior(panel, query, r[:-1], mu)
 
 
-def test_diploid_path_is_the_cheapest():
-    draw = np.random.default_rng(8)
-    n, m = 3, 4
-    switch, stay, mismatch, match = (np.full(m, x) for x in (1.7, 0.02, 2.3, 0.01))
-    for _ in range(10):
-        panel, dose = draw.integers(0, 2, (n, m)), draw.integers(0, 3, m)
-
-        def cost(pairs, panel=panel, dose=dose):
-            total = 0.0
-            for j, (a, b) in enumerate(pairs):
-                off = abs(panel[a, j] + panel[b, j] - dose[j])
-                total += [2 * match[j], match[j] + mismatch[j], 2 * mismatch[j]][off]
-                if j:
-                    total += sum(stay[j] if x == y else switch[j] for x, y in zip((a, b), pairs[j - 1], strict=True))
-            return total
-
-        pairs = list(itertools.product(range(n), repeat=2))
-        least = min(cost(p) for p in itertools.product(pairs, repeat=m))
-        found = copying.diploid_path(dose, panel, (switch, stay, mismatch, match))
-        path = []
-        for (start, a, b), end in zip(found, [*[s for s, _, _ in found[1:]], m], strict=True):
-            path += [(a, b)] * (end - start)
-        assert cost(path) == pytest.approx(least)
-
-
 def test_neighbours_against_scanning(spark):
     draw = np.random.default_rng(2)
     n = 40
@@ -226,22 +201,34 @@ def brute_clades(target, height, carrier):
     return sorted((list(c), lo, hi) for c, (lo, hi) in best.items())
 
 
-def test_clades_and_meeting_times():
+def test_branches_and_meeting_times(spark):
     draw = np.random.default_rng(6)
-    for _ in range(30):
+    rows, want = [], []
+    for site in range(30):
         n = int(draw.integers(2, 12))
         target = np.array([-1] + [int(draw.integers(0, i)) for i in range(1, n)])
         height = np.append(0.0, draw.permutation(n - 1) + 1.0)
-        carrier = draw.integers(0, 2, n)
+        carrier = draw.integers(0, 2, n) if site else np.ones(n, int)
         met = np.array([trees.meeting_times(target, height, i) for i in range(n)])
         assert (met == met.T).all()
-        assert trees.clades(target, height, carrier) == brute_clades(target, height, carrier)
+        rows += [(site, i, int(carrier[i]), int(target[i]) if i else None, float(height[i]) if i else None) for i in range(n)]
+        want += [(site, *c) for c in brute_clades(target, height, carrier)]
+    state = spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")
+    got = trees.branches(state).collect()
+    assert sorted((r["site"], r["haps"], r["lower"], r["upper"]) for r in got) == sorted(want)
+    assert all(r["node"] in r["haps"] for r in got)
+    assert trees.branches(state.where("g = 0")).count() == 0
+
+
+def test_equal_heights_merge_by_haplotype(spark):
+    rows = [(0, 0, 1, None, None), (0, 1, 1, 0, 5.0), (0, 2, 0, 0, 5.0), (0, 3, 1, 0, 5.0)]
+    got = trees.branches(spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")).collect()
+    assert sorted((r["haps"], r["node"], r["lower"], r["upper"]) for r in got) == [([0, 1], 1, 5.0, 5.0), ([3], 3, 0.0, 5.0)]
 
 
-def test_mapping_strings():
-    assert trees.mapping_string([]) == "NaN"
-    assert trees.mapping_string([([3, 4], 1.0, 2.5)]) == "-1,1.0000,2.5000"
-    assert trees.mapping_string([([3, 4], 1.0, 2.5), ([9], 0.0, 2.0)]) == "3.4,1.0000,2.5000;9,0.0000,2.0000"
+def test_mapping_strings(spark):
+    found = spark.createDataFrame([(1, [3, 4], 1.0, 2.5), (2, [3, 4], 1.0, 2.5), (2, [9], 0.0, float("inf"))], "site int, haps array<int>, lower double, upper double")
+    assert {r["site"]: r["mapping"] for r in trees.mapping_strings(found).collect()} == {1: "-1,1.0000,2.5000", 2: "3.4,1.0000,2.5000;9,0.0000,inf"}
 
 
 def test_inferred_paths_give_the_genotypes_back(spark, sf):
@@ -318,3 +305,50 @@ def test_phasing_prefers_near_relatives(spark):
     rows = [(0, 0, 1, None, None), (0, 1, 1, 0, 5.0), (0, 2, 1, 1, 8.0), (0, 3, 0, 0, 900.0)]
     out = trees.phase_distances(spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")).collect()
     assert [(r["ind"], r["phase"]) for r in out] == [(1, "1|0")]
+
+
+def _instance(draw, n, m):
+    panel, own = draw.integers(0, 2, (n, m)).astype(np.int8), draw.integers(0, 2, m).astype(np.int8)
+    for k in range(n):  # copies of the target with a few differences, so that paths stay
+        if draw.random() < 0.5:
+            panel[k] = own ^ (draw.random(m) < 0.15)
+    starts = sorted({0, *draw.integers(1, m, 3).tolist()})
+    allowed = [(s, sorted(draw.choice(n, int(draw.integers(1, n)), replace=False).tolist())) for s in starts]
+    return own, panel, allowed
+
+
+def test_paths_over_stretches(spark):
+    """Handed over from stretch to stretch, states give the path of one stretch."""
+    draw = np.random.default_rng(8)
+    m, n = 40, 9
+    step, bp = draw.random(m) * 0.02, draw.random(m) * 4000
+    geno, cands, want = [], [], []
+    own, panel, allowed = _instance(draw, n, m)
+    geno += [(s, k, int(panel[k, s])) for k in range(n) for s in range(m)]
+    starts = {g: s for g, (s, _) in enumerate(allowed)}
+    length = lambda k: 900.0 / k
+    for hap in range(n, n + 6):
+        own = panel[draw.integers(n)] ^ (draw.random(m) < 0.2)
+        geno += [(s, hap, int(own[s])) for s in range(m)]
+        mine = [(s, sorted(draw.choice(n, 4, replace=False).tolist())) for s, _ in allowed]
+        cands += [(g, hap, c) for g, (_, ids) in enumerate(mine) for c in ids]
+        path = copying.best_path(own.astype(np.int8), panel, list(range(n)), mine, copying.costs(step, bp, length(hap + 1), 1e-6, hap, False))
+        want += [(hap, k, s, t) for k, (s, t) in enumerate(path)]
+    geno, cands = spark.createDataFrame(geno, "site int, hap int, g int"), spark.createDataFrame(cands, "grp int, hap int, cand int")
+    for stretch in (None, 40, 7, 1):
+        got = copying.infer_paths(geno, cands, starts, step, bp, length, 1e-6, stretch=stretch).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_what_a_front_hands_over_is_bounded():
+    """A row a candidate and the nodes that these rest on, however many sites went by."""
+    draw = np.random.default_rng(9)
+    n, m = 20, 600
+    own, panel, _ = _instance(draw, n, m)
+    front = copying.CandidateFront()
+    front.enter(list(range(n)))
+    for j in range(m):
+        front.advance(j, own[j], panel[:, j], 2.0, 0.01, 2.5, 0.01)
+    rows = front.rows(99, False)
+    assert len(front.nodes) > 1000 and (rows["kind"] == copying.FRONT).sum() == n
+    assert (rows["kind"] == copying.NODE).sum() < 200

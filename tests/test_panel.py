@@ -145,3 +145,35 @@ def test_no_targets(geno, spark):
     p = panel.build(geno.where("hap < 5"), SITES)
     costs = spark.range(SITES).select(F.col("id").cast("int").alias("site"), *[F.lit(1).cast("long").alias(c) for c in ("stay", "switch", "match", "mismatch")])
     assert panel_path.paths(p, geno.where("hap < 0"), costs).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "stretch"), [(1, 100), (2, 5)])
+def test_pairs_against_all_pairs(spark, seed, stretch):
+    draw = np.random.default_rng(seed)
+    n, m, people = 14, 30, 4
+    alleles = mosaic(draw, n + 2 * people, m)
+    rows = [(j, k, int(alleles[k, j])) for k in range(n) for j in range(m)]
+    p = panel.build(spark.createDataFrame(rows, "site int, hap int, g int"), m)
+    stay, switch, match, mismatch = (draw.integers(*x, m) for x in ((0, 3), (2, 9), (0, 2), (3, 6)))
+    costs = spark.createDataFrame([(j, *(int(x[j]) for x in (stay, switch, match, mismatch))) for j in range(m)], "site int, stay long, switch long, match long, mismatch long")
+    doses = {i: alleles[n + 2 * i] + alleles[n + 2 * i + 1] for i in range(people)}
+    found = panel_path.pair_paths(p, spark.createDataFrame([(j, i, int(doses[i][j])) for i in doses for j in range(m)], "site int, ind int, dose int"), costs, tasks=2, stretch=stretch).collect()
+    for i, dose in doses.items():
+        s = np.zeros((n, n), int)
+        for j in range(m):
+            if j:
+                ex = switch[j - 1] - stay[j - 1]
+                s = np.minimum(np.minimum(s, np.minimum(s.min(0)[None, :], s.min(1)[:, None]) + ex), s.min() + 2 * ex)
+            off = np.abs(alleles[:n, j][:, None] + alleles[:n, j][None, :] - dose[j])
+            s = s + 2 * stay[j] + np.choose(off, [2 * match[j], match[j] + mismatch[j], 2 * mismatch[j]])
+        mine = [r for r in found if r["ind"] == i]
+        assert {r["cost"] for r in mine} == {s.min()}
+        # the segments themselves cost as much
+        refs, total = np.empty((2, m), int), 0
+        for r in mine:
+            refs[r["side"], r["start"] : r["end"]] = r["ref"]
+        starts = {(r["side"], r["start"]) for r in mine if r["start"]}
+        for j in range(m):
+            off = abs(alleles[refs[0, j], j] + alleles[refs[1, j], j] - dose[j])
+            total += 2 * stay[j] + [2 * match[j], match[j] + mismatch[j], 2 * mismatch[j]][off] + sum(switch[j - 1] - stay[j - 1] for side in (0, 1) if (side, j) in starts)
+        assert total == s.min()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haplomill import cli
 from haplomill.sources import fixtures, text, writers
@@ -113,17 +114,84 @@ def test_other_commands(spark, small, tmp_path, capsys):
     cli.main(["allele_ages", "--ancestry", out, "--out", str(tmp_path / "ages")])
     assert text.read_ages(spark, str(tmp_path / "ages")).count() == 28
     cli.main(["convert", "--ancestry", out, "--out", str(tmp_path / "edges")])
-    assert spark.read.parquet(str(tmp_path / "edges")).where("target >= hap").isEmpty()
+    assert spark.read.parquet(str(tmp_path / "edges/edges")).where("target >= hap").isEmpty()
+    cli.main(["convert", "--ancestry", out, "--add_mutations", "--out", str(tmp_path / "graph")])
+    held = spark.read.parquet(str(tmp_path / "graph/mutations")).select("site", F.explode("haps").alias("hap")).collect()
+    assert sorted((r["site"], r["hap"]) for r in held) == [(s, h) for s in range(28) for h in range(24) if haps[h, s]]
+    assert spark.read.parquet(str(tmp_path / "graph/nodes")).count() == 24
     cli.main(["map", "--ancestry", out, "--input", f"{folder}/a.vcf", "--region", "1:1000-20000", "--maf", "0.5", "--out", str(tmp_path / "mut")])
     mapped = text.read_mapping(spark, str(tmp_path / "mut"))
     assert mapped.count() > 0 and text.parse_mapping(mapped).where("upper < lower").isEmpty()
     capsys.readouterr()
-    cli.main(["impute", "--panel", f"{folder}/a.vcf", "--target", f"{folder}/t.vcf", "--map", f"{folder}/a.map", "--region", "1:1-100000", "--stdout"])
+    cli.main(["impute", "--panel", f"{folder}/a.vcf", "--target", f"{folder}/t.vcf", "--map", f"{folder}/a.map", "--demography", f"{folder}/a.demo", "--region", "1:1-100000", "--stdout"])
     body = [x.split("\t") for x in capsys.readouterr().out.splitlines() if x and not x.startswith("#")]
+    assert body[0][0] == "1"
     calls = np.array([[[int(a) for a in c.split(":")[0].split("|")] for c in f[9:]] for f in body]).reshape(40, 24).T
     assert (calls == haps).mean() > 0.95
     with pytest.raises(SystemExit):
-        cli.main(["impute", "--panel", "p", "--target", "t", "--map", "m", "--region", "1-2"])
+        cli.main(["impute", "--panel", "p", "--target", "t", "--map", "m", "--demography", "d", "--region", "1-2"])
+
+
+def test_mappings_change_imputed_lines(spark, small, tmp_path, capsys):
+    folder, _ = small
+    (folder / "m.mut").write_text("v1\t1700\t0\t-1,5000.0,9000.0\nv2\t2400\t0\t0.1.2,4000.0,8000.0;5,100.0,inf\nv4\t3800\t0\tNaN\n")
+    lines = []
+    for more in ([], ["--mut", f"{folder}/m.mut"]):
+        capsys.readouterr()
+        cli.main(["impute", "--panel", f"{folder}/a.vcf", "--target", f"{folder}/t.vcf", "--map", f"{folder}/a.map", "--demography", f"{folder}/a.demo", "--region", "1:1-100000", "--stdout", *more])
+        lines.append([x for x in capsys.readouterr().out.splitlines() if x])
+    header = [x for x in lines[0] if x.startswith("#CHROM")][0].split("\t")[9:]
+    assert header == [f"s{k}" for k in range(12)]
+    changed = [x.split("\t")[2] for x, y in zip(*lines, strict=True) if x != y]
+    assert "v1" in changed and set(changed) <= {"v1", "v2"}
+
+
+def test_phase(spark, small, tmp_path):
+    """Scaffold variants as they are, others by relatives; doses stay what they were."""
+    folder, haps = small
+    head = [x for x in (folder / "a.vcf").read_text().splitlines() if x.startswith("#")]
+    body = [x.split("\t") for x in (folder / "a.vcf").read_text().splitlines() if not x.startswith("#")]
+    turned = [f[:9] + ["/".join(sorted(c.split("|"))) for c in f[9:]] for f in body]
+    (folder / "u.vcf").write_text("\n".join([*head, *("\t".join(f) for f in turned)]) + "\n")
+    out = str(tmp_path / "arg")
+    cli.main(["infer", "--genotypes", f"{folder}/a.vcf", "--map", f"{folder}/a.map", "--demography", f"{folder}/a.demo", "--match_group_interval", "0.1", "--out", out])
+    cli.main(["phase", "--scaffold", f"{folder}/t.vcf", "--ancestry", out, "--unphased", f"{folder}/u.vcf", "--out", str(tmp_path / "phased")])
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "phased")).collect()]
+    assert [x for x in lines if x.startswith("#CHROM")][0].split("\t")[9:] == [f"s{k}" for k in range(12)]
+    right = hets = 0
+    typed = {x.split("\t")[2] for x in (folder / "t.vcf").read_text().splitlines() if not x.startswith("#")}
+    for f, own in zip([x.split("\t") for x in lines if not x.startswith("#")], body, strict=True):
+        assert f[2] == own[2] and [sorted(c.split("|")) for c in f[9:]] == [sorted(c.split("|")) for c in own[9:]]
+        if f[2] in typed:
+            assert f[9:] == own[9:]
+        else:
+            hets += sum(c in ("0|1", "1|0") for c in own[9:])
+            right += sum(c == d and c in ("0|1", "1|0") for c, d in zip(f[9:], own[9:], strict=True))
+    assert right > 0.5 * hets > 0
+
+
+def test_scaffold_goes_on_only_in_order(spark):
+    from haplomill.operators import phasing
+
+    numbered = lambda ids: spark.createDataFrame(list(enumerate(ids)), "site int, id string")
+    pairs = lambda a, b: sorted(tuple(r) for r in phasing.lockstep(numbered(a), numbered(b)).collect())
+    assert pairs("abcdef", "bdf") == [(1, 0), (3, 1), (5, 2)]
+    assert pairs("abcdef", "bxd") == [(1, 0)]
+    assert pairs("abcdef", "dbe") == [(3, 0)]
+    assert pairs("aabcb", "abb") == [(0, 0), (2, 1), (4, 2)]
+    assert pairs("abc", "") == []
+
+
+def test_contigs_and_unphased_calls(spark, tmp_path):
+    line = "{}\t5\tx\tA\tC\t.\t.\tAC=1;AN=2\tGT\t{}\n"
+    path = tmp_path / "two.vcf"
+    path.write_text("##contig=<ID=7,length=9>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tme\n" + line.format("7", "0/1") + line.format("8", "1|0"))
+    assert text.read_vcf_header(spark, str(path)) == (["me"], ["7"])
+    with pytest.raises(ValueError, match="one contig"):
+        text.one_contig(text.read_vcf(spark, str(path), phased=False))
+    assert [list(r["genotypes"]) for r in text.read_vcf(spark, str(path), phased=False).orderBy("chrom").collect()] == [[0, 1], [1, 0]]
+    with pytest.raises(Exception, match="unphased"):
+        text.read_vcf(spark, str(path)).collect()
 
 
 def test_site_stream(spark, tmp_path):
