@@ -39,7 +39,7 @@ from .common import discard, mark, materialize, new_folder, open_fs, table, tidy
 LENGTH = 100
 GRAM = 32
 BUCKET = 4_000
-HOT = 16_000
+HOT = 1 << 16  # 11 MB of symbols, which a task holds
 BLOCK = 1 << 18  # bytes hashed at once
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 NO_ID = 2**63 - 1
@@ -79,7 +79,9 @@ def anchors(x: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray,
 
 
 def stretches_of(bodies: list[bytes], gram: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, hash, anchor, strings before the anchor, strings) of the stretches of many texts."""
+    """(row, hash of the anchor, digest of the stretch, anchor, strings before the anchor, strings) of
+    the stretches of many texts. A stretch is as long as two strings at most: its first and its last one
+    and their distance tell it from others with its anchor."""
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     sizes = np.array([len(b) for b in bodies], np.int64)
     ends = np.cumsum(sizes)
@@ -95,8 +97,9 @@ def stretches_of(bodies: list[bytes], gram: int, length: int = LENGTH) -> Iterat
         stop = inside.copy()
         stop[:-1] &= (at[1:] != at[:-1]) | ~inside[1:]
         first, last = np.flatnonzero(new), np.flatnonzero(stop)
-        of = row[first]
-        yield of, h[at[first]].astype(np.int64), low + at[first] - begin[of], at[first] - first, last - first + 1
+        of, whole = row[first], h if gram == length else gram_hashes(x, length)
+        s = (whole[first] * np.uint64(BASE) ^ whole[last]) * np.uint64(MIX) + (last - first).astype(np.uint64)
+        yield of, h[at[first]].astype(np.int64), (s ^ (s >> np.uint64(31))).astype(np.int64), low + at[first] - begin[of], at[first] - first, last - first + 1
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,36 +111,23 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def postings(store: DataFrame, gram: int) -> DataFrame:
-    """v, m, at, place: the stretches of all texts by the hash of their anchor. place holds the
-    anchor's position in the document, the strings before it, and their number."""
+    """v, s, d, m, at, place: the stretches of all texts by the hash of their anchor, equal ones with
+    equal s. place holds the anchor's position in the document, the strings before it, and their number."""
 
     @tidy
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
-            m, at = frame["m"].to_numpy(np.int64), frame["at"].to_numpy(np.int64)
-            for row, v, anchor, before, n in stretches_of(frame["body"].tolist(), gram):
-                yield pd.DataFrame({"v": v, "m": m[row], "at": at[row], "place": (at[row] + anchor) << 16 | before << 8 | n})
+            d, m, at = (frame[c].to_numpy(np.int64) for c in ("d", "m", "at"))
+            for row, v, s, anchor, before, n in stretches_of(frame["body"].tolist(), gram):
+                yield pd.DataFrame({"v": v, "s": s, "d": d[row], "m": m[row], "at": at[row], "place": (at[row] + anchor) << 16 | before << 8 | n})
 
-    return store.select("m", "at", "body").mapInPandas(task, "v long, m long, at long, place long")
+    return store.select("d", "m", "at", "body").mapInPandas(task, "v long, s long, d long, m long, at long, place long")
 
 
-def digests(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each row of bytes, whose length is a multiple of eight."""
-    words = np.ascontiguousarray(rows).view("<u8")
-    out = np.zeros(len(words), np.uint64)
-    for k in range(words.shape[1]):
-        x = (words[:, k] + np.uint64((k + 1) * MIX % 2**64)) * np.uint64(pow(BASE, k + 1, 2**64))
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(MIX)
-        out += x ^ (x >> np.uint64(29))
-    return out.astype(np.int64)
-
-
-def cut_out(store: DataFrame, kept: DataFrame, bodies: bool) -> DataFrame:
-    """v, s, d, m, at, place of the stretches kept (v, m, at, place), which (v, s) tells apart; with
-    bodies their bytes, too, as piece."""
+def cut_out(store: DataFrame, kept: DataFrame) -> DataFrame:
+    """v, d, m, place, piece: the bytes of the stretches kept (v, m, at, place)."""
     listed = kept.groupBy("m", "at").agg(F.collect_list(F.struct("v", "place")).alias("s"))
     rows = store.join(listed, ["m", "at"]).select("d", "m", "at", "body", F.col("s.v").alias("vs"), F.col("s.place").alias("places"))
-    width = -(-(2 * LENGTH) // 8) * 8
 
     @tidy
     def task(batches):
@@ -147,27 +137,25 @@ def cut_out(store: DataFrame, kept: DataFrame, bodies: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             column = {c: batch.column(c) for c in batch.schema.names}
-            raw = np.frombuffer(b"".join(column["body"].to_pylist()), np.uint8)
-            sizes = np.array([len(b) for b in column["body"].to_pylist()], np.int64)
+            bodies = column["body"].to_pylist()
+            raw = np.frombuffer(b"".join(bodies), np.uint8)
+            ends = np.cumsum([len(b) for b in bodies])
             v, place = (column[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("vs", "places"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(column["vs"].offsets.to_numpy()))
             d, m, at = (column[c].to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("d", "m", "at"))
-            low = (np.cumsum(sizes) - sizes)[row] + (place >> 16) - (place >> 8 & 255) - at
+            low = np.concatenate([[0], ends[:-1]])[row] + (place >> 16) - (place >> 8 & 255) - at
             length = (place & 255) + LENGTH - 1
             for k in range(0, len(v), 1 << 14):
                 some = slice(k, k + (1 << 14))
-                at_byte = low[some, None] + np.arange(width)
-                inside = np.arange(width) < length[some, None]
-                pieces = np.where(inside, raw[np.minimum(at_byte, len(raw) - 1)], np.uint8(0))
-                arrays = []
-                if bodies:
-                    offsets = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
-                    arrays = [pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pieces[inside].tobytes())])]
-                pieces[:, -1] = length[some]
-                arrays = [*map(pa.array, (v[some], digests(pieces), d[some], m[some], at[some], place[some])), *arrays]
-                yield pa.RecordBatch.from_arrays(arrays, names=["v", "s", "d", "m", "at", "place", "piece"][: len(arrays)])
+                ends_here = np.cumsum(length[some])
+                # the places of all bytes of these stretches, one after the other
+                inner = np.arange(ends_here[-1]) - np.repeat(ends_here - length[some], length[some])
+                data = raw[np.repeat(low[some], length[some]) + inner]
+                offsets = np.concatenate([[0], ends_here]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (v[some], d[some], m[some], place[some])), binary], names=["v", "d", "m", "place", "piece"])
 
-    return rows.mapInArrow(task, "v long, s long, d long, m long, at long, place long" + ", piece binary" * bodies)
+    return rows.mapInArrow(task, "v long, d long, m long, place long, piece binary")
 
 
 def least_table(values: np.ndarray) -> np.ndarray:
@@ -272,10 +260,10 @@ def compared(stretches: DataFrame, buckets: int, gram: int, folder: str) -> Data
 def covered(store: DataFrame, gram: int, folder: str, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """m, low, high: bytes of the texts (d, m, at, body) under strings that start earlier, too."""
     since = mark()
-    found = materialize(postings(store, gram), "repeats-postings")
-    twice = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    every = materialize(cut_out(store, found.join(twice, "v", "left_semi"), False), "repeats-stretches")
-    discard(since, "repeats-postings")
+    found = postings(store, gram)  # made anew for each use: cheaper than to keep them
+    twice = materialize(found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v"), "repeats-twice")
+    every = materialize(found.join(twice, "v", "left_semi"), "repeats-stretches")
+    discard(since, "repeats-twice")
     head = every.groupBy("v", "s").agg(F.min(F.struct("d", "m", "place", "at")).alias("h"), F.count("*").alias("copies"))
     distinct = materialize(head.select("v", "s", "h.*", "copies"), "repeats-distinct")
     # whatever equals an earlier stretch goes as a whole
@@ -288,10 +276,10 @@ def covered(store: DataFrame, gram: int, folder: str, hot: int = HOT, bucket: in
     rest = distinct
     if gram < LENGTH and not crowded.isEmpty():
         rest = distinct.join(crowded, "v", "left_anti")
-        apart = cut_out(store, distinct.join(crowded, "v", "left_semi"), True).select("d", "m", low.alias("at"), F.col("piece").alias("body"))
+        apart = cut_out(store, distinct.join(crowded, "v", "left_semi")).select("d", "m", low.alias("at"), F.col("piece").alias("body"))
         out = out.unionByName(covered(materialize(apart, "repeats-apart"), LENGTH, folder, hot, bucket))
     buckets = max(1, -(-distinct.count() // bucket))
-    return out.unionByName(materialize(compared(cut_out(store, rest, True), buckets, gram, folder), "repeats-compared"))
+    return out.unionByName(materialize(compared(cut_out(store, rest), buckets, gram, folder), "repeats-compared"))
 
 
 def _shortened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
