@@ -151,8 +151,8 @@ _AT = "printf('%.4f', lower) || ',' || CASE WHEN isinf(upper) THEN 'inf' ELSE pr
 
 @query(
     sql(
-        f"""SELECT w.site, w.flipped, coalesce(CASE WHEN n = 1 THEN one ELSE some END, 'NaN') AS mapping FROM (SELECT DISTINCT site, flipped FROM rareg) w
-LEFT JOIN (SELECT site, count(*) AS n, any_value('-1,' || {_AT}) AS one, string_agg(array_to_string(haps, '.') || ',' || {_AT}, ';' ORDER BY haps) AS some FROM rareclade GROUP BY site) USING (site)""",
+        f"""SELECT w.site, w.flipped, coalesce(CASE WHEN n = 1 THEN single ELSE several END, 'NaN') AS mapping FROM (SELECT DISTINCT site, flipped FROM rareg) w
+LEFT JOIN (SELECT site, count(*) AS n, any_value('-1,' || {_AT}) AS single, string_agg(array_to_string(haps, '.') || ',' || {_AT}, ';' ORDER BY haps) AS several FROM rareclade GROUP BY site) USING (site)""",
         "rareclade",
     )
 )

@@ -135,7 +135,7 @@ def phased_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("hap", "g")))
     rows = fixtures.genotypes(spark, sf_dir).groupBy("site").agg(F.transform(listed, lambda x: x["g"]).alias("genotypes"))
     records = cut(rows.join(fixtures.sites(spark, sf_dir), "site").withColumn("id", F.concat(F.lit("v"), F.col("site").cast("string"))))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("genotypes") / 2 - 1), lambda k: F.array_sort(F.slice("genotypes", (2 * k + 1).cast("int"), 2)))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("genotypes") / 2).cast("int") - 1), lambda k: F.array_sort(F.slice("genotypes", (2 * k + 1).cast("int"), 2)))
     found = phasing.phase(records.withColumn("genotypes", F.flatten(pairs)), records.where("site % 4 = 0"), fixtures.segments(spark, sf_dir))
     return writers.phased_lines(_variants(spark, sf_dir), found)
 
