@@ -186,7 +186,7 @@ def impute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     costs = panel_path.whole_costs(numbered, n, demography, a.mutation_rate, False)
     near = cut(panel_path.longest(panel_path.overlaps(whole, own, panel_path.members(whole, panel_path.paths(whole, own, costs))), 16))
     sets = pbwt.match_sets(window).unionByName(near.select("target", "ref")).distinct()
-    found = imputation.sparsify(copying.posteriors(both, sets, 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)), n)
+    found = copying.posteriors(both, sets, 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n), n_panel=n)
     spread = cut(imputation.interpolate(found, imputation.flanks(panel_sites.select("site", "pos"), typed.select("site"))))
     doses = imputation.dosages(spread, long(panel_sites))
     if a.mut:

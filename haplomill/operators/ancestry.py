@@ -42,11 +42,14 @@ def reconstruct(segments: DataFrame, mismatches: DataFrame, sites: DataFrame, ha
     rest = rest.select("hap", F.lit(low).alias("start_bp"), "end_bp", F.lit(None).cast("int").alias("target"), F.lit(None).cast("double").alias("tmrca"))
     every = segments.join(haps.select("hap"), "hap", "left_semi").select(*rest.columns).unionByName(rest)
     states = at_sites(every, sites).select("site", "hap", F.col("target").alias("ptr"))
-    state = cut(with_mismatches(states, mismatches).select("site", "hap", "ptr", F.col("mism").alias("parity")))
-    while not state.where("ptr IS NOT NULL").isEmpty():
-        above = state.select("site", F.col("hap").alias("ptr"), F.col("ptr").alias("next"), F.col("parity").alias("more"))
-        state = cut(state.join(above, ["site", "ptr"], "left").select("site", "hap", F.col("next").alias("ptr"), (F.col("parity") + F.coalesce("more", F.lit(0))).alias("parity")))
-    return state.select("site", "hap", (F.col("parity") % 2).cast("int").alias("g"))
+    rows = cut(with_mismatches(states, mismatches).select("site", "hap", "ptr", F.col("mism").alias("parity")))
+    done, todo = rows.where("ptr IS NULL"), rows.where("ptr IS NOT NULL")
+    while not todo.isEmpty():
+        # what has reached the root is looked up but not written again
+        above = done.unionByName(todo).select("site", F.col("hap").alias("ptr"), F.col("ptr").alias("next"), F.col("parity").alias("more"))
+        rows = cut(todo.join(above, ["site", "ptr"], "left").select("site", "hap", F.col("next").alias("ptr"), (F.col("parity") + F.coalesce("more", F.lit(0))).alias("parity")))
+        done, todo = done.unionByName(rows.where("ptr IS NULL")), rows.where("ptr IS NOT NULL")
+    return done.select("site", "hap", (F.col("parity") % 2).cast("int").alias("g"))
 
 
 def slice_region(segments: DataFrame, mismatches: DataFrame, sites: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -251,9 +251,10 @@ def posterior(panel: np.ndarray, query: np.ndarray, r: np.ndarray, mu: float | N
     return out
 
 
-def posteriors(genotypes: DataFrame, sets: DataFrame, switch: np.ndarray, mu: float | None = 1e-4) -> DataFrame:
+def posteriors(genotypes: DataFrame, sets: DataFrame, switch: np.ndarray, mu: float | None = 1e-4, n_panel: int | None = None) -> DataFrame:
     """target, site, ref, p for match sets (target, ref) over the sites of the genotypes, numbered
-    in order; switch: chance to switch before each of them."""
+    in order; switch: chance to switch before each of them. n_panel: what is no better than chance in
+    a panel of so many never leaves the task, and the rest sums to one."""
     alleles = packed(genotypes)
     numbers = np.array([r["site"] for r in genotypes.select("site").distinct().orderBy("site").collect()])
     rows = sets.join(alleles.select(F.col("hap").alias("ref"), "alleles"), "ref").select("target", "ref", "alleles")
@@ -264,6 +265,13 @@ def posteriors(genotypes: DataFrame, sets: DataFrame, switch: np.ndarray, mu: fl
         panel = np.array([list(x) for x in frame["alleles"].iloc[1:]], np.int8)
         p = posterior(panel, np.array(frame["alleles"].iloc[0], np.int8), switch, mu)
         refs = frame["ref"].iloc[1:].to_numpy()
+        if n_panel is not None:
+            p = np.where(p > 1 / n_panel, p, 0.0)
+            total = p.sum(axis=1, keepdims=True)
+            if (total == 0).any():
+                raise ValueError("a posterior without anything above chance")
+            at, k = np.nonzero(p)
+            return pd.DataFrame({"target": frame["target"].iloc[0], "site": numbers[at], "ref": refs[k], "p": (p / total)[at, k]})
         return pd.DataFrame({"target": frame["target"].iloc[0], "site": np.repeat(numbers, len(refs)), "ref": np.tile(refs, len(numbers)), "p": p.ravel()})
 
     return rows.groupBy("target").applyInPandas(one, "target int, site int, ref int, p double")

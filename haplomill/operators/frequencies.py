@@ -26,10 +26,16 @@ def rare(frequencies: DataFrame, maf: float) -> DataFrame:
     return frequencies.where((F.col("maf") <= maf) & (F.col("maf") > 0))
 
 
-def mapping_counters(frequencies: DataFrame, maf: float) -> DataFrame:
-    """How many variants a mapping run tries, and how many of these are very rare."""
+def mapping_counters(frequencies: DataFrame, maf: float, mapped: DataFrame) -> DataFrame:
+    """How many variants a mapping run tries, how many of these are very rare, and how many got one
+    branch, several, or none, with percentages of those tried. mapped: site, mapping."""
     tried = (F.col("maf") <= maf) & (F.col("maf") > 0)
-    return frequencies.agg(F.count("*").alias("n_sites"), F.count_if(tried).alias("attempted"), F.count_if(tried & (F.col("mac") <= 4)).alias("mac_le_4"))
+    rows = frequencies.join(mapped.select("site", "mapping"), "site", "left")
+    one = F.coalesce(F.col("mapping").startswith("-1,"), F.lit(False))
+    some = F.coalesce(F.col("mapping") != "NaN", F.lit(False))
+    counts = rows.agg(F.count("*").alias("n_sites"), F.count_if(tried).alias("attempted"), F.count_if(tried & (F.col("mac") <= 4)).alias("mac_le_4"), F.count_if(tried & some).alias("mapped"), F.count_if(tried & one).alias("mapped_once"))
+    share = lambda c: F.when(F.col("attempted") > 0, F.round(100.0 * F.col(c) / F.col("attempted"), 3)).alias(f"{c}_pct")
+    return counts.select("*", share("mapped"), share("mapped_once"))
 
 
 def check_biallelic(genotypes: DataFrame) -> DataFrame:

@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from . import pbwt
-
-BLOCK = pbwt.BLOCK
+from .pbwt import BLOCK, equal_since, level_ranks, whole_keys
 
 
 @dataclass(frozen=True)
@@ -43,25 +42,6 @@ class Panel:
     n_sites: int
 
 
-def whole_keys(genotypes: DataFrame) -> DataFrame:
-    """block, hap, key: all alleles of a block as one number."""
-    bit = F.expr(f"shiftleft(cast(g AS bigint), site % {BLOCK})")
-    return genotypes.groupBy(F.floor(F.col("site") / BLOCK).cast("int").alias("block"), "hap").agg(F.sum(bit).alias("key"))
-
-
-def level_ranks(keys: DataFrame, n_blocks: int) -> dict[int, DataFrame]:
-    """For 1, 2, 4, ... blocks: block, hap, rank, where equal ranks mean equal alleles over so many blocks."""
-    w = Window.partitionBy("block")
-    out = {1: cut(keys.select("block", "hap", F.dense_rank().over(w.orderBy("key")).alias("rank")))}
-    d = 1
-    while d < n_blocks:
-        earlier = out[d].select((F.col("block") + d).alias("block"), "hap", F.col("rank").alias("before"))
-        both = out[d].join(earlier, ["block", "hap"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        out[2 * d] = cut(both.select("block", "hap", F.dense_rank().over(w.orderBy("rank", "before")).alias("rank")))
-        d *= 2
-    return out
-
-
 def in_columns(order: DataFrame) -> DataFrame:
     """site, alleles in the order before the site, haps in the order after it."""
     before = order.select((F.col("site") + 1).alias("site"), "hap", F.col("rnk").alias("before"))
@@ -75,7 +55,7 @@ def build(genotypes: DataFrame, n_sites: int) -> Panel:
     keys = cut(whole_keys(genotypes))
     order = cut(pbwt.prefix_ranks(genotypes, n_sites))
     levels = level_ranks(keys, -(-n_sites // BLOCK))
-    since = cut(pbwt.divergence(order, genotypes))
+    since = cut(pbwt.divergence(order, keys, levels))
     return Panel(genotypes, keys, levels, order, since, cut(in_columns(order)), n_sites)
 
 
@@ -145,30 +125,6 @@ def _identities(panel: Panel, places: dict[int, DataFrame], own: dict[int, DataF
     return panel.levels[d].select("block", "hap", (2 * F.col("rank")).cast("long").alias("id")).unionByName(new)
 
 
-def equal_since(pairs: DataFrame, keys: DataFrame, identities: dict[int, DataFrame]) -> DataFrame:
-    """Adds since to (site, hap, above): the first site from which on both are equal up to it."""
-    of = lambda name: keys.select("block", F.col("hap").alias(name), F.col("key").alias(f"{name}_key"))
-    last = lambda bits: F.floor(F.log2(bits.cast("double"))).cast("int") + 1
-    mask = F.expr(f"shiftleft(2L, site % {BLOCK}) - 1")
-    rows = pairs.withColumn("block", F.floor(F.col("site") / BLOCK).cast("int")).join(of("hap"), ["block", "hap"]).join(of("above"), ["block", "above"])
-    rows = rows.withColumn("differ", F.col("hap_key").bitwiseXOR(F.col("above_key")).bitwiseAND(mask)).select("site", "hap", "above", "block", "differ")
-    found = rows.where("differ <> 0").select("site", "hap", "above", (F.col("block") * BLOCK + last(F.col("differ"))).alias("since"))
-    # pairs that are equal in their block: what they share before it does not depend on the site
-    rest = rows.where("differ = 0").select("hap", "above", "block").distinct().withColumn("at", F.col("block") - 1)
-    for d in sorted(identities, reverse=True):
-        ids = identities[d]
-        a = ids.select(F.col("block").alias("at"), "hap", F.col("id").alias("a"))
-        b = ids.select(F.col("block").alias("at"), F.col("hap").alias("above"), F.col("id").alias("b"))
-        rest = rest.join(a, ["at", "hap"], "left").join(b, ["at", "above"], "left")
-        rest = rest.select("hap", "above", "block", F.when(F.col("a") == F.col("b"), F.greatest(F.col("at") - d, F.lit(-1))).otherwise(F.col("at")).alias("at"))
-    at = lambda name: keys.select(F.col("block").alias("at"), F.col("hap").alias(name), F.col("key").alias(f"{name}_key"))
-    rest = rest.join(at("hap"), ["at", "hap"], "left").join(at("above"), ["at", "above"], "left")
-    before = F.col("at") * BLOCK + last(F.col("hap_key").bitwiseXOR(F.col("above_key")))
-    rest = rest.select("hap", "above", "block", F.when(F.col("at") < 0, 0).otherwise(before).alias("since"))
-    equal = rows.where("differ = 0").join(rest, ["hap", "above", "block"]).select("site", "hap", "above", "since")
-    return found.unionByName(equal).select("site", "hap", "above", F.col("since").cast("int").alias("since"))
-
-
 def _merged_levels(panel: Panel, places: dict[int, DataFrame], own: dict[int, DataFrame]) -> dict[int, DataFrame]:
     """The ranks of all, those of the panel shifted by the newcomers' own strings below them."""
     out = {}

@@ -208,6 +208,27 @@ def dated(near: DataFrame, sites: DataFrame, demography: Demography) -> DataFram
     return rows.select("target", "seg_idx", "start_bp", "end_bp", "ref", age.alias("age"))
 
 
+def threads(panel: Panel, targets: DataFrame, found: DataFrame, sites: DataFrame, demography: Demography, rate: float) -> DataFrame:
+    """target, seg_idx, start, end, start_bp, ref, hets, age of the segments of paths: their mismatches,
+    and ages from these and from the sizes of their sites. Mismatches meet as blocks of alleles."""
+    upto = Window.orderBy("site").rowsBetween(Window.unboundedPreceding, -1)  # the sites of one chromosome
+    sizes = coordinates.site_sizes(sites, "cm").select("site", F.col("size").alias("cm")).join(coordinates.site_sizes(sites).select("site", F.col("size").alias("bp")), "site")
+    sizes = sizes.select("site", "cm", "bp", *[F.coalesce(F.sum(c).over(upto), F.lit(0.0)).alias(f"{c}_before") for c in ("cm", "bp")])
+    first = sizes.select(F.col("site").alias("start"), F.col("cm_before").alias("cm_from"), F.col("bp_before").alias("bp_from"))
+    last = sizes.select((F.col("site") + 1).alias("end"), (F.col("cm_before") + F.col("cm")).alias("cm_to"), (F.col("bp_before") + F.col("bp")).alias("bp_to"))
+    starts = coordinates.starts_in_bp(sites).withColumnRenamed("site", "start")
+    each = found.select("target", "seg_idx", "start", "end", "ref", F.explode(F.sequence(F.floor(F.col("start") / BLOCK).cast("int"), F.floor((F.col("end") - 1) / BLOCK).cast("int"))).alias("block"))
+    own = whole_keys(targets).select("block", F.col("hap").alias("target"), F.col("key").alias("own"))
+    rows = each.join(own, ["block", "target"]).join(panel.keys.select("block", F.col("hap").alias("ref"), "key"), ["block", "ref"])
+    low, high = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0)), F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK))
+    rows = rows.withColumns({"low": low.cast("int"), "high": high.cast("int"), "x": F.col("own").bitwiseXOR(F.col("key"))})
+    inside = F.expr("x & (shiftleft(1L, high) - shiftleft(1L, low))")
+    hets = rows.groupBy("target", "seg_idx").agg(F.sum(F.bit_count(inside)).alias("hets"))
+    dated_rows = found.join(hets, ["target", "seg_idx"]).join(first, "start").join(last, "end").join(starts, "start")
+    age = dating.date_segment(F.col("hets"), F.col("cm_to") - F.col("cm_from"), F.col("bp_to") - F.col("bp_from"), rate, demography)
+    return dated_rows.select("target", "seg_idx", "start", "end", "start_bp", "ref", "hets", age.alias("age"))
+
+
 PAIRS = "ind int, kind int, node long, prev long, side int, start int, end int, ref int, low int, high int, start2 int, low2 int, high2 int, score long"
 _STATE = ("low", "high", "start", "low2", "high2", "start2", "node", "score")
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 BLOCK = 32
 NEIGHBOURS = "site int, hap int, cand int"
 
@@ -50,29 +52,56 @@ def prefix_ranks(genotypes: DataFrame, n_sites: int, block: int = BLOCK) -> Data
     return keys.select("site", "hap", "g", (F.row_number().over(Window.partitionBy("site").orderBy(*order)) - 1).cast("int").alias("rnk"))
 
 
-def divergence(ranks: DataFrame, genotypes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """site, hap, above, since: from which site on a haplotype equals its upper neighbour. Within
-    the block the last difference is the highest bit in which the numbers differ; where they do
-    not, the last earlier block in which they differ has it."""
-    keys = block_keys(genotypes, block).select("site", "hap", "block", "key")
-    pairs = ranks.select("site", "hap", F.lag("hap").over(Window.partitionBy("site").orderBy("rnk")).alias("above"))
-    pairs = pairs.join(keys, ["site", "hap"]).join(keys.select("site", F.col("hap").alias("above"), F.col("key").alias("above_key")), ["site", "above"], "left")
-    last_bit = F.floor(F.log2(F.col("differ").cast("double"))) + 1
-    pairs = pairs.withColumn("differ", F.col("key").bitwiseXOR(F.col("above_key")))
-    ends = keys.groupBy("hap", "block").agg(F.max("key").alias("key"))
-    wanted = pairs.where("above IS NOT NULL AND differ = 0 AND block > 0").select("hap", "above", "block").distinct()
-    earlier = (
-        wanted.alias("w")
-        .join(ends.select("hap", F.col("block").alias("b"), "key").alias("x"), "hap")
-        .join(ends.select(F.col("hap").alias("above"), F.col("block").alias("b"), F.col("key").alias("above_key")).alias("y"), ["above", "b"])
-        .where("b < block AND key <> above_key")
-        .groupBy("hap", "above", "block")
-        .agg(F.max(F.struct("b", F.col("key").bitwiseXOR(F.col("above_key")).alias("differ"))).alias("last"))
-        .select("hap", "above", "block", (F.col("last.b") * block + F.floor(F.log2(F.col("last.differ").cast("double"))) + 1).alias("since_earlier"))
-    )
-    found = pairs.join(earlier, ["hap", "above", "block"], "left")
-    since = F.when(F.col("above").isNull(), F.col("site") + 1).when(F.col("differ") != 0, F.col("block") * block + last_bit).otherwise(F.coalesce("since_earlier", F.lit(0)))
-    return found.select("site", "hap", "above", since.cast("int").alias("since"))
+def whole_keys(genotypes: DataFrame) -> DataFrame:
+    """block, hap, key: all alleles of a block as one number."""
+    bit = F.expr(f"shiftleft(cast(g AS bigint), site % {BLOCK})")
+    return genotypes.groupBy(F.floor(F.col("site") / BLOCK).cast("int").alias("block"), "hap").agg(F.sum(bit).alias("key"))
+
+
+def level_ranks(keys: DataFrame, n_blocks: int) -> dict[int, DataFrame]:
+    """For 1, 2, 4, ... blocks: block, hap, rank, where equal ranks mean equal alleles over so many blocks."""
+    w = Window.partitionBy("block")
+    out = {1: cut(keys.select("block", "hap", F.dense_rank().over(w.orderBy("key")).alias("rank")))}
+    d = 1
+    while d < n_blocks:
+        earlier = out[d].select((F.col("block") + d).alias("block"), "hap", F.col("rank").alias("before"))
+        both = out[d].join(earlier, ["block", "hap"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        out[2 * d] = cut(both.select("block", "hap", F.dense_rank().over(w.orderBy("rank", "before")).alias("rank")))
+        d *= 2
+    return out
+
+
+def equal_since(pairs: DataFrame, keys: DataFrame, identities: dict[int, DataFrame]) -> DataFrame:
+    """Adds since to (site, hap, above): the first site from which on both are equal up to it."""
+    of = lambda name: keys.select("block", F.col("hap").alias(name), F.col("key").alias(f"{name}_key"))
+    last = lambda bits: F.floor(F.log2(bits.cast("double"))).cast("int") + 1
+    mask = F.expr(f"shiftleft(2L, site % {BLOCK}) - 1")
+    rows = pairs.withColumn("block", F.floor(F.col("site") / BLOCK).cast("int")).join(of("hap"), ["block", "hap"]).join(of("above"), ["block", "above"])
+    rows = rows.withColumn("differ", F.col("hap_key").bitwiseXOR(F.col("above_key")).bitwiseAND(mask)).select("site", "hap", "above", "block", "differ")
+    found = rows.where("differ <> 0").select("site", "hap", "above", (F.col("block") * BLOCK + last(F.col("differ"))).alias("since"))
+    # pairs that are equal in their block: what they share before it does not depend on the site
+    rest = rows.where("differ = 0").select("hap", "above", "block").distinct().withColumn("at", F.col("block") - 1)
+    for d in sorted(identities, reverse=True):
+        ids = identities[d]
+        a = ids.select(F.col("block").alias("at"), "hap", F.col("id").alias("a"))
+        b = ids.select(F.col("block").alias("at"), F.col("hap").alias("above"), F.col("id").alias("b"))
+        rest = rest.join(a, ["at", "hap"], "left").join(b, ["at", "above"], "left")
+        rest = rest.select("hap", "above", "block", F.when(F.col("a") == F.col("b"), F.greatest(F.col("at") - d, F.lit(-1))).otherwise(F.col("at")).alias("at"))
+    at = lambda name: keys.select(F.col("block").alias("at"), F.col("hap").alias(name), F.col("key").alias(f"{name}_key"))
+    rest = rest.join(at("hap"), ["at", "hap"], "left").join(at("above"), ["at", "above"], "left")
+    before = F.col("at") * BLOCK + last(F.col("hap_key").bitwiseXOR(F.col("above_key")))
+    rest = rest.select("hap", "above", "block", F.when(F.col("at") < 0, 0).otherwise(before).alias("since"))
+    equal = rows.where("differ = 0").join(rest, ["hap", "above", "block"]).select("site", "hap", "above", "since")
+    return found.unionByName(equal).select("site", "hap", "above", F.col("since").cast("int").alias("since"))
+
+
+def divergence(ranks: DataFrame, keys: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+    """site, hap, above, since: from which site on a haplotype equals its upper neighbour. keys and
+    levels: those of `whole_keys` and `level_ranks`."""
+    pairs = cut(ranks.select("site", "hap", F.lag("hap").over(Window.partitionBy("site").orderBy("rnk")).alias("above")))
+    found = equal_since(pairs.where("above IS NOT NULL"), keys, {d: r.select("block", "hap", F.col("rank").alias("id")) for d, r in levels.items()})
+    first = pairs.where("above IS NULL").select("site", "hap", F.lit(None).cast("int").alias("above"), (F.col("site") + 1).cast("int").alias("since"))
+    return found.unionByName(first)
 
 
 def buckets(sites: DataFrame, interval: float, with_first: bool) -> DataFrame:

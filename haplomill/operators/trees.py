@@ -1,15 +1,15 @@
 """Trees at single sites: times to common ancestors, allele ages, and branches of variants.
 
 At a site each haplotype but the first has an edge to its target, of the height at which they meet;
-two haplotypes meet at the largest height on their path. A site's tree is a row for each
-haplotype, so sites go to tasks and a task takes one site at a time.
+two haplotypes meet at the largest height on their path. Trees are walked by joins on (site,
+haplotype), pointers doubling; only distances of phases take a site a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -29,25 +29,6 @@ def meeting_times(target: np.ndarray, height: np.ndarray, start: int) -> np.ndar
     return out
 
 
-def allele_age(target: np.ndarray, height: np.ndarray, carrier: np.ndarray) -> float:
-    """The time that best separates carriers from others, seen from the longest chains of carriers."""
-    chain = np.zeros(len(carrier), np.int64)
-    for i in np.flatnonzero(carrier).tolist():
-        chain[i] = 1 if i == 0 else chain[target[i]] + 1
-    best, age = 0, 0.0
-    for start in np.flatnonzero(chain == chain.max()).tolist():
-        met = meeting_times(target, height, start)
-        bins = np.unique(met)
-        inside = np.searchsorted(np.sort(met[carrier > 0]), bins, side="right")
-        outside = (carrier == 0).sum() - np.searchsorted(np.sort(met[carrier == 0]), bins, side="right")
-        score = inside + outside
-        k = int(score.argmax())
-        if score[k] > best:
-            best = int(score[k])
-            age = float(bins[k] + 1) if k == len(bins) - 1 else float((bins[k] + bins[k + 1]) / 2)
-    return age
-
-
 def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     frame = frame.sort_values("hap", ignore_index=True)
     return frame["target"].fillna(-1).to_numpy(np.int64), frame["tmrca"].fillna(0.0).to_numpy(float), frame["g"].to_numpy(np.int64)
@@ -58,22 +39,67 @@ def states(genotypes: DataFrame, at_sites: DataFrame) -> DataFrame:
     return genotypes.join(at_sites, ["site", "hap"], "left")
 
 
-def allele_ages(state: DataFrame) -> DataFrame:
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"site": [frame["site"].iloc[0]], "age": [allele_age(*_arrays(frame))]})
+def _up(state: DataFrame) -> DataFrame:
+    """site, hap, next, way: each haplotype's target and the height at which they meet."""
+    return cut(state.where("target IS NOT NULL").select("site", "hap", F.col("target").alias("next"), F.col("tmrca").cast("double").alias("way")))
+
+
+def ways_up(up: DataFrame, starts: DataFrame) -> DataFrame:
+    """site, start, at, met: each start (site, start), all above it, and the heights at which they meet:
+    the largest on the way. Ways twice as long each time."""
+    found = cut(starts.select("site", "start", F.col("start").alias("at"), F.lit(0.0).alias("met")))
+    while not up.isEmpty():
+        step = up.select("site", F.col("hap").alias("at"), "next", "way")
+        more = found.join(step, ["site", "at"]).select("site", "start", F.col("next").alias("at"), F.greatest("met", "way").alias("met"))
+        found = cut(found.unionByName(more))
+        on = up.select("site", F.col("hap").alias("next"), F.col("next").alias("far"), F.col("way").alias("further"))
+        up = cut(up.join(on, ["site", "next"]).select("site", "hap", F.col("far").alias("next"), F.greatest("way", "further").alias("way")))
+    return found
+
+
+def meetings(state: DataFrame, starts: DataFrame) -> DataFrame:
+    """site, start, hap, met of all haplotypes with each start. What is not above the start leads up to
+    something that is; pointers double until they reach what is known."""
+    up = _up(state)
+    known = ways_up(up, starts).withColumnRenamed("at", "hap")
+    rest = cut(starts.join(up, "site").join(known, ["site", "start", "hap"], "left_anti").select("site", "start", "hap", "next", "way"))
+    out = known
+    while not rest.isEmpty():
+        ends = known.select("site", "start", F.col("hap").alias("next"), "met")
+        seen = cut(rest.join(ends, ["site", "start", "next"], "left"))
+        known = seen.where("met IS NOT NULL").select("site", "start", "hap", F.greatest("way", "met").alias("met"))
+        out = out.unionByName(known)
+        left = seen.where("met IS NULL").drop("met")
+        # a pointer's end that is known by now will be found among `known` next time
+        on = left.select("site", "start", F.col("hap").alias("next"), F.col("next").alias("far"), F.col("way").alias("further"))
+        rest = cut(left.join(on, ["site", "start", "next"], "left").select("site", "start", "hap", F.coalesce("far", "next").alias("next"), F.greatest("way", "further").alias("way")))
+        known = out
+    return out.select("site", "start", "hap", "met")
 
-    return state.groupBy("site").applyInPandas(one, "site int, age double")
+
+def allele_ages(state: DataFrame) -> DataFrame:
+    """site, age: the time that best separates carriers from others, seen from the longest chains of
+    carriers (from the first haplotype where there are none); of equally good ones the first by
+    haplotype, then by time. Half-way to the next meeting, or one more than the last."""
+    reached, _ = _climbed(state)
+    chains = reached.groupBy("site", "hap").agg(F.count("*").alias("length"))
+    longest = chains.withColumn("most", F.max("length").over(Window.partitionBy("site"))).where("length = most").select("site", F.col("hap").alias("start"))
+    none = state.select("site").distinct().join(longest, "site", "left_anti").withColumn("start", F.lit(0))
+    starts = cut(longest.unionByName(none))
+    met = meetings(state, starts).join(state.select("site", "hap", "g"), ["site", "hap"])
+    bins = met.groupBy("site", "start", "met").agg(F.sum("g").alias("c"), F.sum(1 - F.col("g")).alias("o"))
+    w = Window.partitionBy("site", "start")
+    upto = w.orderBy("met")
+    score = F.sum("c").over(upto) + F.sum("o").over(w) - F.sum("o").over(upto)
+    scored = bins.select("site", "start", "met", score.alias("score"), F.lead("met").over(upto).alias("next"))
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "start", "met"))).where("place = 1")
+    return best.select("site", F.coalesce((F.col("met") + F.col("next")) / 2, F.col("met") + 1).alias("age"))
 
 
 def tmrca_to(state: DataFrame, start: int) -> DataFrame:
     """site, hap, tmrca with one haplotype."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        target, height, _ = _arrays(frame)
-        met = meeting_times(target, height, start)
-        return pd.DataFrame({"site": frame["site"].iloc[0], "hap": np.arange(len(met), dtype="int32"), "tmrca": met})
-
-    return state.groupBy("site").applyInPandas(one, "site int, hap int, tmrca double")
+    starts = state.select("site").distinct().withColumn("start", F.lit(start))
+    return meetings(state, starts).select("site", "hap", F.col("met").alias("tmrca"))
 
 
 def _climbed(state: DataFrame) -> tuple[DataFrame, DataFrame]:

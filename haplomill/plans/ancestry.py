@@ -238,6 +238,19 @@ def run_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestry.breaks(rows, "user_id", "event_id", "event_type")
 
 
+@query(
+    sql(
+        """SELECT n_sites, attempted, mac_le_4, mapped, mapped_once, round(100.0::DOUBLE * mapped / attempted, 3) AS mapped_pct, round(100.0::DOUBLE * mapped_once / attempted, 3) AS mapped_once_pct FROM
+(SELECT count(*) AS n_sites, count(*) FILTER (maf <= 0.3 AND maf > 0) AS attempted, count(*) FILTER (maf <= 0.3 AND maf > 0 AND mac <= 4) AS mac_le_4, count(c.n) AS mapped, count(*) FILTER (c.n = 1) AS mapped_once
+FROM freq f LEFT JOIN (SELECT site, count(*) AS n FROM rareclade GROUP BY site) c USING (site))""",
+        "freq", "rareclade",
+    )
+)
+def mapping_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freq = frequencies.with_frequencies(frequencies.site_counts(fixtures.genotypes(spark, sf_dir)))
+    return frequencies.mapping_counters(freq, 0.3, mutation_mapping(spark, sf_dir))
+
+
 # branches by haplotype, from the mapping strings of the rare variants
 define("parsed", """SELECT site, flipped, hap, lower, upper, n = 1 AS is_unique FROM (SELECT DISTINCT site, flipped FROM rareg) JOIN
   (SELECT c.site, unnest(CASE WHEN n = 1 THEN [-1] ELSE haps END) AS hap, lower, upper, n FROM rareclade c JOIN (SELECT site, count(*) AS n FROM rareclade GROUP BY site) k ON k.site = c.site) USING (site)""", "rareclade")

@@ -47,11 +47,6 @@ def maf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(frequencies.rare(_freq(spark, sf_dir), 0.3))
 
 
-@query(sql("SELECT count(*) AS n_sites, count(*) FILTER (maf <= 0.3 AND maf > 0) AS attempted, count(*) FILTER (maf <= 0.3 AND maf > 0 AND mac <= 4) AS mac_le_4 FROM freq", "freq"))
-def mapping_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies.mapping_counters(_freq(spark, sf_dir), 0.3)
-
-
 @query(sql("SELECT site, hap, CASE WHEN af > 0.5 THEN 1 - g ELSE g END AS carrier FROM geno JOIN freq USING (site)", "freq"))
 def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carriers of the rarer allele."""

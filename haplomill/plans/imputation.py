@@ -154,7 +154,7 @@ def _imputed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     """Doses, the posteriors at all sites that they come from, and the panel."""
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
     sites = fixtures.sites(spark, sf_dir)
-    found = imputation.sparsify(models._posteriors(spark, sf_dir), n)
+    found = models._posteriors(spark, sf_dir, sparse=True)
     spread = cut(imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0"))))
     panel = fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n)
     return imputation.dosages(spread, panel), spread, panel

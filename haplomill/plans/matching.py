@@ -181,7 +181,9 @@ GROUP BY p.site, p.hap, p.above""",
 )
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     geno = fixtures.genotypes(spark, sf_dir)
-    return pbwt.divergence(pbwt.prefix_ranks(geno, _n_sites(spark, sf_dir)), geno)
+    n_sites = _n_sites(spark, sf_dir)
+    keys = cut(pbwt.whole_keys(geno))
+    return pbwt.divergence(pbwt.prefix_ranks(geno, n_sites), keys, pbwt.level_ranks(keys, -(-n_sites // pbwt.BLOCK)))
 
 
 PAIRS = "(SELECT CAST(vec_id AS INT) AS hap, CAST(vec_id * 7 % (SELECT count(*) FROM embeddings) AS INT) AS other FROM embeddings)"

@@ -9,7 +9,7 @@ from ..functions.lineage import cut
 from ..operators import panel, panel_path
 from ..sources import fixtures
 from . import matching
-from .dating import DEMO, MU, _gen
+from .dating import _Q, DEMO, MU, _gen
 from .registry import query
 from .sql import CTE, define, sql
 
@@ -149,6 +149,29 @@ def imputation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("weight", F.round("weight", 9))
 
 
+define("bpsize", CTE["cmsize"].partition(" AS (")[2][:-1].replace("(cm)", "(pos)").replace("cm", "pos").replace("FROM coords", "FROM sites"), "sites")
+define("pedge", "SELECT site, CAST(ceil(coalesce((pos + lead(pos) OVER (ORDER BY site)) / 2, pos)) AS INT) AS start_bp FROM sites", "sites")
+define("phets", """SELECT p.target, p.seg_idx, count(*) FILTER (a.g <> b.g) AS m FROM ppath p JOIN geno a ON a.hap = p.target AND a.site >= p.start AND a.site < p."end" JOIN geno b ON b.hap = p.ref AND b.site = a.site GROUP BY ALL""", "ppath", "geno")
+_MASS = lambda n: f"({_Q.format(x='r * t', n=n)} - CASE WHEN next_t IS NULL THEN 0 ELSE {_Q.format(x='r * coalesce(next_t, 0)', n=n)} END)"
+
+
+@query(
+    sql(
+        f"""SELECT target, seg_idx, e.start_bp, ref, m AS hets, round(CASE WHEN m > 15 THEN (m + 2) / (1 / {DEMO.expected_time}::DOUBLE + 0.02 * cm + 2 * {MU}::DOUBLE * bp) ELSE age END, 3) AS age FROM (
+SELECT target, seg_idx, start, ref, any_value(m) AS m, any_value(cm) AS cm, any_value(bp) AS bp, sum(prior * (mm + 2) / pow(r, 3) * {_MASS('mm + 3')}) / sum(prior / pow(r, 2) * {_MASS('mm + 2')}) AS age FROM (
+  SELECT x.*, least(m, 15) AS mm, t, next_t, 1 / ne + 0.02 * cm + 2 * {MU}::DOUBLE * bp AS r, (1 / ne) * exp(t / ne - std) * pow(2 * {MU}::DOUBLE * bp / (1 / ne + 0.02 * cm + 2 * {MU}::DOUBLE * bp), least(m, 15)) AS prior FROM
+    (SELECT p.target, p.seg_idx, p.start, p.ref, h.m, sum(c.size) AS cm, sum(b.size) AS bp FROM ppath p JOIN phets h ON h.target = p.target AND h.seg_idx = p.seg_idx JOIN cmsize c ON c.site >= p.start AND c.site < p."end" JOIN bpsize b ON b.site = c.site GROUP BY ALL) x, epochs)
+  GROUP BY target, seg_idx, start, ref) JOIN pedge e ON e.site = start""",
+        "ppath", "phets", "cmsize", "bpsize", "pedge", "epochs",
+    )
+)
+def panel_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mosaics of newcomers with mismatches and ages."""
+    p, targets, found = _paths(spark, sf_dir)
+    rows = panel_path.threads(p, targets, found, fixtures.sites_cm(spark, sf_dir), DEMO, MU)
+    return rows.select("target", "seg_idx", "start_bp", "ref", "hets", F.round("age", 3).alias("age"))
+
+
 def typed_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The references closest to the targets by the typed sites, on their mosaics; sites are typed ones."""
     n = _count(spark, sf_dir) - N

@@ -352,3 +352,22 @@ def test_what_a_front_hands_over_is_bounded():
     rows = front.rows(99, False)
     assert len(front.nodes) > 1000 and (rows["kind"] == copying.FRONT).sum() == n
     assert (rows["kind"] == copying.NODE).sum() < 200
+
+
+def test_meetings_over_deep_trees(spark):
+    """Doubling pointers against walking, on chains, bushes and in between; ages where nobody carries."""
+    draw = np.random.default_rng(12)
+    rows, want, ages = [], [], {}
+    for site in range(6):
+        n = 40
+        target = np.array([-1] + [max(0, i - 1) if site == 0 else 0 if site == 1 else int(draw.integers(max(0, i - 5), i)) for i in range(1, n)])
+        height = np.append(0.0, draw.permutation(n - 1) + 1.0)
+        rows += [(site, i, 0, int(target[i]) if i else None, float(height[i]) if i else None) for i in range(n)]
+        for start in (0, 7, 39):
+            want += [(site, start, i, m) for i, m in enumerate(trees.meeting_times(target, height, start))]
+        first = np.sort(trees.meeting_times(target, height, 0))
+        ages[site] = (first[0] + first[1]) / 2
+    state = spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")
+    starts = spark.createDataFrame([(s, h) for s in range(6) for h in (0, 7, 39)], "site int, start int")
+    assert sorted(tuple(r) for r in trees.meetings(state, starts).collect()) == sorted(want)
+    assert {r["site"]: r["age"] for r in trees.allele_ages(state).collect()} == ages
