@@ -3,18 +3,20 @@
 Every norm is a band of its own with its own scale: vectors and queries are hashed at length 1, so
 that the chance to meet depends on their angle alone, whatever other lengths the table holds, and
 all bands share the probes of a query. The nearest of one norm in Euclidean distance has the largest
-inner product; across norms a long vector may win at a wide angle, so the `LONGEST` vectors are
-compared with every query exactly. A table hashes a vector by some random projections, each cut into
+inner product; across norms a long vector may win at a wide angle, so the `LONGEST` vectors among
+those that exceed the median length by `LONGER` are compared with every query exactly; where all are
+of one length there are none. A table hashes a vector by some random projections, each cut into
 cells of `WIDTH`; the more rows, the more projections, so that buckets stay small. A query visits its
 own bucket and those that moving some projections by a cell reaches, in the order of their estimated
 success: the sum of squared distances to the cell borders crossed. All rows are in every table;
-candidates of all tables are reranked by exact inner products. A table of at most `LONGEST` rows is
-compared exactly as a whole, and so are with all rows the queries that meet no more than `k` rows in
-any group of buckets.
+candidates of all tables are reranked by exact inner products. Only a table of no more
+than `k` rows is compared as a whole; queries that meet no more than `k` rows in any group of buckets
+are compared with all rows.
 
 How many buckets a query visits is measured, not guessed: `SAMPLE` queries, drawn by a hash of their
 id, are compared with all rows, and the fewest probes that bring `RECALL` of their true neighbours
-are used for all queries. Where `MOST_PROBES` don't, the tables get fewer projections. The more rows
+are used for all queries. Where `MOST_PROBES` don't, the tables get fewer projections, and
+where the fewest don't, hashing tells nothing apart and all rows are compared. The more rows
 there are, the nearer the neighbours and the smaller the share of the rows that so many probes visit.
 Isotropic vectors have no near neighbours to speak of (the 20th is hardly nearer than the 200th):
 with these about half of 51,000 rows are visited, fewer with structure.
@@ -59,7 +61,7 @@ GROUP_ROWS = 16_384
 QUERY_ROWS = 4_096  # queries of a task that compares exactly
 TOGETHER = 128  # queries multiplied at once
 HELD = 200_000  # scores that a task holds before it keeps the best
-LONGEST = 2_048
+LONGEST, LONGER = 2_048, 1.01
 SEED = 77
 FOUND = "query_id long, vec_id long, score double"
 
@@ -211,17 +213,18 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_c
     # written with the rows: a sort would compute it for each comparison
     data = materialize(rows.dropDuplicates(["vec_id", "v"]).withColumn("norm2", norm2), "vectors")
     queries = materialize(data.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    head = materialize(data.orderBy(F.desc("norm2"), "vec_id", "v").limit(longest).select("vec_id", "v"), "longest")
-    found = scan_all(head, queries, k)
     n = data.count()
-    if n <= longest:
-        return ranked(found, k)
+    if n <= k:
+        return ranked(scan_all(data, queries, k), k)
+    middle = data.agg(F.percentile_approx("norm2", 0.5)).first()[0]
+    head = data.where(F.col("norm2") > middle * LONGER**2).orderBy(F.desc("norm2"), "vec_id", "v").limit(longest)
+    found = scan_all(materialize(head.select("vec_id", "v"), "longest"), queries, k)
     functions = functions_for(n)
     while n_probes is None:
         n_probes = fitted(data, queries, k, Hashes(d, tables, functions, width), recall, sample)
         if n_probes is None:
             if functions <= LEAST_FUNCTIONS:  # nothing to tell the rows apart by
-                n_probes = MOST_PROBES
+                return ranked(scan_all(data, queries, k), k)
             functions = max(functions - 2, LEAST_FUNCTIONS)
     groups = -(-n // GROUP_ROWS)
     index = data.select("vec_id", "v").mapInArrow(tidy(hashed(False, functions, groups, range(tables))), f"grp long, vec_id long, key long, v {kind}")
@@ -324,7 +327,7 @@ def search(index: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> t
 
     def scan(rows: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(visits):
-            return pd.DataFrame(columns=list(NONE_FOUND)).astype(NONE_FOUND)
+            return pd.DataFrame(columns=[*NONE_FOUND, "marks"]).astype({**NONE_FOUND, "marks": "bool"})
         rows = rows.sort_values("key", kind="stable")
         keys, starts = np.unique(rows["key"].to_numpy(), return_index=True)
         ends = np.append(starts[1:], len(rows))
@@ -342,12 +345,12 @@ def search(index: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> t
             for at in range(low[b], high[b], 16 * TOGETHER):
                 for first in range(starts[b], ends[b], BLOCK):
                     best.add(asked[at : min(at + 16 * TOGETHER, high[b])], first, min(first + BLOCK, ends[b]))
-        # a row without score says that a query met more than k
-        return pd.concat([best.rows(), pd.DataFrame({"query_id": queries[met > k], "vec_id": -1, "score": np.nan})])
+        # beside what is found, the queries that met more than k
+        return pd.concat([best.rows().assign(marks=False), pd.DataFrame({"query_id": queries[met > k], "vec_id": -1, "score": 0.0, "marks": True})])
 
-    found = rows.groupBy("grp", "block").cogroup(visits.groupBy("grp", "block")).applyInPandas(scan, FOUND)
+    found = rows.groupBy("grp", "block").cogroup(visits.groupBy("grp", "block")).applyInPandas(scan, f"{FOUND}, marks boolean")
     found = materialize(found, "near")
-    return found.where("score IS NOT NULL"), found.where("score IS NULL").select(F.col("query_id").alias("vec_id")).distinct()
+    return found.where("NOT marks").drop("marks"), found.where("marks").select(F.col("query_id").alias("vec_id")).distinct()
 
 
 def scan_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
