@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.regions import parse_region
@@ -37,13 +37,15 @@ def constant_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE v AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.1), (2, 0.1), (3, 0.100015), (4, 0.2), (5, 0.15), (6, 0.2)) t(site, cm)),
-r AS (SELECT site, cm FROM v WHERE site = 0 UNION ALL SELECT v.site, CASE WHEN v.cm <= r.cm THEN r.cm + 1e-5 ELSE v.cm END FROM r JOIN v ON v.site = r.site + 1)
-SELECT site, round(cm, 9) AS cm FROM r"""
+    """WITH RECURSIVE v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS site, floor(value) / 8 AS cm FROM events),
+r AS (SELECT user_id, site, cm FROM v WHERE site = 0 UNION ALL SELECT v.user_id, v.site, CASE WHEN v.cm <= r.cm THEN r.cm + 1e-5 ELSE v.cm END FROM r JOIN v ON v.user_id = r.user_id AND v.site = r.site + 1)
+SELECT user_id, site, round(cm, 9) AS cm FROM r"""
 )
 def monotone_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, 0.1), (1, 0.1), (2, 0.1), (3, 0.100015), (4, 0.2), (5, 0.15), (6, 0.2)], "site int, cm double")
-    return coordinates.strictly_increasing(rows).select("site", F.round("cm", 9).alias("cm"))
+    """Values of each user's events taken for a chromosome's coordinates, each made to increase."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", place.alias("site"), (F.floor("value") / 8).alias("cm"))
+    return coordinates.strictly_increasing(rows, by="user_id").select("user_id", "site", F.round("cm", 9).alias("cm"))
 
 
 @query(

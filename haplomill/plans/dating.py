@@ -22,15 +22,21 @@ def _gen(t: str) -> str:
     return f"(CASE WHEN {t} < 0.04::DOUBLE THEN {t} * 5000 ELSE 200 + ({t} - 0.04::DOUBLE) * 20000 END)"
 
 
-@query(
-    sql(
-        """SELECT t, ne, round(sum(coalesce((t - bt) / bn, 0)) OVER (ORDER BY t), 9) AS std_t
-FROM (SELECT t, ne, lag(t) OVER (ORDER BY t) AS bt, lag(ne) OVER (ORDER BY t) AS bn FROM epochs)""",
-        "epochs",
-    )
-)
+# a demography of the customers by nation
+define("nsizes", "SELECT 40.0::DOUBLE * n_nationkey AS t, 1000.0::DOUBLE + 10 * count(c_custkey) AS ne FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+define("nepochs", "SELECT t, ne, sum(step) OVER (ORDER BY t) AS std FROM (SELECT t, ne, coalesce((t - lag(t) OVER (ORDER BY t)) / lag(ne) OVER (ORDER BY t), 0) AS step FROM nsizes)", "nsizes")
+
+
+def _by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    counts = nations.join(customers, "n_nationkey", "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("n"))
+    return counts.select((40.0 * F.col("n_nationkey")).alias("t"), (1000.0 + 10 * F.col("n")).alias("ne"))
+
+
+@query(sql("SELECT t, ne, round(std, 9) AS std_t FROM nepochs", "nepochs"))
 def demography_std_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demography.std_times(demography.frame(spark, DEMO)).select("t", "ne", F.round("std_t", 9).alias("std_t"))
+    return demography.std_times(_by_nation(spark, sf_dir)).select("t", "ne", F.round("std_t", 9).alias("std_t"))
 
 
 @query(f"SELECT o_orderkey, round({_gen('o_totalprice / 1000000::DOUBLE')}, 6) AS generations, round({_gen('2.0::DOUBLE / (o_orderkey + 1)')}, 6) AS branch FROM orders")
@@ -94,9 +100,17 @@ def impute_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 define("states", f"SELECT CAST(i AS INT) AS state, {_gen(f'(-ln(1 - (i - 0.5) / {STATES}))')} AS t FROM range(1, {STATES + 1}) r(i)")
 
 
-@query(sql("SELECT state, round(t, 6) AS t FROM states", "states"))
+@query(
+    sql(
+        f"""SELECT state, round(arg_max(e.t + (x - e.std) * e.ne, e.t), 6) AS t FROM (SELECT CAST(i AS INT) AS state, -ln(1 - (i - 0.5) / {STATES}) AS x FROM range(1, {STATES + 1}) r(i)) JOIN nepochs e ON e.std <= x GROUP BY state""",
+        "nepochs",
+    )
+)
 def hmm_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return psmc.state_times(spark, DEMO, STATES).select("state", F.round("t", 6).alias("t"))
+    """Expected times of the model's states under the demography of the nations."""
+    epochs = _by_nation(spark, sf_dir).orderBy("t").collect()  # an epoch a nation
+    found = demography.Demography([r["ne"] for r in epochs], [r["t"] for r in epochs])
+    return psmc.state_times(spark, found, STATES).select("state", F.round("t", 6).alias("t"))
 
 
 @query(
