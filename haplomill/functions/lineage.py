@@ -25,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows by key over all cores: groups whose rows are few but whose work is long are not put
+    together by their size."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, dealt
 
 UNPHASED = -7
 PATHS = "hap int, seg_idx int, site int, target int"
@@ -136,6 +136,7 @@ def infer_paths(genotypes: DataFrame, candidates: DataFrame, group_sites: dict[i
     target, its candidates and `stretch` sites; the states go on to the next stretch as rows."""
     n_sites = len(cm_steps)
     groups = sorted(group_sites.items(), key=lambda x: x[1])
+    candidates = cut(candidates)  # read for each stretch
     # a target's first group of candidates holds from the first site
     if stretch is None:
         most = candidates.groupBy("hap").agg(F.count_distinct("cand").alias("n")).agg(F.max("n")).first()[0]
@@ -159,7 +160,7 @@ def infer_paths(genotypes: DataFrame, candidates: DataFrame, group_sites: dict[i
         if front is not None:
             states = front.where(F.col("kind") == FRONT).select("hap", F.col("sample").alias("cand"), F.lit(None).cast("array<int>").alias("grps"), F.lit(None).cast("array<tinyint>").alias("alleles"), *none)
             rows = rows.unionByName(states)
-        front = cut(rows.groupBy("hap").applyInPandas(_stretch(low, high, n_sites, groups, cm_steps, bp_sizes, branch_lengths, rate, sparse), HANDED))
+        front = cut(dealt(rows, "hap").groupBy("hap").applyInPandas(_stretch(low, high, n_sites, groups, cm_steps, bp_sizes, branch_lengths, rate, sparse), HANDED))
         found = front.where(F.col("kind") == NODE)
         nodes = found if nodes is None else nodes.unionByName(found)
     ends = front.where(F.col("kind") == FRONT)
@@ -170,7 +171,7 @@ def infer_paths(genotypes: DataFrame, candidates: DataFrame, group_sites: dict[i
         path = traced({n: (s, n >> 32, b) for n, s, b in zip(known["node"].tolist(), known["sample"].tolist(), known["before"].tolist(), strict=True)}, at)
         return pd.DataFrame({"hap": frame["hap"].iloc[0], "seg_idx": range(len(path)), "site": [s for s, _ in path], "target": [t for _, t in path]})
 
-    return nodes.unionByName(ends).groupBy("hap").applyInPandas(whole, PATHS)
+    return dealt(nodes.unionByName(ends), "hap").groupBy("hap").applyInPandas(whole, PATHS)
 
 
 def _stretch(low: int, high: int, n_sites: int, groups: list[tuple[int, int]], cm_steps: np.ndarray, bp_sizes: np.ndarray, branch_lengths, rate: float, sparse: bool):
@@ -193,10 +194,12 @@ def _stretch(low: int, high: int, n_sites: int, groups: list[tuple[int, int]], c
             allowed = allowed[1:]
         switch_at = dict(allowed)
         cost = costs(cm_steps[low:high], bp_sizes[low:high], branch_lengths(hap + 1), rate, hap, sparse)
+        columns, rows_of = np.ascontiguousarray(panel.T), np.searchsorted(ids, front.ids)
         for j in range(low, high):
             if j in switch_at:
                 front.change(switch_at[j])
-            front.advance(j, own[j - low], panel[np.searchsorted(ids, front.ids), j - low], *(x[j - low] for x in cost))
+                rows_of = np.searchsorted(ids, front.ids)
+            front.advance(j, own[j - low], columns[j - low][rows_of], *(x[j - low] for x in cost))
         return front.rows(hap, high == n_sites)
 
     return task
@@ -274,4 +277,4 @@ def posteriors(genotypes: DataFrame, sets: DataFrame, switch: np.ndarray, mu: fl
             return pd.DataFrame({"target": frame["target"].iloc[0], "site": numbers[at], "ref": refs[k], "p": (p / total)[at, k]})
         return pd.DataFrame({"target": frame["target"].iloc[0], "site": np.repeat(numbers, len(refs)), "ref": np.tile(refs, len(numbers)), "p": p.ravel()})
 
-    return rows.groupBy("target").applyInPandas(one, "target int, site int, ref int, p double")
+    return dealt(rows, "target").groupBy("target").applyInPandas(one, "target int, site int, ref int, p double")

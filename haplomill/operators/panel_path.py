@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, dealt
 from . import coordinates, dating, penalties
 from .demography import Demography
 from .panel import BLOCK, Panel, whole_keys
@@ -138,7 +138,7 @@ def paths(panel: Panel, targets: DataFrame, costs: DataFrame, tasks: int = 64, s
         mine = alleles.select("task", "target", "site", "g", *[F.lit(None).cast("long").alias(c) for c in ("kind", "start", "low", "high", "score")])
         held = front.where(F.col("kind") == FRONT).withColumn("task", of).select("task", "target", F.lit(-1).alias("site"), F.lit(0).alias("g"), *[F.col(c).cast("long").alias(c) for c in ("kind", "start", "low", "high", "score")])
         part = part.select(*[F.col(c).alias(c) for c in part.columns])  # both sides may stem from one table
-        front = cut(part.groupBy("task").cogroup(mine.unionByName(held).groupBy("task")).applyInPandas(_stretch(n), ROWS))
+        front = cut(dealt(part, "task").groupBy("task").cogroup(dealt(mine.unionByName(held), "task").groupBy("task")).applyInPandas(_stretch(n), ROWS))
         every.append(front.where(F.col("kind") == SWITCH))
     switches = every[0]
     for x in every[1:]:
@@ -382,7 +382,7 @@ def pair_paths(panel: Panel, doses: DataFrame, costs: DataFrame, tasks: int = 64
         part = part.select(*[F.col(c).alias(c) for c in part.columns])
         mine = own.where(here).select("task", "ind", "site", "g", *[F.lit(None).cast("long").alias(c) for c in _STATE])
         held = front.where(F.col("kind") == FRONT).withColumn("task", of).select("task", "ind", F.lit(-1).alias("site"), F.lit(0).alias("g"), *[F.col(c).cast("long").alias(c) for c in _STATE])
-        front = cut(part.groupBy("task").cogroup(mine.unionByName(held).groupBy("task")).applyInPandas(_pair_stretch(n), PAIRS))
+        front = cut(dealt(part, "task").groupBy("task").cogroup(dealt(mine.unionByName(held), "task").groupBy("task")).applyInPandas(_pair_stretch(n), PAIRS))
         found = front.where(F.col("kind") == SWITCH)
         every = found if every is None else every.unionByName(found)
     ends = front.where(F.col("kind") == FRONT)

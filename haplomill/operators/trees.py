@@ -2,7 +2,8 @@
 
 At a site each haplotype but the first has an edge to its target, of the height at which they meet;
 two haplotypes meet at the largest height on their path. Trees are walked by joins on (site,
-haplotype), pointers doubling; only distances of phases take a site a task.
+haplotype), pointers doubling; where many starts a site are met with all haplotypes, a site is a
+task's work, and pointers double in arrays.
 """
 
 from __future__ import annotations
@@ -15,18 +16,56 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 
-def meeting_times(target: np.ndarray, height: np.ndarray, start: int) -> np.ndarray:
-    """Height at which each haplotype meets `start`; target[0] is not read."""
-    out = np.full(len(target), -1.0)
-    out[start] = largest = 0.0
-    at = start
-    while at > 0:
-        largest = max(largest, float(height[at]))
-        at = int(target[at])
-        out[at] = largest
-    for i in np.flatnonzero(out < 0).tolist():
-        out[i] = max(out[target[i]], height[i])
-    return out
+HEADS = 128  # starts met at once, a column each
+
+
+def meeting_times(target: np.ndarray, height: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """haplotypes x starts: heights at which they meet; target[0] is not read. Ways up from the starts
+    are walked for all starts at once; others reach these by pointers that double."""
+    n, columns = len(target), np.arange(len(starts))
+    met, pointer = np.full((n, len(starts)), -1.0), np.empty((n, len(starts)), np.int64)
+    at, largest, open_ = np.array(starts, np.int64), np.zeros(len(starts)), columns
+    while len(open_):
+        met[at[open_], open_] = largest[open_]
+        open_ = open_[at[open_] > 0]
+        largest[open_] = np.maximum(largest[open_], height[at[open_]])
+        at[open_] = target[at[open_]]
+    known = met >= 0
+    pointer[:] = np.where(known, np.arange(n)[:, None], np.asarray(target, np.int64)[:, None])
+    met = np.where(known, met, np.asarray(height, float)[:, None])
+    while True:
+        beyond = np.take_along_axis(met, pointer, axis=0)
+        met = np.maximum(met, beyond)
+        further = np.take_along_axis(pointer, pointer, axis=0)
+        if (further == pointer).all():
+            return met
+        pointer = further
+
+
+def allele_age(target: np.ndarray, height: np.ndarray, carrier: np.ndarray) -> float:
+    """The time that best separates carriers from others, seen from the longest chains of carriers (from
+    the first haplotype where there are none); of equally good ones the first by haplotype, then by
+    time. Half-way to the next meeting, or one more than the last."""
+    n = len(carrier)
+    chain, pointer = (carrier > 0).astype(np.int64), np.where(np.asarray(target) >= 0, target, 0).astype(np.int64)
+    going = (carrier > 0) & (np.arange(n) > 0)  # a chain goes on above its haplotype
+    while going.any():
+        more, further, on = chain[pointer], pointer[pointer], going[pointer] & (carrier[pointer] > 0)
+        chain, pointer, going = np.where(going, chain + more, chain), np.where(going, further, pointer), going & on
+    starts = np.flatnonzero(chain == chain.max()) if chain.max() else np.array([0])
+    best, age = -1, 0.0
+    for k in range(0, len(starts), HEADS):
+        met = meeting_times(target, height, starts[k : k + HEADS])
+        order = np.argsort(met, axis=0, kind="stable")
+        met, held = np.take_along_axis(met, order, axis=0), np.cumsum(carrier[order] > 0, axis=0)
+        score = held + (n - (carrier > 0).sum()) - (np.arange(1, n + 1)[:, None] - held)
+        score[:-1][met[:-1] == met[1:]] = -1  # a bin ends with its last member
+        column = int(score.max(axis=0).argmax())
+        row = int(score[:, column].argmax())
+        if score[row, column] > best:
+            best, here = int(score[row, column]), met[row, column]
+            age = float(here + 1) if row == n - 1 else float((here + met[row + 1, column]) / 2)
+    return age
 
 
 def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,22 +117,12 @@ def meetings(state: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def allele_ages(state: DataFrame) -> DataFrame:
-    """site, age: the time that best separates carriers from others, seen from the longest chains of
-    carriers (from the first haplotype where there are none); of equally good ones the first by
-    haplotype, then by time. Half-way to the next meeting, or one more than the last."""
-    reached, _ = _climbed(state)
-    chains = reached.groupBy("site", "hap").agg(F.count("*").alias("length"))
-    longest = chains.withColumn("most", F.max("length").over(Window.partitionBy("site"))).where("length = most").select("site", F.col("hap").alias("start"))
-    none = state.select("site").distinct().join(longest, "site", "left_anti").withColumn("start", F.lit(0))
-    starts = cut(longest.unionByName(none))
-    met = meetings(state, starts).join(state.select("site", "hap", "g"), ["site", "hap"])
-    bins = met.groupBy("site", "start", "met").agg(F.sum("g").alias("c"), F.sum(1 - F.col("g")).alias("o"))
-    w = Window.partitionBy("site", "start")
-    upto = w.orderBy("met")
-    score = F.sum("c").over(upto) + F.sum("o").over(w) - F.sum("o").over(upto)
-    scored = bins.select("site", "start", "met", score.alias("score"), F.lead("met").over(upto).alias("next"))
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "start", "met"))).where("place = 1")
-    return best.select("site", F.coalesce((F.col("met") + F.col("next")) / 2, F.col("met") + 1).alias("age"))
+    """site, age. Many starts a site would be as many rows a haplotype, so a site is a task's work."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"site": [frame["site"].iloc[0]], "age": [allele_age(*_arrays(frame))]})
+
+    return state.groupBy("site").applyInPandas(one, "site int, age double")
 
 
 def tmrca_to(state: DataFrame, start: int) -> DataFrame:
@@ -171,16 +200,19 @@ def phase_distances(state: DataFrame) -> DataFrame:
         target, height, g = _arrays(frame)
         dose = g[: len(g) // 2 * 2].reshape(-1, 2).sum(axis=1)
         het, hom = np.flatnonzero(dose == 1), np.flatnonzero(dose == 2)
-        out = []
-        for ind in het.tolist():
-            distance = []
-            for hap in (2 * ind, 2 * ind + 1):
-                met = meeting_times(target, height, hap)
-                if len(het) + 2 * len(hom) == 1:
-                    distance.append(-float(np.delete(met, hap).min()))
-                else:
-                    distance.append(float(np.minimum(met[2 * het], met[2 * het + 1]).sum() + met[2 * hom].sum() + met[2 * hom + 1].sum()))
-            out.append((ind, *distance, "1|0" if distance[0] <= distance[1] else "0|1"))
+        distance = np.empty((len(het), 2))
+        alone = len(het) + 2 * len(hom) == 1
+        for k in range(0, len(het), HEADS // 2):
+            some = het[k : k + HEADS // 2]
+            starts = np.stack([2 * some, 2 * some + 1], axis=1).ravel()
+            met = meeting_times(target, height, starts)
+            if alone:  # the branch above, the longer one first
+                met[starts, np.arange(len(starts))] = np.inf
+                found = -met.min(axis=0)
+            else:
+                found = np.minimum(met[2 * het], met[2 * het + 1]).sum(axis=0) + met[2 * hom].sum(axis=0) + met[2 * hom + 1].sum(axis=0)
+            distance[k : k + HEADS // 2] = found.reshape(-1, 2)
+        out = [(ind, a, b, "1|0" if a <= b else "0|1") for ind, (a, b) in zip(het.tolist(), distance.tolist(), strict=True)]
         rows = pd.DataFrame(out, columns=["ind", "d0", "d1", "phase"])
         rows.insert(0, "site", frame["site"].iloc[0])
         return rows.astype({"ind": "int32"})

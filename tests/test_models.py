@@ -187,9 +187,21 @@ def test_prefix_order_over_many_blocks(spark):
         assert [got[s, h] for h in order] == list(range(37))
 
 
+def walked(target, height, start):
+    """Heights at which each haplotype meets the start, way by way."""
+    out, at, largest = {start: 0.0}, start, 0.0
+    while at > 0:
+        largest, at = max(largest, float(height[at])), int(target[at])
+        out[at] = largest
+    for i in range(len(target)):
+        if i not in out:
+            out[i] = max(out[int(target[i])], float(height[i]))
+    return [out[i] for i in range(len(target))]
+
+
 def brute_clades(target, height, carrier):
     n = len(target)
-    met = np.array([trees.meeting_times(target, height, i) for i in range(n)])
+    met = trees.meeting_times(target, height, np.arange(n)).T
     best = {}
     for i in np.flatnonzero(carrier):
         for t in sorted({0.0, *met[i]}, reverse=True):
@@ -209,8 +221,10 @@ def test_branches_and_meeting_times(spark):
         target = np.array([-1] + [int(draw.integers(0, i)) for i in range(1, n)])
         height = np.append(0.0, draw.permutation(n - 1) + 1.0)
         carrier = draw.integers(0, 2, n) if site else np.ones(n, int)
-        met = np.array([trees.meeting_times(target, height, i) for i in range(n)])
+        met = trees.meeting_times(target, height, np.arange(n))
         assert (met == met.T).all()
+        for i in range(n):
+            assert met[:, i].tolist() == walked(target, height, i)
         rows += [(site, i, int(carrier[i]), int(target[i]) if i else None, float(height[i]) if i else None) for i in range(n)]
         want += [(site, *c) for c in brute_clades(target, height, carrier)]
     state = spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")
@@ -364,8 +378,8 @@ def test_meetings_over_deep_trees(spark):
         height = np.append(0.0, draw.permutation(n - 1) + 1.0)
         rows += [(site, i, 0, int(target[i]) if i else None, float(height[i]) if i else None) for i in range(n)]
         for start in (0, 7, 39):
-            want += [(site, start, i, m) for i, m in enumerate(trees.meeting_times(target, height, start))]
-        first = np.sort(trees.meeting_times(target, height, 0))
+            want += [(site, start, i, m) for i, m in enumerate(walked(target, height, start))]
+        first = np.sort(walked(target, height, 0))
         ages[site] = (first[0] + first[1]) / 2
     state = spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")
     starts = spark.createDataFrame([(s, h) for s in range(6) for h in (0, 7, 39)], "site int, start int")
