@@ -199,3 +199,23 @@ def test_probes_come_in_order_of_cost():
     costs = [cost(c) for c in got]
     assert (got[0] == cell).all() and costs == sorted(costs)
     assert len({tuple(c) for c in got}) == len(got)
+
+
+@pytest.mark.parametrize("sf_name", ["sf0.001", "sf0.1"])
+def test_given_tables_go_through_the_buckets(spark, sf, sf_name, monkeypatch):
+    """No size is small enough to be compared as a whole, and recall holds."""
+    searched = []
+    whole = neighbours.search
+    monkeypatch.setattr(neighbours, "search", lambda *a: searched.append(1) or whole(*a))
+    path = sf.replace("sf0.001", sf_name)
+    found = {}
+    for r in neighbours.op4_nearest_neighbours(spark, path).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{path}/embeddings.parquet").collect() if r["embedding"]}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()), float)
+    recall = []
+    for q in [i for i in rows if i % 20 == 0]:
+        scores = np.where(ids == q, -np.inf, x @ np.array(rows[q], float))
+        recall.append(len(found[q] & set(ids[np.argsort(-scores)[:20]].tolist())) / 20)
+    print(f"{sf_name}: recall {np.mean(recall):.3f}")
+    assert len(searched) == 2 and np.mean(recall) >= 0.9
