@@ -231,13 +231,14 @@ def threads(panel: Panel, targets: DataFrame, found: DataFrame, sites: DataFrame
 
 PAIRS = "ind int, kind int, node long, prev long, side int, start int, end int, ref int, low int, high int, start2 int, low2 int, high2 int, score long"
 _STATE = ("low", "high", "start", "low2", "high2", "start2", "node", "score")
+DOMINATORS = 256  # pairs that others are compared with
 
 
 class PairFront:
     """The states of one individual's doses: pairs of intervals of ranks, lazily, instead of all pairs of
     haplotypes. A pair goes when it costs more than a switch of one side from the cheapest pair with the
-    other side, or of both sides from the cheapest pair, or lies in another that costs less. Segments
-    that end are nodes (node, node before, side, start, end, ref, low, high)."""
+    other side, or of both sides from the cheapest pair, or lies in one of the cheapest that costs less.
+    Segments that end are nodes (node, node before, side, start, end, ref, low, high)."""
 
     def __init__(self, rows: pd.DataFrame | None, n: int) -> None:
         first = dict.fromkeys(_STATE, 0) | {"high": n, "high2": n, "node": -1}
@@ -287,15 +288,25 @@ class PairFront:
             self.s = self._take(kept)
 
     def _dominated(self) -> None:
-        s, n = self.s, len(self.s["score"])
-        gone = np.zeros(n, bool)
-        for k in range(0, n, 256):
-            me = slice(k, k + 256)
-            within = lambda a, b, c, d: (s[a][me, None] >= s[c]) & (s[b][me, None] <= s[d])
-            straight = within("low", "high", "low", "high") & within("low2", "high2", "low2", "high2")
-            crossed = within("low", "high", "low2", "high2") & within("low2", "high2", "low", "high")
-            gone[me] = ((straight | crossed) & (s["score"][me, None] > s["score"])).any(axis=1)
-        self.s = self._take(~gone)
+        """Each pair against the cheapest ones, the widest of equal cost first, so that the work is in
+        proportion to the pairs. One that is only dominated by a dearer pair stays, and loses in the end:
+        all that comes of it costs more than what comes of the other."""
+        s = self.s
+        left, width = np.arange(len(s["score"])), (s["high"] - s["low"]).astype(float) * (s["high2"] - s["low2"])
+        order = np.lexsort((-width, s["score"]))
+        for k in range(0, min(len(order), DOMINATORS), DOMINATORS // 4):
+            by = {c: s[c][order[k : k + DOMINATORS // 4]] for c in ("low", "high", "low2", "high2", "score")}
+            parts = [left[i : i + 4096] for i in range(0, len(left), 4096)]
+            left = np.concatenate([me[~self._under(me, by)] for me in parts])
+        self.s = self._take(left)
+
+    def _under(self, me: np.ndarray, by: dict[str, np.ndarray]) -> np.ndarray:
+        """Which of these pairs lie in one of `by` that costs less, also the other way round."""
+        s = self.s
+        within = lambda a, b, c, d: (s[a][me, None] >= by[c]) & (s[b][me, None] <= by[d])
+        straight = within("low", "high", "low", "high") & within("low2", "high2", "low2", "high2")
+        crossed = within("low", "high", "low2", "high2") & within("low2", "high2", "low", "high")
+        return ((straight | crossed) & (s["score"][me, None] > by["score"])).any(axis=1)
 
     def _close(self, k: int, side: int, site: int, haps: np.ndarray, prev: int) -> int:
         low, high, start = ("low", "high", "start") if side == 0 else ("low2", "high2", "start2")

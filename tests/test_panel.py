@@ -1,5 +1,7 @@
 """Panels that take and give up haplotypes, and mosaics of whole panels, against plain loops."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +179,19 @@ def test_pairs_against_all_pairs(spark, seed, stretch):
             off = abs(alleles[refs[0, j], j] + alleles[refs[1, j], j] - dose[j])
             total += 2 * stay[j] + [2 * match[j], match[j] + mismatch[j], 2 * mismatch[j]][off] + sum(switch[j - 1] - stay[j - 1] for side in (0, 1) if (side, j) in starts)
         assert total == s.min()
+
+
+def test_domination_work_follows_the_pairs():
+    draw = np.random.default_rng(5)
+    n = 60_000
+    low, low2 = draw.integers(0, 99_000, n), draw.integers(0, 99_000, n)
+    state = {"low": low, "high": low + 1, "low2": low2, "high2": low2 + 1, "start": low, "start2": low2, "node": low, "score": draw.integers(10, 20, n)}
+    front = panel_path.PairFront(None, 100_000)
+    # the cheapest pair holds a part of the others, the dearest one all of them
+    front.s = {c: np.append(x, y) for (c, x), y in zip(state.items(), ([0, 0], [50_000, 100_000], [0, 0], [50_000, 100_000], [0, 0], [0, 0], [0, 0], [1, 99]), strict=True)}
+    began = time.process_time()
+    front._dominated()
+    assert time.process_time() - began < 15
+    held = (low < 50_000) & (low2 < 50_000)
+    assert 0 < held.sum() < n and len(front.s["score"]) == n - held.sum() + 2
+    assert not ((front.s["score"] > 1) & (front.s["score"] < 99) & (front.s["low"] < 50_000) & (front.s["low2"] < 50_000)).any()
