@@ -2,21 +2,85 @@
 
 At a site each haplotype but the first has an edge to its target, of the height at which they meet;
 two haplotypes meet at the largest height on their path. Trees are walked by joins on (site,
-haplotype), pointers doubling; where many starts a site are met with all haplotypes, a site is a
-task's work, and pointers double in arrays.
+haplotype), pointers doubling. Where many starts a site are met with all haplotypes, a site is a
+task's work: all that meet below a height are a cluster, the clusters form a tree too, and sums and
+maxima along its ways up (pointers doubling in arrays) take the place of pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
-
-
-HEADS = 128  # starts met at once, a column each
+from ..functions.lineage import cut, dealt
+
+
+@dataclass(frozen=True)
+class Clusters:
+    """Haplotypes 0 to n - 1 and the clusters in which they meet, a larger number above a smaller one; the
+    last is its own parent. height: at which a cluster's parts meet, 0 of haplotypes."""
+
+    parent: np.ndarray
+    height: np.ndarray
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of haplotypes (or of these and clusters), over each cluster."""
+        counts = np.pad(np.asarray(values, np.int64), (0, len(self.parent) - len(values))).tolist()
+        for node, above in enumerate(self.parent[:-1].tolist()):
+            counts[above] += counts[node]
+        return np.array(counts, np.int64)
+
+    def along(self, values: np.ndarray, of, none: float) -> np.ndarray:
+        """`of` (maximum or add) over each cluster and all above it."""
+        values, pointer, top = values.copy(), self.parent.copy(), len(self.parent) - 1
+        first, values[top] = values[top], none  # the top is met by every way, and counts once
+        while (pointer != top).any():
+            values, pointer = of(values, values[pointer]), pointer[pointer]
+        return of(values, first)
+
+    def meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The smallest cluster with both haplotypes of each pair. Steps twice as long each time, taken
+        from the longest on while they lead to different clusters."""
+        n, top = len(self.parent), len(self.parent) - 1
+        steps, depth = [self.parent.astype(np.int32)], self.along(np.where(np.arange(n) == top, 0, 1), np.add, 0)
+        while (steps[-1] != top).any():
+            steps.append(steps[-1][steps[-1]])
+        low, high = np.where(depth[a] >= depth[b], a, b), np.where(depth[a] >= depth[b], b, a)
+        rest = depth[low] - depth[high]
+        for k, step in enumerate(steps):
+            low = np.where(rest >> k & 1, step[low], low)
+        for step in reversed(steps):
+            apart = step[low] != step[high]
+            low, high = np.where(apart, step[low], low), np.where(apart, step[high], high)
+        return np.where(low == high, low, self.parent[low])
+
+
+def clusters(target: np.ndarray, height: np.ndarray) -> Clusters:
+    """Edges from the lowest to the highest join what they meet; target[0] is not read. Edges of one
+    height that meet make one cluster."""
+    n = len(target)
+    height = np.maximum(np.asarray(height, float), 0.0)
+    order = np.argsort(height[1:], kind="stable") + 1
+    parent, heights, root, top = list(range(n)), [0.0] * n, list(range(n)), list(range(n))
+    for hap, other, at in zip(order.tolist(), np.maximum(np.asarray(target, np.int64), 0)[order].tolist(), height[order].tolist(), strict=True):
+        while root[hap] != hap:
+            root[hap] = hap = root[root[hap]]
+        while root[other] != other:
+            root[other] = other = root[root[other]]
+        a, b = top[hap], top[other]
+        above, below = max(a, b), min(a, b)  # the later one is at least as high
+        if above < n or heights[above] != at:
+            above = len(parent)
+            parent.append(above)
+            heights.append(at)
+            parent[a] = parent[b] = above
+        parent[below] = above
+        root[hap], top[other] = other, above
+    return Clusters(np.array(parent, np.int64), np.array(heights))
 
 
 def meeting_times(target: np.ndarray, height: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -53,19 +117,16 @@ def allele_age(target: np.ndarray, height: np.ndarray, carrier: np.ndarray) -> f
         more, further, on = chain[pointer], pointer[pointer], going[pointer] & (carrier[pointer] > 0)
         chain, pointer, going = np.where(going, chain + more, chain), np.where(going, further, pointer), going & on
     starts = np.flatnonzero(chain == chain.max()) if chain.max() else np.array([0])
-    best, age = -1, 0.0
-    for k in range(0, len(starts), HEADS):
-        met = meeting_times(target, height, starts[k : k + HEADS])
-        order = np.argsort(met, axis=0, kind="stable")
-        met, held = np.take_along_axis(met, order, axis=0), np.cumsum(carrier[order] > 0, axis=0)
-        score = held + (n - (carrier > 0).sum()) - (np.arange(1, n + 1)[:, None] - held)
-        score[:-1][met[:-1] == met[1:]] = -1  # a bin ends with its last member
-        column = int(score.max(axis=0).argmax())
-        row = int(score[:, column].argmax())
-        if score[row, column] > best:
-            best, here = int(score[row, column]), met[row, column]
-            age = float(here + 1) if row == n - 1 else float((here + met[row + 1, column]) / 2)
-    return age
+    found = clusters(target, height)
+    size, held = found.sums(np.ones(n)), found.sums(carrier > 0)
+    m, nodes = len(found.parent), np.arange(len(found.parent))
+    ends = (nodes == m - 1) | (found.height[found.parent] > found.height)  # a bin ends with its last member
+    score = held + (n - held[-1]) - (size - held)
+    # on a start's way up a smaller number is an earlier time
+    best = found.along(np.where(ends, score * m + (m - 1 - nodes), -1), np.maximum, -1)[starts]
+    node = m - 1 - int(best[(best // m).argmax()]) % m
+    here = found.height[node]
+    return float(here + 1) if node == m - 1 else float((here + found.height[found.parent[node]]) / 2)
 
 
 def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +183,7 @@ def allele_ages(state: DataFrame) -> DataFrame:
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"site": [frame["site"].iloc[0]], "age": [allele_age(*_arrays(frame))]})
 
-    return state.groupBy("site").applyInPandas(one, "site int, age double")
+    return dealt(state, "site").groupBy("site").applyInPandas(one, "site int, age double")
 
 
 def tmrca_to(state: DataFrame, start: int) -> DataFrame:
@@ -200,21 +261,20 @@ def phase_distances(state: DataFrame) -> DataFrame:
         target, height, g = _arrays(frame)
         dose = g[: len(g) // 2 * 2].reshape(-1, 2).sum(axis=1)
         het, hom = np.flatnonzero(dose == 1), np.flatnonzero(dose == 2)
-        distance = np.empty((len(het), 2))
-        alone = len(het) + 2 * len(hom) == 1
-        for k in range(0, len(het), HEADS // 2):
-            some = het[k : k + HEADS // 2]
-            starts = np.stack([2 * some, 2 * some + 1], axis=1).ravel()
-            met = meeting_times(target, height, starts)
-            if alone:  # the branch above, the longer one first
-                met[starts, np.arange(len(starts))] = np.inf
-                found = -met.min(axis=0)
-            else:
-                found = np.minimum(met[2 * het], met[2 * het + 1]).sum(axis=0) + met[2 * hom].sum(axis=0) + met[2 * hom + 1].sum(axis=0)
-            distance[k : k + HEADS // 2] = found.reshape(-1, 2)
+        found = clusters(target, height)
+        starts = np.stack([2 * het, 2 * het + 1], axis=1)
+        if len(het) + 2 * len(hom) == 1:  # the branch above, the longer one first
+            distance = -found.height[found.parent[starts]]
+        else:
+            # what each cluster meets: both haplotypes of some, the nearer one of others
+            both = np.bincount(found.meeting(starts[:, 0], starts[:, 1]), minlength=len(found.parent))
+            once, twice = np.repeat(dose == 1, 2), np.repeat(dose == 2, 2)
+            met = found.sums(once.astype(np.int64) + twice) - found.sums(both)
+            more = found.height[found.parent] * (met[found.parent] - met)
+            distance = found.along(more, np.add, 0.0)[starts]
         out = [(ind, a, b, "1|0" if a <= b else "0|1") for ind, (a, b) in zip(het.tolist(), distance.tolist(), strict=True)]
         rows = pd.DataFrame(out, columns=["ind", "d0", "d1", "phase"])
         rows.insert(0, "site", frame["site"].iloc[0])
         return rows.astype({"ind": "int32"})
 
-    return state.groupBy("site").applyInPandas(one, "site int, ind int, d0 double, d1 double, phase string")
+    return dealt(state, "site").groupBy("site").applyInPandas(one, "site int, ind int, d0 double, d1 double, phase string")

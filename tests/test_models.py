@@ -1,6 +1,7 @@
 """Sequential models against plain loops, and pinned values."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -385,3 +386,60 @@ def test_meetings_over_deep_trees(spark):
     starts = spark.createDataFrame([(s, h) for s in range(6) for h in (0, 7, 39)], "site int, start int")
     assert sorted(tuple(r) for r in trees.meetings(state, starts).collect()) == sorted(want)
     assert {r["site"]: r["age"] for r in trees.allele_ages(state).collect()} == ages
+
+
+def _phased_plainly(target, height, g):
+    """(ind, d0, d1) from all meeting times."""
+    n = len(target)
+    met = trees.meeting_times(target, height, np.arange(n))
+    dose = g[: n // 2 * 2].reshape(-1, 2).sum(axis=1)
+    out = []
+    for i in np.flatnonzero(dose == 1).tolist():
+        d = []
+        for s in (2 * i, 2 * i + 1):
+            if g[: n // 2 * 2].sum() == 1:
+                d.append(-min(met[x, s] for x in range(n) if x != s))
+            else:
+                d.append(sum(min(met[2 * j, s], met[2 * j + 1, s]) if dose[j] == 1 else met[2 * j, s] + met[2 * j + 1, s] for j in np.flatnonzero(dose)))
+        out.append((i, *d))
+    return out
+
+
+def _aged_plainly(target, height, carrier):
+    n = len(target)
+    met, chain = trees.meeting_times(target, height, np.arange(n)), np.array(carrier)
+    for i in range(1, n):
+        chain[i] = chain[target[i]] + 1 if carrier[i] else 0
+    heads = np.flatnonzero(chain == chain.max()) if chain.max() else [0]
+    scored = []
+    for h in heads:
+        times = sorted(set(met[:, h].tolist()))
+        for k, t in enumerate(times):
+            low = met[:, h] <= t
+            scored.append((-(carrier[low].sum() + (1 - carrier[~low]).sum()), h, t, (t + times[k + 1]) / 2 if k + 1 < len(times) else t + 1))
+    return min(scored)[3]
+
+
+def test_ages_and_phases_over_clusters(spark):
+    draw = np.random.default_rng(21)
+    rows, ages, phases = [], {}, []
+    for site in range(60):
+        n = int(draw.integers(2, 40))
+        target = np.array([-1] + [int(draw.integers(0, i if draw.random() < 0.5 else min(i, 3))) for i in range(1, n)])
+        height = np.append(0.0, draw.integers(0 if site % 5 == 0 else 1, 3 + site // 2, n - 1).astype(float))  # equal heights too
+        g = (draw.random(n) < (0.5, 0.1, 0.95, 0.02)[site % 4]).astype(int)
+        rows += [(site, i, int(g[i]), int(target[i]) if i else None, float(height[i]) if i else None) for i in range(n)]
+        ages[site] = _aged_plainly(target, height, g)
+        phases += [(site, *x) for x in _phased_plainly(target, height, g)]
+    state = spark.createDataFrame(rows, "site int, hap int, g int, target int, tmrca double")
+    assert {r["site"]: r["age"] for r in trees.allele_ages(state).collect()} == ages
+    assert sorted((r["site"], r["ind"], r["d0"], r["d1"]) for r in trees.phase_distances(state).collect()) == sorted(phases)
+
+
+def test_ages_of_many_equal_chains_are_quick():
+    # every carrier copies the first haplotype, so that half of all are starts
+    draw, n = np.random.default_rng(4), 60_000
+    target, height, carrier = np.zeros(n, int), draw.integers(100, 1100, n).astype(float), draw.integers(0, 2, n)
+    began = time.process_time()
+    assert trees.allele_age(target, height, carrier) > 0
+    assert time.process_time() - began < 15
