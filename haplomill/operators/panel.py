@@ -174,10 +174,10 @@ def remove(panel: Panel, haps: DataFrame) -> Panel:
     # gaps: neighbouring ranks that go, from the removed rows alone
     start = F.col("rnk") - F.row_number().over(Window.partitionBy("site").orderBy("rnk"))
     gaps = out.withColumn("gap", start).groupBy("site", "gap").agg(F.min("rnk").alias("low"), F.max("rnk").alias("high"), F.max("since").alias("latest"))
-    lists = cut(out.groupBy("site").agg(F.sort_array(F.collect_list("rnk")).alias("gone")))
-    shift = F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("rnk"))), F.lit(0))
-    kept = panel.order.join(gone, "hap", "left_anti").join(lists, "site", "left")
-    order = cut(kept.select("site", "hap", "g", (F.col("rnk") - F.when(F.col("gone").isNull(), 0).otherwise(shift)).cast("int").alias("rnk")))
+    # how many go before each that stays; a count along the site, as many may go
+    left = panel.order.join(gone, "hap", "left_anti")
+    place = F.row_number().over(Window.partitionBy("site").orderBy("rnk")) - 1
+    order = cut(left.select("site", "hap", "g", place.cast("int").alias("rnk")))
     by_rank = panel.order.select("site", "rnk", "hap")
     below = gaps.select("site", "low", "latest", (F.col("high") + 1).alias("rnk")).join(by_rank, ["site", "rnk"])
     above = by_rank.select("site", (F.col("rnk") + 1).alias("low"), F.col("hap").alias("new_above"))
@@ -185,7 +185,7 @@ def remove(panel: Panel, haps: DataFrame) -> Panel:
     rows = panel.since.join(gone, "hap", "left_anti").join(changed, ["site", "hap"], "left")
     at = F.when(F.col("moved").isNull(), F.col("since")).when(F.col("new_above").isNull(), F.col("site") + 1).otherwise(F.greatest("since", "latest"))
     since = rows.select("site", "hap", F.when(F.col("moved").isNull(), F.col("above")).otherwise(F.col("new_above")).alias("above"), at.cast("int").alias("since"))
-    left = lambda df: cut(df.join(gone, "hap", "left_anti").select(*df.columns))
+    kept = lambda df: cut(df.join(gone, "hap", "left_anti").select(*df.columns))
     # ranks may have holes, which binary search and comparison do not mind
-    levels = {d: left(r) for d, r in panel.levels.items()}
-    return Panel(panel.genotypes.join(gone, "hap", "left_anti").select("site", "hap", "g"), left(panel.keys), levels, order, cut(since), cut(in_columns(order)), panel.n_sites)
+    levels = {d: kept(r) for d, r in panel.levels.items()}
+    return Panel(panel.genotypes.join(gone, "hap", "left_anti").select("site", "hap", "g"), kept(panel.keys), levels, order, cut(since), cut(in_columns(order)), panel.n_sites)

@@ -195,3 +195,15 @@ def test_domination_work_follows_the_pairs():
     held = (low < 50_000) & (low2 < 50_000)
     assert 0 < held.sum() < n and len(front.s["score"]) == n - held.sum() + 2
     assert not ((front.s["score"] > 1) & (front.s["score"] < 99) & (front.s["low"] < 50_000) & (front.s["low2"] < 50_000)).any()
+
+
+def test_removal_is_no_list_of_all_that_go(spark, geno):
+    some = panel.build(geno.where("hap < 20"), SITES)
+    seen, cut = [], panel.cut
+    panel.cut = lambda df: (seen.append(df._jdf.queryExecution().analyzed().toString()), cut(df))[1]
+    try:
+        panel.remove(some, geno.select("hap").where("hap % 7 IN (2, 3)"))
+    finally:
+        panel.cut = cut
+    # a row of the panel must not be held against each that goes
+    assert not any("gone" in plan for plan in seen)
