@@ -9,11 +9,14 @@ number of joins that grows with its logarithm.
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, dealt
 
 BLOCK = 32
 NEIGHBOURS = "site int, hap int, cand int"
@@ -125,33 +128,37 @@ def group_of(query_sites: DataFrame, groups: DataFrame) -> DataFrame:
     return query_sites.join(marked, "site")
 
 
-def neighbours(ranks: DataFrame, k: int = 4) -> DataFrame:
-    """site, hap, cand: the k nearest in the order among smaller ids, left and right in turn.
+def neighbours_of_site(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """site, hap, cand of one site (site, hap, rnk).
     Removing ids from the largest down leaves in a linked list just those that are smaller."""
+    # haplotypes by their place among the site's ids, in arrays of four bytes; -1: none
+    ids = np.sort(frame["hap"].to_numpy(np.int32))
+    order, n = np.searchsorted(ids, frame.sort_values("rnk")["hap"].to_numpy()).astype(np.int32), len(ids)
+    left, right = (np.full(n, -1, np.int32) for _ in range(2))
+    left[order[1:]], right[order[:-1]] = order[:-1], order[1:]
+    left, right, haps, cands = array("i", left.tobytes()), array("i", right.tobytes()), array("i"), array("i")
+    for hap in range(n - 1, 0, -1):
+        a, b, found = left[hap], right[hap], 0
+        if a >= 0:
+            right[a] = b
+        if b >= 0:
+            left[b] = a
+        while found < k and (a >= 0 or b >= 0):
+            if a >= 0:
+                cands.append(a)
+                a, found = left[a], found + 1
+            if found < k and b >= 0:
+                cands.append(b)
+                b, found = right[b], found + 1
+        haps.extend((hap,) * found)
+    found = pd.DataFrame({"hap": ids[np.array(haps, np.int32)], "cand": ids[np.array(cands, np.int32)]})
+    found.insert(0, "site", frame["site"].iloc[0])
+    return found
 
-    def of_site(frame: pd.DataFrame) -> pd.DataFrame:
-        order = frame.sort_values("rnk")["hap"].tolist()
-        left = dict(zip(order, [None, *order[:-1]], strict=True))
-        right = dict(zip(order, [*order[1:], None], strict=True))
-        out = []
-        for hap in sorted(order, reverse=True)[:-1]:
-            a, b, n = left[hap], right[hap], 0
-            if a is not None:
-                right[a] = b
-            if b is not None:
-                left[b] = a
-            while n < k and (a is not None or b is not None):
-                if a is not None:
-                    out.append((hap, a))
-                    a, n = left[a], n + 1
-                if n < k and b is not None:
-                    out.append((hap, b))
-                    b, n = right[b], n + 1
-        found = pd.DataFrame(out, columns=["hap", "cand"], dtype="int32")
-        found.insert(0, "site", frame["site"].iloc[0])
-        return found
-
-    return ranks.select("site", "hap", "rnk").groupBy("site").applyInPandas(of_site, NEIGHBOURS)
+
+def neighbours(ranks: DataFrame, k: int = 4) -> DataFrame:
+    """site, hap, cand: the k nearest in the order among smaller ids, left and right in turn."""
+    return dealt(ranks.select("site", "hap", "rnk"), "site").groupBy("site").applyInPandas(lambda frame: neighbours_of_site(frame, k), NEIGHBOURS)
 
 
 def match_counts(found: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -443,3 +444,14 @@ def test_ages_of_many_equal_chains_are_quick():
     began = time.process_time()
     assert trees.allele_age(target, height, carrier) > 0
     assert time.process_time() - began < 15
+
+
+def test_neighbours_of_a_large_site_take_little_memory():
+    n = 100_000
+    frame = pd.DataFrame({"site": 3, "hap": np.arange(n), "rnk": np.random.default_rng(2).permutation(n)}).astype("int32")
+    tracemalloc.start()
+    found = pbwt.neighbours_of_site(frame, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4 * n - 10 and most < 25e6  # some 60 bytes a neighbour; lists and pairs took 200
+    assert len(pbwt.neighbours_of_site(frame.iloc[:1], 4)) == 0
