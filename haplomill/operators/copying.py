@@ -1,13 +1,16 @@
 """The copying model: a haplotype as a mosaic of others.
 
-Per target haplotype the candidates' alleles come as one row each, so that a task holds one target
-and its candidates. Recurrences run along the sites in numpy; everything before and after is joins.
+Per target haplotype the candidates' alleles come as one row each, so that a task holds the targets of
+a batch and their candidates. Recurrences run along the sites in numpy; everything before and after is joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +43,10 @@ class CandidateFront:
     rests on are kept when a stretch ends, so that what is handed over is a row a candidate and, beside
     what is already written, the nodes of the stretch that the front rests on."""
 
-    def __init__(self, rows: pd.DataFrame | None = None) -> None:
-        self.ids, self.score, self.node = (np.array([], kind) for kind in (np.int64, np.float64, np.int64))
-        self.best, self.best_score, self.nodes = -1, 0.0, {}
-        if rows is not None and len(rows):
-            rows = rows.sort_values("sample")
-            self.ids, self.score, self.node = rows["sample"].to_numpy(np.int64), rows["score"].to_numpy(float), rows["node"].to_numpy(np.int64)
-            first = rows.iloc[0]
-            self.best, self.best_score = int(first["best"]), float(first["best_score"])
+    def __init__(self, ids: np.ndarray | None = None, score: np.ndarray | None = None, node: np.ndarray | None = None, best: int = -1, best_score: float = 0.0) -> None:
+        """Without ids a front to be entered, else one that was handed over, by ascending id."""
+        self.ids, self.score, self.node = (np.array([], kind) if x is None else x.astype(kind) for x, kind in ((ids, np.int64), (score, np.float64), (node, np.int64)))
+        self.best, self.best_score, self.nodes = best, best_score, {}
 
     def _begin(self, samples: list[int], site: int, before: int) -> list[int]:
         out = [(site << 32) + x for x in samples]
@@ -88,25 +87,59 @@ class CandidateFront:
     def end(self) -> int:
         return int(self.node[np.searchsorted(self.ids, self.best)])
 
-    def rows(self, hap: int, last: bool) -> pd.DataFrame:
+    def handed(self, hap: int, last: bool) -> list[tuple]:
         """The front (at the end its best state alone) and the nodes of the stretch that it rests on."""
         keep = self.ids == self.best if last else np.ones(len(self.ids), bool)
-        front = pd.DataFrame({"hap": hap, "kind": FRONT, "sample": self.ids[keep], "score": self.score[keep], "node": self.node[keep], "before": -1, "best": self.best, "best_score": self.best_score})
-        todo, needed = [x for x in set(front["node"].tolist()) if x in self.nodes], set()
+        out = [(hap, FRONT, x, s, n, -1, self.best, self.best_score) for x, s, n in zip(self.ids[keep].tolist(), self.score[keep].tolist(), self.node[keep].tolist(), strict=True)]
+        todo, needed = [x for x in {r[4] for r in out} if x in self.nodes], set()
         while todo:
             x = todo.pop()
             if x not in needed:
                 needed.add(x)
                 todo += [y for y in [self.nodes[x][2]] if y in self.nodes]
-        used = [(hap, NODE, self.nodes[x][0], 0.0, x, self.nodes[x][2], -1, 0.0) for x in sorted(needed)]
-        return pd.concat([front, pd.DataFrame(used, columns=front.columns).astype(front.dtypes)], ignore_index=True)
+        return out + [(hap, NODE, self.nodes[x][0], 0.0, x, self.nodes[x][2], -1, 0.0) for x in sorted(needed)]
+
+    def rows(self, hap: int, last: bool) -> pd.DataFrame:
+        """The same as a frame."""
+        return pd.DataFrame(self.handed(hap, last), columns=list(HANDED_TYPES))
 
 
 FRONT, NODE = 0, 1
+HANDED_TYPES = {"hap": pa.int32(), "kind": pa.int32(), "sample": pa.int32(), "score": pa.float64(), "node": pa.int64(), "before": pa.int64(), "best": pa.int32(), "best_score": pa.float64()}
+PATH_TYPES = dict.fromkeys(("hap", "seg_idx", "site", "target"), pa.int32())
 HANDED = "hap int, kind int, sample int, score double, node long, before long, best int, best_score double"
 ALLELES = 1 << 26  # of a target's candidates in one stretch
 
 
+def by_target(rows: DataFrame, order: list[str], part: Callable[[pa.Table, list[int]], list[tuple]], types: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """Rows by hap, all of one in one task: part(table, edges) takes the targets of a batch at once, the
+    k-th from edges[k] to edges[k + 1]; what a batch cuts off waits for the next one. Many targets with a
+    few rows each would cost more as frames than their work."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def done(whole: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(held).combine_chunks()
+            hap = table["hap"].to_numpy()
+            edges = [0, *(np.flatnonzero(hap[1:] != hap[:-1]) + 1).tolist(), *([len(hap)] if whole else [])]
+            held[:] = [] if whole else [table.slice(edges[-1])]
+            found = part(table, edges) if len(edges) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types.values(), strict=True)], names=list(types))
+
+        for batch in batches:
+            if batch.num_rows:
+                ends = held and held[0]["hap"][0] != batch.column("hap")[batch.num_rows - 1]
+                held.append(pa.Table.from_batches([batch]))
+                if ends or len(held) == 1:
+                    yield from done(False)
+        if held:
+            yield from done(True)
+
+    return dealt(rows, "hap").sortWithinPartitions(*order).mapInArrow(task, schema)
+
+
 def traced(nodes: dict[int, tuple[int, int, int]], at: int) -> list[tuple[int, int]]:
     """(first site, id) of each segment on the way that ends in this node."""
     out = []
@@ -160,49 +193,63 @@ def infer_paths(genotypes: DataFrame, candidates: DataFrame, group_sites: dict[i
         if front is not None:
             states = front.where(F.col("kind") == FRONT).select("hap", F.col("sample").alias("cand"), F.lit(None).cast("array<int>").alias("grps"), F.lit(None).cast("array<tinyint>").alias("alleles"), *none)
             rows = rows.unionByName(states)
-        front = cut(dealt(rows, "hap").groupBy("hap").applyInPandas(_stretch(low, high, n_sites, groups, cm_steps, bp_sizes, branch_lengths, rate, sparse), HANDED))
+        front = cut(by_target(rows, ["hap", "cand"], _stretch(low, high, n_sites, groups, cm_steps, bp_sizes, branch_lengths, rate, sparse), HANDED_TYPES, HANDED))
         found = front.where(F.col("kind") == NODE)
         nodes = found if nodes is None else nodes.unionByName(found)
     ends = front.where(F.col("kind") == FRONT)
 
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        at = int(frame.loc[frame["kind"] == FRONT, "node"].iloc[0])
-        known = frame[frame["kind"] == NODE]
-        path = traced({n: (s, n >> 32, b) for n, s, b in zip(known["node"].tolist(), known["sample"].tolist(), known["before"].tolist(), strict=True)}, at)
-        return pd.DataFrame({"hap": frame["hap"].iloc[0], "seg_idx": range(len(path)), "site": [s for s, _ in path], "target": [t for _, t in path]})
+    def whole(table: pa.Table, edges: list[int]) -> list[tuple]:
+        hap, kind, node, sample, before = (table[c].to_pylist() for c in ("hap", "kind", "node", "sample", "before"))
+        out = []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            known = {node[r]: (sample[r], node[r] >> 32, before[r]) for r in range(i, j) if kind[r] == NODE}
+            path = traced(known, next(node[r] for r in range(i, j) if kind[r] == FRONT))
+            out += [(hap[i], k, site, target) for k, (site, target) in enumerate(path)]
+        return out
 
-    return dealt(nodes.unionByName(ends), "hap").groupBy("hap").applyInPandas(whole, PATHS)
+    return by_target(nodes.unionByName(ends), ["hap"], whole, PATH_TYPES, PATHS)
 
 
 def _stretch(low: int, high: int, n_sites: int, groups: list[tuple[int, int]], cm_steps: np.ndarray, bp_sizes: np.ndarray, branch_lengths, rate: float, sparse: bool):
-    """A target's states over the sites of a stretch."""
-
-    def task(frame: pd.DataFrame) -> pd.DataFrame:
-        hap = int(frame["hap"].iloc[0])
-        handed, rows = frame[frame["kind"].notna()], frame[frame["kind"].isna()].sort_values("cand", ignore_index=True)
-        own, others = np.array(rows["alleles"].iloc[0], np.int8), rows.iloc[1:]
-        ids = others["cand"].to_numpy(np.int64)
-        panel = np.array([list(x) for x in others["alleles"]], np.int8).reshape(len(ids), -1)
-        members: dict[int, list[int]] = {}
-        for cand, grps in zip(ids.tolist(), others["grps"], strict=True):
-            for g in grps:
-                members.setdefault(int(g), []).append(cand)
-        allowed = [(start, members[g]) for g, start in groups if g in members]
-        front = CandidateFront(handed.rename(columns={"cand": "sample"}) if len(handed) else None)
-        if low == 0:
-            front.enter(allowed[0][1])
-            allowed = allowed[1:]
-        switch_at = dict(allowed)
-        cost = costs(cm_steps[low:high], bp_sizes[low:high], branch_lengths(hap + 1), rate, hap, sparse)
-        columns, rows_of = np.ascontiguousarray(panel.T), np.searchsorted(ids, front.ids)
-        for j in range(low, high):
-            if j in switch_at:
-                front.change(switch_at[j])
-                rows_of = np.searchsorted(ids, front.ids)
-            front.advance(j, own[j - low], columns[j - low][rows_of], *(x[j - low] for x in cost))
-        return front.rows(hap, high == n_sites)
-
-    return task
+    """The states of targets over the sites of a stretch."""
+
+    def lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = table[name].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+    def part(table: pa.Table, edges: list[int]) -> list[tuple]:
+        haps, cands = table["hap"].to_numpy(), table["cand"].to_numpy().astype(np.int64)
+        states = table["kind"].is_valid().to_numpy()
+        score, node, best, best_score = (table[c].fill_null(0).to_numpy() for c in ("score", "node", "best", "best_score"))
+        (grp_at, grps), (at, alleles) = lists(table, "grps"), lists(table, "alleles")
+        out = []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            hap, handed = int(haps[i]), states[i:j]
+            ids = cands[i:j][~handed]
+            panel = alleles[at[i] : at[j]].reshape(len(ids), -1)  # states have no alleles; the target's own come first
+            own, ids, columns = panel[0], ids[1:], np.ascontiguousarray(panel[1:].T)
+            of, given = np.repeat(cands[i:j], np.diff(grp_at[i : j + 1])), grps[grp_at[i] : grp_at[j]]
+            allowed = [(start, of[given == g].tolist()) for g, start in groups if (given == g).any()]
+            if handed.any():
+                front = CandidateFront(*(x[i:j][handed] for x in (cands, score, node)), int(best[i:j][handed][0]), float(best_score[i:j][handed][0]))
+            else:
+                front = CandidateFront()
+            if low == 0:
+                front.enter(allowed[0][1])
+                allowed = allowed[1:]
+            switch_at = dict(allowed)
+            cost = [x.tolist() for x in costs(cm_steps[low:high], bp_sizes[low:high], branch_lengths(hap + 1), rate, hap, sparse)]
+            rows_of = np.searchsorted(ids, front.ids)
+            for k in range(high - low):
+                if low + k in switch_at:
+                    front.change(switch_at[low + k])
+                    rows_of = np.searchsorted(ids, front.ids)
+                front.advance(low + k, own[k], columns[k][rows_of], *(x[k] for x in cost))
+            out += front.handed(hap, high == n_sites)
+        return out
+
+    return part
 
 
 def mismatches(genotypes: DataFrame, paths: DataFrame) -> DataFrame:

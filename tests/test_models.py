@@ -455,3 +455,18 @@ def test_neighbours_of_a_large_site_take_little_memory():
     tracemalloc.stop()
     assert len(found) == 4 * n - 10 and most < 25e6  # some 60 bytes a neighbour; lists and pairs took 200
     assert len(pbwt.neighbours_of_site(frame.iloc[:1], 4)) == 0
+
+
+def test_many_targets_are_no_frame_each(spark, monkeypatch):
+    # a frame and its columns took longer than a target's work
+    draw = np.random.default_rng(8)
+    n, m = 400, 12
+    alleles = draw.integers(0, 2, (n, m))
+    geno = spark.createDataFrame([(j, k, int(alleles[k, j])) for k in range(n) for j in range(m)], "site int, hap int, g int")
+    cands = spark.createDataFrame([(g, h, c) for g in (0, 1) for h in range(1, n) for c in {int(x) for x in draw.integers(0, h, 3)}], "grp int, hap int, cand int")
+    kinds, by_target = [], copying.by_target
+    monkeypatch.setattr(copying, "by_target", lambda *a: (kinds.append(by_target(*a)._jdf.queryExecution().analyzed().toString()), by_target(*a))[1])
+    args = {0: 0, 1: 5}, np.full(m, 0.01), np.full(m, 100.0), lambda x: 1000.0 / x, 1e-6
+    found = [sorted(tuple(r) for r in copying.infer_paths(geno, cands, *args, stretch=s).collect()) for s in (m, 5)]
+    assert found[0] == found[1] and {r[0] for r in found[0]} == set(range(1, n))
+    assert len(kinds) == 6 and all("MapInArrow" in x and "FlatMapGroups" not in x.split("MapInArrow")[0] for x in kinds)
