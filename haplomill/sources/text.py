@@ -162,11 +162,15 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_mapping(rows: DataFrame) -> DataFrame:
     """variant, pos, flipped, hap, lower, upper, is_unique: a row a haplotype and branch."""
-    branches = F.split("mapping", ";")
-    each = rows.where("mapping <> 'NaN'").withColumns({"branch": F.explode(branches), "is_unique": F.size(branches) == 1})
-    part = F.split("branch", ",")
-    each = each.withColumn("p", part).withColumn("hap", F.explode(F.split(F.col("p")[0], r"\.")))
-    return each.select("variant", "pos", "flipped", F.col("hap").cast("int").alias("hap"), F.col("p")[1].cast("double").alias("lower"), F.col("p")[2].cast("double").alias("upper"), "is_unique")
+    # what each row keeps is cut out before its branches and haplotypes become rows: afterwards the whole
+    # string would be split again for each of them
+    listed = rows.where("mapping <> 'NaN'").select("variant", "pos", "flipped", F.split("mapping", ";").alias("branches"))
+    listed = listed.select("variant", "pos", "flipped", "branches", (F.size("branches") == 1).alias("is_unique"))
+    each = listed.select("variant", "pos", "flipped", "is_unique", F.explode("branches").alias("branch"))
+    part = each.select("variant", "pos", "flipped", "is_unique", F.split("branch", ",").alias("p"))
+    part = part.select("variant", "pos", "flipped", "is_unique", F.split(F.col("p")[0], r"\.").alias("haps"), F.col("p")[1].cast("double").alias("lower"), F.col("p")[2].cast("double").alias("upper"))
+    found = part.select("variant", "pos", "flipped", F.explode("haps").alias("hap"), "lower", "upper", "is_unique")
+    return found.withColumn("hap", F.col("hap").cast("int"))
 
 
 def read_ages(spark: SparkSession, path: str) -> DataFrame:

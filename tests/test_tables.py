@@ -1,5 +1,7 @@
 """Table functions in SQL."""
 
+import time
+
 import pytest
 
 from haplomill.functions import tables
@@ -39,3 +41,18 @@ def test_runs(spark):
     spark.createDataFrame([(h, s, "aab"[s % 3] if h else "z") for h in range(2) for s in range(7)], "hap int, site int, target string").createOrReplaceTempView("copied")
     rows = spark.sql("SELECT hap, site, target, first, length FROM runs(TABLE(copied) PARTITION BY hap ORDER BY (site), 'target')").collect()
     assert sorted(map(tuple, rows)) == [(0, 0, "z", 0, 7), (1, 0, "a", 0, 2), (1, 2, "b", 2, 1), (1, 3, "a", 3, 2), (1, 5, "b", 5, 1), (1, 6, "a", 6, 1)]
+
+
+def test_parse_mapping_grows_with_the_string(spark):
+    """Many branches, and many haplotypes of one branch, are each cut out once."""
+    many = ";".join(f"{2 * k}.{2 * k + 1},1.0000,2.5000" for k in range(20_000))
+    wide = ".".join(str(k) for k in range(40_000)) + ",1.0000,inf"
+    frame = spark.createDataFrame([("a", 1, 0, many), ("b", 2, 1, wide), ("c", 3, 0, "NaN")], "variant string, pos int, flipped int, mapping string")
+    began = time.perf_counter()
+    got = text.parse_mapping(frame).toPandas().sort_values(["variant", "hap"])
+    assert time.perf_counter() - began < 12
+    for variant, upper, alone in (("a", 2.5, False), ("b", float("inf"), True)):
+        mine = got[got["variant"] == variant]
+        assert mine["hap"].tolist() == list(range(40_000))
+        assert set(mine["upper"]) == {upper} and set(mine["is_unique"]) == {alone}
+    assert len(got) == 80_000
