@@ -69,8 +69,10 @@ def discard(since: int, *tags: str) -> None:
         if path.rpartition("/")[2].rpartition("-")[0] in tags:
             _delete(spark, path)
             _temporary.remove((spark, path))
-            gc.collect()
-            spark._jvm.System.gc()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -16,14 +16,15 @@ least `MIN_MATCHES` tokens (at similarity 0.8 they fail to with a chance of 4.2e
 * most members of a list then are in the component of its most common one, and are skipped. Those
   outside it, but for the two representatives, who have met everyone, are held against all members
   of the lists of that component, in blocks of bounded size: a task posts the tokens of a block of
-  outsiders and counts for each member of a block its collisions with each of them; with
-  `MIN_MATCHES` of them a pair is confirmed on the full sets. Only links come out, one for each
-  outsider and component, so that large groups of copies make no pairs, and no link that could
-  change a component is lost.
+  outsiders and counts for each member of a block its collisions with each of them. Signatures go
+  first, and tell who has `MIN_MATCHES` collisions with anyone; only the full sets of these follow,
+  on which their pairs are confirmed. Only links come out, one for each outsider and component, so
+  that large groups of copies make no pairs, and no link that could change a component is lost.
 
 Components come from hooking every class to its smallest neighbour, jumping to the roots and
 contracting, all as joins. Nothing of all documents goes to the driver but a bit filter of fixed
-size, which only spares shuffling sets that no pair needs.
+size, which only spares shuffling sets that no pair needs. Tables between steps and their shuffle
+files are removed as soon as no later step reads them.
 
 A row's number is given and written once; where documents are read again, as for `keep_first`, rows
 are known by their content, so that a scan whose rows come in another order changes nothing.
@@ -44,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tidy
+from .common import discard, mark, materialize, table, tidy
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # hundredths
@@ -56,6 +57,7 @@ MEMBER_SHINGLES = 100_000  # of a block of members, which it passes through
 SALTS = 16
 SEED = 20240229
 SETS = "h1 long, h2 long, shingles binary"
+SCRATCH = ("classes", "wanted", "sets", "links", "members", "outside", "alike", "met", "zones", "marked", "near", "edges", "labels", "parents", "placed")
 
 
 class WordHashes(dict):
@@ -209,9 +211,10 @@ def _first(label: str, row: str) -> Column:
     return F.min(F.struct(F.col(label).isNull().alias("unnamed"), F.col(label).alias("label"), F.col(row).alias("row")))
 
 
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct pairs a < b."""
-    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+def _pairs(members: DataFrame, other: str, similarity: int) -> DataFrame:
+    """Distinct pairs a < b of members and their lists' `other`, whose sizes fit."""
+    fits = 100 * F.least("n", f"{other}_n") >= similarity * F.greatest("n", f"{other}_n")
+    return members.where(fits).select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).where("a < b").distinct()
 
 
 def full_sets(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -220,12 +223,11 @@ def full_sets(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> D
     return materialize(found.join(wanted, ["h1", "h2"]).select("node", "shingles"), "sets")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """Of the pairs those with enough equal coordinates and sizes that fit."""
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs those with enough equal coordinates."""
     for x in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")), x)
-    fits = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    return materialize(pairs.where(fits & (F.size(F.array_intersect("sig_a", "sig_b")) >= MIN_MATCHES)).select("a", "b"), "alike")
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")), x)
+    return materialize(pairs.where(F.size(F.array_intersect("sig_a", "sig_b")) >= MIN_MATCHES).select("a", "b"), "alike")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -247,18 +249,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return materialize(pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long"), "links")
 
 
-def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, postings: DataFrame, similarity: int) -> DataFrame:
-    """node -> root of the classes that are linked with any; postings: node, n, pop, token."""
-    ends = postings.groupBy("token").agg(F.max(F.struct("pop", (-F.col("node")).alias("neg"), F.col("node").alias("node"))).alias("top"), F.min("node").alias("low"), F.count("*").alias("length"))
-    ends = materialize(ends.where("length > 1").select("token", F.col("top.node").alias("top"), "low", "length"), "ends")
-    members = materialize(postings.join(ends, "token").select("token", "node", "n", "top", "low", "length"), "members")
-    proposed = _pairs(members, "node", "top").unionByName(_pairs(members, "node", "low")).distinct()
-    pairs = alike(materialize(proposed, "proposed"), nodes, similarity)
+def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame, nodes: DataFrame, postings: DataFrame, similarity: int, before: int) -> DataFrame:
+    """node -> root of the classes that are linked with any; postings: node, n, pop, token. nodes and
+    postings, written since the mark `before`, are removed when they have been read."""
+    top = F.max(F.struct("pop", (-F.col("node")).alias("neg"), F.col("node").alias("node"), "n")).alias("top")
+    ends = postings.groupBy("token").agg(top, F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("length"))
+    ends = ends.where("length > 1").select("token", F.col("top.node").alias("top"), F.col("top.n").alias("top_n"), F.col("low.node").alias("low"), F.col("low.n").alias("low_n"), "length")
+    members = materialize(postings.join(materialize(ends, "ends"), "token").select("token", "node", "n", "top", "top_n", "low", "low_n", "length"), "members")
+    proposed = _pairs(members, "top", similarity).unionByName(_pairs(members, "low", similarity)).distinct()
+    pairs = alike(materialize(proposed, "proposed"), nodes)
 
     # with two members besides the representatives at least, there are pairs that no one proposed
     long = members.where("length >= 3 + cast(top <> low AS int)")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
-    sets = full_sets(docs, text_col, size, materialize(classes.select("node", "h1", "h2").join(needed, "node", "left_semi"), "wanted"))
+    wanted = materialize(classes.select("node", "h1", "h2").join(nodes.select("node", "sig"), "node").join(needed, "node", "left_semi"), "wanted")
+    discard(before, "nodes", "postings", "ends", "proposed")
+    sets = full_sets(docs, text_col, size, wanted.select("node", "h1", "h2"))
+    discard(before)
     links = confirm(pairs, sets, similarity)
     joined = components(links)
 
@@ -270,7 +277,9 @@ def link_classes(docs: DataFrame, text_col: str, size: int, classes: DataFrame,
     if outside.isEmpty():
         return joined
     met = placed.join(outside.select("token").distinct(), "token", "left_semi").where("NOT met_all").select("main", "node", "n", "root").distinct()
-    return components(links.unionByName(compare_blocks(materialize(met, "met"), nodes.select("node", "sig"), sets, similarity)))
+    met = materialize(met, "met")
+    discard(before, "members", "outside", "alike")
+    return components(links.unionByName(compare_blocks(met, wanted.select("node", "sig"), sets, similarity)))
 
 
 class Postings:
@@ -295,55 +304,87 @@ class Postings:
         return np.bincount(self.owners[place], minlength=self.n)
 
 
-def compare_blocks(met: DataFrame, signatures: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) of members outside a zone's component; met: main (the zone), node, n, root. Each
-    block of outsiders meets each block of the zone's members in a task of its own."""
-    shingles = F.sum("n")
-    zones = met.groupBy("main").agg(F.ceil(shingles / MEMBER_SHINGLES).alias("blocks"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))) / BLOCK_SHINGLES).alias("out_blocks"))
+def in_blocks(met: DataFrame, load: Column, payload: DataFrame, task, schema: str) -> DataFrame:
+    """task(outsiders, members) of each block of outsiders and each block of its zone's members, with what
+    `payload` has of their nodes; load: a row's share of a block's size."""
+    outer = F.when(F.col("root") != F.col("main"), load)
+    zones = met.groupBy("main").agg(F.ceil(F.sum(load) / MEMBER_SHINGLES).alias("blocks"), F.ceil(F.sum(outer) / BLOCK_SHINGLES).alias("out_blocks"))
     zones = materialize(zones.where("out_blocks > 0"), "zones")
-    rows = met.join(zones, "main").join(signatures, "node").join(sets, "node").withColumn("h", F.xxhash64("node"))
+    rows = met.join(zones, "main").join(payload, "node").withColumn("h", F.xxhash64("node"))
     own, other = F.pmod("h", "blocks"), F.pmod(F.shiftright("h", 8), "out_blocks")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    fresh = [F.col(c).alias(c) for c in ("main", "mb", "ob", "node", "root", "sig", "shingles")]  # so that the two sides differ
+    keys = ["main", "mb", "ob"]
+    fresh = [F.col(c).alias(c) for c in (*keys, "root", *payload.columns)]  # so that the two sides differ
     members = rows.withColumn("mb", own).withColumn("ob", each("out_blocks")).select(*fresh)
     outsiders = rows.where("root <> main").withColumn("ob", other).withColumn("mb", each("blocks")).select(*fresh)
+    return outsiders.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(task, schema)
+
+
+def compare_blocks(met: DataFrame, signatures: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) of members outside a zone's component; met: main (the zone), node, n, root. Each
+    block of outsiders meets each block of the zone's members in a task of its own: by signatures first,
+    and then, of those that are alike to someone there, by full sets."""
+
+    def likely(outsiders: pd.DataFrame, members: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Places of members, and of the outsiders of other components that are alike to each."""
+        tokens = Postings([np.unique(np.asarray(x, np.int64)) for x in outsiders["sig"]])
+        roots = outsiders["root"].to_numpy()
+        for k, (root, sig) in enumerate(zip(members["root"], members["sig"], strict=True)):
+            found = np.flatnonzero((tokens.collisions(np.unique(np.asarray(sig, np.int64))) >= MIN_MATCHES) & (roots != root))
+            if len(found):
+                yield k, found
+
+    def mark_alike(outsiders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        kept: set[int] = set()
+        if len(outsiders) and len(members):
+            ids, own = outsiders["node"].to_numpy(), members["node"].to_numpy()
+            for k, found in likely(outsiders, members):
+                kept.add(int(own[k]))
+                kept.update(ids[found].tolist())
+        main = members["main"].iloc[0] if kept else 0
+        return pd.DataFrame({"main": [main] * len(kept), "node": list(kept)}, dtype="int64")
 
     def compare(outsiders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple[int, int], tuple[int, int]] = {}
         if len(outsiders) and len(members):
             held = [np.frombuffer(x, np.uint64) for x in outsiders["shingles"]]
             sizes = np.array([len(x) for x in held])
-            tokens = Postings([np.unique(np.asarray(x, np.int64)) for x in outsiders["sig"]])
             full: Postings | None = None
-            ids, roots = outsiders["node"].to_numpy(), outsiders["root"].to_numpy()
-            for node, root, sig, raw in zip(members["node"], members["root"], members["sig"], members["shingles"], strict=True):
-                alike = (tokens.collisions(np.unique(np.asarray(sig, np.int64))) >= MIN_MATCHES) & (roots != root)
-                if alike.any():
-                    own = np.frombuffer(raw, np.uint64)
-                    full = full or Postings(held)
-                    both = full.collisions(own)
-                    for k in np.flatnonzero(alike & (100 * both >= similarity * (sizes + len(own) - both))).tolist():
-                        out.setdefault((int(ids[k]), root), (int(ids[k]), node))
+            ids, nodes, roots, raw = outsiders["node"].to_numpy(), members["node"].to_numpy(), members["root"].to_numpy(), members["shingles"]
+            for k, found in likely(outsiders, members):
+                own = np.frombuffer(raw.iloc[k], np.uint64)
+                full = full or Postings(held)
+                both = full.collisions(own)[found]
+                for x in ids[found[100 * both >= similarity * (sizes[found] + len(own) - both)]].tolist():
+                    out.setdefault((x, int(roots[k])), (x, int(nodes[k])))
         return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype="int64")
 
-    keys = ["main", "mb", "ob"]
-    found = outsiders.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, "a long, b long")
-    return materialize(found, "links")
+    # a signature's coordinates weigh in a block of short texts
+    marked = in_blocks(met, F.greatest(F.col("n"), F.lit(COORDINATES)), signatures, mark_alike, "main long, node long")
+    marked = met.join(materialize(marked, "marked"), ["main", "node"], "left_semi")
+    return materialize(in_blocks(materialize(marked, "near"), F.col("n"), signatures.join(sets, "node"), compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, first_of_group and content1, content2 for every row."""
-    rows = materialize(sign(docs, id_col, text_col, shingle_words), "signed")
-    named = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(_first("doc_id", "row").alias("first"), F.max("n_shingles").alias("n"))
+    since = mark()
+    signed = materialize(sign(docs, id_col, text_col, shingle_words), "signed")
+    named = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(_first("doc_id", "row").alias("first"), F.max("n_shingles").alias("n"))
     classes = materialize(named.select("h1", "h2", F.col("first.row").alias("node"), F.col("first.label").alias("label"), "n"), "classes")
-    nodes = materialize(rows.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sig").join(classes.select("node"), "node", "left_semi"), "nodes")
+    nodes = materialize(signed.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sig").join(classes.select("node"), "node", "left_semi"), "nodes")
+    rows = materialize(signed.drop("sig"), "rows")
+    discard(since, "signed")
 
     tokens = nodes.select("node", "n", F.explode("sig").alias("token"))
     common = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    lists = tokens.join(common, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.sum("df").alias("pop"))
+    discard(since)
+    # dealt by node before they are listed: lists of parts of a node take more than their tokens
+    held = tokens.join(common, "token").repartition("node")
+    lists = held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.sum("df").alias("pop"))
     prefix = F.slice("tokens", 1, F.size("tokens") - (MIN_MATCHES - 1))
     postings = materialize(lists.where(F.size("tokens") >= MIN_MATCHES).select("node", "n", "pop", F.explode(prefix.getField("token")).alias("token")), "postings")
-    joined = link_classes(docs, text_col, shingle_words, classes, nodes, postings, similarity)
+    discard(since, "common")
+    joined = link_classes(docs, text_col, shingle_words, classes, nodes, postings, similarity, since)
 
     placed = materialize(classes.join(joined, "node", "left").withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))), "placed")
     linked = placed.where("root IS NOT NULL")
@@ -351,7 +392,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = linked.groupBy("root").agg(_first("label", "node").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = linked.join(heads, ["root", "salt"]).select("h1", "h2", F.col("first.label").alias("component"), F.col("first.row").alias("head"))
     named = named.unionByName(placed.where("root IS NULL").select("h1", "h2", F.col("label").alias("component"), F.col("node").alias("head")))
-    out = rows.drop("sig").join(materialize(named, "named"), ["h1", "h2"], "left")
+    out = rows.join(materialize(named, "named"), ["h1", "h2"], "left")
+    discard(since, *SCRATCH)
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), (alone | (F.col("head") == F.col("row"))).alias("first_of_group"), "content1", "content2")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from haplomill.llm import near_dup
+from haplomill.llm import common, near_dup
 
 
 def groups(texts, size):
@@ -85,3 +85,14 @@ def test_lists_of_many_unlinked_members(spark):
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     rows = near_dup.near_duplicates(frame, shingle_words=2).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows), key=repr) == groups(texts, 2)[0]
+
+
+def test_tables_between_steps_are_removed(spark):
+    """Only what the result reads is left, and full sets meet only where signatures are alike."""
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(260)]
+    texts = [(k, " ".join(base[:200] + [f"{k // 3}x{i}" for i in range(40)] + [f"c{k}"])) for k in range(12)]
+    since = common.mark()
+    found = near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), shingle_words=2)
+    assert sorted(path.rpartition("/")[2].rpartition("-")[0] for _, path in common._temporary[since:]) == ["named", "rows"]
+    assert sorted((tuple(r) for r in found.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr) == groups(texts, 2)[0]
