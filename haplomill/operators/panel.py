@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,13 @@ class Panel:
     levels: dict[int, DataFrame]
     order: DataFrame
     since: DataFrame
-    columns: DataFrame
     n_sites: int
 
+    @cached_property
+    def columns(self) -> DataFrame:
+        """Made when first asked for: one that only gives its rows needs none."""
+        return cut(in_columns(self.order))
+
 
 def in_columns(order: DataFrame) -> DataFrame:
     """site, alleles in the order before the site, haps in the order after it."""
@@ -56,7 +61,7 @@ def build(genotypes: DataFrame, n_sites: int) -> Panel:
     order = cut(pbwt.prefix_ranks(genotypes, n_sites))
     levels = level_ranks(keys, -(-n_sites // BLOCK))
     since = cut(pbwt.divergence(order, keys, levels))
-    return Panel(genotypes, keys, levels, order, since, cut(in_columns(order)), n_sites)
+    return Panel(genotypes, keys, levels, order, since, n_sites)
 
 
 def _search(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -163,7 +168,7 @@ def insert(panel: Panel, newcomers: DataFrame) -> Panel:
     found = equal_since(changed.where("above IS NOT NULL"), all_keys, {d: _identities(panel, places, own, d) for d in panel.levels})
     first = changed.where("above IS NULL").select("site", "hap", F.lit(None).cast("int").alias("above"), (F.col("site") + 1).cast("int").alias("since"))
     since = panel.since.join(changed.select("site", "hap"), ["site", "hap"], "left_anti").select("site", "hap", "above", "since").unionByName(found).unionByName(first)
-    return Panel(panel.genotypes.unionByName(newcomers), all_keys, _merged_levels(panel, places, own), order, cut(since), cut(in_columns(order)), panel.n_sites)
+    return Panel(panel.genotypes.unionByName(newcomers), all_keys, _merged_levels(panel, places, own), order, cut(since), panel.n_sites)
 
 
 def remove(panel: Panel, haps: DataFrame) -> Panel:
@@ -188,4 +193,4 @@ def remove(panel: Panel, haps: DataFrame) -> Panel:
     kept = lambda df: cut(df.join(gone, "hap", "left_anti").select(*df.columns))
     # ranks may have holes, which binary search and comparison do not mind
     levels = {d: kept(r) for d, r in panel.levels.items()}
-    return Panel(panel.genotypes.join(gone, "hap", "left_anti").select("site", "hap", "g"), kept(panel.keys), levels, order, cut(since), cut(in_columns(order)), panel.n_sites)
+    return Panel(panel.genotypes.join(gone, "hap", "left_anti").select("site", "hap", "g"), kept(panel.keys), levels, order, cut(since), panel.n_sites)

@@ -207,3 +207,12 @@ def test_removal_is_no_list_of_all_that_go(spark, geno):
         panel.cut = cut
     # a row of the panel must not be held against each that goes
     assert not any("gone" in plan for plan in seen)
+
+
+def test_columns_are_made_when_asked_for(geno, monkeypatch):
+    """An insertion takes the columns of the panel before it alone."""
+    made, plain = [], panel.in_columns
+    monkeypatch.setattr(panel, "in_columns", lambda order: made.append(1) or plain(order))
+    more = panel.insert(panel.build(geno.where("hap < 8"), SITES), geno.where("hap BETWEEN 8 AND 9"))
+    assert len(made) == 1
+    assert more.columns.count() == SITES and more.columns is more.columns and len(made) == 2
