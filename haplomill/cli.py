@@ -188,13 +188,14 @@ def impute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     sets = pbwt.match_sets(window).unionByName(near.select("target", "ref")).distinct()
     found = copying.posteriors(both, sets, 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n), n_panel=n)
     spread = cut(imputation.interpolate(found, imputation.flanks(panel_sites.select("site", "pos"), typed.select("site"))))
-    doses = imputation.dosages(spread, long(panel_sites))
+    copied = imputation.copied(long(panel_sites), spread)
+    doses = imputation.dosages(spread, copied)
     if a.mut:
         branches = text.parse_mapping(text.read_mapping(spark, a.mut)).withColumnRenamed("variant", "id")
         # what carries the frequent allele of a turned variant takes no part
         mapping = branches.join(panel_sites.where("NOT coalesce(af > 0.5, false)").select("id", "site"), "id")
         mapping = mapping.select("site", F.when(~F.col("is_unique"), F.col("hap")).alias("hap"), "lower", "upper")
-        doses = imputation.mapped_doses(doses, spread, long(panel_sites), panel_sites.select("site", "pos"), panel_path.dated(near, numbered, demography), mapping)
+        doses = imputation.mapped_doses(doses, spread, copied, panel_sites.select("site", "pos"), panel_path.dated(near, numbered, demography), mapping)
     known = typed.select("site", F.posexplode("t").alias("target", "g")).select((F.col("target") + n).alias("target"), "site", F.col("g").cast("double").alias("known"))
     doses = doses.join(known, ["target", "site"], "left").select((F.col("target") - n).alias("target"), "site", F.coalesce("known", "dose").alias("dose"))
     doses = imputation.checked(doses)

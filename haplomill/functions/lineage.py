@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW = 1 << 18  # keys that are sent to every task
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +35,11 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     together by their size."""
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is one of `keys`: few keys go to the rows, so that a large table is filtered
+    where it is read; many meet them in a shuffle."""
+    found = cut(keys.select(key).distinct())
+    few = found.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(found) if few else found, key, "left_semi").select(*rows.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, dealt
+from ..functions.lineage import among, cut, dealt
 
 UNPHASED = -7
 PATHS = "hap int, seg_idx int, site int, target int"
@@ -305,6 +305,9 @@ def posteriors(genotypes: DataFrame, sets: DataFrame, switch: np.ndarray, mu: fl
     """target, site, ref, p for match sets (target, ref) over the sites of the genotypes, numbered
     in order; switch: chance to switch before each of them. n_panel: what is no better than chance in
     a panel of so many never leaves the task, and the rest sums to one."""
+    sets = cut(sets)
+    # only haplotypes that are in some set are packed
+    genotypes = cut(among(genotypes, sets.select(F.explode(F.array("target", "ref")).alias("hap")), "hap"))
     alleles = packed(genotypes)
     numbers = np.array([r["site"] for r in genotypes.select("site").distinct().orderBy("site").collect()])
     rows = sets.join(alleles.select(F.col("hap").alias("ref"), "alleles"), "ref").select("target", "ref", "alleles")

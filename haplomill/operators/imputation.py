@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import covering
+from ..functions.lineage import among, cut
 
 
 def sparsify(posteriors: DataFrame, n_panel: int) -> DataFrame:
@@ -50,6 +51,11 @@ def interpolate(posteriors: DataFrame, around: DataFrame) -> DataFrame:
     return found.groupBy("target", F.col("new_site").alias("site"), "ref").agg(F.sum(F.col("p") * F.col("w")).alias("p"))
 
 
+def copied(panel: DataFrame, posteriors: DataFrame) -> DataFrame:
+    """The panel's rows (site, hap, g) of the haplotypes that some posterior names; others change no dosage."""
+    return cut(among(panel, posteriors.select(F.col("ref").alias("hap")), "hap"))
+
+
 def dosages(posteriors: DataFrame, panel: DataFrame) -> DataFrame:
     """target, site, dose: the chance to copy a haplotype with the ALT allele; posteriors meet only
     the panel's carriers."""
@@ -86,12 +92,14 @@ def mapped_doses(doses: DataFrame, posteriors: DataFrame, panel: DataFrame, site
     target, seg_idx, start_bp, end_bp, ref, age; sites: site, pos; mapping: site, hap (null: any
     carrier), lower, upper, without the variants whose frequent allele was mapped."""
     named = segments.select(F.col("target").alias("hap"), F.col("ref").alias("target"), F.col("age").alias("tmrca"), "seg_idx", "start_bp", "end_bp")
-    at = segment_before(sites.join(mapping.select("site").distinct(), "site", "left_semi").select("site", "pos"), named)
+    at = segment_before(cut(sites.join(mapping.select("site").distinct(), "site", "left_semi").select("site", "pos")), named)
     carriers = panel.where("g = 1").select("site", F.col("hap").alias("ref"))
-    copied = at.select("site", F.col("hap").alias("target"), F.col("target").alias("ref"), "tmrca")
-    rows = posteriors.where("p > 0").join(carriers, ["site", "ref"]).join(copied, ["site", "target", "ref"])
+    on_path = at.select("site", F.col("hap").alias("target"), F.col("target").alias("ref"), "tmrca")
+    rows = cut(posteriors.where("p > 0").join(carriers, ["site", "ref"]).join(on_path, ["site", "target", "ref"]))
     one = rows.join(mapping.where("hap IS NULL").drop("hap"), "site")
-    some = rows.join(mapping.where("hap IS NOT NULL").withColumnRenamed("hap", "ref"), ["site", "ref"]).select(*one.columns)
+    # of a mapping's branches those of haplotypes that are copied
+    branches = among(mapping.where("hap IS NOT NULL").withColumnRenamed("hap", "ref"), rows, "ref")
+    some = rows.join(branches, ["site", "ref"]).select(*one.columns)
     taken = F.sum(F.col("p") * (recent(F.col("lower"), F.col("upper"), F.col("tmrca")) - 1)).alias("delta")
     deltas = one.unionByName(some).groupBy("target", "site").agg(taken)
     return doses.join(deltas, ["target", "site"], "left").select("target", "site", (F.col("dose") + F.coalesce("delta", F.lit(0.0))).alias("dose"))

@@ -30,27 +30,38 @@ from .pbwt import BLOCK, equal_since, level_ranks, whole_keys
 
 @dataclass(frozen=True)
 class Panel:
-    """genotypes: site, hap, g; keys: block, hap, key; levels: blocks -> block, hap, rank; order:
-    site, hap, g, rnk; since: site, hap, above, since; columns: site, alleles (in the order before
-    the site), haps (in the order after it)."""
+    """genotypes: site, hap, g; keys: block, hap, key; order: site, hap, g, rnk. What not every use
+    needs is made when first asked for, unless it is known from the panel that this one came from: levels:
+    blocks -> block, hap, rank; since: site, hap, above, since; columns: site, alleles (in the order
+    before the site), haps (in the order after it)."""
 
     genotypes: DataFrame
     keys: DataFrame
-    levels: dict[int, DataFrame]
     order: DataFrame
-    since: DataFrame
     n_sites: int
+    known_levels: dict[int, DataFrame] | None = None
+    known_since: DataFrame | None = None
+
+    @cached_property
+    def n_haps(self) -> int:
+        return self.keys.where("block = 0").count()
+
+    @cached_property
+    def levels(self) -> dict[int, DataFrame]:
+        return self.known_levels or level_ranks(self.keys, -(-self.n_sites // BLOCK))
+
+    @cached_property
+    def since(self) -> DataFrame:
+        return cut(pbwt.divergence(self.order, self.keys, self.levels)) if self.known_since is None else self.known_since
 
     @cached_property
     def columns(self) -> DataFrame:
-        """Made when first asked for: one that only gives its rows needs none."""
         return cut(in_columns(self.order))
 
 
 def in_columns(order: DataFrame) -> DataFrame:
     """site, alleles in the order before the site, haps in the order after it."""
-    before = order.select((F.col("site") + 1).alias("site"), "hap", F.col("rnk").alias("before"))
-    rows = order.join(before, ["site", "hap"], "left").withColumn("before", F.coalesce("before", F.col("hap")))
+    rows = order.withColumn("before", F.coalesce(F.lag("rnk").over(Window.partitionBy("hap").orderBy("site")), "hap"))
     listed = rows.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("before", "g"))).alias("a"), F.sort_array(F.collect_list(F.struct("rnk", "hap"))).alias("h"))
     return listed.select("site", F.transform("a", lambda x: x["g"].cast("tinyint")).alias("alleles"), F.col("h.hap").alias("haps"))
 
@@ -58,10 +69,7 @@ def in_columns(order: DataFrame) -> DataFrame:
 def build(genotypes: DataFrame, n_sites: int) -> Panel:
     """The panel of these haplotypes."""
     keys = cut(whole_keys(genotypes))
-    order = cut(pbwt.prefix_ranks(genotypes, n_sites))
-    levels = level_ranks(keys, -(-n_sites // BLOCK))
-    since = cut(pbwt.divergence(order, keys, levels))
-    return Panel(genotypes, keys, levels, order, since, n_sites)
+    return Panel(genotypes, keys, cut(pbwt.ranks_of_keys(keys, n_sites)), n_sites)
 
 
 def _search(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -106,8 +114,7 @@ def _sites_of_newcomers(panel: Panel, places: DataFrame, keys: DataFrame) -> Dat
     # the panel's haplotypes that are equal up to the block's start come before the newcomer, too
     floor_place = (F.col("place") - F.col("place") % 2).alias("low")
     starts = starts.select("block", "hap", floor_place).join(above, ["block", "low"], "left")
-    n_panel = panel.genotypes.select("hap").distinct().count()
-    rows = keys.join(starts, ["block", "hap"], "left").select("block", "hap", "key", F.when(F.col("block") == 0, n_panel).otherwise(F.coalesce("upto", F.lit(0))).alias("start"))
+    rows = keys.join(starts, ["block", "hap"], "left").select("block", "hap", "key", F.when(F.col("block") == 0, panel.n_haps).otherwise(F.coalesce("upto", F.lit(0))).alias("start"))
 
     def task(key: tuple, columns: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         hap, bits, r, out = new["hap"].to_numpy(), new["key"].to_numpy(np.int64), new["start"].to_numpy(np.int64), []
@@ -168,7 +175,7 @@ def insert(panel: Panel, newcomers: DataFrame) -> Panel:
     found = equal_since(changed.where("above IS NOT NULL"), all_keys, {d: _identities(panel, places, own, d) for d in panel.levels})
     first = changed.where("above IS NULL").select("site", "hap", F.lit(None).cast("int").alias("above"), (F.col("site") + 1).cast("int").alias("since"))
     since = panel.since.join(changed.select("site", "hap"), ["site", "hap"], "left_anti").select("site", "hap", "above", "since").unionByName(found).unionByName(first)
-    return Panel(panel.genotypes.unionByName(newcomers), all_keys, _merged_levels(panel, places, own), order, cut(since), panel.n_sites)
+    return Panel(panel.genotypes.unionByName(newcomers), all_keys, order, panel.n_sites, _merged_levels(panel, places, own), cut(since))
 
 
 def remove(panel: Panel, haps: DataFrame) -> Panel:
@@ -193,4 +200,4 @@ def remove(panel: Panel, haps: DataFrame) -> Panel:
     kept = lambda df: cut(df.join(gone, "hap", "left_anti").select(*df.columns))
     # ranks may have holes, which binary search and comparison do not mind
     levels = {d: kept(r) for d, r in panel.levels.items()}
-    return Panel(panel.genotypes.join(gone, "hap", "left_anti").select("site", "hap", "g"), kept(panel.keys), levels, order, cut(since), panel.n_sites)
+    return Panel(panel.genotypes.join(gone, "hap", "left_anti").select("site", "hap", "g"), kept(panel.keys), order, panel.n_sites, levels, cut(since))

@@ -122,7 +122,7 @@ def paths(panel: Panel, targets: DataFrame, costs: DataFrame, tasks: int = 64, s
     """target, seg_idx, start, end (exclusive), ref, low, high (ranks after the segment's last site of
     all that agree on it), cost (of the whole path, in parts). targets: site, hap, g; costs: site,
     stay, switch, match, mismatch, in parts, the switch being that from this site to the next."""
-    n = panel.genotypes.select("hap").distinct().count()
+    n = panel.n_haps
     size = stretch or max(1, CELLS // max(n, 1))
     last = panel.n_sites - 1
     of = F.pmod(F.xxhash64("target"), F.lit(tasks)).cast("int")
@@ -166,9 +166,10 @@ def _traced(switches: DataFrame, n_sites: int) -> DataFrame:
 
 def members(panel: Panel, found: DataFrame) -> DataFrame:
     """target, seg_idx, start, end, ref: all haplotypes of the panel that agree with the one copied over
-    the segment: those between its ranks after the last site."""
-    each = found.select("target", "seg_idx", "start", "end", (F.col("end") - 1).alias("site"), F.explode(F.sequence("low", F.col("high") - 1)).alias("rnk"))
-    return each.join(panel.order.select("site", "rnk", F.col("hap").alias("ref")), ["site", "rnk"]).select("target", "seg_idx", "start", "end", "ref")
+    the segment: those between its ranks after the last site, cut out of the site's column."""
+    each = found.select("target", "seg_idx", "start", "end", "low", "high", (F.col("end") - 1).alias("site"))
+    between = F.slice("haps", F.col("low") + 1, F.col("high") - F.col("low"))
+    return each.join(panel.columns.select("site", "haps"), "site").select("target", "seg_idx", "start", "end", F.explode(between).alias("ref"))
 
 
 def overlaps(panel: Panel, targets: DataFrame, shared: DataFrame) -> DataFrame:
@@ -380,7 +381,7 @@ def pair_paths(panel: Panel, doses: DataFrame, costs: DataFrame, tasks: int = 64
     """ind, side, seg_idx, start, end, ref, cost: the cheapest pair of mosaics for doses (site, ind, dose)
     of 0, 1 or 2 over the whole panel. A dose off by one costs a match and a mismatch, by two twice a
     mismatch; each side stays or switches at its own cost."""
-    n = panel.genotypes.select("hap").distinct().count()
+    n = panel.n_haps
     size = stretch or max(1, CELLS // max(n, 1))
     of = F.pmod(F.xxhash64("ind"), F.lit(tasks)).cast("int")
     own = cut(doses.select("ind", "site", F.col("dose").alias("g")).withColumn("task", of))

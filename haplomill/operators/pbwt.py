@@ -61,6 +61,21 @@ def whole_keys(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy(F.floor(F.col("site") / BLOCK).cast("int").alias("block"), "hap").agg(F.sum(bit).alias("key"))
 
 
+def ranks_of_keys(keys: DataFrame, n_sites: int) -> DataFrame:
+    """The same as `prefix_ranks` from the keys of whole blocks (block, hap, key), for sites numbered
+    without gaps: a running key is the lower bits of the whole one, so that no alleles are shuffled for it."""
+    n_blocks, order = -(-n_sites // BLOCK), ["key", "hap"]
+    if n_blocks > 1:
+        before = block_ranks(keys, n_blocks).select((F.col("block") + 1).alias("block"), "hap", F.col("rank").alias("before"))
+        keys = keys.join(before, ["block", "hap"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        order = ["key", "before", "hap"]
+    bits = F.sequence(F.lit(0), F.least(F.lit(BLOCK), n_sites - F.col("block") * BLOCK) - 1)
+    rows = dealt(keys, "hap").withColumn("bit", F.explode(bits))  # a few numbers become many rows
+    site = (F.col("block") * BLOCK + F.col("bit")).cast("int").alias("site")
+    rows = rows.select(site, "hap", F.expr("cast(shiftright(key, bit) & 1 AS int)").alias("g"), F.expr("key & (shiftleft(2L, bit) - 1)").alias("key"), *order[1:-1])
+    return rows.select("site", "hap", "g", (F.row_number().over(Window.partitionBy("site").orderBy(*order)) - 1).cast("int").alias("rnk"))
+
+
 def level_ranks(keys: DataFrame, n_blocks: int) -> dict[int, DataFrame]:
     """For 1, 2, 4, ... blocks: block, hap, rank, where equal ranks mean equal alleles over so many blocks."""
     w = Window.partitionBy("block")

@@ -150,20 +150,19 @@ define("cspread", "SELECT target, site, ref, sum(p * w) AS p FROM (SELECT x.targ
 define("cdose", "SELECT target, s.site, coalesce(sum(p) FILTER (g = 1), 0) AS dose FROM cspread s JOIN geno ON geno.site = s.site AND geno.hap = s.ref GROUP BY target, s.site", "cspread", "geno")
 
 
-def _imputed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Doses, the posteriors at all sites that they come from, and the panel."""
+def _imputed(spark: SparkSession, sf_dir: str, sites: DataFrame, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Doses, the posteriors at all sites that they come from, and the panel's haplotypes that these name."""
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
-    sites = fixtures.sites(spark, sf_dir)
-    found = models._posteriors(spark, sf_dir, sparse=True)
+    found = models._posteriors(spark, sf_dir, sparse=True, near=near)
     spread = cut(imputation.interpolate(found, imputation.flanks(sites, sites.where("site % 4 = 0"))))
-    panel = fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n)
+    panel = imputation.copied(fixtures.genotypes(spark, sf_dir).where(F.col("hap") < n), spread)
     return imputation.dosages(spread, panel), spread, panel
 
 
 @query(sql("SELECT target, site, round_even(dose, 3) AS dose FROM cdose", "cdose"))
 def imputed_dosage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imputation from genotypes to dosages: match sets, posteriors, interpolation, sums."""
-    return imputation.checked(_imputed(spark, sf_dir)[0]).select("target", "site", "dose")
+    return imputation.checked(_imputed(spark, sf_dir, cut(fixtures.sites(spark, sf_dir)))[0]).select("target", "site", "dose")
 
 
 _mass = lambda n: f"({_Q.format(x='r * t', n=n)} - CASE WHEN next_t IS NULL THEN 0 ELSE {_Q.format(x='r * coalesce(next_t, 0)', n=n)} END)"
@@ -187,9 +186,10 @@ define(
 @query(sql("SELECT d.target, d.site, round_even(dose + coalesce(delta, 0), 3) AS dose FROM cdose d LEFT JOIN delta USING (target, site)", "cdose", "delta"))
 def imputed_dosage_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imputation where the ages of mapped variants and of the mosaics' segments take part."""
-    doses, spread, panel = _imputed(spark, sf_dir)
-    segments = panel_path.dated(panels.typed_near(spark, sf_dir), panels.typed_sites(spark, sf_dir), DEMO)
-    sites = fixtures.sites(spark, sf_dir)
+    sites, typed = cut(fixtures.sites(spark, sf_dir)), panels.typed_sites(spark, sf_dir)
+    near = panels.typed_near(spark, sf_dir, typed)  # for the match sets and for the segments
+    doses, spread, panel = _imputed(spark, sf_dir, sites, near)
+    segments = panel_path.dated(near, typed, DEMO)
     one = sites.where("site % 3 = 0").select("site", F.lit(None).cast("int").alias("hap"), (50.0 + F.col("site")).alias("lower"), (150.0 + 2 * F.col("site")).alias("upper"))
     haps = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 2 = 0").select(F.col("vec_id").cast("int").alias("hap"), F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("site"))
     some = haps.where("site % 3 = 1").select("site", "hap", (20.0 + F.col("hap") % 50).alias("lower"), (120.0 + F.col("hap") % 50).alias("upper"))

@@ -155,7 +155,8 @@ define(
 
 def typed_match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """target, ref of all typed sites; alleles at other sites, which are to be imputed, have no part."""
-    ranks = pbwt.prefix_ranks(fixtures.genotypes(spark, sf_dir).where("site % 4 = 0"), _n_sites(spark, sf_dir))
+    typed = fixtures.typed_genotypes(spark, sf_dir)
+    ranks = pbwt.ranks_of_keys(cut(pbwt.whole_keys(typed)), -(-_n_sites(spark, sf_dir) // fixtures.TYPED))
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     return pbwt.match_sets(pbwt.imputation_window(ranks, n - N_TARGETS))
 

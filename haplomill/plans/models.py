@@ -71,7 +71,8 @@ def ls_dated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hap", "seg_idx", F.col("site_pos").alias("start_bp"), "target", m.alias("hets"), F.round(age, 4).alias("tmrca"))
 
 
-def _posteriors(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def _posteriors(spark: SparkSession, sf_dir: str, sparse: bool = False, near: DataFrame | None = None) -> DataFrame:
+    """near: what `panels.typed_near` gives, if it is at hand."""
     geno = fixtures.genotypes(spark, sf_dir).where("site % 4 = 0")
     at = coordinates_of(spark, sf_dir)
     cm = at.loc[at["site"] % 4 == 0, "cm"].to_numpy()
@@ -79,7 +80,7 @@ def _posteriors(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataF
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() - matching.N_TARGETS
     switch = 1 - np.exp(-4.0 * penalties.IMPUTE_NE * 0.01 * step / n)
     # the neighbours at typed sites, and what the targets' mosaics copy
-    sets = matching.typed_match_sets(spark, sf_dir).unionByName(panels.typed_near(spark, sf_dir).select("target", "ref")).distinct()
+    sets = matching.typed_match_sets(spark, sf_dir).unionByName((panels.typed_near(spark, sf_dir) if near is None else near).select("target", "ref")).distinct()
     return copying.posteriors(geno, sets, switch, n_panel=n if sparse else None)
 
 

@@ -172,11 +172,11 @@ def panel_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("target", "seg_idx", "start_bp", "ref", "hets", F.round("age", 3).alias("age"))
 
 
-def typed_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_near(spark: SparkSession, sf_dir: str, sites: DataFrame | None = None) -> DataFrame:
     """The references closest to the targets by the typed sites, on their mosaics; sites are typed ones."""
     n = _count(spark, sf_dir) - N
-    geno = cut(fixtures.genotypes(spark, sf_dir).where("site % 4 = 0").withColumn("site", (F.col("site") / 4).cast("int")))
-    sites = typed_sites(spark, sf_dir)
+    geno = fixtures.typed_genotypes(spark, sf_dir)
+    sites = typed_sites(spark, sf_dir) if sites is None else sites
     p, targets = panel.build(geno.where(F.col("hap") < n), sites.count()), geno.where(F.col("hap") >= n)
     costs = cut(panel_path.whole_costs(sites, n, DEMO, MU, False))
     return cut(panel_path.longest(panel_path.overlaps(p, targets, panel_path.members(p, panel_path.paths(p, targets, costs))), 16))

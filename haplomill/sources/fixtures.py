@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import coordinates
 
 GENETIC_MAP = [(2000.0, 0.0), (15000.0, 0.02), (30000.0, 0.02), (60000.0, 0.09), (90000.0, 0.15)]
 EPOCHS = ([0.0, 200.0], [5000.0, 20000.0])
 BLOCK = 16
+TYPED = 4  # every so many sites one is typed
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,11 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site", "hap", (F.col("x").cast("double") * 1000 > (F.col("site") % 40 - 8) * 14).cast("int").alias("g"))
 
 
+def typed_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of typed sites, numbered anew."""
+    return genotypes(spark, sf_dir).where(F.col("site") % TYPED == 0).withColumn("site", (F.col("site") / TYPED).cast("int"))
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site and pos of all sites."""
     width = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.max(F.size("embedding")).alias("n"))
@@ -35,7 +42,7 @@ def genetic_map(spark: SparkSession) -> DataFrame:
 
 def sites_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, pos and cm, interpolated and made strictly increasing."""
-    return coordinates.strictly_increasing(coordinates.interpolate(sites(spark, sf_dir), genetic_map(spark)))
+    return coordinates.strictly_increasing(coordinates.interpolate(cut(sites(spark, sf_dir)), genetic_map(spark)))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

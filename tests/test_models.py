@@ -10,9 +10,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from haplomill.functions import lineage
 from haplomill.functions.regions import parse_region
 from haplomill.operators import ancestry, consistency, coordinates, copying, normalize, pbwt, psmc, trees
 from haplomill.operators.demography import Demography
+from haplomill.plans import panels
 from haplomill.plans.catalogue import QUERIES
 from haplomill.sources import fixtures
 
@@ -470,3 +472,33 @@ def test_many_targets_are_no_frame_each(spark, monkeypatch):
     found = [sorted(tuple(r) for r in copying.infer_paths(geno, cands, *args, stretch=s).collect()) for s in (m, 5)]
     assert found[0] == found[1] and {r[0] for r in found[0]} == set(range(1, n))
     assert len(kinds) == 6 and all("MapInArrow" in x and "FlatMapGroups" not in x.split("MapInArrow")[0] for x in kinds)
+
+
+def test_mapped_imputation_finds_the_near_references_once(spark, sf, monkeypatch):
+    """Match sets and dated segments share them."""
+    made, plain = [], panels.typed_near
+    monkeypatch.setattr(panels, "typed_near", lambda *a: made.append(1) or plain(*a))
+    assert QUERIES["imputed_dosage_mapped"](spark, sf).count() > 0
+    assert len(made) == 1
+
+
+def test_posteriors_pack_only_what_is_in_a_set(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    alleles = draw.integers(0, 2, (40, 6))
+    geno = spark.createDataFrame([(j, k, int(alleles[k, j])) for k in range(40) for j in range(6)], "site int, hap int, g int")
+    sets = spark.createDataFrame([(38, 3), (38, 7), (39, 3)], "target int, ref int")
+    seen, plain = [], copying.packed
+    monkeypatch.setattr(copying, "packed", lambda rows: seen.append(sorted(r["hap"] for r in rows.select("hap").distinct().collect())) or plain(rows))
+    found = copying.posteriors(geno, sets, np.full(6, 0.1)).collect()
+    assert seen == [[3, 7, 38, 39]] and len(found) == 18
+    p = copying.posterior(alleles[[3, 7]].astype(np.int8), alleles[38].astype(np.int8), np.full(6, 0.1), 1e-4)
+    assert {(r["site"], r["ref"]): round(r["p"], 12) for r in found if r["target"] == 38} == {(j, ref): round(p[j, k], 12) for j in range(6) for k, ref in enumerate((3, 7))}
+
+
+@pytest.mark.parametrize("few", [1, 10])
+def test_rows_among_few_and_many_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(lineage, "FEW", few)
+    rows = spark.createDataFrame([(x, x % 5) for x in range(20)] + [(99, None)], "a int, k int")
+    keys = spark.createDataFrame([(1,), (1,), (3,), (None,), (8,)], "k int")
+    found = lineage.among(rows, keys, "k")
+    assert found.columns == ["a", "k"] and sorted(r["a"] for r in found.collect()) == [x for x in range(20) if x % 5 in (1, 3)]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haplomill.operators import panel, panel_path
+from haplomill.operators import panel, panel_path, pbwt
 
 SITES, HAPS = 100, 30
 
@@ -216,3 +216,21 @@ def test_columns_are_made_when_asked_for(geno, monkeypatch):
     more = panel.insert(panel.build(geno.where("hap < 8"), SITES), geno.where("hap BETWEEN 8 AND 9"))
     assert len(made) == 1
     assert more.columns.count() == SITES and more.columns is more.columns and len(made) == 2
+
+
+def test_ranks_of_whole_keys(geno):
+    """The keys of whole blocks, the last one short, hold the order after every site."""
+    ours, theirs = (sorted(tuple(r) for r in x.select("site", "hap", "g", "rnk").collect()) for x in (pbwt.ranks_of_keys(pbwt.whole_keys(geno), SITES), pbwt.prefix_ranks(geno, SITES)))
+    assert ours == theirs
+
+
+def test_a_search_takes_order_and_columns_alone(spark, geno, monkeypatch):
+    """Since when neighbours are equal is nothing that a mosaic asks for."""
+    made, levels, since = [], panel.level_ranks, pbwt.divergence
+    monkeypatch.setattr(panel, "level_ranks", lambda *a: made.append("levels") or levels(*a))
+    monkeypatch.setattr(pbwt, "divergence", lambda *a: made.append("since") or since(*a))
+    p, targets = panel.build(geno.where("hap < 24"), SITES), geno.where("hap >= 28")
+    costs = spark.createDataFrame([(j, 0, 3_000_000, 0, 2_000_000) for j in range(SITES)], "site int, stay long, switch long, match long, mismatch long")
+    near = panel_path.longest(panel_path.overlaps(p, targets, panel_path.members(p, panel_path.paths(p, targets, costs))), 5)
+    assert near.count() > 0 and made == []
+    assert p.since.count() == 24 * SITES and p.since is p.since and made == ["levels", "since"]
