@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from haplomill.functions import lineage
+from haplomill.functions import intervals, lineage
 from haplomill.functions.regions import parse_region
 from haplomill.operators import ancestry, consistency, coordinates, copying, normalize, pbwt, psmc, trees
 from haplomill.operators.demography import Demography
@@ -502,3 +502,15 @@ def test_rows_among_few_and_many_keys(spark, monkeypatch, few):
     keys = spark.createDataFrame([(1,), (1,), (3,), (None,), (8,)], "k int")
     found = lineage.among(rows, keys, "k")
     assert found.columns == ["a", "k"] and sorted(r["a"] for r in found.collect()) == [x for x in range(20) if x % 5 in (1, 3)]
+
+
+def test_open_intervals_alone_are_in_few_bins(spark):
+    """As where every target copies one haplotype to the end."""
+    points = spark.createDataFrame([(5.0,), (4e9,)], "at double")
+    spans = spark.createDataFrame([(k, 10.0 * k, None) for k in range(3)], "k int, low double, high double")
+    found = intervals.covering(points, "at", spans, "low", "high")
+    assert sorted((r["at"], r["k"]) for r in found.collect()) == [(5.0, 0), (4e9, 0), (4e9, 1), (4e9, 2)]
+    mixed = spans.unionByName(spark.createDataFrame([(3, 0.0, 5.0), (4, 1.0, 6.0), (5, None, None)], "k int, low double, high double"))
+    found = intervals.covering(points, "at", mixed, "low", "high")
+    assert sorted((r["at"], r["k"]) for r in found.collect()) == [(5.0, 0), (5.0, 4), (4e9, 0), (4e9, 1), (4e9, 2)]
+    assert intervals.covering(points.limit(0), "at", mixed, "low", "high").isEmpty()
